@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
 
-K, SAMPLE, SHORT, SALTS = 10, 20_000, 256, 64
+K, SAMPLE, SALTS = 10, 20_000, 64
+#: A query's best by codes: of each block of a list, and of all its lists.
+NEAR, SHORT = 32, 256
 CODES, QUERIES = 16_384, 512
 #: Tables of at most so many vectors get one list.
 FLAT = 2_048
@@ -160,7 +162,7 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
             keys, center = code["key"].to_numpy(), x.coarse[int(code["list"].iloc[0])]
             for q, v in zip(query["query"], _matrix(query["v"]), strict=True):
                 d = x.tables(v - center).ravel()[c].sum(1)
-                best = np.argsort(d, kind="stable")[:short] if len(d) <= short else _smallest(d, short)
+                best = _smallest(d, max(NEAR, k))
                 out.append(pd.DataFrame({"query": q, "key": keys[best], "far": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "far": []}).astype({"query": "int64", "key": "int64"})
 
@@ -186,7 +188,7 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
 
 def _smallest(d: np.ndarray, n: int) -> np.ndarray:
     """Places of the n smallest, ties to the front ones."""
-    limit = np.partition(d, n - 1)[n - 1]
+    limit = np.partition(d, n - 1)[n - 1] if n < len(d) else np.inf
     at = np.flatnonzero(d <= limit)
     return at[np.argsort(d[at], kind="stable")][:n]
 
