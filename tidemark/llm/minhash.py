@@ -7,12 +7,13 @@ per cent. Words are runs of non-white-space bytes after lower-casing A-Z.
 How a large group stays cheap without losing links
 * Documents with equal shingle sets share one node (the 64-bit digest of the set), so exact copies never
   meet in pairs.
-* Round 1 compares each node of a band bucket with the bucket's smallest node only (a star). A group of n near
-  copies costs n comparisons and is then, as a rule, one component.
-* Round 2 and 3 look at the buckets that still hold two or more components, and only at pairs of nodes of
-  different components: in blocks of bounded size, with signatures compared inside the task. Round 2 sends
-  the best partner in each other component to the exact check, round 3 every remaining pair whose estimate
-  can still reach the limit. No bucket, partner or candidate is capped.
+* First each node of a band bucket is compared with the bucket's smallest node only (a star). A group of n near copies
+  costs n comparisons and is then, as a rule, one component.
+* Then the buckets that still hold two or more components are looked at, and only pairs of nodes of different
+  components: signatures are compared in blocks of bounded size, and of the pairs that may still be linked each block
+  sends on a spanning forest. Nodes that hang together by it form a family; so every pair in question lies within one
+  family. Families are compared exactly on full sets, again in blocks, each sending on a spanning forest of its links.
+  No bucket, partner or candidate is capped, and what is sent grows with nodes, not with pairs.
 
 With 56 bands of 6 rows a pair at exactly 0.8 is missed with probability (1 - 0.8^6)^56 < 5e-8.
 
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WordHashes, stored, table, windows
 
-BANDS, ROWS, CHUNK, BLOCK = 56, 6, 256, 1024
+BANDS, ROWS, CHUNK = 56, 6, 256
+#: Nodes in a block when signatures, and when full sets are compared.
+BLOCK, FAMILY = 1024, 256
 #: An estimate from 336 minima has a standard deviation of about 0.022 at 0.8; pairs more than five of them below go.
 SLACK = 0.11
 
@@ -162,34 +165,82 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int)
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(run, "u long, v long")
 
 
-def _across(open_: DataFrame, texts: DataFrame, similarity: int, best: bool) -> DataFrame:
-    """Pairs of nodes of one bucket, in different components, whose signatures allow the similarity.
+class Joined(dict):
+    """Union-find over what it has seen."""
 
-    A bucket of n nodes is cut into blocks of at most BLOCK; each pair of blocks is one group of bounded
-    size, compared with numpy. best: for each node only its best partner in each other component."""
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """False if they were together already."""
+        a, b = self.find(a), self.find(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _block_pairs(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows(key, node, ...) with x, y, i: each group is cut into blocks of about `size` rows, and (key, x, y) is a pair
+    of its blocks, i the row's own one of the two."""
+    count = stored(rows.groupBy(key).agg(F.count("*").alias("n")), "sizes")
+    out = rows.join(count, key).withColumn("n", F.ceil(F.col("n") / size)).withColumn("i", F.pmod(F.xxhash64("node"), "n"))
+    out = out.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return out.withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j")).drop("n", "j")
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+    left, right = pdf[pdf["i"] == pdf["x"]], pdf[pdf["i"] == pdf["y"]]
+    sig = lambda p: np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(len(p), -1)
+    return left, right, sig(left), sig(right)
+
+
+def _families(mixed: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """(u, v): in each bucket, a spanning forest of the pairs in different components whose signatures allow a link."""
+    limit = similarity / 100 - SLACK
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, a, b = _sides(pdf)
+        ln, rn, lr, rr = left["node"].values, right["node"].values, left["root"].values, right["root"].values
+        groups, out = Joined(), []
+        for k in range(len(a)):
+            at = np.flatnonzero(rr != lr[k])
+            if len(at):
+                out += [(ln[k], rn[q]) for q in at[(a[k] == b[at]).mean(axis=1) >= limit] if groups.join(ln[k], rn[q])]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    rows = stored(_block_pairs(mixed, "key", BLOCK), "blocks").join(texts.select("node", "sig"), "node")
+    return rows.groupBy("key", "x", "y").applyInPandas(run, "u long, v long")
+
+
+def _links(families: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """(u, v): within families(family, node, root), links between different components, a spanning forest of each block."""
     limit = similarity / 100 - SLACK
-    size = stored(open_.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    rows = open_.join(size, "key").withColumn("n", F.ceil(F.col("n") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("node"), "n"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "node", "root")
-    rows = stored(rows, "blocks").join(texts.select("node", "sig"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["i"] == pdf["x"]]
-        right = pdf[pdf["i"] == pdf["y"]]
-        sig = lambda p: np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(len(p), -1)
-        a, b, out = sig(left), sig(right), set()
+        left, right, a, b = _sides(pdf)
         ln, rn, lr, rr = left["node"].values, right["node"].values, left["root"].values, right["root"].values
+        lt, rt = left["text"].values, right["text"].values
+        memo, sets, groups, out = WordHashes(), {}, Joined(), []
+
+        def full(node: int, text: str) -> set[int]:
+            if node not in sets:
+                sets[node] = set(shingles(text, width, memo).tolist())
+            return sets[node]
+
         for k in range(len(a)):
-            near = (a[k] == b).mean(axis=1)
-            ok = np.flatnonzero((near >= limit) & (rr != lr[k]))
-            if best and len(ok) > 1:
-                ok = ok[np.argsort(-near[ok], kind="stable")]
-                ok = ok[np.unique(rr[ok], return_index=True)[1]]
-            out.update((max(ln[k], rn[q]), min(ln[k], rn[q])) for q in ok)
-        return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
+            at = np.flatnonzero(rr != lr[k])
+            for q in at[(a[k] == b[at]).mean(axis=1) >= limit] if len(at) else ():
+                if groups.find(lr[k]) != groups.find(rr[q]):
+                    s, t = full(ln[k], lt[k]), full(rn[q], rt[q])
+                    same = len(s & t)
+                    if 100 * same >= similarity * (len(s) + len(t) - same):
+                        groups.join(lr[k], rr[q])
+                        out.append((ln[k], rn[q]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return rows.groupBy("key", "x", "y").applyInPandas(run, "u long, v long").distinct()
+    rows = stored(_block_pairs(families, "family", FAMILY), "blocks").join(texts, "node")
+    return rows.groupBy("family", "x", "y").applyInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
@@ -203,15 +254,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     pairs = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     edges = stored(_confirmed(pairs, texts, width, similarity), "edges")
     roots = components(edges)
-    for best in (True, False):
-        named = stored(members.select("key", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-        mixed = stored(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b and n > 2").select("key"), "mixed")
-        if mixed.isEmpty():
-            break
-        more = stored(_confirmed(_across(named.join(mixed, "key"), texts, similarity, best), texts, width, similarity), "edges")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            roots = components(edges)
+    named = stored(members.select("key", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    mixed = stored(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b and n > 2").select("key"), "mixed")
+    if not mixed.isEmpty():
+        loose = stored(_families(named.join(mixed, "key"), texts, similarity), "loose")
+        family = components(loose).select(F.col("u").alias("node"), F.col("root").alias("family"))
+        family = stored(family.unionByName(family.select(F.col("family").alias("node"), "family")).distinct(), "family")
+        family = stored(family.join(named.select("node", "root").distinct(), "node"), "family")
+        edges = edges.unionByName(stored(_links(family, texts, width, similarity), "links"))
+        roots = components(edges)
 
     # back to documents: the smallest doc_id of each component
     rooted = stored(sketched.where("node is not null").select("doc_id", "n_shingles", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
