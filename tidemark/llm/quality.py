@@ -87,7 +87,7 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
         at = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": at, "raw": raw[at], "target": target[at]})
 
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(True)), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
     sums = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInPandas(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     at = sums["bucket"].to_numpy(np.int64)
