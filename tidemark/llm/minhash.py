@@ -133,7 +133,7 @@ def _texts(docs: DataFrame, sketched: DataFrame, members: DataFrame, width: int)
             sigs = [minima(shingles(t, width, memo)).astype(np.uint8).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"node": pdf["node"], "sig": sigs, "text": pdf["text"]})
 
-    both = docs.select("doc_id", "text").join(one, "doc_id").select("node", "text")
+    both = docs.select("doc_id", "text").join(one.hint("merge"), "doc_id").select("node", "text")
     return stored(both.mapInPandas(run, "node long, sig binary, text string"), "texts")
 
 
@@ -161,7 +161,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int)
                 keep.append(ok)
             yield pdf.loc[keep, ["u", "v"]]
 
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("text").alias(f"t{x}"))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("text").alias(f"t{x}")).hint("merge")
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(run, "u long, v long")
 
 
