@@ -5,11 +5,66 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.operators import ledger, lifecycle, options, prices, text
+from tidemark.plans.oracle import SQL
+from tidemark.sources import adapters
+from tidemark.streaming.news import news_window
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _over(source: Callable[[SparkSession, str], DataFrame], operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(source(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    by = {
+        adapters.trades: {
+            "threshold_sweep": ledger.threshold_sweep,
+            "threshold_suggest": ledger.threshold_suggest,
+            "trade_stats_by_month": lambda t: ledger.stats_by(t, month=F.date_format("entry_date", "yyyy-MM")),
+            "month_over_month": ledger.month_over_month,
+            "catalyst_breakdown": lambda t: ledger.stats_by(t, catalyst=F.coalesce("catalyst", F.lit("unknown"))),
+            "spread_vs_long": ledger.spread_vs_long,
+            "sector_concentration": ledger.sector_concentration,
+            "bin_stats": ledger.bin_stats,
+            "pearson_weights": ledger.pearson_weights,
+            "kelly_size": ledger.kelly,
+            "cooldown_antijoin": ledger.cooldown,
+            "shadow_maturity": ledger.shadow_maturity,
+            "trade_score_rank": ledger.rank_trades,
+            "reject_counts": ledger.gate_reasons,
+        },
+        adapters.bars: {
+            "returns_48h_mismatch": prices.mismatch,
+            "sigma_pop_samp": prices.sigma,
+            "relative_strength": prices.relative_strength,
+            "pair_corr": prices.pair_correlation,
+            "barrier_hit_rate": prices.barrier_hits,
+            "rolling_rv_rank": prices.rv_rank,
+        },
+        adapters.chain: {
+            "atm_nearest": options.atm_nearest,
+            "contract_pick": options.contract_pick,
+            "spread_leg": options.spread_leg,
+            "oi_gamma": options.dealer_gamma,
+            "straddle_move": options.straddle,
+        },
+        adapters.marks: {
+            "running_peak": lifecycle.running_peak,
+            "exit_first_fire": lifecycle.first_exit,
+            "trailing_stop": lifecycle.trailing_stop,
+            "sentiment_drift": lifecycle.sentiment_drift,
+        },
+        adapters.funnel: {"killer_gate": lifecycle.killer_gate, "drought_streak": lifecycle.drought_streak},
+        adapters.posts: {"post_credibility": text.credibility, "weighted_sentiment": text.weighted_sentiment, "top_posts": text.top_posts},
+    }
+    out: dict[str, Query] = {name: _over(source, op) for source, ops in by.items() for name, op in ops.items()}
+    out["stream_news_window"] = news_window
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
