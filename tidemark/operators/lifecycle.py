@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("trade_id").orderBy("ts", "event_id")
 # The funnel's stages in order.
 STAGES = ("view", "click", "signup", "purchase")
 
 
+def in_order():
+    return Window.partitionBy("trade_id").orderBy("ts", "event_id")
+
+
 def outcomes(marks: DataFrame) -> DataFrame:
     """outcome: value over the trade's first value less 1; peak: highest outcome so far."""
-    rows = marks.withColumn("first", F.first("value").over(ORDER)).withColumn("entry", F.first("ts").over(ORDER))
+    rows = marks.withColumn("first", F.first("value").over(in_order())).withColumn("entry", F.first("ts").over(in_order()))
     rows = rows.withColumn("outcome", F.try_divide(F.col("value"), F.col("first")) - 1)
-    return rows.withColumn("peak", F.max("outcome").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("peak", F.max("outcome").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def running_peak(marks: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def trailing_stop(marks: DataFrame) -> DataFrame:
     o = outcomes(marks)
     tp = o.where("outcome >= 0.5").groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "outcome")).alias("tp"))
     later = o.join(tp, "trade_id").where("struct(ts, event_id) > struct(tp.ts, tp.event_id)")
-    later = later.withColumn("top", F.greatest("tp.outcome", F.max("outcome").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))))
+    later = later.withColumn("top", F.greatest("tp.outcome", F.max("outcome").over(in_order().rowsBetween(Window.unboundedPreceding, 0))))
     hit = later.where("outcome <= top * 0.65").groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "outcome")).alias("h"))
     return tp.join(hit, "trade_id", "left").select("trade_id", F.round("tp.outcome", 6).alias("tp_outcome"), F.round("h.outcome", 6).alias("trailing_outcome"))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DAY = Window.partitionBy("ticker").orderBy("d")
+def by_day():
+    return Window.partitionBy("ticker").orderBy("d")
 
 
 def returns(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(BY_DAY)) - 1)
+    return bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(by_day())) - 1)
 
 
 def mismatch(bars: DataFrame, impact: int = 8) -> DataFrame:
@@ -64,15 +65,15 @@ def pair_correlation(bars: DataFrame, least: int = 20) -> DataFrame:
 
 def barrier_hits(bars: DataFrame, ahead: int = 20, target: float = 0.08) -> DataFrame:
     """Share of days whose highest close in the next `ahead` rows reaches close * (1 + target)."""
-    high = F.max("close").over(BY_DAY.rowsBetween(1, ahead))
-    left = F.count("close").over(BY_DAY.rowsBetween(1, ahead))
+    high = F.max("close").over(by_day().rowsBetween(1, ahead))
+    left = F.count("close").over(by_day().rowsBetween(1, ahead))
     rows = bars.withColumn("high", high).withColumn("left", left).where(F.col("left") == ahead)
     return rows.groupBy("ticker").agg(F.count("*").alias("n"), F.round(F.avg((F.col("high") >= F.col("close") * (1 + target)).cast("double")), 6).alias("hit_rate"))
 
 
 def rv_rank(bars: DataFrame, width: int = 21, least: int = 60) -> DataFrame:
     """Where the last rolling volatility stands between the 5 % and 95 % quantiles of its year, 0 to 100."""
-    w = BY_DAY.rowsBetween(1 - width, 0)
+    w = by_day().rowsBetween(1 - width, 0)
     r = returns(bars).withColumn("rv", F.when(F.count("ret").over(w) == width, F.stddev_samp("ret").over(w) * F.sqrt(F.lit(252.0))))
     last = F.max("d").over(Window.partitionBy("ticker"))
     year = r.where("rv is not null").withColumn("last", last).where("d > date_sub(last, 365)")

@@ -16,8 +16,8 @@ BARS = """bars AS (SELECT n_name AS ticker, n_regionkey AS sector, CAST(l_shipda
  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100 / CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS close, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
 rets AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS ret FROM bars)"""
-CHAIN = """chain AS (SELECT *, round(strike * (0.05 + l_discount), 4) AS ask, round(strike * (0.05 + l_discount) * (1 - l_tax), 4) AS bid FROM (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS expiry,
- CASE WHEN l_returnflag = 'R' THEN 'put' ELSE 'call' END AS type, round(l_extendedprice / l_quantity, 4) AS strike, l_discount, l_tax, CAST(l_quantity AS BIGINT) AS oi, round(0.2 + l_tax, 2) AS iv, l_orderkey * 10 + l_linenumber AS row FROM lineitem)),
+CHAIN = """chain AS (SELECT *, round(strike * (0.05 + l_discount), 4) AS ask, round(strike * (0.05 + l_discount) * (1 - l_tax), 6) AS bid FROM (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS expiry,
+ CASE WHEN l_returnflag = 'R' THEN 'put' ELSE 'call' END AS type, (CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) / 100 AS strike, l_discount, l_tax, CAST(l_quantity AS BIGINT) AS oi, round(0.2 + l_tax, 2) AS iv, l_orderkey * 10 + l_linenumber AS row FROM lineitem)),
 spot AS (SELECT ticker, CAST(sum(CAST(round(strike * 100) AS BIGINT)) AS BIGINT) / count(*) / 100 AS s FROM chain GROUP BY ticker)"""
 OUT = """o AS (SELECT *, max(outcome) OVER (PARTITION BY trade_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM
  (SELECT user_id AS trade_id, ts, event_id, value, value / first(value) OVER w - 1 AS outcome, first(ts) OVER w AS entry FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))"""

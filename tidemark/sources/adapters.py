@@ -53,14 +53,14 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, expiry, type, strike, bid, ask, oi, iv, row."""
     line = table(spark, sf_dir, "lineitem")
-    strike = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    strike = F.expr("(cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint)) / 100")
     return line.select(
         F.col("l_suppkey").alias("ticker"),
         F.to_date("l_shipdate").alias("expiry"),
         F.when(F.col("l_returnflag") == "R", "put").otherwise("call").alias("type"),
         strike.alias("strike"),
         F.round(strike * (0.05 + F.col("l_discount")), 4).alias("ask"),
-        F.round(strike * (0.05 + F.col("l_discount")) * (1 - F.col("l_tax")), 4).alias("bid"),
+        F.round(strike * (0.05 + F.col("l_discount")) * (1 - F.col("l_tax")), 6).alias("bid"),
         F.col("l_quantity").cast("long").alias("oi"),
         F.round(0.2 + F.col("l_tax"), 2).alias("iv"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"),

@@ -23,6 +23,6 @@ def news_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = (f"{root.rstrip('/')}/{x}-{uuid.uuid4().hex}" for x in ("news", "news-state"))
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/")
-    counts = windowed_counts(stream, "event_type")
+    counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_type")
     counts.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
     return spark.read.schema(counts.schema).parquet(out)
