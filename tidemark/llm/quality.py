@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Unigrams and bigrams of words are hashed into BUCKETS buckets. One pass over all documents counts the buckets of the
-raw corpus (every document) and of the target (every document that a label calls good); both multinomials get add-one
-smoothing. A document's score is the mean over its n-grams of log p_target - log p_raw, with PRIOR n-grams of score 0
+raw corpus (every document) and of the target (every document that a label calls good). The raw multinomial gets add-one
+smoothing; the target's gets BUCKETS counts spread like the raw one, so that without evidence the ratio is 0. A document's score is the mean over its n-grams of log p_target - log p_raw, with PRIOR n-grams of score 0
 added so that very short texts don't hang on a word or two. Every document is kept or rejected by a fixed threshold.
 
 Rules that need no model come first: too few words, or too large a share of words in repeated 5-word windows.
@@ -11,7 +11,7 @@ Counts cover all rows; what is gathered is one row for each bucket, whatever the
 texts on doc_id, a key; counts meet as sums of each task's buckets.
 
 Edge cases: null and empty texts have no words and fail the base rules, score 0; with no trusted documents all ratios
-use the smoothed prior only; repeated rows count each time in the raw corpus, and in the target if their doc_id is
+are 0 and only the base rules reject; repeated rows count each time in the raw corpus, and in the target if their doc_id is
 trusted; a null doc_id is never trusted; an empty table gives an empty result; other columns are left alone."""
 
 from __future__ import annotations
@@ -89,11 +89,12 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
 
     marked = docs.select("doc_id", "text").join(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
     sums = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInPandas(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
     at = sums["bucket"].to_numpy(np.int64)
     raw[at] += sums["raw"]
     target[at] += sums["target"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw /= raw.sum()
+    return np.log((target + BUCKETS * raw) / (target.sum() + BUCKETS)) - np.log(raw)
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
