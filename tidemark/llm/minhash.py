@@ -102,24 +102,25 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether the distinct edges (u, v), u > v, are stars: each u has one edge and is the v of none."""
+    ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for each node with an edge, root being the smallest node reachable; (u, v) long in, u != v.
 
-    Alternates large-star and small-star until the edges no longer change. Hot nodes: minima are partial
-    aggregates, and the joins back have an exchange on both sides, so AQE splits them."""
+    Alternates large-star and small-star until the edges are stars. Hot nodes: minima are partial aggregates, and
+    the joins back have an exchange on both sides, so AQE splits them."""
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
-    seen = mark(now)
-    while seen[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-large")
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        before, seen = seen, mark(now)
-        if before == seen:
-            break
     return now.select("u", F.col("v").alias("root"))
 
 
@@ -214,7 +215,7 @@ def _families(mixed: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
 
 
 def _links(families: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """(u, v): within families(family, node, root), links between different components, a spanning forest of each block."""
+    """(u, v): components (their roots) that links within families(family, node, root) join, a spanning forest of each block."""
     limit = similarity / 100 - SLACK
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +237,7 @@ def _links(families: DataFrame, texts: DataFrame, width: int, similarity: int) -
                     same = len(s & t)
                     if 100 * same >= similarity * (len(s) + len(t) - same):
                         groups.join(lr[k], rr[q])
-                        out.append((ln[k], rn[q]))
+                        out.append((lr[k], rr[q]))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     rows = stored(_block_pairs(families, "family", FAMILY), "blocks").join(texts, "node")
@@ -261,8 +262,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
         family = components(loose).select(F.col("u").alias("node"), F.col("root").alias("family"))
         family = stored(family.unionByName(family.select(F.col("family").alias("node"), "family")).distinct(), "family")
         family = stored(family.join(named.select("node", "root").distinct(), "node"), "family")
-        edges = edges.unionByName(stored(_links(family, texts, width, similarity), "links"))
-        roots = components(edges)
+        joined = components(_links(family, texts, width, similarity))
+        further = joined.select(F.col("u").alias("root"), F.col("root").alias("top"))
+        roots = stored(roots.join(further, "root", "left").select("u", F.coalesce("top", "root").alias("root")).unionByName(joined), "roots")
 
     # back to documents: the smallest doc_id of each component
     rooted = stored(sketched.where("node is not null").select("doc_id", "n_shingles", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
