@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WordHashes, stored, table, windows
 
-BANDS, ROWS, CHUNK = 56, 6, 256
+BANDS, ROWS, CHUNK = 56, 6, 128
 #: Nodes in a block when signatures, and when full sets are compared.
 BLOCK, FAMILY = 1024, 256
 #: An estimate from 336 minima has a standard deviation of about 0.022 at 0.8; pairs more than five of them below go.
@@ -43,11 +43,11 @@ SLACK = 0.11
 
 
 @lru_cache(1)
-def _family() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Multiply-add-shift hashes (strongly universal on 32-bit keys) and multipliers that fold a band into a key."""
+def _family() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Universal multiply-add hashes of 32-bit keys, modulo 2**32, and addends and multipliers that fold a band into a key."""
     rng = np.random.default_rng(20240229)
-    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
-    return draw(BANDS * ROWS) | np.uint64(1), draw(BANDS * ROWS), draw(BANDS * ROWS) | np.uint64(1)
+    draw = lambda kind: rng.integers(0, np.iinfo(kind).max, BANDS * ROWS, dtype=kind, endpoint=True)
+    return draw(np.uint32) | np.uint32(1), draw(np.uint32), draw(np.uint64), draw(np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, width: int, memo: WordHashes) -> np.ndarray:
@@ -60,22 +60,22 @@ def shingles(text: str | None, width: int, memo: WordHashes) -> np.ndarray:
 
 def minima(found: np.ndarray) -> np.ndarray:
     """The signature: for each hash of the family, the smallest value over the set, as 32 bits."""
-    a, b, _ = _family()
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    keys = (found >> np.uint64(32))[:, None]
-    room = np.empty((CHUNK, len(a)), np.uint64)
+    a, b, _, _ = _family()
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    keys = (found >> np.uint64(32)).astype(np.uint32)[:, None]
+    room = np.empty((min(len(keys), CHUNK), len(a)), np.uint32)
     for i in range(0, len(keys), CHUNK):
         part = keys[i : i + CHUNK]
         out = room[: len(part)]
         np.multiply(part, a, out=out)
         out += b
         np.minimum(low, out.min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return low
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key a band, different between bands."""
-    _, b, c = _family()
+    _, _, b, c = _family()
     rows = (signature.astype(np.uint64) + b) * c
     rows ^= rows >> np.uint64(31)
     key = rows.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
