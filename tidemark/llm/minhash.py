@@ -102,26 +102,34 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with groups, an aggregate by the long `key`. Joining on the complement of the key keeps Spark from
+    reusing the aggregate's partitioning: both sides have an exchange of their own, whose hot partitions AQE splits."""
+    other = groups.withColumn("_key", F.bitwise_not(key)).drop(key)
+    return rows.withColumn("_key", F.bitwise_not(key)).join(other, "_key").drop("_key")
+
+
 def _stars(edges: DataFrame) -> bool:
-    """Whether the distinct edges (u, v), u > v, are stars: each u has one edge and is the v of none."""
-    ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
-    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").count() == 0
+    """Whether the edges (u, v), u > v, are stars: each u has one v and is the v of none."""
+    ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+    found = ends.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.max(F.col("v").isNull()).alias("below"))
+    return found.where("a < b or a is not null and below").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, root) for each node with an edge, root being the smallest node reachable; (u, v) long in, u != v.
+    """(u, root) for each node with an edge, root being the smallest node reachable; a table of (u, v) long in, u != v.
 
     Alternates large-star and small-star until the edges are stars. Hot nodes: minima are partial aggregates, and
     the joins back have an exchange on both sides, so AQE splits them."""
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-large")
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = stored(_with_groups(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _with_groups(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
-    return now.select("u", F.col("v").alias("root"))
+    return now.select("u", F.col("v").alias("root")).distinct()
 
 
 def _texts(docs: DataFrame, sketched: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -184,8 +192,8 @@ class Joined(dict):
 def _block_pairs(rows: DataFrame, key: str, size: int) -> DataFrame:
     """rows(key, node, ...) with x, y, i: each group is cut into blocks of about `size` rows, and (key, x, y) is a pair
     of its blocks, i the row's own one of the two."""
-    count = stored(rows.groupBy(key).agg(F.count("*").alias("n")), "sizes")
-    out = rows.join(count, key).withColumn("n", F.ceil(F.col("n") / size)).withColumn("i", F.pmod(F.xxhash64("node"), "n"))
+    count = rows.groupBy(key).agg(F.count("*").alias("n"))
+    out = _with_groups(rows, count, key).withColumn("n", F.ceil(F.col("n") / size)).withColumn("i", F.pmod(F.xxhash64("node"), "n"))
     out = out.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     return out.withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j")).drop("n", "j")
 
@@ -260,16 +268,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     if not mixed.isEmpty():
         loose = stored(_families(named.join(mixed, "key"), texts, similarity), "loose")
         family = components(loose).select(F.col("u").alias("node"), F.col("root").alias("family"))
-        family = stored(family.unionByName(family.select(F.col("family").alias("node"), "family")).distinct(), "family")
+        family = family.unionByName(family.select(F.col("family").alias("node"), "family")).distinct()
         family = stored(family.join(named.select("node", "root").distinct(), "node"), "family")
-        joined = components(_links(family, texts, width, similarity))
+        joined = components(stored(_links(family, texts, width, similarity), "links"))
         further = joined.select(F.col("u").alias("root"), F.col("root").alias("top"))
         roots = stored(roots.join(further, "root", "left").select("u", F.coalesce("top", "root").alias("root")).unionByName(joined), "roots")
 
     # back to documents: the smallest doc_id of each component
     rooted = stored(sketched.where("node is not null").select("doc_id", "n_shingles", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
-    first = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
-    linked = rooted.join(first, "root").select("doc_id", "n_shingles", "component_id")
+    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = _with_groups(rooted, first, "root").select("doc_id", "n_shingles", "component_id")
     alone = sketched.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
 
