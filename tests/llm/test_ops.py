@@ -93,6 +93,29 @@ def test_nearest_neighbours(spark):
     assert {r["query_id"] for r in got} == set(range(0, 400, 50))
 
 
+@pytest.mark.parametrize("size", [10, 500, 4000])
+def test_nearest_neighbours_among_near_copies(spark, size):
+    rng = np.random.default_rng(size)
+    m = rng.normal(size=(6000, 16))
+    m /= np.sqrt((m**2).sum(1))[:, None]
+    group = np.sort(rng.choice(6000, size, replace=False))
+    m[group] = m[group[0]] + 1e-6 * rng.normal(size=(size, 16))  # near-equal: their codes tie
+    queries = np.concatenate([group[:: max(1, size // 20)], np.setdiff1d(np.arange(6000), group)[::100]])
+    ids = np.arange(6000) * 2 + 1
+    ids[queries] -= 1  # only even ids are queries
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m)], "vec_id long, embedding array<double>"), 2).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = {}
+    for q in queries:
+        d = np.sqrt(((m - m[q]) ** 2).sum(1))
+        d[q] = np.inf
+        recall[q] = len(got[ids[q]] & set(ids[np.lexsort((ids, d))[:10]].tolist())) / 10
+    inside = [recall[q] for q in queries if q in set(group.tolist())]
+    assert len(got) == len(queries) and np.mean(list(recall.values())) > 0.9
+    assert np.mean(inside) > 0.999 if size > 10 else np.mean(inside) > 0.9
+
+
 def test_quality(spark, docs):
     got = {r["doc_id"]: r for r in quality.quality_rules(docs, spark.createDataFrame([(1,), (9,)], "doc_id long")).collect()}
     assert got[10]["n_repeat_words"] == 20 and got[10]["base_failed"] and not got[10]["kept"]

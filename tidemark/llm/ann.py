@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 The index is fitted on at most SAMPLE vectors (those with the smallest hashes of their ids) and holds every vector: its
-list (nearest coarse centroid) and the codes of its residual. A query probes its nearest lists; distances to codes come
-from per-query tables (asymmetric); the best SHORT of all lists are ranked again by exact distances on the original
-vectors, in double precision.
+list (nearest coarse centroid), the codes of its residual and the length of the error that the codes leave. A query
+probes its nearest lists; distances to codes come from per-query tables (asymmetric). A true distance differs from that to
+the code by the code's error at most, so within a block every vector whose distance to the code less its error doesn't
+exceed the (K + 1)-th exact distance so far is ranked again by its exact distance, in double precision, and the K + 1
+nearest are sent on. In the lists that a query probes no neighbour is lost, however many vectors share their codes.
 
 Skew: equal vectors form one class, searched once, with its K + 1 smallest ids (more can't be among K nearest), so a
 vector that a third of the rows share costs no more than another; equal queries are searched once. Lists are searched in
@@ -26,12 +28,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored, table
 
 K, SAMPLE, SALTS = 10, 20_000, 64
-#: A query's best by codes: of each group of lists, and of all.
-NEAR, SHORT = 64, 256
 #: Share of the lists that a query probes. Vectors without cluster structure need most of them: on unit vectors of 64
 #: dimensions 0.25 finds 0.80 of the true neighbours, 0.4 finds 0.91 and 0.6 finds 0.97.
 PROBED = 0.6
 CODES, QUERIES = 16_384, 512
+#: Bounds are widened by this share of the vectors' lengths, far more than doubles are rounded by.
+ROUNDING = 1e-12
 #: Tables of at most so many vectors get one list.
 FLAT = 2_048
 
@@ -54,6 +56,12 @@ class Index:
             out[:, j] = ((self.books[j] ** 2).sum(1)[None] - 2 * own @ self.books[j].T).argmin(1)
         return out
 
+    def errors(self, residuals: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes leave of the residuals."""
+        parts, _, width = self.books.shape
+        told = self.books[np.arange(parts)[None], codes].reshape(len(codes), parts * width)
+        return np.sqrt(((residuals - told) ** 2).sum(1))
+
     def tables(self, residual: np.ndarray) -> np.ndarray:
         """parts x 256: squared distance of the residual's parts to the codebooks."""
         parts, _, width = self.books.shape
@@ -97,7 +105,7 @@ def vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(whole & F.exists("v", lambda x: x != 0))
 
 
-def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", short: int = SHORT) -> DataFrame:
+def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`, among all other rows."""
     spark = df.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -133,7 +141,9 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
             if len(pdf):
                 v, x = _matrix(pdf["v"]), model.value
                 at = x.nearest(v, 1)[:, 0]
-                yield pd.DataFrame({"list": at, "key": pdf["key"], "code": [c.tobytes() for c in x.encoded(v - x.coarse[at])]})
+                rest = v - x.coarse[at]
+                code = x.encoded(rest)
+                yield pd.DataFrame({"list": at, "key": pdf["key"], "code": [c.tobytes() for c in code], "error": x.errors(rest, code), "whole": [w.tobytes() for w in v]})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -144,7 +154,7 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
     asked = rows.where(F.col("id") % every == 0).select("id", F.xxhash64("v").alias("same")).distinct()
     asked = stored(asked.join(classes.select("same", "key"), "same").select(F.col("id").alias("query_id"), F.col("key").alias("query")), "queries")
     queries = classes.select("key", "v").join(asked.select(F.col("query").alias("key")).distinct(), "key").select("key", "v")
-    codes = stored(classes.select("key", "v").mapInPandas(encode, "list int, key long, code binary"), "codes")
+    codes = stored(classes.select("key", "v").mapInPandas(encode, "list int, key long, code binary, error double, whole binary"), "codes")
     probed = stored(queries.mapInPandas(probe, "list int, query long, v array<double>"), "probes")
 
     # groups of lists, cut into blocks by their counts: one row a group is gathered, at most 4096
@@ -159,37 +169,34 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
     right = probed.withColumn("q", F.pmod(F.xxhash64("query"), of(qb)).cast("int")).withColumn("c", spread(cb))
 
     def search(code: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query": [], "key": [], "far": []}).astype({"query": "int64", "key": "int64"})]
+        out = [pd.DataFrame({"query": [], "key": [], "score": []}).astype({"query": "int64", "key": "int64"})]
         if len(code) and len(query):
             x = model.value
             code = code.sort_values(["list", "key"])
             c = np.frombuffer(b"".join(code["code"]), np.uint8).reshape(len(code), -1).astype(np.intp)
             c += np.arange(c.shape[1]) * 256
+            whole = np.frombuffer(b"".join(code["whole"])).reshape(len(code), -1)
             keys, lists = code["key"].to_numpy(), code["list"].to_numpy()
+            error = code["error"].to_numpy() + ROUNDING * np.sqrt((whole**2).sum(1))
             for q, own in query.groupby("query"):
                 v, probes = np.asarray(own["v"].iloc[0], float), own["list"].to_numpy()
                 spans = list(zip(np.searchsorted(lists, probes), np.searchsorted(lists, probes, "right"), probes, strict=True))
-                far = [x.tables(v - x.coarse[p]).ravel()[c[a:b]].sum(1) for a, b, p in spans]
-                key = np.concatenate([keys[a:b] for a, b, _ in spans])
-                d = np.concatenate(far)
-                by_key = np.argsort(key, kind="stable")  # ties go to the smaller id
-                best = by_key[_smallest(d[by_key], max(NEAR, k))]
-                out.append(pd.DataFrame({"query": q, "key": key[best], "far": d[best]}))
+                at = np.concatenate([np.arange(a, b) for a, b, _ in spans])
+                if not len(at):
+                    continue
+                d = np.sqrt(np.concatenate([x.tables(v - x.coarse[p]).ravel()[c[a:b]].sum(1) for a, b, p in spans]))
+                limit = _distances(whole[at[_smallest(d, k + 1)]], v).max() if len(at) > k + 1 else np.inf
+                least = d - error[at] - ROUNDING * np.sqrt((v**2).sum())
+                at = at[~(least > limit)]
+                score, key = _distances(whole[at], v), keys[at]
+                best = np.lexsort((key, score))[: k + 1]
+                out.append(pd.DataFrame({"query": q, "key": key[best], "score": score[best]}))
         return pd.concat(out)
 
-    found = left.groupBy("g", "c", "q").cogroup(right.groupBy("g", "c", "q")).applyInPandas(search, "query long, key long, far double")
-    order = Window.partitionBy("query").orderBy("far", "key")
-    found = stored(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= short).select("query", "key"), "found")
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = _matrix(pdf["v"]) - _matrix(pdf["w"])
-                yield pd.DataFrame({"query": pdf["query"], "key": pdf["key"], "score": np.sqrt((d * d).sum(1)), "ids": pdf["ids"]})
-
-    pairs = found.join(classes.select("key", "v", "ids"), "key").join(queries.select(F.col("key").alias("query"), F.col("v").alias("w")), "query")
-    near = pairs.mapInPandas(exact, "query long, key long, score double, ids array<long>")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "key"))).where(F.col("n") <= k + 1).drop("n", "key")
+    found = left.groupBy("g", "c", "q").cogroup(right.groupBy("g", "c", "q")).applyInPandas(search, "query long, key long, score double")
+    order = Window.partitionBy("query").orderBy("score", "key")
+    found = stored(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("query", "key", "score"), "found")
+    near = found.join(classes.select("key", "ids"), "key")
     near = stored(near.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near")), "near")
     # every query row of a class takes the class's list, without itself
     flat = asked.join(near, "query").select("query_id", F.explode("near").alias("x")).select("query_id", "x.score", F.explode("x.ids").alias("vec_id")).where("vec_id <> query_id")
@@ -197,6 +204,11 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
     return flat.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _distances(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    d = rows - v
+    return np.sqrt((d * d).sum(1))
+
+
 def _smallest(d: np.ndarray, n: int) -> np.ndarray:
     """Places of the n smallest, ties to the front ones."""
     limit = np.partition(d, n - 1)[n - 1] if n < len(d) else np.inf
