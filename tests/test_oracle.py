@@ -40,6 +40,19 @@ def test_stream(spark):
     assert registry.queries()["stream_news_window"](spark, DIR).count() > 0
 
 
+@pytest.mark.parametrize("form", ["file", "folder", "partitions"])
+def test_stream_counts_every_window(spark, tmp_path, form):
+    events = spark.read.parquet(f"{DIR}/events.parquet")
+    where = DIR if form == "file" else str(tmp_path)
+    if form != "file":
+        writer = events.repartition(3).write
+        (writer.partitionBy("event_type") if form == "partitions" else writer).parquet(f"{where}/events.parquet")
+    got = registry.queries()["stream_news_window"](spark, where).collect()
+    want = events.selectExpr("event_type", "explode(array(0, 1)) as back", "cast(ts as timestamp) as ts")
+    want = want.selectExpr("event_type", "cast(date_sub(to_date(ts), back) as timestamp) as start").groupBy("event_type", "start").count()
+    assert sorted((r["event_type"], r["start"], r["end"] - r["start"], r["n"]) for r in got) == sorted((r[0], r[1], datetime.timedelta(days=2), r[2]) for r in want.collect())
+
+
 def test_suggestion_of_a_better_threshold(spark):
     from tidemark.operators.ledger import threshold_suggest
 
