@@ -53,6 +53,23 @@ def test_stream_counts_every_window(spark, tmp_path, form):
     assert sorted((r["event_type"], r["start"], r["end"] - r["start"], r["n"]) for r in got) == sorted((r[0], r[1], datetime.timedelta(days=2), r[2]) for r in want.collect())
 
 
+def test_cooldown_holds_only_entered_trades_against_a_ticker(spark):
+    from tidemark.operators.ledger import cooldown_entered
+    from tidemark.sources import adapters
+
+    day = lambda n: datetime.date(2026, 1, 1) + datetime.timedelta(n)
+    rows = [(i, 1, day(20 * i)) for i in range(4)] + [(10 + i, 2, day(30 * i)) for i in range(5)] + [(20, 3, day(0)), (21, 3, day(0)), (22, 3, day(31)), (30, 4, None), (31, 4, day(5)), (32, 4, None)]
+    small = spark.createDataFrame(rows, "trade_id long, ticker long, entry_date date")
+    assert {r["trade_id"] for r in cooldown_entered(small).collect()} == {0, 2, 10, 12, 14, 20, 22, 30, 31, 32}
+    want, last = set(), {}
+    for r in sorted(adapters.trades(spark, DIR).collect(), key=lambda r: (r["entry_date"], r["trade_id"])):
+        if r["ticker"] not in last or (r["entry_date"] - last[r["ticker"]]).days > 30:
+            last[r["ticker"]] = r["entry_date"]
+            want.add((r["trade_id"], r["ticker"], r["entry_date"]))
+    got = registry.queries()["cooldown_entered"](spark, DIR).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_suggestion_of_a_better_threshold(spark):
     from tidemark.operators.ledger import threshold_suggest
 

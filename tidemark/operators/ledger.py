@@ -105,6 +105,22 @@ def cooldown(trades: DataFrame, days: int = 30) -> DataFrame:
     return trades.withColumn("gap", gap).where((F.col("gap") > days) | F.col("gap").isNull()).select("trade_id", "ticker", "entry_date")
 
 
+def cooldown_entered(trades: DataFrame, days: int = 30) -> DataFrame:
+    """As cooldown, but as the reference does it: a trade is held against the last one that was entered, not against
+    blocked ones. Of a day only the first trade can be entered, so a ticker is a fold over its days, however many rows
+    it has. Trades without a date neither block nor are blocked."""
+    dated = trades.where("entry_date is not null").groupBy("ticker", "entry_date").agg(F.min("trade_id").alias("trade_id"))
+    day = "array<struct<entry_date:date,trade_id:bigint>>"
+    start = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast(day).alias("entered"))
+    free = lambda acc, x: acc["last"].isNull() | (F.datediff(x["entry_date"], acc["last"]) > days)
+    enter = lambda acc, x: F.struct(x["entry_date"].alias("last"), F.concat(acc["entered"], F.array(x)).alias("entered"))
+    in_order = F.sort_array(F.collect_list(F.struct("entry_date", F.col("trade_id").cast("long").alias("trade_id")))).cast(day)
+    by_ticker = dated.groupBy("ticker").agg(in_order.alias("days"))
+    entered = by_ticker.select("ticker", F.explode(F.aggregate("days", start, lambda acc, x: F.when(free(acc, x), enter(acc, x)).otherwise(acc), lambda acc: acc["entered"])).alias("x"))
+    undated = trades.where("entry_date is null").select("trade_id", "ticker", "entry_date")
+    return entered.select("x.trade_id", "ticker", "x.entry_date").unionByName(undated)
+
+
 def shadow_maturity(trades: DataFrame, hold: int = 45, soon: int = 14) -> DataFrame:
     """By catalyst: shadows, those evaluated, those ready within `soon` days of the last entry, and the next date."""
     shadows = trades.where("source <> 'closed'")

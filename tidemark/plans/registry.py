@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
             "pearson_weights": ledger.pearson_weights,
             "kelly_size": ledger.kelly,
             "cooldown_antijoin": ledger.cooldown,
+            "cooldown_entered": ledger.cooldown_entered,
             "shadow_maturity": ledger.shadow_maturity,
             "trade_score_rank": ledger.rank_trades,
             "reject_counts": ledger.gate_reasons,
