@@ -80,6 +80,15 @@ def test_token_counts_and_cache(spark, docs, tmp_path):
     assert spark.read.parquet(cache).count() == len({t or "" for _, t in ROWS})  # the second run encoded nothing
 
 
+def test_token_counts_of_the_query_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_count, "shared_dir", lambda _: f"file://{tmp_path}", raising=False)
+    runs = [sorted(map(tuple, token_count.op3_token_counts(spark, "/root/testdata/sf0.001").collect())) for _ in range(2)]
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("coalesce(text, '')").distinct().count()
+    assert (tmp_path / "token-cache").exists()
+    kept = spark.read.parquet(f"file://{tmp_path}/token-cache")
+    assert runs[0] == runs[1] and kept.count() == texts  # the second run encoded nothing
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(400, 8))

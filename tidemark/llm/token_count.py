@@ -4,10 +4,11 @@ The cache is a Parquet table (tokenizer, digest, n_tokens): the digest of the to
 of the normalised content (null becomes the empty text; nothing else is changed, so that equal digests mean equal
 counts). A run joins the distinct digests of its texts to the cache, encodes one text of each missing digest, appends
 the new counts to the cache and joins all counts back to the rows. A second run over the same texts encodes nothing.
+The registered query keeps its cache at one place in the shared folder, for all runs and tables.
 
 Skew: texts of a hot digest meet as partial aggregates; the join back has an exchange on both sides, so AQE splits a
-hot digest. Appending is Spark's own commit; a run that dies leaves no half-written counts. Two runs at once can both
-append one digest; reads take the distinct rows.
+hot digest. Each run appends a folder of its own, by Spark's commit; a run that dies leaves no half-written counts. Two runs
+at once can both append one digest; reads take the distinct rows.
 
 Edge cases: null and empty texts count 0 tokens and 0 bytes; repeated rows are counted each; a null doc_id stays null;
 an empty table gives an empty result; an unpaired surrogate can't occur in a Spark string."""
@@ -15,13 +16,14 @@ an empty table gives an empty result; an unpaired surrogate can't occur in a Spa
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, stored, table
+from tidemark.llm.common import scratch, shared_dir, stored, table  # noqa: F401
 from tidemark.llm.tokens import json_tokenizer, public_path, sentencepiece_model
 
 LIMIT = 4096
@@ -62,7 +64,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     spark, version = docs.sparkSession, file_digest(tokenizer)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
+    own = f"{cache}/run=r{uuid.uuid4().hex}"
+    spark.createDataFrame([], CACHE_SCHEMA).write.parquet(own)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,11 +73,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
         for pdf in batches:
             yield pd.DataFrame({"tokenizer": version, "digest": pdf["digest"], "n_tokens": count(pdf["text"].tolist())})
 
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    if not known.isEmpty():
-        # the known digests are read apart from the table that is appended to
-        misses = misses.join(stored(known.select("digest").distinct(), "known"), "digest", "left_anti")
-    misses.select("digest", "text").mapInPandas(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    # the known digests are read apart from the table that is appended to
+    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(stored(known.select("digest").distinct(), "known"), "digest", "left_anti")
+    misses.select("digest", "text").mapInPandas(run, CACHE_SCHEMA).write.mode("append").parquet(own)
 
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     counts = stored(counts.distinct(), "counts")
@@ -83,4 +84,4 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"), scratch(spark, "token-cache"))
+    return token_counts(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"), f"{shared_dir(spark)}/token-cache")
