@@ -70,6 +70,19 @@ def test_license_templates(docs):
     assert ends == [2, 3, 4, -1, 4]
 
 
+def test_license_texts(spark):
+    notice = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+    in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+    persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+    portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+    PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+    OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    texts = [notice.format("", 2), notice.format("", 3), notice.format("Lesser ", "2.1"), notice.format("Library ", 2), mit, mit.replace("EXPRESS OR IMPLIED", "EXPRESS"), "Licensed under the GNU General Public License version 2"]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["gpl,gpl-2.0", "gpl,gpl-3.0", "gpl,lgpl", "gpl,lgpl", "mit-permission", "", "gpl,gpl-2.0"]
+
+
 def test_token_counts_and_cache(spark, docs, tmp_path):
     path, cache = tokens.public_path("piece_bpe_32k.model"), str(tmp_path / "cache")
     sp = tokens.sentencepiece_model(path)

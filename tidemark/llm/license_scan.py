@@ -28,24 +28,25 @@ from tidemark.llm.common import table
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Templates of license notices and their labels.
-TEMPLATES = {
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<any:12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+# Templates of license notices and texts, and their labels; of several templates one has to match.
+TEMPLATES: dict[str, str | tuple[str, ...]] = {
     "apache-2.0": "licensed under <<optional>> the <<end>> apache license <<optional>> version <<end>> 2.0",
     "apache-2.0-notice": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>> <<optional>> 3 <<end>> neither the name of <<any:12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission <<end>> this software is provided by <<any:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "cc-by-4.0": "licensed under <<optional>> a <<optional>> creative commons <<end>> <<end>> cc by 4.0",
     "cc-by-nc-4.0": "licensed under <<optional>> a <<end>> cc by nc <<optional>> 4.0 <<end>>",
     "cc-by-nc-sa": "licensed under <<optional>> a <<end>> cc by nc sa <<optional>> <<any:2>> <<end>>",
     "cc-by-sa": "licensed under <<optional>> a <<end>> cc by sa <<optional>> <<any:2>> <<end>>",
     "copyright-notice": "copyright <<optional>> c <<end>> <<any:12>> all rights reserved",
-    "gpl-2.0": "licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 2 <<optional>> of the license <<end>>",
-    "gpl-3.0": "licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 3 <<optional>> of the license <<end>>",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "lgpl": "gnu <<optional>> lesser <<end>> <<optional>> library <<end>> general public license <<any:6>> lgpl",
+    "gpl-2.0": "<<optional>> licensed <<end>> under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 2 <<optional>> of the license <<end>>",
+    "gpl-3.0": "<<optional>> licensed <<end>> under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 3 <<optional>> of the license <<end>>",
+    "isc": "permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any:12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any:12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "lgpl": ("gnu lesser general public license", "gnu library general public license", "gnu <<optional>> lesser <<end>> <<optional>> library <<end>> general public license <<any:6>> lgpl"),
     "mit": "<<optional>> released <<end>> <<optional>> licensed <<end>> under the mit license",
-    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software " + _AS_IS,
     "mpl-2.0": "subject to the terms of the mozilla public license v 2.0",
-    "public-domain": "this is free and unencumbered software released into the public domain",
+    "public-domain": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law " + _AS_IS,
 }
 
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -121,7 +122,7 @@ def compiled(template: str) -> Automaton:
     return Automaton(out.parts, out.skips, tuple(sorted(starts)))
 
 
-def scan(text: str | None, phrases: dict[bytes, str], automata: dict[str, Automaton], seeds: dict[str, tuple[bytes, ...]]) -> tuple:
+def scan(text: str | None, phrases: dict[bytes, str], automata: dict[tuple[str, int], Automaton], seeds: dict[tuple[str, int], tuple[bytes, ...]]) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score."""
     words = words_of(text)
     flat = b" " + b" ".join(words) + b" "
@@ -134,8 +135,8 @@ def scan(text: str | None, phrases: dict[bytes, str], automata: dict[str, Automa
             covered.update(range(start, start + phrase.count(b" ") - 1))
             base.add(label)
             at = flat.find(phrase, at + 1)
-    for label, automaton in automata.items():
-        if all(x in flat for x in seeds[label]):
+    for (label, n), automaton in automata.items():
+        if all(x in flat for x in seeds[label, n]):
             for word in automaton.anchors:
                 at = flat.find(b" " + word + b" ")
                 while at >= 0:
@@ -147,10 +148,10 @@ def scan(text: str | None, phrases: dict[bytes, str], automata: dict[str, Automa
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), round(len(covered) / len(words), 6) if words else 0.0)
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs(doc_id, text)."""
     known = {b" " + b" ".join(words_of(p)) + b" ": label for p, label in (phrases or PHRASES).items()}
-    automata = {label: compiled(t) for label, t in (templates or TEMPLATES).items()}
+    automata = {(label, n): compiled(t) for label, own in (templates or TEMPLATES).items() for n, t in enumerate([own] if isinstance(own, str) else own)}
     # a text without the longest mandatory word that no skip can pass over can't match
     seeds = {}
     for label, a in automata.items():
