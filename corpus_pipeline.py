@@ -37,8 +37,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", non_toxic), ("near_dedup", near_dedup), ("packing", packing)]
 
-#: SQL can express neither the hashed n-gram model nor the classifier, MinHash and packing: tests hold the stages
-#: against brute force.
+#: SQL can express neither the hashed n-gram model nor the classifier, MinHash and packing. Tests check the operators;
+#: of the stages here only the columns and that rows are left out.
 ORACLE_SQL = None
 
 
