@@ -55,6 +55,12 @@ def test_minhash_links_what_brute_force_links(spark, docs, k):
     assert minhash.near_duplicates(docs, k).count() == len(ROWS)
 
 
+def test_sketches_keep_whole_digests_beside_empty_texts(spark):
+    texts = ["", *(f"some text number {i}" for i in range(8))]
+    got = {r["doc_id"]: r["node"] for r in minhash.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), 2).collect()}
+    assert got == {i: minhash._digest(minhash.shingles(t, 2, minhash.WordHashes())) if t else None for i, t in enumerate(texts)}
+
+
 def test_components_of_a_path(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101)]
     got = dict(minhash.components(spark.createDataFrame(rows, "u long, v long")).collect())

@@ -97,7 +97,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 found = shingles(text, width, memo)
                 rows.append((len(found), _digest(found), bands(minima(found))) if len(found) else (0, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "node", "keys"])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].values, "n_shingles": out["n_shingles"], "node": out["node"].astype("Int64"), "keys": out["keys"]})
+            node = pd.array([r[1] for r in rows], dtype="Int64")  # a column of ints and None would be rounded to doubles
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].values, "n_shingles": out["n_shingles"], "node": node, "keys": out["keys"]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node long, keys array<long>")
 
