@@ -7,8 +7,8 @@ added so that very short texts don't hang on a word or two. Every document is ke
 
 Rules that need no model come first: too few words, or too large a share of words in repeated 5-word windows.
 
-Counts cover all rows; what is gathered is one row for each bucket, whatever the input's size. The label join shuffles
-texts on doc_id, a key; counts meet as sums of each task's buckets.
+Counts cover all rows; what is gathered is one row for each bucket, whatever the input's size. Counts meet as sums of each
+task's buckets; only labelled documents are joined.
 
 Edge cases: null and empty texts have no words and fail the base rules, score 0; with no trusted documents all ratios
 are 0 and only the base rules reject; repeated rows count each time in the raw corpus, and in the target if their doc_id is
@@ -16,20 +16,22 @@ trusted; a null doc_id is never trusted; an empty table gives an empty result; o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, table, windows
+from tidemark.llm.common import WordHashes, per_text, table, windows
 
 BITS = 16
 BUCKETS = 1 << BITS
 PRIOR = 16
 THRESHOLD = -0.15
 WINDOW = 5
+#: Most trusted ids that are broadcast (8 MB).
+SMALL = 1_000_000
 # The characters that count as symbols, and as white space.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -73,54 +75,59 @@ def base_counts(text: str | None, hashes: np.ndarray) -> tuple[int, int, int, in
     return (len(hashes), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), dup, repeat_words(hashes))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of each bucket. trusted(doc_id): documents of the target."""
+def _counts(texts: DataFrame, name: str) -> DataFrame:
+    """bucket and, as `name`, the n-grams of texts(text) in it: sums of each task's buckets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, raw, target = WordHashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for pdf in batches:
-            for text, good in zip(pdf["text"], pdf["good"], strict=True):
-                count = np.bincount(_buckets(_hashes(text, memo)), minlength=BUCKETS)
-                raw += count
-                if good:
-                    target += count
-        at = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": at, "raw": raw[at], "target": target[at]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                total += np.bincount(_buckets(_hashes(text, memo)), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", name])
 
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
-    sums = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInPandas(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    return texts.select("text").mapInArrow(run, f"bucket long, {name} long").groupBy("bucket").agg(F.sum(name).alias(name))
+
+
+def ratios(docs: DataFrame, trusted: DataFrame, small: int = SMALL) -> np.ndarray:
+    """log p_target - log p_raw of each bucket. trusted(doc_id): documents of the target.
+
+    The raw counts need no join. For the target's, at most `small` ids are broadcast; more of them meet the texts by a merge join."""
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
+    few = ids.limit(small + 1).count() <= small
+    target_ = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id")
     raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
-    at = sums["bucket"].to_numpy(np.int64)
-    raw[at] += sums["raw"]
-    target[at] += sums["target"]
+    # one row a bucket, whatever the input's size
+    for counts, into in ((_counts(docs, "n"), raw), (_counts(target_, "n"), target)):
+        got = counts.toPandas()
+        into[got["bucket"].to_numpy(np.int64)] += got["n"].to_numpy(float)
     raw /= raw.sum()
     return np.log((target + BUCKETS * raw) / (target.sum() + BUCKETS)) - np.log(raw)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+NEW = f"{BASE}, llr double, base_failed boolean, kept boolean"
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, drop_text: bool = False) -> DataFrame:
     """The columns of docs(doc_id, text, ...), then BASE, llr, base_failed, kept. A column of docs that is named like one
-    of these is replaced."""
-    spark = docs.sparkSession
-    table_ = spark.sparkContext.broadcast(ratios(docs, trusted))
-    new = [f.split()[0] for f in BASE.split(", ")] + ["llr", "base_failed", "kept"]
-    left = docs.select([c for c in docs.columns if c not in new])
-    names = left.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    of these is replaced; drop_text leaves the texts where they are."""
+    table_ = docs.sparkSession.sparkContext.broadcast(ratios(docs, trusted))
+
+    def make() -> Callable[[list[str | None]], dict[str, object]]:
         memo, ratio = WordHashes(), table_.value
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                h = _hashes(text, memo)
-                at = _buckets(h)
-                n, chars, symbols, dup, again = base_counts(text, h)
-                llr = float(ratio[at].sum() / (len(at) + PRIOR))
-                failed = n < 10 or 100 * again > 20 * n
-                rows.append((n, chars, symbols, dup, again, round(llr, 9), failed, not failed and llr >= threshold))
-            yield pd.concat([pdf[names], pd.DataFrame(rows, columns=new, index=pdf.index)], axis=1)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema)
-    return left.mapInPandas(run, f"{kinds}, {BASE}, llr double, base_failed boolean, kept boolean")
+        def one(text: str | None) -> tuple:
+            h = _hashes(text, memo)
+            at = _buckets(h)
+            n, chars, symbols, dup, again = base_counts(text, h)
+            llr = float(ratio[at].sum() / (len(at) + PRIOR))
+            failed = n < 10 or 100 * again > 20 * n
+            return n, chars, symbols, dup, again, round(llr, 9), failed, not failed and llr >= threshold
+
+        names = [f.split()[0] for f in NEW.split(", ")]
+        return lambda texts: dict(zip(names, zip(*map(one, texts), strict=True) if texts else [()] * len(names), strict=True))
+
+    return per_text(docs, make, NEW, drop_text=drop_text)
 
 
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,4 +136,4 @@ def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules(docs, trusted_documents(spark, sf_dir)).drop("text")
+    return quality_rules(docs, trusted_documents(spark, sf_dir), drop_text=True)
