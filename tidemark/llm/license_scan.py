@@ -17,23 +17,25 @@ overlapping places all count; repeated rows are scanned alike; columns other tha
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table
+from tidemark.llm.common import per_text, table
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 _AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<any:12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+_BSD_AS_IS = "this software is provided by <<any:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 # Templates of license notices and texts, and their labels; of several templates one has to match.
 TEMPLATES: dict[str, str | tuple[str, ...]] = {
     "apache-2.0": "licensed under <<optional>> the <<end>> apache license <<optional>> version <<end>> 2.0",
     "apache-2.0-notice": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>> <<optional>> 3 <<end>> neither the name of <<any:12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission <<end>> this software is provided by <<any:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-2-clause": _BSD + _BSD_AS_IS,
+    "bsd-3-clause": _BSD + "<<optional>> 3 <<end>> neither the name of <<any:12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _BSD_AS_IS,
     "cc-by-4.0": "licensed under <<optional>> a <<optional>> creative commons <<end>> <<end>> cc by 4.0",
     "cc-by-nc-4.0": "licensed under <<optional>> a <<end>> cc by nc <<optional>> 4.0 <<end>>",
     "cc-by-nc-sa": "licensed under <<optional>> a <<end>> cc by nc sa <<optional>> <<any:2>> <<end>>",
@@ -122,50 +124,64 @@ def compiled(template: str) -> Automaton:
     return Automaton(out.parts, out.skips, tuple(sorted(starts)))
 
 
+def _places(flat: bytes, needle: bytes) -> Iterator[int]:
+    """The words at which needle (with a blank on either side) stands in flat, in one pass."""
+    at, last, word = flat.find(needle), 0, 0
+    while at >= 0:
+        word += flat.count(b" ", last, at)
+        yield word
+        last, at = at, flat.find(needle, at + 1)
+
+
+def _union(spans: list[tuple[int, int]]) -> int:
+    """Words in spans (start, end), each counted once."""
+    total, reach = 0, 0
+    for a, b in sorted(spans):
+        total += max(0, b - max(a, reach))
+        reach = max(reach, b)
+    return total
+
+
 def scan(text: str | None, phrases: dict[bytes, str], automata: dict[tuple[str, int], Automaton], seeds: dict[tuple[str, int], tuple[bytes, ...]]) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score."""
     words = words_of(text)
     flat = b" " + b" ".join(words) + b" "
-    base, labels, places, covered = set(), set(), [], set()
+    base, labels, spans, n, first, last = set(), set(), [], 0, None, None
+    add = lambda a, b: spans.__setitem__(-1, (spans[-1][0], b)) if spans and spans[-1][0] <= a <= spans[-1][1] <= b else spans.append((a, b))
     for phrase, label in phrases.items():
-        at = flat.find(phrase)
-        while at >= 0:
-            start = flat.count(b" ", 0, at)
-            places.append(start)
-            covered.update(range(start, start + phrase.count(b" ") - 1))
+        size = phrase.count(b" ") - 1
+        for start in _places(flat, phrase):
+            n += 1
+            first, last = start if first is None else min(first, start), start if last is None else max(last, start)
+            add(start, start + size)
             base.add(label)
-            at = flat.find(phrase, at + 1)
-    for (label, n), automaton in automata.items():
-        if all(x in flat for x in seeds[label, n]):
+    for (label, k), automaton in automata.items():
+        if all(x in flat for x in seeds[label, k]):
             for word in automaton.anchors:
-                at = flat.find(b" " + word + b" ")
-                while at >= 0:
-                    start = flat.count(b" ", 0, at)
+                for start in _places(flat, b" " + word + b" "):
                     if (end := automaton.end(words, start)) >= 0:
                         labels.add(label)
-                        covered.update(range(start, end))
-                    at = flat.find(b" " + word + b" ", at + 1)
-    return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), round(len(covered) / len(words), 6) if words else 0.0)
+                        add(start, end)
+    return (len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), round(_union(spans) / len(words), 6) if words else 0.0)
+
+
+NEW = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs(doc_id, text)."""
     known = {b" " + b" ".join(words_of(p)) + b" ": label for p, label in (phrases or PHRASES).items()}
     automata = {(label, n): compiled(t) for label, own in (templates or TEMPLATES).items() for n, t in enumerate([own] if isinstance(own, str) else own)}
-    # a text without the longest mandatory word that no skip can pass over can't match
+    # a text without the longest mandatory words that no skip can pass over can't match
     seeds = {}
     for label, a in automata.items():
         free = {k for s, ends in a.skips.items() for e in ends for k in range(s, e)}
         seeds[label] = tuple(sorted((b" " + p + b" " for k, p in enumerate(a.parts) if k not in free and not isinstance(p, int)), key=len)[-2:])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [scan(t, known, automata, seeds) for t in pdf["text"]]
-            out = pd.DataFrame(found, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"], index=pdf.index)
-            out.insert(0, "doc_id", pdf["doc_id"])
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+    def make() -> Callable[[list[str | None]], dict[str, object]]:
+        return lambda texts: dict(zip(NEW, zip(*[scan(t, known, automata, seeds) for t in texts], strict=True) if texts else [()] * len(NEW), strict=True))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return per_text(docs.select("doc_id", "text"), make, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double", drop_text=True)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
