@@ -1,6 +1,6 @@
 """Token counts with a digest cache.
 
-The cache is a Parquet table (tokenizer, digest, n_tokens): the digest of the tokenizer's file and the 256-bit digest
+The cache is a Parquet table (digest, n_tokens) with a folder for each digest of a tokenizer's file: the 256-bit digest
 of the normalised content (null becomes the empty text; nothing else is changed, so that equal digests mean equal
 counts). A run joins the distinct digests of its texts to the cache, encodes one text of each missing digest, appends
 the new counts to the cache and joins all counts back to the rows. A second run over the same texts encodes nothing.
@@ -19,15 +19,15 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, shared_dir, stored, table  # noqa: F401
+from tidemark.llm.common import shared_dir, stored, table
 from tidemark.llm.tokens import json_tokenizer, public_path, sentencepiece_model
 
 LIMIT = 4096
-CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long"
 
 
 class PieceCounter:
@@ -64,23 +64,24 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     spark, version = docs.sparkSession, file_digest(tokenizer)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    own = f"{cache}/run=r{uuid.uuid4().hex}"
+    # one folder a tokenizer, in it one a run; this run's own is empty when the known digests' files are listed
+    home = f"{cache}/tokenizer={version}"
+    own = f"{home}/run=r{uuid.uuid4().hex}"
     spark.createDataFrame([], CACHE_SCHEMA).write.parquet(own)
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
+    known = spark.read.schema(CACHE_SCHEMA).parquet(home)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
-        for pdf in batches:
-            yield pd.DataFrame({"tokenizer": version, "digest": pdf["digest"], "n_tokens": count(pdf["text"].tolist())})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(count(batch.column("text").to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
-    # the known digests are read apart from the table that is appended to
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(stored(known.select("digest").distinct(), "known"), "digest", "left_anti")
-    misses.select("digest", "text").mapInPandas(run, CACHE_SCHEMA).write.mode("append").parquet(own)
+    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known.select("digest").hint("merge"), "digest", "left_anti")
+    misses.select("digest", "text").mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(own)
 
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    counts = stored(counts.distinct(), "counts")
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(home).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # stored, so that the join has an exchange on both sides and AQE can split a hot digest
+    return rows.join(stored(counts, "counts").hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
