@@ -28,14 +28,17 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored, table
 
 K, SAMPLE, SALTS = 10, 20_000, 64
-#: Share of the lists that a query probes. Vectors without cluster structure need most of them: on unit vectors of 64
-#: dimensions 0.25 finds 0.80 of the true neighbours, 0.4 finds 0.91 and 0.6 finds 0.97.
-PROBED = 0.6
-CODES, QUERIES = 16_384, 512
+#: A query probes so many lists that they hold this share of the K nearest neighbours that TRIED vectors of the sample have in it.
+#: Vectors without cluster structure need most lists, clustered ones few. In the sample neighbours lie farther away than
+#: among all vectors, so the share errs on the safe side.
+RECALL, TRIED = 0.97, 256
+CODES, QUERIES = 16_384, 128
+#: Vectors whose distances to the centroids are taken at once.
+STEP = 1_024
 #: Bounds are widened by this share of the vectors' lengths, far more than doubles are rounded by.
 ROUNDING = 1e-12
-#: Tables of at most so many vectors get one list.
-FLAT = 2_048
+#: Most lists; the sample has some five vectors for each.
+LISTS = 4_096
 
 
 @dataclass(frozen=True)
@@ -44,9 +47,20 @@ class Index:
     books: np.ndarray  # parts x 256 x dim / parts
     probes: int
 
-    def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
-        far = (self.coarse**2).sum(1)[None] - 2 * vectors @ self.coarse.T
-        return np.argsort(far, axis=1, kind="stable")[:, :n]
+    def distances(self, vectors: np.ndarray) -> np.ndarray:
+        """Squared distances to the centroids, less what is the same for all of them."""
+        return (self.coarse**2).sum(1)[None] - 2 * vectors @ self.coarse.T
+
+    def list_of(self, vectors: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.distances(vectors[i : i + STEP]).argmin(1) for i in range(0, len(vectors), STEP)])
+
+    def probed(self, vectors: np.ndarray, sizes: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """For each vector its nearest lists: `probes` of them, and more until they hold `least` vectors."""
+        for i in range(0, len(vectors), STEP):
+            near = np.argsort(self.distances(vectors[i : i + STEP]), axis=1, kind="stable")
+            enough = (np.cumsum(sizes[near], axis=1) < least).sum(1) + 1
+            for row, n in zip(near, enough.tolist(), strict=True):
+                yield row[: max(self.probes, n)]
 
     def encoded(self, residuals: np.ndarray) -> np.ndarray:
         parts, _, width = self.books.shape
@@ -68,10 +82,29 @@ class Index:
         return ((self.books - residual.reshape(parts, 1, width)) ** 2).sum(2)
 
 
-def _means(rows: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) -> np.ndarray:
-    centers = rows[rng.choice(len(rows), k, replace=len(rows) < k)].copy()
+NONE = np.empty((1, 1, 1))
+
+
+def _spread(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """At most k rows, each drawn with odds of its squared distance to those drawn before: a group of near-equal rows is
+    drawn from once, so that it falls into one list."""
+    length = (rows**2).sum(1)
+    far, out = np.full(len(rows), np.inf), [int(rng.integers(len(rows)))]
+    while len(out) < k:
+        c = rows[out[-1]]
+        np.minimum(far, np.maximum(length - 2 * rows @ c + c @ c, 0), out=far)
+        far[far < ROUNDING * length] = 0
+        total = np.cumsum(far)
+        if total[-1] == 0:
+            break
+        out.append(int(np.searchsorted(total, rng.random() * total[-1], side="right")))
+    return rows[out].copy()
+
+
+def _means(rows: np.ndarray, centers: np.ndarray, steps: int) -> np.ndarray:
+    k = len(centers)
     for _ in range(steps):
-        at = ((centers**2).sum(1)[None] - 2 * rows @ centers.T).argmin(1)
+        at = Index(centers, NONE, 1).list_of(rows)
         count = np.bincount(at, minlength=k)
         sums = np.zeros_like(centers)
         np.add.at(sums, at, rows)
@@ -80,17 +113,29 @@ def _means(rows: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12)
     return centers
 
 
-def fitted(sample: np.ndarray, total: int) -> Index:
-    """An index for `total` vectors from a sample of them."""
+def fitted(sample: np.ndarray, total: int, recall: float = RECALL) -> Index:
+    """An index for `total` vectors from a sample of them. A recall of 1 probes all lists."""
     rng = np.random.default_rng(7)
-    lists = 1 if total <= FLAT else min(4096, 1 << round(np.log2(np.sqrt(total))), len(sample))
-    coarse = _means(sample, lists, rng)
-    base = Index(coarse, np.empty((1, 1, 1)), 1)
-    residuals = sample - coarse[base.nearest(sample, 1)[:, 0]]
+    lists = min(LISTS, 1 << round(np.log2(np.sqrt(total))), len(sample))
+    coarse = _means(sample, _spread(sample, lists, rng), 12)
+    lists = len(coarse)
+    at = Index(coarse, NONE, 1).list_of(sample)
+    residuals = sample - coarse[at]
     dim = sample.shape[1]
     parts = next(p for p in (32, 24, 16, 12, 8, 6, 4, 3, 2, 1) if dim % p == 0 and dim // p >= min(2, dim))
-    books = np.stack([_means(residuals[:, j * (dim // parts) : (j + 1) * (dim // parts)], 256, rng, 8) for j in range(parts)])
-    return Index(coarse, books, max(1, min(lists, round(PROBED * lists))))
+    drawn = lambda own: own[rng.choice(len(own), 256, replace=len(own) < 256)].copy()
+    books = np.stack([_means(own, drawn(own), 8) for own in np.split(residuals, parts, axis=1)])
+    return Index(coarse, books, _probes(sample, Index(coarse, NONE, 1), at, rng, recall) if recall < 1 else lists)
+
+
+def _probes(sample: np.ndarray, index: Index, at: np.ndarray, rng: np.random.Generator, recall: float) -> int:
+    """The number of lists that holds this share of the neighbours within the sample. at: each vector's list."""
+    tried = rng.choice(len(sample), min(TRIED, len(sample)), replace=False)
+    n = min(K + 1, len(sample))  # with the vector itself, which only errs by a list that's probed anyway
+    near = np.argpartition((sample**2).sum(1)[None] - 2 * sample[tried] @ sample.T, n - 1, axis=1)[:, :n]
+    place = np.argsort(np.argsort(index.distances(sample[tried]), axis=1), axis=1)
+    ranks = np.sort(np.take_along_axis(place, at[near], axis=1), axis=1)[:, 1:] if n > 1 else np.zeros((1, 1))
+    return int(np.quantile(ranks, recall, method="higher")) + 1
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -105,7 +150,7 @@ def vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(whole & F.exists("v", lambda x: x != 0))
 
 
-def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`, among all other rows."""
     spark = df.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -133,36 +178,43 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
         part = part.groupBy(*keys).agg(F.first("v").alias("v"), smallest)
     classes = stored(part.select(F.col("ids")[0].alias("key"), "same", "v", "ids"), "classes")
     index_size = classes.count()
-    index = fitted(_matrix(pd.Series([v for v in some if len(v) == dim])), index_size)
+    index = fitted(_matrix(pd.Series([v for v in some if len(v) == dim])), index_size, recall)
     model = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 v, x = _matrix(pdf["v"]), model.value
-                at = x.nearest(v, 1)[:, 0]
+                at = x.list_of(v)
                 rest = v - x.coarse[at]
                 code = x.encoded(rest)
                 yield pd.DataFrame({"list": at, "key": pdf["key"], "code": [c.tobytes() for c in code], "error": x.errors(rest, code), "whole": [w.tobytes() for w in v]})
 
+    # lists are searched in groups; a query goes to each group once, with its lists there
+    groups = max(1, min(len(index.coarse), index_size // CODES))
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                at = model.value.nearest(_matrix(pdf["v"]), model.value.probes)
-                yield pd.DataFrame({"list": at.ravel(), "query": np.repeat(pdf["key"].to_numpy(), at.shape[1]), "v": np.repeat(pdf["v"].to_numpy(), at.shape[1])})
+                out = []
+                for key, v, at in zip(pdf["key"], pdf["v"], model.value.probed(_matrix(pdf["v"]), sizes, k + 1), strict=True):
+                    out += [(g, key, v, own) for g in range(groups) if len(own := at[at % groups == g])]
+                yield pd.DataFrame(out, columns=["g", "query", "v", "lists"])
 
     asked = rows.where(F.col("id") % every == 0).select("id", F.xxhash64("v").alias("same")).distinct()
     asked = stored(asked.join(classes.select("same", "key"), "same").select(F.col("id").alias("query_id"), F.col("key").alias("query")), "queries")
     queries = classes.select("key", "v").join(asked.select(F.col("query").alias("key")).distinct(), "key").select("key", "v")
     codes = stored(classes.select("key", "v").mapInPandas(encode, "list int, key long, code binary, error double, whole binary"), "codes")
-    probed = stored(queries.mapInPandas(probe, "list int, query long, v array<double>"), "probes")
+    sizes = np.zeros(len(index.coarse), np.int64)
+    for at, n in codes.groupBy("list").count().collect():  # at most LISTS rows
+        sizes[at] = n
+    probed = stored(queries.mapInPandas(probe, "g int, query long, v array<double>, lists array<int>"), "probes")
 
-    # groups of lists, cut into blocks by their counts: one row a group is gathered, at most 4096
-    groups = max(1, min(len(index.coarse), index_size // CODES))
-    codes, probed = (x.withColumn("g", F.col("list") % groups) for x in (codes, probed))
+    # groups are cut into blocks by their counts: one row a group is gathered, at most LISTS
+    codes = codes.withColumn("g", F.col("list") % groups)
     count = lambda side: {r[0]: r[1] for r in side.groupBy("g").count().collect()}
     of = lambda sizes: F.element_at(F.from_json(F.lit(_json(sizes)), "map<string,int>"), F.col("g").cast("string"))
-    nc, nq = count(codes), count(probed.select("g", "query").distinct())
+    nc, nq = count(codes), count(probed)
     cb, qb = ({g: max(1, -(-n.get(g, 0) // size)) for g in {*nc, *nq}} for n, size in ((nc, 2 * CODES), (nq, QUERIES)))
     spread = lambda sizes: F.explode(F.sequence(F.lit(0), of(sizes) - 1))
     left = codes.withColumn("c", F.pmod(F.xxhash64("key"), of(cb)).cast("int")).withColumn("q", spread(qb))
@@ -178,8 +230,8 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
             whole = np.frombuffer(b"".join(code["whole"])).reshape(len(code), -1)
             keys, lists = code["key"].to_numpy(), code["list"].to_numpy()
             error = code["error"].to_numpy() + ROUNDING * np.sqrt((whole**2).sum(1))
-            for q, own in query.groupby("query"):
-                v, probes = np.asarray(own["v"].iloc[0], float), own["list"].to_numpy()
+            for q, v, probes in zip(query["query"], query["v"], query["lists"], strict=True):
+                v = np.asarray(v, float)
                 spans = list(zip(np.searchsorted(lists, probes), np.searchsorted(lists, probes, "right"), probes, strict=True))
                 at = np.concatenate([np.arange(a, b) for a, b, _ in spans])
                 if not len(at):
@@ -193,6 +245,9 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
                 out.append(pd.DataFrame({"query": q, "key": key[best], "score": score[best]}))
         return pd.concat(out)
 
+    # dealt out by number, so that a few rows with much work aren't merged into a few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (x.repartition(tasks, "g", "c", "q") for x in (left, right))
     found = left.groupBy("g", "c", "q").cogroup(right.groupBy("g", "c", "q")).applyInPandas(search, "query long, key long, score double")
     order = Window.partitionBy("query").orderBy("score", "key")
     found = stored(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("query", "key", "score"), "found")
