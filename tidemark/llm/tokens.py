@@ -17,8 +17,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Most chunks that a Python worker keeps (about 200 bytes each).
-MOST = 400_000
+#: Most chunks that a Python worker keeps, and the most characters of one (about 200 bytes each, then).
+MOST, LONG = 400_000, 64
 
 
 @lru_cache(4)
@@ -55,7 +55,14 @@ def byte_level_encoder(path: str, ranks_path: str) -> Callable[[str], np.ndarray
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     enc = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
-    return lambda text: enc.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return enc.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the pattern overflows its stack on some 10**6 white-space characters in a row
+            return np.array(json_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def _byte_letters() -> dict[int, str]:
@@ -86,7 +93,7 @@ class WordEncoder:
         if got is None:
             shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
             got = np.array([t.id for t in self.tok.model.tokenize(shown)], self.dtype).tobytes()
-            if len(self.pieces) < self.most // 4:
+            if len(self.pieces) < self.most // 4 and len(piece) <= LONG:
                 self.pieces[piece] = got
         return got
 
@@ -108,8 +115,7 @@ class WordEncoder:
             return b"".join(map(self.chunks.__getitem__, parts))
         found = {p: self._chunk(p) for p in new}
         if len(self.chunks) < self.most:
-            self.chunks.update(found)
-            return b"".join(map(self.chunks.__getitem__, parts))
+            self.chunks.update((p, ids) for p, ids in found.items() if len(p) <= LONG)
         get = self.chunks.get
         return b"".join([found[p] if (x := get(p)) is None else x for p in parts])
 
