@@ -6,7 +6,7 @@ longest piece is tried whose end isn't known to fail and which is compatible wit
 place is marked in a bitfield and the piece before it is taken back. Compatibility is kept for pairs met before.
 
 A text is normalised as such models do it (blanks written as U+2581, one more in front) and cut where no piece can span:
-before a run of U+2581. Segments met before come out of a bounded table. Characters that no piece has are written as
+before a run of U+2581. Segments met before come out of a table of bounded size. Characters that no piece has are written as
 their UTF-8 bytes' pieces.
 
 Edge cases: null and empty texts are begin and end only; any white space, control characters and U+2581 itself are
@@ -18,15 +18,14 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table
-from tidemark.llm.tokens import public_path, sentencepiece_model
+from tidemark.llm.common import per_text, table
+from tidemark.llm.tokens import LONG, public_path, sentencepiece_model
 
 BLANK = "▁"
 MOST = 400_000
@@ -123,8 +122,7 @@ class PieceEncoder:
             return b"".join(map(known.__getitem__, parts))
         found = {p: self._packed(BLANK + p) for p in new}
         if len(known) < self.most:
-            known.update(found)
-            return b"".join(map(known.__getitem__, parts))
+            known.update((p, ids) for p, ids in found.items() if len(p) <= LONG)
         get = known.get
         return b"".join([found[p] if (x := get(p)) is None else x for p in parts])
 
@@ -137,34 +135,40 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def _encoded(texts: list[str | None], model: str) -> Iterator[tuple[bytes, str]]:
+    enc = piece_encoder(model)
+    begin, end = np.array([enc.sp.bos_id()], "<u4").tobytes(), np.array([enc.sp.eos_id()], "<u4").tobytes()
+    for text in texts:
+        ids = begin + enc.encode(text) + end
+        yield ids, enc.decode(np.frombuffer(ids, "<u4"))
+
+
 def encoded_pieces(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers, with begin and end), decoded of docs(doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame(_rows(pdf, model), columns=["doc_id", "ids", "decoded"]).astype({"doc_id": "Int64"})
+    def make() -> Callable[[list[str | None]], dict[str, object]]:
+        def f(texts: list[str | None]) -> dict[str, object]:
+            rows = list(_encoded(texts, model))
+            return {"ids": [i for i, _ in rows], "decoded": [d for _, d in rows]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, decoded string")
+        return f
 
-
-def _rows(pdf: pd.DataFrame, model: str) -> Iterator[tuple]:
-    enc = piece_encoder(model)
-    begin, end = np.array([enc.sp.bos_id()], "<u4").tobytes(), np.array([enc.sp.eos_id()], "<u4").tobytes()
-    for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
-        ids = begin + enc.encode(text) + end
-        yield doc, ids, enc.decode(np.frombuffer(ids, "<u4"))
+    return per_text(docs.select("doc_id", "text"), make, "ids binary, decoded string", drop_text=True)
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests are taken in the task, so that ids and texts stay there."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str | None]], dict[str, object]]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for pdf in batches:
-            rows = [(doc, len(ids) // 4, sha(ids), sha(decoded.encode())) for doc, ids, decoded in _rows(pdf, model)]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def f(texts: list[str | None]) -> dict[str, object]:
+            rows = [(len(ids) // 4, sha(ids), sha(decoded.encode())) for ids, decoded in _encoded(texts, model)]
+            return {n: [r[k] for r in rows] for k, n in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+
+        return f
+
+    return per_text(docs.select("doc_id", "text"), make, "n_tokens long, ids_sha256 string, decoded_sha256 string", drop_text=True)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

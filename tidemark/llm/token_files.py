@@ -13,7 +13,7 @@ Block offsets give random access; a block is unpacked with numpy in one go.
 
 The documents, in ascending doc_id order, are cut over tasks by ranges of doc_id. A task writes files of about SHARD ids
 under names that depend on its number only, each first under another name and then moved, so a repeated task replaces
-its files by equal ones. The manifest of finished files is a Spark table; files that it doesn't name are never read.
+its files by equal ones; an attempt that fails removes what it began. The manifest of finished files is a Spark table; files that it doesn't name are never read.
 
 Edge cases: null and empty texts are the end id alone; rows with equal or null doc_id follow one another in the order of
 a hash of their texts (nulls first); an empty table gives an empty manifest; an id that the bits can't hold is an error;
@@ -27,7 +27,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,8 +105,6 @@ class TokenFile:
 
 
 def _store(uri: str):
-    from pyarrow import fs
-
     return fs.FileSystem.from_uri(uri)
 
 
@@ -113,7 +112,7 @@ def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[str], np.
     """Write docs(doc_id, text) and return the manifest: part, file, name, n_ids, n_docs."""
     bits = bits_for(vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, close = encoder(), TaskContext.get().partitionId(), np.array([end], np.uint32)
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
@@ -121,18 +120,23 @@ def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[str], np.
         held: list[np.ndarray] = []
         size, k = 0, 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{k:05d}.bin"
             early = f"{root}/{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(early) as f:
-                f.write(file_bytes(names, held, bits))
-            store.move(early, f"{root}/{name}")
-            return pd.DataFrame({"part": [part], "file": [k], "name": [name], "n_ids": [size], "n_docs": [len(names)]})
-
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+            try:
+                with store.open_output_stream(early) as f:
+                    f.write(file_bytes(names, held, bits))
+                store.move(early, f"{root}/{name}")
+            except BaseException:
+                if store.get_file_info(early).type != fs.FileType.NotFound:
+                    store.delete_file(early)
+                raise
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([k], pa.int32()), "name": [name], "n_ids": [size], "n_docs": [len(names)]})
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text), close) if text else close
-                names.append(None if doc is pd.NA else int(doc))
+                names.append(doc)
                 held.append(ids)
                 size += len(ids)
                 if size >= shard:
@@ -143,7 +147,7 @@ def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[str], np.
         if names:
             yield flush()
 
-    return stored(in_order(docs).mapInPandas(run, "part int, file int, name string, n_ids long, n_docs long"), "manifest")
+    return stored(in_order(docs).mapInArrow(run, "part int, file int, name string, n_ids long, n_docs long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -151,21 +155,21 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = with_base(manifest, "n_ids", "base").withColumn("base", F.col("base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
-        for pdf in batches:
-            for name, base in zip(pdf["name"], pdf["base"], strict=True):
+        for batch in batches:
+            for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{name}") as f:
                     file = TokenFile(f.read())
                 stream = file.ids(0, file.n_ids).astype("<u4")
                 starts = file.starts.astype(np.int64)
                 crc = [zlib.crc32(stream[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                doc_ids = pd.Series(file.doc_ids).astype("Int64").mask(file.null.astype(bool))
-                yield pd.DataFrame({"doc_id": doc_ids, "start": base + starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": crc})
+                doc_ids = pa.array(file.doc_ids, pa.int64(), mask=file.null.astype(bool))
+                yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "start": base + starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": crc})
 
     # a task for each file: the rows are tiny, the work isn't
     files = files.select("name", "base").repartition(max(1, manifest.count()))
-    return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
