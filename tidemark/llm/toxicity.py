@@ -7,7 +7,7 @@ not raise the score. Swaps are made sentence by sentence: each sentence with an
 the same kind.
 
 Learning looks at no more than SAMPLE labelled rows (the bound is a parameter), those with the smallest hashes of their
-doc_id; rows whose crc32(doc_id as text) mod 5 is 0 are held out of learning. Every document is scored on its whole text,
+doc_id, and at no more than MOST distinct words of each; rows whose crc32(doc_id as text) mod 5 is 0 are held out of learning. Every document is scored on its whole text,
 from the text alone.
 
 Edge cases: null and empty texts get the score of a text without words; with no labelled rows, or labels of one class
@@ -17,18 +17,21 @@ from and counts as not held out; an empty table gives an empty result."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import per_text, table, without
 
 BITS = 18
 SAMPLE = 12_000
+#: Most distinct buckets of one learned row; scores look at all.
+MOST = 4_096
+#: Longest word (bytes) that a task keeps.
+LONG = 64
 PENALTY, RIDGE, STEPS, RATE = 0.5, 1e-4, 300, 0.1
 #: A bucket is used if at least SEEN rows have it and its shares among the two labels differ by CLEAR standard errors.
 SEEN, CLEAR = 4, 4.0
@@ -61,16 +64,18 @@ SWAPS = {a.encode(): b.encode() for kind in IDENTITY for a, b in zip(kind, kind[
 
 
 class Buckets(dict):
-    """Word -> bucket, kept for at most `most` words."""
+    """Word -> bucket, kept for at most `most` short words."""
 
     def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word) >> (64 - BITS)
+        h = xxhash.xxh3_64_intdigest(word) >> (64 - BITS)
+        if len(word) <= LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -83,11 +88,12 @@ def swapped(text: str | None) -> list[bytes]:
     return [SWAPS.get(w, w) for sentence in _SENTENCE.split(text or "") for w in words_of(sentence)]
 
 
-def features(words: list[bytes], memo: Buckets) -> np.ndarray:
-    return np.unique(np.fromiter(map(memo.__getitem__, set(words)), np.int64))
+def features(words: list[bytes], memo: Buckets, most: int | None = None) -> np.ndarray:
+    """The distinct buckets of the words; with `most`, the smallest of them, which hashing has dealt at random."""
+    return np.unique(np.fromiter(map(memo.__getitem__, set(words)), np.int64))[:most]
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights and bias from (label, features, features after the swap), by Adam on the full sample."""
     y = np.array([r[0] for r in rows], float)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -118,7 +124,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, flo
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         gap = np.bincount(rx, sign * w[cx], len(y))
         g = np.bincount(c1, ((p - y) / len(y))[r1], len(used)) + RIDGE * w
-        g += np.bincount(cx, sign * (2 * PENALTY / len(y) * gap)[rx], len(used))
+        g += np.bincount(cx, sign * (2 * penalty / len(y) * gap)[rx], len(used))
         gb = float((p - y).mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = RATE / (1 + t / 100)
@@ -132,38 +138,45 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The model from at most `sample` rows of labels(doc_id, toxic) that aren't held out."""
-    some = labels.where("doc_id is not null and toxic is not null").where(~held_out()).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """The model from at most `sample` rows that labels(doc_id, toxic) label and that aren't held out."""
+    some = labels.where("doc_id is not null and toxic is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    # at most `sample` short rows: small enough to broadcast whatever the input's size
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "toxic", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str | None]], dict[str, object]]:
         memo = Buckets()
-        for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "a": [features(words_of(t), memo) for t in pdf["text"]], "b": [features(swapped(t), memo) for t in pdf["text"]]})
+        few = lambda words: features(words, memo, MOST)
+        return lambda texts: {"a": [few(words_of(t)) for t in texts], "b": [few(swapped(t)) for t in texts]}
 
-    # at most `sample` short rows: small enough to broadcast whatever the input's size
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text").mapInPandas(run, "toxic int, a array<int>, b array<int>")
-    got = [(int(r[0]), np.asarray(r[1], np.int64), np.asarray(r[2], np.int64)) for r in rows.toPandas().itertuples(index=False)]
-    return fit(got) if got else (np.zeros(1 << BITS), 0.0)
+    # documents may repeat a doc_id: what is gathered is limited by rows, and each row by MOST
+    got = per_text(rows, make, "a array<int>, b array<int>", drop_text=True).orderBy("h", "t", "toxic").limit(sample).select("toxic", "a", "b").toPandas()
+    got = [(int(r[0]), np.asarray(r[1], np.int64), np.asarray(r[2], np.int64)) for r in got.itertuples(index=False)]
+    return fit(got, penalty) if got else (np.zeros(1 << BITS), 0.0)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The columns of docs(doc_id, text, ...), then held_out, score, predicted; a column named like one of these is replaced."""
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, drop_text: bool = False) -> DataFrame:
+    """The columns of docs(doc_id, text, ...), then held_out, score, predicted; a column named like one of these is replaced.
+    drop_text leaves the texts where they are."""
     weights, bias = learn(docs, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
-    left = docs.select([c for c in docs.columns if c not in ("held_out", "score", "predicted")]).withColumn("held_out", held_out())
+    left = without(docs, ["held_out"]).withColumn("held_out", held_out())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str | None]], dict[str, object]]:
         memo, (w, b) = Buckets(), model.value
-        for pdf in batches:
-            z = np.array([b + float(w[features(words_of(t), memo)].sum()) for t in pdf["text"]])
+
+        def f(texts: list[str | None]) -> dict[str, object]:
+            z = np.array([b + float(w[features(words_of(t), memo)].sum()) for t in texts])
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pdf.assign(score=score, predicted=(score >= 0.5).astype("int32"))
+            return {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
+
+        return f
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema)
-    return left.mapInPandas(run, f"{kinds}, score double, predicted int")
+    return per_text(left, make, "score double, predicted int", drop_text=drop_text)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+    return toxicity(docs, table(spark, sf_dir, "labels"), drop_text=True)
