@@ -22,6 +22,8 @@ from tidemark.llm.common import stored, table
 
 BITS, STEP = 60, 12
 LIMIT = 4 << 20
+#: The limit of the registered query: small, so that even small tables are split.
+QUERY_LIMIT = 256 << 10
 
 
 def hash_bits(text: Column) -> Column:
@@ -80,18 +82,18 @@ def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT, key: str = "d
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return shards(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_LIMIT)
 
 
 _H = f"CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {BITS // 4}) AS BIGINT)"
-#: Holds while no two documents share a key's first 24 bits and don't fit together.
+#: For keys that are unique, or whose rows fit one shard together.
 OP10_SQL = f"""
 WITH rows AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, {_H} AS h FROM documents),
-levels AS (SELECT rows.*, d::INTEGER AS depth, h >> ({BITS} - d)::INTEGER AS prefix FROM rows, range(0, 25) r(d)),
+levels AS (SELECT rows.*, d::INTEGER AS depth, h >> ({BITS} - d)::INTEGER AS prefix FROM rows, range(0, {BITS + 1}) r(d)),
 sums AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM levels GROUP BY ALL),
 fits AS (SELECT l.doc_id, l.n_bytes, l.depth, l.prefix, s.shard_bytes, s.shard_docs,
          row_number() OVER (PARTITION BY l.doc_id ORDER BY l.depth) AS rn
-         FROM levels l JOIN sums s USING (depth, prefix) WHERE s.shard_bytes <= {LIMIT} OR s.shard_docs = 1)
+         FROM levels l JOIN sums s USING (depth, prefix) WHERE s.shard_bytes <= {QUERY_LIMIT} OR s.shard_docs = 1)
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes, shard_docs
 FROM fits WHERE rn = 1
 """
