@@ -3,15 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
 columns of documents. A stage's result is written as Parquet to the shared folder and read again by the next.
 
-Edge cases are those of the operators: null and empty texts fail the quality rules; a null doc_id survives the filters
-and near-dedup (it is in no other document's place) and is packed first; an empty table gives an empty result."""
+Edge cases are those of the operators: null and empty texts fail the quality rules; rows with a null doc_id are judged like
+others, and near-dedup keeps one of a group only if no document with an id is in it; rows that repeat doc_id and text are one
+document; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import stored, table
-from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.minhash import without_near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_rules, trusted_documents
 from tidemark.llm.toxicity import toxicity
@@ -27,8 +28,7 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of at least 0.8): the smallest doc_id."""
-    kept = near_duplicates(docs, width=5, similarity=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return without_near_duplicates(docs, width=5, similarity=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", non_toxic), ("near_dedup", near_dedup), ("packing", packing)]
 
-#: SQL can express neither the hashed n-gram model nor the classifier, MinHash and packing. Tests check the operators;
-#: of the stages here only the columns and that rows are left out.
+#: SQL can express neither the hashed n-gram model nor the classifier, MinHash and packing. Tests hold each stage against
+#: the one before: the models' decisions row by row, near-dedup by brute force over all pairs, packing by its properties.
 ORACLE_SQL = None
 
 
