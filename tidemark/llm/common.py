@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Texts that a task holds as Python strings at once.
+ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,10 +63,12 @@ def per_text(df: DataFrame, make: Callable[[], Callable[[list[str | None]], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            got = f(batch.column(text).to_pylist())
-            arrays = [batch.column(c) for c in keep] + [x if isinstance(x := got[n], pa.Array) else pa.array(x, kinds.field(n).type) for n in added.names]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added.names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                got = f(batch.column(text).to_pylist())
+                arrays = [batch.column(c) for c in keep] + [x if isinstance(x := got[n], pa.Array) else pa.array(x, kinds.field(n).type) for n in added.names]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added.names])
 
     return left.mapInArrow(run, schema)
 

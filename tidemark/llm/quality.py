@@ -81,7 +81,8 @@ def _counts(texts: DataFrame, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, total = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("text"):
+                text = text.as_py()
                 total += np.bincount(_buckets(_hashes(text, memo)), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", name])

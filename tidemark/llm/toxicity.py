@@ -11,20 +11,21 @@ doc_id, and at no more than MOST distinct words of each; rows whose crc32(doc_id
 from the text alone.
 
 Edge cases: null and empty texts get the score of a text without words; with no labelled rows, or labels of one class
-only, the score is the (smoothed) share of that class; repeated rows get equal scores; a null doc_id is never learned
+only, the score is the (smoothed) share of that class; a sampled doc_id that several texts share is learned from one of them; repeated rows get equal scores; a null doc_id is never learned
 from and counts as not held out; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_text, table, without
+from tidemark.llm.common import per_text, stored, table, without
 
 BITS = 18
 SAMPLE = 12_000
@@ -93,45 +94,37 @@ def features(words: list[bytes], memo: Buckets, most: int | None = None) -> np.n
     return np.unique(np.fromiter(map(memo.__getitem__, set(words)), np.int64))[:most]
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label, features, features after the swap), by Adam on the full sample."""
-    y = np.array([r[0] for r in rows], float)
-    share = (y.sum() + 1) / (len(y) + 2)
-    bias, full = float(np.log(share / (1 - share))), np.zeros(1 << BITS)
-    if not 0 < y.sum() < len(y):
-        return full, bias
-    count = lambda label: np.bincount(np.concatenate([r[1] for r in rows if r[0] == label]), minlength=1 << BITS)
-    ones, zeros, n1, n0 = count(1), count(0), y.sum(), len(y) - y.sum()
-    both = (ones + zeros) / len(y)
-    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
-    used = np.flatnonzero((ones + zeros >= SEEN) & (np.abs(ones / n1 - zeros / n0) >= CLEAR * error))
-    at = np.full(1 << BITS, -1)
-    at[used] = np.arange(len(used))
-
-    def matrix(k: int) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(rows)), [len(r[k]) for r in rows])
-        col = at[np.concatenate([r[k] for r in rows])]
-        return row[col >= 0], col[col >= 0]
-
-    (r1, c1), (r2, c2) = matrix(1), matrix(2)
-    differs = np.array([len(a) != len(b) or bool((a != b).any()) for _, a, b in rows])
+def fit(y: np.ndarray, plain: list[np.ndarray], other: list[np.ndarray], size: int, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """Weights of `size` features and bias from labels, each row's features and those after the swap, by Adam on all rows."""
+    bias = prior(y.sum(), len(y))
+
+    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+
+    (r1, c1), (r2, c2) = matrix(plain), matrix(other)
+    differs = np.array([len(a) != len(b) or bool((a != b).any()) for a, b in zip(plain, other, strict=True)])
     keep1, keep2 = differs[r1], differs[r2]
     rx, cx = np.concatenate([r1[keep1], r2[keep2]]), np.concatenate([c1[keep1], c2[keep2]])
     sign = np.concatenate([np.ones(keep1.sum()), -np.ones(keep2.sum())])
-    w, m, v, b, mb, vb = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used)), bias, 0.0, 0.0
+    w, m, v, b, mb, vb = np.zeros(size), np.zeros(size), np.zeros(size), bias, 0.0, 0.0
     for t in range(1, STEPS + 1):
         z = b + np.bincount(r1, w[c1], len(y))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         gap = np.bincount(rx, sign * w[cx], len(y))
-        g = np.bincount(c1, ((p - y) / len(y))[r1], len(used)) + RIDGE * w
-        g += np.bincount(cx, sign * (2 * penalty / len(y) * gap)[rx], len(used))
+        g = np.bincount(c1, ((p - y) / len(y))[r1], size) + RIDGE * w
+        g += np.bincount(cx, sign * (2 * penalty / len(y) * gap)[rx], size)
         gb = float((p - y).mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = RATE / (1 + t / 100)
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (vb / (1 - 0.999**t)) ** 0.5 if vb else 0.0
-    full[used] = w
-    return full, b
+    return w, b
+
+
+def prior(ones: float, rows: int) -> float:
+    """The bias that gives the smoothed share of label 1."""
+    share = (ones + 1) / (rows + 2)
+    return float(np.log(share / (1 - share)))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -142,19 +135,45 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     """The model from at most `sample` rows that labels(doc_id, toxic) label and that aren't held out."""
     some = labels.where("doc_id is not null and toxic is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    # at most `sample` short rows: small enough to broadcast whatever the input's size
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "toxic", "text")
+    # at most `sample` short rows: small enough to broadcast whatever the input's size. Documents may repeat a doc_id: one text of each
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make() -> Callable[[list[str | None]], dict[str, object]]:
         memo = Buckets()
         few = lambda words: features(words, memo, MOST)
         return lambda texts: {"a": [few(words_of(t)) for t in texts], "b": [few(swapped(t)) for t in texts]}
 
-    # documents may repeat a doc_id: what is gathered is limited by rows, and each row by MOST
-    got = per_text(rows, make, "a array<int>, b array<int>", drop_text=True).orderBy("h", "t", "toxic").limit(sample).select("toxic", "a", "b").toPandas()
-    got = [(int(r[0]), np.asarray(r[1], np.int64), np.asarray(r[2], np.int64)) for r in got.itertuples(index=False)]
-    return fit(got, penalty) if got else (np.zeros(1 << BITS), 0.0)
+    rows = stored(per_text(rows.select((F.col("toxic") == 1).cast("int").alias("y"), "text"), make, "a array<int>, b array<int>", drop_text=True), "learned")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    full, bias = np.zeros(1 << BITS), prior(n1, n)
+    if not 0 < n1 < n:
+        return full, bias
+    # the buckets that tell the labels apart; what is gathered is a row a bucket, and then each row's buckets among them
+    seen = rows.select("y", F.explode("a").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).where(F.col("n") >= SEEN).toPandas()
+    ones, all_ = seen["ones"].to_numpy(float), seen["n"].to_numpy(float)
+    both = all_ / n
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / (n - n1)))
+    used = np.sort(seen["bucket"].to_numpy(np.int64)[np.abs(ones / n1 - (all_ - ones) / (n - n1)) >= CLEAR * error])
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column("y")]
+            for c in ("a", "b"):
+                col = batch.column(c)
+                flat, lengths = col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
+                at = np.searchsorted(used, flat)
+                ok = used[np.minimum(at, len(used) - 1)] == flat
+                row = np.repeat(np.arange(len(lengths)), lengths)[ok]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lengths)))])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[ok], pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=["y", "a", "b"])
+
+    if len(used):
+        got = rows.mapInArrow(narrow, rows.schema).toPandas().sort_values("y", kind="stable")
+        lists = [[np.asarray(x, np.int64) for x in got[c]] for c in ("a", "b")]
+        full[used], bias = fit(got["y"].to_numpy(float), *lists, len(used), penalty)
+    return full, bias
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, drop_text: bool = False) -> DataFrame:
