@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.functions.sheets import as_sql
 from tidemark.operators.ledger import CURRENT, SWEEP
 from tidemark.operators.text import BEARISH, BULLISH
+from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
+from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS
 
 TRADES = """trades AS (SELECT o_orderkey AS trade_id, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS entry_date,
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'LONG_CALL' WHEN '2' THEN 'BULL_CALL_SPREAD' WHEN '3' THEN 'LONG_PUT' WHEN '4' THEN 'BEAR_PUT_SPREAD' WHEN '5' THEN 'LONG_CALL' END AS strategy,
@@ -16,9 +19,27 @@ BARS = """bars AS (SELECT n_name AS ticker, n_regionkey AS sector, CAST(l_shipda
  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100 / CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS close, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
 rets AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS ret FROM bars)"""
-CHAIN = """chain AS (SELECT *, round(strike * (0.05 + l_discount), 4) AS ask, round(strike * (0.05 + l_discount) * (1 - l_tax), 6) AS bid FROM (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS expiry,
- CASE WHEN l_returnflag = 'R' THEN 'put' ELSE 'call' END AS type, (CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) / 100 AS strike, l_discount, l_tax, CAST(l_quantity AS BIGINT) AS oi, round(0.2 + l_tax, 2) AS iv, l_orderkey * 10 + l_linenumber AS row FROM lineitem)),
-spot AS (SELECT ticker, CAST(sum(CAST(round(strike * 100) AS BIGINT)) AS BIGINT) / count(*) / 100 AS s FROM chain GROUP BY ticker)"""
+CHAIN = f"""chain AS (SELECT *, round(strike * (0.05 + l_discount), 4) AS ask, round(strike * (0.05 + l_discount) * (1 - l_tax), 6) AS bid FROM (SELECT l_suppkey AS ticker, {EXPIRY} AS expiry,
+ CASE WHEN l_returnflag = 'R' THEN 'put' ELSE 'call' END AS type, (CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) / 100 AS strike, l_discount, l_tax, CAST(l_quantity AS BIGINT) * 25 AS oi, round(0.2 + l_tax, 2) AS iv,
+ CASE WHEN l_partkey % 4 <> 0 THEN (40 + l_partkey % 45) / 100 END AS delta, {LINE_ID} AS row FROM lineitem)),
+spot AS (SELECT ticker, CAST(sum(CAST(round(strike * 100) AS BIGINT)) AS BIGINT) / count(*) / 100 AS s FROM chain GROUP BY ticker),
+priced AS (SELECT * FROM chain JOIN spot USING (ticker)),
+days AS (SELECT DISTINCT expiry FROM chain), months AS (SELECT CAST(unnest(range(date_trunc('month', (SELECT min(expiry) FROM days) - 400)::TIMESTAMP, (SELECT max(expiry) FROM days)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS run_month),
+runs AS (SELECT expiry, run_month, expiry - run_month AS dte FROM days JOIN months ON expiry >= run_month AND expiry - run_month <= 365)"""
+
+
+def _first(least: int, most: int, where: str = "true") -> str:
+    """Contracts of the first expiry in the range."""
+    return f"(SELECT * FROM (SELECT *, min(dte) OVER (PARTITION BY ticker, run_month) AS nearest FROM priced JOIN runs USING (expiry) WHERE {where} AND dte BETWEEN {least} AND {most}) WHERE dte = nearest)"
+
+
+def _pick(least: int, most: int, low: float, high: float) -> str:
+    return f"""WITH {CHAIN}, own AS (SELECT * FROM {_first(least, most, "type = 'call'")} WHERE strike >= s * CASE WHEN s * ({high} - 1) < 15 THEN round(1 - 15 / s, 4) ELSE {low} END AND strike <= s * CASE WHEN s * ({high} - 1) < 15 THEN round(1 + 15 / s, 4) ELSE {high} END
+  AND oi >= 100 AND (ask - bid) / greatest(ask, 0.01) <= 0.10),
+ meant AS (SELECT *, coalesce(abs(delta) BETWEEN 0.55 AND 0.75, false) AS meant FROM own),
+ pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, run_month ORDER BY oi DESC, strike, row) AS k FROM (SELECT *, bool_or(meant) OVER (PARTITION BY ticker, run_month) AS has FROM meant) WHERE meant OR NOT has) WHERE k = 1)"""
+
+
 OUT = """o AS (SELECT *, max(outcome) OVER (PARTITION BY trade_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM
  (SELECT user_id AS trade_id, ts, event_id, value, value / first(value) OVER w - 1 AS outcome, first(ts) OVER w AS entry FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))"""
 STATS = "count(outcome) AS n, round(avg(CAST(outcome > 0 AS INT)), 6) AS win_rate, round(avg(outcome), 6) AS mean, round(median(outcome), 6) AS median, count(*) FILTER (outcome <= -0.99) AS total_losses"
@@ -30,8 +51,9 @@ _BINS = """bins AS (SELECT outcome, 'impact' AS feature, CASE WHEN impact <= 4 T
  UNION ALL SELECT outcome, 'surprise', CASE WHEN surprise <= 4 THEN 'low' WHEN surprise <= 7 THEN 'mid' ELSE 'high' END FROM c)"""
 _POSTS = rf"""cred AS (SELECT doc_id AS id, source, round(ln(1 + greatest(n_chars, 0)) * (1 + least((doc_id % 50) / (n_chars + 1), 2.0)), 3) AS credibility,
  len(regexp_extract_all(lower(text), '\b({"|".join(sorted(BULLISH, reverse=True))})\b')) AS bull, len(regexp_extract_all(lower(text), '\b({"|".join(sorted(BEARISH, reverse=True))})\b')) AS bear FROM documents)"""
-_ATM = f"WITH {CHAIN}, atm AS (SELECT *, row_number() OVER (PARTITION BY ticker, type ORDER BY round(abs(strike - s), 6), strike, row) AS k FROM chain JOIN spot USING (ticker))"
-_PICK = f"WITH {CHAIN}, pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY oi DESC, strike, row) AS k FROM chain JOIN spot USING (ticker) WHERE type = 'call' AND strike >= s * 0.95 AND strike <= s * 1.10 AND oi >= 10 AND (ask - bid) / nullif(ask, 0) <= 0.10) WHERE k = 1)"
+TERM = """firsts AS (SELECT * FROM (SELECT ticker, run_month, dte, row_number() OVER (PARTITION BY ticker, run_month ORDER BY dte) AS k FROM (SELECT DISTINCT ticker, run_month, dte FROM chain JOIN runs USING (expiry) WHERE dte <= 120)) WHERE k <= 3 AND dte >= 7),
+ term AS (SELECT ticker, run_month, dte, round(median(iv), 6) AS iv, count(*) AS n FROM priced JOIN runs USING (expiry) JOIN firsts USING (ticker, run_month, dte) WHERE type = 'call' AND strike BETWEEN s * 0.93 AND s * 1.07 AND iv > 0.05 GROUP BY 1, 2, 3)"""
+_ATM = f"WITH {CHAIN}, atm AS (SELECT *, row_number() OVER (PARTITION BY ticker, expiry, type ORDER BY round(abs(strike - s), 6), strike, row) AS k FROM priced)"
 _FUNNEL = "funnel AS (SELECT user_id AS desk, CAST(ts AS DATE) AS run_date, event_type AS stage, count(*) AS n FROM events GROUP BY ALL)"
 
 
@@ -82,13 +104,24 @@ SQL: dict[str, str] = {
  y AS (SELECT * FROM (SELECT *, max(d) OVER (PARTITION BY ticker) AS last FROM v WHERE rv IS NOT NULL) WHERE d > last - 365),
  a AS (SELECT ticker, count(*) AS n, max_by(rv, d) AS rv, quantile_cont(rv, 0.05) AS lo, quantile_cont(rv, 0.95) AS hi FROM y GROUP BY 1)
  SELECT ticker, n, round(rv, 6) AS rv, round(coalesce(least(greatest((rv - lo) / nullif(hi - lo, 0) * 100, 0.0), 100.0), 50.0), 1) AS rv_rank FROM a WHERE n >= 60""",
-    "atm_nearest": f"{_ATM} SELECT ticker, type, strike, row, ask, iv FROM atm WHERE k = 1",
-    "contract_pick": f"{_PICK} SELECT ticker, expiry, strike, bid, ask, oi, row FROM pick",
-    "spread_leg": f"""{_PICK}, l AS (SELECT p.ticker, p.strike AS k1, p.ask AS ask1, c.strike AS k2, c.bid, row_number() OVER (PARTITION BY p.ticker ORDER BY round(abs(c.strike - p.strike * 1.10), 6), c.strike, c.row) AS n
- FROM pick p JOIN chain c ON c.ticker = p.ticker AND c.type = 'call' AND c.bid > 0 AND c.strike >= p.strike * 1.05 AND c.strike <= p.strike * 1.20) SELECT ticker, k1, k2, round(ask1 - bid, 4) AS net_debit, round(k2 - k1, 4) AS width FROM l WHERE n = 1""",
-    "oi_gamma": f"""WITH {CHAIN}, a AS (SELECT ticker, CAST(coalesce(sum(oi) FILTER (type = 'call'), 0) AS BIGINT) AS calls, CAST(coalesce(sum(oi) FILTER (type = 'put'), 0) AS BIGINT) AS puts FROM chain JOIN spot USING (ticker) WHERE abs(strike - s) <= 0.05 * s GROUP BY 1), b AS (SELECT *, CASE WHEN puts = 0 THEN 2.0 ELSE calls / puts END AS r FROM a)
- SELECT ticker, calls, puts, round(r, 6) AS ratio, CASE WHEN calls + puts < 100 THEN 'unavailable' WHEN r > 1.5 THEN 'positive' WHEN r < 0.70 THEN 'negative' ELSE 'neutral' END AS gamma FROM b""",
-    "straddle_move": f"{_ATM} SELECT ticker, round(sum(ask) / any_value(s), 6) AS implied_move FROM atm WHERE k = 1 GROUP BY 1 HAVING count(*) = 2",
+    "first_expiry": f"WITH {CHAIN} SELECT ticker, run_month, expiry, dte, count(*) AS contracts FROM {_first(20, 50)} GROUP BY ALL",
+    "atm_nearest": f"{_ATM} SELECT ticker, s, expiry, type, strike, row, ask, iv FROM atm WHERE k = 1",
+    "straddle_move": f"""{_ATM} SELECT c.ticker, c.expiry, round((c.ask + p.ask) / c.s, 6) AS implied_move FROM atm c JOIN atm p ON c.ticker = p.ticker AND c.expiry = p.expiry AND c.type = 'call' AND p.type = 'put' AND c.k = 1 AND p.k = 1 WHERE c.ask > 0 AND p.ask > 0""",
+    "contract_pick": f"{_pick(14, 60, 0.97, 1.03)} SELECT ticker, run_month, expiry, dte, strike, bid, ask, oi, delta, round((ask - bid) / greatest(ask, 0.01), 6) AS spread_ratio, row FROM pick",
+    "spread_leg": f"""{_pick(61, 149, 0.96, 1.08)}, l AS (SELECT p.ticker, p.run_month, p.expiry, p.strike AS k1, p.ask AS ask1, c.strike AS k2, c.bid, row_number() OVER (PARTITION BY p.ticker, p.run_month ORDER BY round(abs(c.strike - p.strike * 1.10), 6), c.strike, c.row) AS n
+ FROM pick p JOIN chain c ON c.ticker = p.ticker AND c.expiry = p.expiry AND c.type = 'call' AND c.strike >= p.strike * 1.05 AND c.strike <= p.strike * 1.20) SELECT ticker, run_month, expiry, k1, k2, round(ask1 - bid, 4) AS net_debit, round(k2 - k1, 4) AS width FROM l WHERE n = 1 AND bid > 0""",
+    "oi_gamma": f"""WITH {CHAIN}, a AS (SELECT ticker, run_month, expiry, CAST(coalesce(sum(oi) FILTER (type = 'call'), 0) AS BIGINT) AS calls, CAST(coalesce(sum(oi) FILTER (type = 'put'), 0) AS BIGINT) AS puts FROM {_first(14, 45)} WHERE abs(strike - s) <= 0.05 * s GROUP BY 1, 2, 3), b AS (SELECT *, CASE WHEN puts = 0 THEN 2.0 ELSE calls / puts END AS r FROM a)
+ SELECT ticker, run_month, expiry, calls, puts, round(r, 6) AS ratio, CASE WHEN calls + puts < 100 THEN 'unavailable' WHEN r > 1.5 THEN 'positive' WHEN r < 0.70 THEN 'negative' ELSE 'neutral' END AS gamma FROM b""",
+    "term_structure": f"WITH {CHAIN}, {TERM} SELECT ticker, run_month, dte, iv, n FROM term",
+    "term_score": f"""WITH {CHAIN}, {TERM}, t AS (SELECT ticker, run_month, arg_min(iv, dte) AS short, arg_max(iv, dte) AS long, count(*) AS points FROM term GROUP BY 1, 2)
+ SELECT ticker, run_month, points, round(CASE WHEN points >= 2 AND long > 0 THEN least(greatest((short / long - 1 + 0.05) * 100, 0.0), 80.0) ELSE 20.0 END, 4) AS term_score FROM t""",
+    "skew": f"""WITH {CHAIN}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker, run_month, type ORDER BY round(abs(strike - s), 6), strike, row) AS k FROM {_first(20, 50, "iv > 0.01")}),
+ b AS (SELECT ticker, run_month, max(iv) FILTER (type = 'put') AS put_iv, max(iv) FILTER (type = 'call') AS call_iv FROM k WHERE k = 1 GROUP BY 1, 2)
+ SELECT *, round(put_iv / call_iv, 6) AS skew_ratio, CASE WHEN put_iv / call_iv >= 1.20 THEN 'bearish_skew' WHEN put_iv / call_iv <= 0.85 THEN 'bullish_skew' ELSE 'neutral' END AS signal FROM b WHERE put_iv IS NOT NULL AND call_iv > 0""",
+    "option_liquidity": f"WITH {CHAIN} SELECT ticker, run_month, count(DISTINCT expiry) AS expiries, count(DISTINCT expiry) >= 2 AS liquid FROM chain JOIN runs USING (expiry) GROUP BY 1, 2",
+    "option_quotes": f"""WITH {CHAIN}, t AS (SELECT trade_id, ticker, expiry, strike, type FROM {as_sql('lineitem', *POSITIONS)}),
+ b AS (SELECT t.trade_id, c.row, c.type AS quoted_type, c.bid, c.ask, row_number() OVER (PARTITION BY t.trade_id ORDER BY (c.type <> t.type)::INT, round(abs(c.strike - t.strike), 6), c.row) AS k FROM t JOIN chain c ON c.ticker = t.ticker AND c.expiry = t.expiry AND round(abs(c.strike - t.strike), 6) <= 0.01)
+ SELECT t.trade_id, b.row, b.quoted_type, round(CASE WHEN b.bid > 0 AND b.ask > 0 THEN (b.bid + b.ask) / 2 WHEN b.ask > 0 THEN b.ask ELSE 0 END, 7) AS mid FROM t LEFT JOIN b ON b.trade_id = t.trade_id AND k = 1""",
     "running_peak": f"WITH {OUT} SELECT trade_id, event_id, round(outcome, 6) AS outcome, round(peak, 6) AS peak FROM o",
     "exit_first_fire": f"""WITH {OUT}, f AS (SELECT *, CASE WHEN outcome <= -0.45 THEN 'stop_loss' WHEN outcome >= 0.50 THEN 'take_profit' WHEN date_diff('day', CAST(entry AS DATE), CAST(ts AS DATE)) >= 14 THEN 'max_holding_period' END AS reason FROM o)
  SELECT trade_id, event_id, reason, round(outcome, 6) AS outcome, round(peak, 6) AS peak FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM f WHERE reason IS NOT NULL) WHERE k = 1""",
@@ -107,3 +140,4 @@ SQL: dict[str, str] = {
     "weighted_sentiment": f"""WITH {_POSTS}, w AS (SELECT source, CAST(round(credibility * 1000) AS BIGINT) AS w, (bull - bear) / (bull + bear + 1) AS t FROM cred) SELECT source, count(*) AS mentions, round(greatest(-1.0, least(1.0, coalesce(sum(w * t) / nullif(sum(w), 0), 0.0))), 6) AS sentiment FROM w GROUP BY 1""",
     "top_posts": f"WITH {_POSTS} SELECT source, rank, id, credibility FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY credibility DESC, id) AS rank FROM cred) WHERE rank <= 5",
 }
+SQL |= PROPOSAL_SQL

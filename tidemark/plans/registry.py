@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, lifecycle, options, prices, text
+from tidemark.operators import ledger, lifecycle, options, prices, proposals, text
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters
 from tidemark.streaming.news import news_window
@@ -47,11 +47,28 @@ def queries() -> dict[str, Query]:
             "rolling_rv_rank": prices.rv_rank,
         },
         adapters.chain: {
+            "first_expiry": options.first_expiry,
             "atm_nearest": options.atm_nearest,
             "contract_pick": options.contract_pick,
             "spread_leg": options.spread_leg,
             "oi_gamma": options.dealer_gamma,
             "straddle_move": options.straddle,
+            "term_structure": options.term_structure,
+            "term_score": options.term_score,
+            "skew": options.skew,
+            "option_liquidity": options.liquidity,
+        },
+        adapters.proposals: {
+            "option_roi": proposals.option_roi,
+            "trade_score": proposals.scored,
+            "proposal_rank": proposals.ranked,
+            "reject_tally": proposals.reject_tally,
+            "funnel_month": proposals.funnel,
+            "position_size": proposals.sized,
+            "exit_sheet": proposals.exit_sheet,
+            "strategy_choice": proposals.strategies,
+            "roi_gap_spread": proposals.gap_spread,
+            "best_rejects": proposals.best_rejects,
         },
         adapters.marks: {
             "running_peak": lifecycle.running_peak,
@@ -63,6 +80,8 @@ def queries() -> dict[str, Query]:
         adapters.posts: {"post_credibility": text.credibility, "weighted_sentiment": text.weighted_sentiment, "top_posts": text.top_posts},
     }
     out: dict[str, Query] = {name: _over(source, op) for source, ops in by.items() for name, op in ops.items()}
+    out["option_quotes"] = lambda spark, sf_dir: options.quotes(adapters.chain(spark, sf_dir), adapters.line_trades(spark, sf_dir))
+    out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
     out["stream_news_window"] = news_window
     return out
 

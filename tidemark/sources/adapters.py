@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.sheets import Sheet, add
+
+#: Tells lines apart: their order and number repeat.
+LINE_ID = "(l_orderkey * 10 + l_linenumber) * 10000000000 + cast(round(l_extendedprice * 100) as bigint) * 97 + l_partkey % 97"
+#: Contracts expire in the middle of a month.
+EXPIRY = "cast(date_trunc('month', l_shipdate) as date) + 14"
 # What an order's priority stands for.
 STRATEGY = {"1": "LONG_CALL", "2": "BULL_CALL_SPREAD", "3": "LONG_PUT", "4": "BEAR_PUT_SPREAD", "5": "LONG_CALL"}
 CATALYST = {"1": "EARNINGS", "2": "FDA", "3": "MA", "4": "INSIDER"}
@@ -51,19 +57,20 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, expiry, type, strike, bid, ask, oi, iv, row."""
+    """ticker, expiry, type, strike, bid, ask, oi (25 contracts a unit), iv, delta (unknown for some), row."""
     line = table(spark, sf_dir, "lineitem")
     strike = F.expr("(cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint)) / 100")
     return line.select(
         F.col("l_suppkey").alias("ticker"),
-        F.to_date("l_shipdate").alias("expiry"),
+        F.expr(EXPIRY).alias("expiry"),
         F.when(F.col("l_returnflag") == "R", "put").otherwise("call").alias("type"),
         strike.alias("strike"),
         F.round(strike * (0.05 + F.col("l_discount")), 4).alias("ask"),
         F.round(strike * (0.05 + F.col("l_discount")) * (1 - F.col("l_tax")), 6).alias("bid"),
-        F.col("l_quantity").cast("long").alias("oi"),
+        (F.col("l_quantity").cast("long") * 25).alias("oi"),
         F.round(0.2 + F.col("l_tax"), 2).alias("iv"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"),
+        F.when(F.col("l_partkey") % 4 != 0, (40 + F.col("l_partkey") % 45) / 100).alias("delta"),
+        F.expr(LINE_ID).alias("row"),
     )
 
 
@@ -81,3 +88,92 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source, text, score, comments."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text", F.col("n_chars").alias("score"), (F.col("doc_id") % 50).alias("comments"))
+
+
+#: A proposal from each line of an order. Prices, marks and texts follow from its keys; all of them are as wide as real ones.
+PROPOSALS: list[Sheet] = [
+    {
+        "proposal_id": LINE_ID,
+        "run_date": "cast(l_shipdate as date)",
+        "ticker": "l_suppkey",
+        "symbol": "case when l_orderkey % 97 = 0 then ' ' else cast(l_suppkey as string) end",
+        "strike": "cast(floor(round(l_extendedprice * 100) / l_quantity) as double) / 100",
+        "direction": "case when l_orderkey % 11 = 3 then 'BEARISH' else 'BULLISH' end",
+        "dte": "case when l_orderkey % 9 = 0 then 20 + l_partkey % 100 else 118 + l_partkey % 240 end",
+        "iv": "case when l_orderkey % 23 = 0 then 0 else 0.2 + l_tax end",
+        "iv_rank": "cast((l_partkey * 7 + l_linenumber) % 101 as double)",
+        "hit_rate": "case when l_orderkey % 89 = 0 then 1.5 else cast(38 + (l_orderkey * 3 + l_linenumber) % 40 as double) / 100 end",
+        "delta": "case when l_partkey % 4 = 0 then null else cast(40 + l_partkey % 45 as double) / 100 end",
+        "catalyst_text": "case l_orderkey % 6 when 0 then 'Q3 Earnings beat' when 1 then 'Merger talks' when 2 then 'Insider buying' when 3 then 'Product launch' when 4 then 'Decision due' else 'Raised guidance' end",
+        "fda": "l_orderkey % 6 = 4",
+        "insider_cluster": "l_orderkey % 13 = 5",
+        "eps_drift": "case when l_partkey % 8 = 0 then null else cast(l_partkey % 25 - 12 as double) / 100 end",
+        "verdict": "case when l_orderkey % 31 = 7 then 'VETO' when l_orderkey % 31 < 3 then null else 'PASS' end",
+        "argument": "case when l_partkey % 37 = 5 then 'Narrative Mismatch: wrong segment' when l_partkey % 5 = 0 then null else 'Valuation is rich' end",
+        "reason_text": "case l_partkey % 7 when 0 then 'Wachstum stieg' when 1 then 'Gewinn trotz Warnung' when 2 then 'Verlust erwartet' else 'Neue Produkte' end",
+        "category": "case l_partkey % 12 when 0 then 'routine_news' when 1 then 'bearish_reversal' else 'catalyst' end",
+        "decision": "case when l_orderkey % 17 = 2 then '[NO]' else '[YES]' end",
+        "n_expiries": "1 + l_partkey % 19",
+        "horizon": "case l_orderkey % 5 when 0 then '4-8 Wochen' when 1 then '2-3 Monate' when 2 then '6 Monate' when 3 then 'ca. 6 Monate' else null end",
+        "concern": "case when l_partkey % 10 = 4 then 'high' else 'low' end",
+        "impact": "2 + (l_orderkey + l_linenumber) % 9",
+        "surprise": "2 + l_partkey % 9",
+        "severity": "l_suppkey % 9 + l_linenumber % 2",
+        "move_48h": "cast(l_partkey % 13 - 6 as double) / 1000",
+        "sigma_30": "case when l_partkey % 41 = 0 then 0 else 0.01 + l_discount / 10 end",
+        "gamma": "case l_suppkey % 4 when 0 then 'negative' when 1 then 'positive' else 'neutral' end",
+        "vix_structure": "case l_linenumber % 4 when 0 then 'backwardation' when 1 then 'contango' when 2 then 'flat' else 'unknown' end",
+        "vix": "case when l_orderkey % 43 = 0 then null else cast(14 + l_orderkey % 23 as double) end",
+        "straddle_move": "0.05 + l_discount",
+        "intraday_move": "cast(l_partkey % 21 - 10 as double) / 100",
+        "sector": "case l_suppkey % 14 when 0 then 'Technology' when 1 then 'Healthcare' when 2 then 'Biotechnology' when 3 then 'Financial Services' when 4 then 'Financials' when 5 then 'Energy' when 6 then 'Consumer Cyclical' when 7 then 'Consumer Defensive' when 8 then 'Industrials' when 9 then 'Basic Materials' when 10 then 'Real Estate' when 11 then 'Utilities' when 12 then 'Communication Services' else 'Other' end",
+        "sector_strength": "case when l_partkey % 6 = 0 then null else cast(l_partkey % 41 - 20 as double) / 100 end",
+        "macro_regime": "case l_orderkey % 4 when 0 then 'expansive' when 1 then 'neutral' when 2 then 'unknown' else 'recessionary' end",
+        "open_interest": "cast(l_quantity as bigint) * 25",
+        "days_to_earnings": "l_partkey % 60 - 5",
+        "gex": "case when l_suppkey % 5 = 0 then null else cast(l_partkey % 41 - 20 as double) * 50000000 end",
+        "positioning": "case l_linenumber % 3 when 0 then 'bullish' when 1 then 'bearish' else 'neutral' end",
+        "call_flow": "cast(l_partkey % 9 as double)",
+        "put_flow": "cast(l_partkey % 7 as double)",
+        "iv_percentile": "case when l_suppkey % 6 = 0 then null else cast(l_partkey % 101 as double) end",
+    },
+    {
+        "price": "round(strike * (96 + l_partkey % 9) / 100, 4)",
+        "short_strike": "round(strike * 110 / 100, 4)",
+        "ask": "round(strike * (0.05 + l_discount), 4)",
+        "strategy": "case when direction = 'BULLISH' then case when l_linenumber % 2 = 0 then 'BULL_CALL_SPREAD' else 'LONG_CALL' end when l_linenumber % 2 = 0 then 'BEAR_PUT_SPREAD' else 'LONG_PUT' end",
+    },
+    {
+        "target": "round(price * (105 + l_orderkey % 30) / 100, 6)",
+        "bid": "round(ask * (1 - l_tax), 6)",
+        "net_debit": "case when strategy like '%SPREAD%' then round(ask * 60 / 100, 6) end",
+    },
+]
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(table(spark, sf_dir, "lineitem"), *PROPOSALS)
+
+
+def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trade_id, ticker, expiry, strike, type: positions whose strikes are off the chain's by up to two cents, or of the other type."""
+    return add(table(spark, sf_dir, "lineitem"), *POSITIONS).select("trade_id", "ticker", "expiry", "strike", "type")
+
+
+POSITIONS: list[Sheet] = [
+    {
+        "trade_id": LINE_ID,
+        "ticker": "l_suppkey",
+        "expiry": EXPIRY,
+        "strike": "round(cast(floor(round(l_extendedprice * 100) / l_quantity) + l_partkey % 5 - 2 as double) / 100, 2)",
+        "type": "case when (l_returnflag = 'R') = (l_partkey % 3 > 0) then 'put' else 'call' end",
+    }
+]
+#: Outcomes by feature and bin, from lines of orders.
+LINE_BINS = """SELECT 'impact' AS feature, CASE WHEN l_linenumber <= 4 THEN 'low' WHEN l_linenumber <= 6 THEN 'mid' ELSE 'high' END AS bin, (l_partkey % 21 - 10) / 100 AS outcome FROM {lines}
+  UNION ALL SELECT 'mismatch', CASE WHEN l_quantity < 15 THEN 'weak' WHEN l_quantity <= 30 THEN 'good' ELSE 'strong' END, (l_partkey % 21 - 10) / 100 FROM {lines}"""
+
+
+def line_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature, bin, outcome."""
+    return spark.sql(LINE_BINS, lines=table(spark, sf_dir, "lineitem"))
