@@ -66,14 +66,16 @@ def test_cooldown_holds_only_entered_trades_against_a_ticker(spark):
         if r["ticker"] not in last or (r["entry_date"] - last[r["ticker"]]).days > 30:
             last[r["ticker"]] = r["entry_date"]
             want.add((r["trade_id"], r["ticker"], r["entry_date"]))
-    got = registry.queries()["cooldown_entered"](spark, DIR).collect()
+    got = registry.queries()["cooldown_antijoin"](spark, DIR).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_suggestion_of_a_better_threshold(spark):
     from tidemark.operators.ledger import threshold_suggest
 
-    rows = [(3.0, 0.5)] * 25 + [(6.9, -0.8)] * 10
+    rows = [(3.0, 0.5)] * 25 + [(8.0, -0.8)] * 10  # all losers at the current limit
     t = spark.createDataFrame(rows, "mismatch double, outcome double").selectExpr("*", "200L as dte", "5L as impact", "5L as surprise", "60L as score")
-    got = threshold_suggest(t).where("field = 'mismatch'").collect()
-    assert [r["suggested"] for r in got] == [5.0] and got[0]["n"] == 25
+    got = threshold_suggest(t, {"mismatch": 8}).collect()
+    assert [(r["field"], r["current"], r["suggested"], r["n"]) for r in got] == [("mismatch", 8.0, 4.0, 25)]
+    assert threshold_suggest(t.limit(10), {"mismatch": 8}).count() == 0  # too few
+    assert threshold_suggest(t, {"mismatch": 7.5}).count() == 0  # no gain over a limit that isn't offered

@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def or_default(col: Column | str, default: float) -> Column:
-    """NULL and 0 both mean missing."""
-    return F.coalesce(F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(0)), F.lit(default))
-
-
 def clamp(col: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col))
 
@@ -36,13 +31,15 @@ def first_reason(*gates: tuple[Column, str]) -> Column:
     return out
 
 
-def trade_stats(outcome: str = "outcome") -> list[Column]:
-    """n, win_rate, mean, median, total_losses of a group of trades."""
-    o = F.col(outcome)
+def trade_stats(outcome: str = "outcome", times: str = "times") -> list[Column]:
+    """n, win_rate, mean, median, total_losses of a group of rows (outcome, times): each outcome counts `times` times. Rows are
+    counted by outcome first, which shrinks before the shuffle; the exact median then reads counts of distinct outcomes."""
+    o, c = F.col(outcome), F.col(times)
+    n = F.sum(c)
     return [
-        F.count(o).alias("n"),
-        F.round(F.avg((o > 0).cast("double")), 6).alias("win_rate"),
-        F.round(F.avg(o), 6).alias("mean"),
-        F.round(F.median(o), 6).alias("median"),
-        F.count_if(o <= -0.99).alias("total_losses"),
+        n.alias("n"),
+        F.round(F.sum(F.when(o > 0, c).otherwise(0)) / n, 6).alias("win_rate"),
+        F.round(F.sum(o * c) / n, 6).alias("mean"),
+        F.round(F.percentile(o, 0.5, c), 6).alias("median"),
+        F.sum(F.when(o <= -0.99, c).otherwise(0)).alias("total_losses"),
     ]

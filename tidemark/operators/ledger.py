@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import clamp, safe_corr, steps, trade_stats
 
 # Thresholds of the sweep, by field; mismatch is an upper limit, the others are lower ones.
-SWEEP = {"dte": (30, 45, 60, 90, 120), "mismatch": (5, 6, 7, 8), "impact": (4, 5, 6, 7), "surprise": (3, 4, 5, 6), "score": (40, 50, 55, 60, 70)}
-CURRENT = {"dte": 120, "mismatch": 7, "impact": 4, "surprise": 3, "score": 55}
+SWEEP = {"dte": (30, 45, 60, 90, 120), "mismatch": (5, 6, 7, 8), "impact": (4, 5, 6, 7), "surprise": (3, 4, 5, 6), "hit_rate": (0.45, 0.50, 0.55, 0.60), "score": (40, 50, 55, 60, 70)}
+# Alternatives of the thresholds that may be tuned.
+TUNABLE = {"dte": (30, 45, 60, 90, 120), "mismatch": (4, 5, 6, 7, 8), "impact": (4, 5, 6), "surprise": (3, 4, 5), "score": (40, 50, 55, 60, 70)}
+CURRENT = {"dte": 120, "mismatch": 8, "impact": 4, "surprise": 3, "score": 55}
+UPPER = ("mismatch",)
 
 
 def scored(trades: DataFrame) -> DataFrame:
@@ -17,25 +20,40 @@ def scored(trades: DataFrame) -> DataFrame:
     return trades.where("outcome is not null")
 
 
-def threshold_sweep(trades: DataFrame) -> DataFrame:
-    """field, threshold and the statistics of the trades within it. Each row meets 22 thresholds before a partial aggregate."""
-    grid = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(t)).alias("threshold"), (F.col(f) <= t if f == "mismatch" else F.col(f) >= t).alias("ok")) for f, ts in SWEEP.items() for t in ts])
-    rows = scored(trades).select("outcome", F.explode(grid).alias("g")).where("g.ok")
-    return rows.groupBy(F.col("g.field").alias("field"), F.col("g.threshold").alias("threshold")).agg(*trade_stats())
-
-
-def threshold_suggest(trades: DataFrame, least: int = 20, gain: float = 0.05) -> DataFrame:
-    """For each field the alternative with the best win rate, if it gains enough and its mean isn't worse."""
-    swept = threshold_sweep(trades)
-    now = F.create_map(*[F.lit(x) for f, t in CURRENT.items() for x in (f, float(t))])
-    current = swept.where(F.col("threshold") == F.element_at(now, F.col("field"))).select("field", F.col("threshold").alias("current"), F.col("win_rate").alias("current_win_rate"), F.col("mean").alias("current_mean"))
-    better = swept.join(F.broadcast(current), "field").where((F.col("n") >= least) & (F.col("threshold") != F.col("current")) & (F.col("win_rate") >= F.col("current_win_rate") + gain) & (F.col("mean") >= F.col("current_mean")))
+def counted(trades: DataFrame, *keys) -> DataFrame:
+    """keys, outcome, times."""
+    return trades.groupBy(*keys, "outcome").agg(F.count("*").alias("times"))
+
+
+def threshold_sweep(trades: DataFrame, grid: dict[str, tuple] = SWEEP) -> DataFrame:
+    """field, threshold and the statistics of the trades within it. A row becomes one row a field, with the number of thresholds
+    that it meets; only counts of (field, number, outcome) then meet the thresholds. Rows without a field's value are left out of it."""
+    known = {f: ts for f, ts in grid.items() if f in trades.columns}
+    meets = lambda f, t: F.when(F.col(f) <= t if f in UPPER else F.col(f) >= t, 1).otherwise(0)
+    fields = [F.struct(F.lit(f).alias("field"), F.when(F.col(f).isNotNull(), sum((meets(f, t) for t in ts), F.lit(0))).alias("met")) for f, ts in known.items()]
+    counts = counted(scored(trades).select("outcome", F.explode(F.array(*fields)).alias("g")).where("g.met > 0"), F.col("g.field").alias("field"), F.col("g.met").alias("met"))
+    loosest = F.create_map(*[x for f, ts in known.items() for x in (F.lit(f), F.array(*[F.lit(float(t)) for t in (sorted(ts, reverse=f in UPPER))]))])
+    rows = counts.withColumn("threshold", F.explode(F.slice(F.element_at(loosest, F.col("field")), 1, F.col("met"))))
+    return rows.groupBy("field", "threshold", "outcome").agg(F.sum("times").alias("times")).groupBy("field", "threshold").agg(*trade_stats())
+
+
+def threshold_suggest(trades: DataFrame, current: dict[str, float] = CURRENT, least: int = 20, gain: float = 0.05) -> DataFrame:
+    """For each field the alternative with the best win rate (ties: the first), if it gains enough and its mean isn't worse than with
+    the current threshold, which needn't be among the alternatives. One sweep covers both."""
+    wanted = {f: tuple(sorted({*ts, current[f]})) for f, ts in TUNABLE.items() if f in current}
+    swept = threshold_sweep(trades, wanted)
+    now = F.element_at(F.create_map(*[F.lit(x) for f in wanted for x in (f, float(current[f]))]), F.col("field"))
+    by = Window.partitionBy("field")  # at most six rows a field
+    at_now = lambda c: F.max(F.when(F.col("threshold") == now, F.col(c))).over(by)
+    rows = swept.withColumn("current", now).withColumn("current_win_rate", at_now("win_rate")).withColumn("current_mean", at_now("mean"))
+    offered = F.array_contains(F.element_at(F.create_map(*[x for f, ts in TUNABLE.items() for x in (F.lit(f), F.array(*[F.lit(float(t)) for t in ts]))]), F.col("field")), F.col("threshold"))
+    better = rows.where(offered & (F.col("n") >= least) & (F.col("threshold") != F.col("current")) & (F.round(F.col("win_rate") - F.col("current_win_rate"), 6) >= gain) & (F.col("mean") >= F.col("current_mean")))
     best = Window.partitionBy("field").orderBy(F.desc("win_rate"), "threshold")
     return better.withColumn("k", F.row_number().over(best)).where("k = 1").select("field", "current", F.col("threshold").alias("suggested"), "n", "win_rate", "current_win_rate", "mean")
 
 
 def stats_by(trades: DataFrame, **keys) -> DataFrame:
-    return scored(trades).groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*trade_stats())
+    return counted(scored(trades), *[c.alias(n) for n, c in keys.items()]).groupBy(*keys).agg(*trade_stats())
 
 
 def month_over_month(trades: DataFrame) -> DataFrame:
@@ -57,12 +75,25 @@ def spread_vs_long(trades: DataFrame) -> DataFrame:
     return pair.withColumn("gap", F.round(gap, 6)).withColumn("ready", ready).withColumn("recommend", F.when(ready & (gap >= 0.10), "long").when(ready & (gap <= -0.10), "spread").otherwise("none"))
 
 
-def sector_concentration(trades: DataFrame) -> DataFrame:
-    s = stats_by(trades, sector=F.col("sector"))
-    wins = scored(trades).groupBy("sector").agg(F.count_if(F.col("outcome") > 0).alias("wins"))
-    every = Window.partitionBy()
-    out = s.join(wins, "sector").where("n >= 3").withColumn("share", F.round(F.col("wins") / F.sum("wins").over(every), 6))
-    return out.withColumn("dominant", F.col("share") > 0.5).select("sector", "n", "mean", "win_rate", "wins", "share", "dominant")
+def sector_stats(trades: DataFrame) -> DataFrame:
+    """n, mean, win_rate, wins of each sector, its share of all wins, and whether that is most of them. Groups of three at least are shown."""
+    known = F.col("outcome").isNotNull()
+    s = counted(trades.where(known), "sector").groupBy("sector").agg(*trade_stats(), F.sum(F.when(F.col("outcome") > 0, F.col("times")).otherwise(0)).alias("wins"))
+    every = Window.partitionBy()  # one row a sector
+    out = s.withColumn("share", F.round(F.try_divide("wins", F.sum("wins").over(every)), 6))
+    return out.where("n >= 3").withColumn("dominant", F.col("share") > 0.5).select("sector", "n", "mean", "win_rate", "wins", "share", "dominant")
+
+
+def sector_verdict(trades: DataFrame, total: int = 20) -> DataFrame:
+    """One row: how many trades there are, known or not; whether that is enough; the best and the worst sector; the one that has
+    most wins, if any; and the only sector with a positive mean, if all others have none."""
+    s = sector_stats(trades)
+    n = trades.agg(F.count("sector").alias("n"))
+    edge = lambda f: f(F.struct("sector", "mean"), F.struct("mean", "sector"))["sector"]
+    out = s.agg(F.count("*").alias("sectors"), edge(F.max_by).alias("best"), edge(F.min_by).alias("worst"), F.max(F.when(F.col("dominant"), F.col("sector"))).alias("dominant"), F.count_if(F.col("mean") > 0).alias("_up"), F.max(F.when(F.col("mean") > 0, F.col("sector"))).alias("_only"))
+    out = n.crossJoin(out)  # one row each
+    ready = F.col("n") >= total
+    return out.select("n", ready.alias("ready"), "sectors", "best", "worst", "dominant", F.when(ready & (F.col("_up") == 1) & (F.col("sectors") > 1), F.col("_only")).alias("recommended"))
 
 
 def bins():
@@ -89,25 +120,9 @@ def pearson_weights(trades: DataFrame, rate: float = 0.05) -> DataFrame:
     return r.select("n", *[F.round(c, 4).alias(f) for f, c in new.items()])
 
 
-def kelly(trades: DataFrame, budget: float = 1000.0) -> DataFrame:
-    """Fractional Kelly size of each open trade, its win rate taken from its score and its pay-off from its mismatch."""
-    p = clamp(F.col("score") / 100, 0.05, 0.75)
-    b = F.greatest(F.col("mismatch") / 10, F.lit(0.01))
-    f = p - (1 - p) / b
-    pct = F.least(F.greatest(f, F.lit(0.0)) * 0.25, F.lit(0.10))
-    return trades.where("source = 'open'").select("trade_id", F.round(f, 6).alias("kelly"), F.round(pct, 6).alias("pct"), F.floor(pct * budget * 10 / (F.col("dte") + 1)).alias("contracts"))
-
-
-def cooldown(trades: DataFrame, days: int = 30) -> DataFrame:
-    """Trades whose ticker has no earlier trade in the last `days` days; of one day's trades of a ticker, the first."""
-    w = Window.partitionBy("ticker").orderBy("entry_date", "trade_id")
-    gap = F.datediff("entry_date", F.lag("entry_date").over(w))
-    return trades.withColumn("gap", gap).where((F.col("gap") > days) | F.col("gap").isNull()).select("trade_id", "ticker", "entry_date")
-
-
 def cooldown_entered(trades: DataFrame, days: int = 30) -> DataFrame:
-    """As cooldown, but as the reference does it: a trade is held against the last one that was entered, not against
-    blocked ones. Of a day only the first trade can be entered, so a ticker is a fold over its days, however many rows
+    """Trades that are entered: a ticker that was entered in the last `days` days is blocked, also by the same batch; blocked
+    trades block nothing. Of a day only the first trade can be entered, so a ticker is a fold over its days, however many rows
     it has. Trades without a date neither block nor are blocked."""
     dated = trades.where("entry_date is not null").groupBy("ticker", "entry_date").agg(F.min("trade_id").alias("trade_id"))
     day = "array<struct<entry_date:date,trade_id:bigint>>"

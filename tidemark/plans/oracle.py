@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.functions.sheets import as_sql
-from tidemark.operators.ledger import CURRENT, SWEEP
+from tidemark.operators.ledger import CURRENT, SWEEP, TUNABLE
 from tidemark.operators.text import BEARISH, BULLISH
 from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
 from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS
@@ -13,7 +13,8 @@ TRADES = """trades AS (SELECT o_orderkey AS trade_id, o_custkey AS ticker, CAST(
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'EARNINGS' WHEN '2' THEN 'FDA' WHEN '3' THEN 'MA' WHEN '4' THEN 'INSIDER' END AS catalyst,
  r_name AS sector, o_custkey % 365 AS dte, (o_orderkey % 100) / 10 AS mismatch, o_orderkey % 10 + 1 AS impact, o_custkey % 10 + 1 AS surprise, o_orderkey % 101 AS score,
  CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'shadow' ELSE 'open' END AS source,
- CASE WHEN o_orderstatus IN ('F', 'P') THEN (CAST(round(o_totalprice * 100) AS BIGINT) % 200000) / 100000 - 1 END AS outcome
+ (o_orderkey * 7 + o_custkey) % 40 / 100 + 0.35::DOUBLE AS hit_rate,
+ CASE WHEN o_orderstatus IN ('F', 'P') THEN round((CAST(round(o_totalprice * 100) AS BIGINT) % 200000) / 100000 - 1 - CASE WHEN o_orderkey % 100 > 60 THEN 0.5::DOUBLE ELSE 0 END, 5) END AS outcome
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 BARS = """bars AS (SELECT n_name AS ticker, n_regionkey AS sector, CAST(l_shipdate AS DATE) AS d,
  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100 / CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS close, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
@@ -44,8 +45,16 @@ OUT = """o AS (SELECT *, max(outcome) OVER (PARTITION BY trade_id ORDER BY ts, e
  (SELECT user_id AS trade_id, ts, event_id, value, value / first(value) OVER w - 1 AS outcome, first(ts) OVER w AS entry FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))"""
 STATS = "count(outcome) AS n, round(avg(CAST(outcome > 0 AS INT)), 6) AS win_rate, round(avg(outcome), 6) AS mean, round(median(outcome), 6) AS median, count(*) FILTER (outcome <= -0.99) AS total_losses"
 
-_SWEPT = "swept AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {float(t)}::DOUBLE AS threshold, {STATS} FROM trades WHERE outcome IS NOT NULL AND {f} {'<=' if f == 'mismatch' else '>='} {t} HAVING count(*) > 0" for f, ts in SWEEP.items() for t in ts) + ")"
+
+
+def _swept(grid: dict[str, tuple]) -> str:
+    return "swept AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {float(t)}::DOUBLE AS threshold, {STATS} FROM trades WHERE outcome IS NOT NULL AND {f} {'<=' if f == 'mismatch' else '>='} {t}::DOUBLE HAVING count(*) > 0" for f, ts in grid.items() for t in ts) + ")"
+
+
 _NOW = "CASE field " + " ".join(f"WHEN '{f}' THEN {float(t)}::DOUBLE" for f, t in CURRENT.items()) + " END"
+_OFFERED = " OR ".join(f"field = '{f}' AND threshold IN ({', '.join(map(str, ts))})" for f, ts in TUNABLE.items())
+_SECTORS = f"""s AS (SELECT sector, {STATS}, count(*) FILTER (outcome > 0) AS wins FROM trades WHERE outcome IS NOT NULL GROUP BY 1),
+ sectors AS (SELECT * FROM (SELECT sector, n, mean, win_rate, wins, round(wins / sum(wins) OVER (), 6) AS share, round(wins / sum(wins) OVER (), 6) > 0.5 AS dominant FROM s) WHERE n >= 3)"""
 _BINS = """bins AS (SELECT outcome, 'impact' AS feature, CASE WHEN impact <= 4 THEN 'low' WHEN impact <= 7 THEN 'mid' ELSE 'high' END AS bin FROM c
  UNION ALL SELECT outcome, 'mismatch', CASE WHEN mismatch < 3 THEN 'weak' WHEN mismatch <= 6 THEN 'good' ELSE 'strong' END FROM c
  UNION ALL SELECT outcome, 'surprise', CASE WHEN surprise <= 4 THEN 'low' WHEN surprise <= 7 THEN 'mid' ELSE 'high' END FROM c)"""
@@ -62,10 +71,10 @@ def _by(keys: str, where: str = "outcome IS NOT NULL") -> str:
 
 
 SQL: dict[str, str] = {
-    "threshold_sweep": f"WITH {TRADES}, {_SWEPT} SELECT * FROM swept",
-    "threshold_suggest": f"""WITH {TRADES}, {_SWEPT}, cur AS (SELECT field, threshold AS current, win_rate AS current_win_rate, mean AS current_mean FROM swept WHERE threshold = {_NOW})
+    "threshold_sweep": f"WITH {TRADES}, {_swept(SWEEP)} SELECT * FROM swept",
+    "threshold_suggest": f"""WITH {TRADES}, {_swept({f: {*ts, CURRENT[f]} for f, ts in TUNABLE.items()})}, cur AS (SELECT field, threshold AS current, win_rate AS current_win_rate, mean AS current_mean FROM swept WHERE threshold = {_NOW})
  SELECT field, current, threshold AS suggested, n, win_rate, current_win_rate, mean FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY win_rate DESC, threshold) AS k FROM swept JOIN cur USING (field)
- WHERE n >= 20 AND threshold <> current AND win_rate >= current_win_rate + 0.05 AND mean >= current_mean) WHERE k = 1""",
+ WHERE ({_OFFERED}) AND n >= 20 AND threshold <> current AND round(win_rate - current_win_rate, 6) >= 0.05::DOUBLE AND mean >= current_mean) WHERE k = 1""",
     "trade_stats_by_month": _by("strftime(entry_date, '%Y-%m') AS month"),
     "catalyst_breakdown": _by("coalesce(catalyst, 'unknown') AS catalyst"),
     "month_over_month": f"""WITH {TRADES}, m AS (SELECT date_trunc('month', entry_date) AS m, {STATS} FROM trades WHERE outcome IS NOT NULL GROUP BY 1)
@@ -73,15 +82,17 @@ SQL: dict[str, str] = {
     "spread_vs_long": f"""WITH {TRADES}, s AS (SELECT CASE WHEN contains(strategy, 'SPREAD') THEN 'spread' ELSE 'long' END AS kind, {STATS} FROM trades WHERE outcome IS NOT NULL AND source = 'closed' GROUP BY 1),
  p AS (SELECT max(n) FILTER (kind = 'spread') AS spread_n, max(mean) FILTER (kind = 'spread') AS spread_mean, max(win_rate) FILTER (kind = 'spread') AS spread_win_rate, max(n) FILTER (kind = 'long') AS long_n, max(mean) FILTER (kind = 'long') AS long_mean, max(win_rate) FILTER (kind = 'long') AS long_win_rate FROM s)
  SELECT *, round(long_mean - spread_mean, 6) AS gap, spread_n >= 10 AND long_n >= 10 AS ready, CASE WHEN spread_n >= 10 AND long_n >= 10 AND long_mean - spread_mean >= 0.10 THEN 'long' WHEN spread_n >= 10 AND long_n >= 10 AND long_mean - spread_mean <= -0.10 THEN 'spread' ELSE 'none' END AS recommend FROM p""",
-    "sector_concentration": f"""WITH {TRADES}, s AS (SELECT sector, {STATS}, count(*) FILTER (outcome > 0) AS wins FROM trades WHERE outcome IS NOT NULL GROUP BY 1)
- SELECT sector, n, mean, win_rate, wins, round(wins / sum(wins) OVER (), 6) AS share, round(wins / sum(wins) OVER (), 6) > 0.5 AS dominant FROM s WHERE n >= 3""",
+    "sector_concentration": f"WITH {TRADES}, {_SECTORS} SELECT * FROM sectors",
+    "sector_verdict": f"""WITH {TRADES}, {_SECTORS} SELECT n, n >= 20 AS ready, sectors, best, worst, dominant, CASE WHEN n >= 20 AND up = 1 AND sectors > 1 THEN lone END AS recommended FROM (SELECT (SELECT count(sector) FROM trades) AS n, count(*) AS sectors,
+ (SELECT sector FROM sectors ORDER BY mean DESC, sector DESC LIMIT 1) AS best, (SELECT sector FROM sectors ORDER BY mean, sector LIMIT 1) AS worst, max(sector) FILTER (dominant) AS dominant, count(*) FILTER (mean > 0) AS up, max(sector) FILTER (mean > 0) AS lone FROM sectors)""",
     "bin_stats": f"WITH {TRADES}, c AS (SELECT * FROM trades WHERE outcome IS NOT NULL AND source = 'closed'), {_BINS} SELECT feature, bin, count(*) AS count, round(avg(outcome), 6) AS avg_return FROM bins GROUP BY 1, 2",
     "pearson_weights": f"""WITH {TRADES}, x AS (SELECT outcome, CASE WHEN impact <= 4 THEN 0.0 WHEN impact <= 7 THEN 0.5 ELSE 1.0 END::DOUBLE AS a, CASE WHEN mismatch < 3 THEN 0.0 WHEN mismatch <= 6 THEN 0.5 ELSE 1.0 END::DOUBLE AS b, CASE WHEN surprise <= 4 THEN 0.0 WHEN surprise <= 7 THEN 0.5 ELSE 1.0 END::DOUBLE AS c FROM trades WHERE outcome IS NOT NULL AND source = 'closed'),
  r AS (SELECT count(*) AS n, greatest(coalesce(covar_pop(a, outcome) / nullif(stddev_pop(a) * stddev_pop(outcome), 0), 0), 0) AS a, greatest(coalesce(covar_pop(b, outcome) / nullif(stddev_pop(b) * stddev_pop(outcome), 0), 0), 0) AS b, greatest(coalesce(covar_pop(c, outcome) / nullif(stddev_pop(c) * stddev_pop(outcome), 0), 0), 0) AS c FROM x)
  SELECT n, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.35 ELSE 0.35 + 0.05 * (a / (a + b + c) - 0.35) END, 4)::DOUBLE AS impact, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.45 ELSE 0.45 + 0.05 * (b / (a + b + c) - 0.45) END, 4)::DOUBLE AS mismatch, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.20 ELSE 0.20 + 0.05 * (c / (a + b + c) - 0.20) END, 4)::DOUBLE AS surprise FROM r""",
-    "kelly_size": f"""WITH {TRADES}, f AS (SELECT trade_id, dte, greatest(0.05, least(0.75, score / 100)) AS p, greatest(mismatch / 10, 0.01) AS b FROM trades WHERE source = 'open'), g AS (SELECT trade_id, dte, p - (1 - p) / b AS f FROM f)
- SELECT trade_id, round(f, 6) AS kelly, round(least(greatest(f, 0.0) * 0.25, 0.10), 6) AS pct, CAST(floor(least(greatest(f, 0.0) * 0.25, 0.10) * 1000.0 * 10 / (dte + 1)) AS BIGINT) AS contracts FROM g""",
-    "cooldown_antijoin": f"WITH {TRADES} SELECT trade_id, ticker, entry_date FROM (SELECT *, date_diff('day', lag(entry_date) OVER (PARTITION BY ticker ORDER BY entry_date, trade_id), entry_date) AS gap FROM trades) WHERE gap > 30 OR gap IS NULL",
+    "cooldown_antijoin": f"""WITH RECURSIVE {TRADES}, d AS (SELECT ticker, entry_date, min(trade_id) AS trade_id FROM trades GROUP BY 1, 2),
+ following AS (SELECT a.ticker, a.entry_date, min(b.entry_date) AS later FROM d a JOIN d b ON a.ticker = b.ticker AND b.entry_date > a.entry_date + 30 GROUP BY 1, 2),
+ e AS (SELECT ticker, min(entry_date) AS entry_date FROM d GROUP BY 1 UNION ALL SELECT e.ticker, f.later FROM e JOIN following f ON f.ticker = e.ticker AND f.entry_date = e.entry_date)
+ SELECT trade_id, ticker, entry_date FROM e JOIN d USING (ticker, entry_date)""",
     "shadow_maturity": f"""WITH {TRADES}, s AS (SELECT *, max(entry_date) OVER () AS latest FROM trades WHERE source <> 'closed')
  SELECT coalesce(catalyst, 'unknown') AS reason, count(*) AS total, count(*) FILTER (outcome IS NOT NULL) AS evaluated, count(*) FILTER (outcome IS NULL AND entry_date + 45 <= latest + 14) AS ready, min(entry_date + 45) FILTER (outcome IS NULL) AS next_date FROM s GROUP BY 1""",
     "trade_score_rank": f"""WITH {TRADES} SELECT entry_date, rank, trade_id, score, CASE WHEN score >= 75 THEN 'STRONG BUY' WHEN score >= 60 THEN 'BUY' WHEN score >= 45 THEN 'WATCH' ELSE 'AVOID' END AS grade

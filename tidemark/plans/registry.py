@@ -28,12 +28,11 @@ def queries() -> dict[str, Query]:
             "month_over_month": ledger.month_over_month,
             "catalyst_breakdown": lambda t: ledger.stats_by(t, catalyst=F.coalesce("catalyst", F.lit("unknown"))),
             "spread_vs_long": ledger.spread_vs_long,
-            "sector_concentration": ledger.sector_concentration,
+            "sector_concentration": ledger.sector_stats,
+            "sector_verdict": ledger.sector_verdict,
             "bin_stats": ledger.bin_stats,
             "pearson_weights": ledger.pearson_weights,
-            "kelly_size": ledger.kelly,
-            "cooldown_antijoin": ledger.cooldown,
-            "cooldown_entered": ledger.cooldown_entered,
+            "cooldown_antijoin": ledger.cooldown_entered,
             "shadow_maturity": ledger.shadow_maturity,
             "trade_score_rank": ledger.rank_trades,
             "reject_counts": ledger.gate_reasons,

@@ -42,7 +42,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 10 + 1).alias("surprise"),
         (F.col("o_orderkey") % 101).alias("score"),
         F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "P", "shadow").otherwise("open").alias("source"),
-        F.when(F.col("o_orderstatus").isin("F", "P"), cents / 100_000 - 1).alias("outcome"),
+        ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 40 / 100 + 0.35).alias("hit_rate"),
+        # late entries (a mismatch of over 6) do worse, so that a lower limit pays
+        F.when(F.col("o_orderstatus").isin("F", "P"), F.round(cents / 100_000 - 1 - F.when(F.col("o_orderkey") % 100 > 60, 0.5).otherwise(0.0), 5)).alias("outcome"),
     )
 
 
@@ -177,3 +179,13 @@ LINE_BINS = """SELECT 'impact' AS feature, CASE WHEN l_linenumber <= 4 THEN 'low
 def line_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """feature, bin, outcome."""
     return spark.sql(LINE_BINS, lines=table(spark, sf_dir, "lineitem"))
+
+
+#: A position's terms, from the id of the trade that its marks belong to.
+TERMS: Sheet = {
+    "strategy": "case when trade_id % 2 = 0 then 'BULL_CALL_SPREAD' else 'LONG_CALL' end",
+    "strike": "cast(100 as double)",
+    "short_strike": "case when trade_id % 2 = 0 then cast(100 + trade_id % 8 as double) end",
+    "entry_debit": "cast(1 + trade_id % 3 as double)",
+    "term_days": "20 + trade_id % 40",
+}
