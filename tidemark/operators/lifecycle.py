@@ -1,46 +1,123 @@
-"""Trade lifecycle over marks: running peak, first exit, trailing stop, sentiment drift; and the daily funnel."""
+"""Trade lifecycle over marks: outcomes, running peak, first exit, trailing stop, shadow evaluation, sentiment drift; and the daily funnel.
+
+Marks are trade_id, ts, event_id, value, in the order of (ts, event_id). A trade's first mark is an aggregate, so that a trade with
+very many marks is split over tasks; running maxima go day by day: the days' maxima are few rows a trade, and the window within a
+day has a day's marks of one trade."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.sheets import Sheet, add
+from tidemark.sources.adapters import TERMS
+
 # The funnel's stages in order.
 STAGES = ("view", "click", "signup", "purchase")
+#: Days that a position is held at most.
+HOLD = 45
+# Losses and gains that end a position; the share of the largest gain that ends a spread; of the peak, a trailing one.
+RULES: list[Sheet] = [
+    {
+        "stop": "case when strategy like '%SPREAD%' then cast(-0.50 as double) else cast(-0.45 as double) end",
+        "take": "case when strategy like '%SPREAD%' and short_strike > strike and strike > 0 and entry_debit > 0 then (short_strike - strike - entry_debit) * 0.70 / entry_debit else cast(0.50 as double) end",
+    },
+    {
+        "reason": "case when outcome <= stop then 'stop_loss' when outcome >= take then 'take_profit' when term_days > 0 and term_days - age <= term_days * 0.5 and outcome < 0.20 then 'time_exit' when age >= {hold} then 'max_holding_period' end",
+    },
+]
+TRAIL = 0.65
 
 
-def in_order():
-    return Window.partitionBy("trade_id").orderBy("ts", "event_id")
+def rules(hold: int = HOLD) -> list[Sheet]:
+    return [RULES[0], {"reason": RULES[1]["reason"].format(hold=hold)}]
 
 
 def outcomes(marks: DataFrame) -> DataFrame:
-    """outcome: value over the trade's first value less 1; peak: highest outcome so far."""
-    rows = marks.withColumn("first", F.first("value").over(in_order())).withColumn("entry", F.first("ts").over(in_order()))
-    rows = rows.withColumn("outcome", F.try_divide(F.col("value"), F.col("first")) - 1)
-    return rows.withColumn("peak", F.max("outcome").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    """entry (time of the first mark), age in days, outcome: value over the trade's first value less 1, unknown if that is 0."""
+    mark = F.struct("ts", "event_id")
+    first = marks.groupBy("trade_id").agg(F.min_by("value", mark).alias("first"), F.min("ts").alias("entry"))
+    rows = marks.join(first, "trade_id")
+    return rows.withColumn("outcome", F.try_divide("value", "first") - 1).withColumn("age", F.datediff("ts", "entry")).withColumn("day", F.to_date("ts"))
+
+
+def running_max(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows(trade_id, day, ts, event_id, ...) with the largest value up to each mark."""
+    days = rows.groupBy("trade_id", "day").agg(F.max(value).alias("most"))
+    before = days.withColumn("earlier", F.max("most").over(Window.partitionBy("trade_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).drop("most")
+    within = Window.partitionBy("trade_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(before, ["trade_id", "day"]).withColumn(name, F.greatest("earlier", F.max(value).over(within))).drop("earlier")
 
 
 def running_peak(marks: DataFrame) -> DataFrame:
-    return outcomes(marks).select("trade_id", "event_id", F.round("outcome", 6).alias("outcome"), F.round("peak", 6).alias("peak"))
+    return running_max(outcomes(marks), "outcome", "peak").select("trade_id", "event_id", F.round("outcome", 6).alias("outcome"), F.round("peak", 6).alias("peak"))
+
+
+def fired(marks: DataFrame, hold: int = HOLD) -> DataFrame:
+    """Marks at which a rule ends the trade, with its reason; terms as in TERMS, of the trade's id."""
+    return add(outcomes(marks), TERMS, *rules(hold)).where("reason is not null")
+
+
+def first_exit(marks: DataFrame, hold: int = HOLD) -> DataFrame:
+    """The first mark at which a rule fires, and the highest outcome up to it."""
+    rows = running_max(outcomes(marks), "outcome", "peak")
+    x = add(rows, TERMS, *rules(hold)).where("reason is not null").groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "reason", "outcome", "peak", "age")).alias("x"))
+    return x.select("trade_id", "x.event_id", "x.reason", F.round("x.outcome", 6).alias("outcome"), F.round("x.peak", 6).alias("peak"), "x.age")
+
+
+def exit_alerts(marks: DataFrame, hold: int = HOLD) -> DataFrame:
+    """By day and reason: the trades that end, and their mean outcome and age."""
+    x = fired(marks, hold).groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "reason", "outcome", "age")).alias("x"))
+    return x.groupBy(F.to_date("x.ts").alias("day"), F.col("x.reason").alias("reason")).agg(F.count("*").alias("trades"), F.round(F.avg("x.outcome"), 6).alias("mean_outcome"), F.round(F.avg("x.age"), 6).alias("mean_age"))
+
 
+def trailing_stop(marks: DataFrame, hold: int = HOLD) -> DataFrame:
+    """A trade that takes its profit is followed on: it ends at the first mark at or under 65 % of its peak so far, or at the expiry,
+    which is the reason if both hold; open if neither comes."""
+    o = add(outcomes(marks), TERMS, *rules(hold))
+    exits = o.where("reason is not null").groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "reason", "outcome")).alias("tp")).where("tp.reason = 'take_profit'")
+    upto = o.join(exits, "trade_id")
+    peak = upto.where("struct(ts, event_id) <= struct(tp.ts, tp.event_id)").groupBy("trade_id").agg(F.max("outcome").alias("seed"))
+    later = upto.where("struct(ts, event_id) > struct(tp.ts, tp.event_id)").join(peak, "trade_id")
+    later = running_max(later, "outcome", "top").withColumn("top", F.greatest("top", "seed"))
+    over = F.col("age") >= F.col("term_days")
+    hit = later.where(over | (F.col("outcome") <= F.col("top") * TRAIL)).groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "outcome", F.when(over, "expiry").otherwise("trail_stop").alias("reason"))).alias("h"))
+    return exits.join(hit, "trade_id", "left").select("trade_id", F.round("tp.outcome", 6).alias("tp_outcome"), F.round("h.outcome", 6).alias("trailing_outcome"), F.col("h.reason").alias("close_reason"))
 
-def first_exit(marks: DataFrame, hold: int = 14) -> DataFrame:
-    """The first mark at which a rule fires: stop loss -.45, take profit .50, or the holding period."""
-    o = outcomes(marks)
-    reason = F.when(F.col("outcome") <= -0.45, "stop_loss").when(F.col("outcome") >= 0.50, "take_profit").when(F.datediff("ts", "entry") >= hold, "max_holding_period")
-    fired = o.withColumn("reason", reason).where("reason is not null")
-    x = fired.groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "reason", "outcome", "peak")).alias("x"))
-    return x.select("trade_id", "x.event_id", "x.reason", F.round("x.outcome", 6).alias("outcome"), F.round("x.peak", 6).alias("peak"))
 
+def trailing_verdict(trailing: DataFrame, least: int = 5) -> DataFrame:
+    """One row: open and closed trailing trades, means and medians of both exits, how often trailing is better, and whether it pays."""
+    closed = F.col("trailing_outcome").isNotNull()
+    own = lambda c: F.when(closed, F.col(c))
+    delta = own("trailing_outcome") - own("tp_outcome")
+    a = trailing.agg(F.count_if(~closed).alias("open"), F.count_if(closed).alias("closed"), F.avg(own("tp_outcome")).alias("tp"), F.avg(own("trailing_outcome")).alias("trail"), F.percentile(own("tp_outcome"), 0.5).alias("tp_mid"), F.percentile(own("trailing_outcome"), 0.5).alias("trail_mid"), F.avg(delta).alias("delta"), F.avg((delta > 0).cast("double")).alias("better"))
+    ready = F.col("closed") >= least
+    names = {"tp": "mean_tp", "trail": "mean_trailing", "tp_mid": "median_tp", "trail_mid": "median_trailing", "delta": "mean_delta", "better": "share_better"}
+    return a.select("open", "closed", *[F.round(c, 6).alias(n) for c, n in names.items()], ready.alias("ready"), (ready & (F.coalesce("delta", F.lit(0.0)) >= 0.05)).alias("recommended"))
 
-def trailing_stop(marks: DataFrame) -> DataFrame:
-    """After the first take profit: the first mark at or under 65 % of the peak since, next to the hard exit."""
-    o = outcomes(marks)
-    tp = o.where("outcome >= 0.5").groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "outcome")).alias("tp"))
-    later = o.join(tp, "trade_id").where("struct(ts, event_id) > struct(tp.ts, tp.event_id)")
-    later = later.withColumn("top", F.greatest("tp.outcome", F.max("outcome").over(in_order().rowsBetween(Window.unboundedPreceding, 0))))
-    hit = later.where("outcome <= top * 0.65").groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "outcome")).alias("h"))
-    return tp.join(hit, "trade_id", "left").select("trade_id", F.round("tp.outcome", 6).alias("tp_outcome"), F.round("h.outcome", 6).alias("trailing_outcome"))
+
+def shadow_outcome(marks: DataFrame, hold: int = HOLD) -> DataFrame:
+    """A shadow's outcome: that of its first mark at the age of `hold` days or more that has one."""
+    x = outcomes(marks).where((F.col("age") >= hold) & F.col("outcome").isNotNull()).groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "outcome", "age")).alias("x"))
+    return x.select("trade_id", "x.event_id", F.round("x.outcome", 4).alias("outcome"), "x.age")
+
+
+def as_of(marks: DataFrame, asked: DataFrame) -> DataFrame:
+    """For asked(trade_id, asof) the last value at or before that time; unknown if there is none. An equi-join and an aggregate,
+    no range join: a trade's marks up to the time shrink to one on the map side."""
+    both = asked.join(marks, "trade_id", "left").groupBy("trade_id", "asof").agg(F.max(F.when(F.col("ts") <= F.col("asof"), F.struct("ts", "event_id", "value"))).alias("x"))
+    return both.select("trade_id", "asof", "x.event_id", "x.value")
+
+
+def daily_last(marks: DataFrame) -> DataFrame:
+    return marks.withColumn("d", F.to_date("ts")).groupBy("trade_id", "d").agg(F.max_by("value", F.struct("ts", "event_id")).alias("score"))
+
+
+def daily_first(marks: DataFrame, keep: int = 120) -> DataFrame:
+    """The first value of each day, of the last `keep` days of a trade."""
+    d = marks.withColumn("d", F.to_date("ts")).groupBy("trade_id", "d").agg(F.min_by("value", F.struct("ts", "event_id")).alias("value"))
+    back = F.row_number().over(Window.partitionBy("trade_id").orderBy(F.desc("d")))
+    return d.withColumn("back", back).where(F.col("back") <= keep).select("trade_id", "d", "value")
 
 
 def killer_gate(funnel: DataFrame) -> DataFrame:
@@ -51,18 +128,27 @@ def killer_gate(funnel: DataFrame) -> DataFrame:
     return rows.groupBy("gate").agg(F.count("*").alias("days"), F.countDistinct("desk").alias("desks"))
 
 
-def drought_streak(funnel: DataFrame) -> DataFrame:
-    """Per desk: days in a row, back from its newest, without a trade."""
+def drought_streak(funnel: DataFrame, newest: int = 10) -> DataFrame:
+    """Per desk: of its `newest` days those in a row, back from the last, without a trade."""
     days = funnel.groupBy("desk", "run_date").agg(F.sum(F.when(F.col("stage") == "purchase", F.col("n")).otherwise(0)).alias("trades"))
     w = Window.partitionBy("desk").orderBy(F.desc("run_date")).rowsBetween(Window.unboundedPreceding, 0)
-    return days.withColumn("seen", F.sum("trades").over(w)).groupBy("desk").agg(F.count_if(F.col("seen") == 0).alias("streak"), F.count("*").alias("days"))
-
-
-def sentiment_drift(marks: DataFrame) -> DataFrame:
-    """Last score of each day; mean of the last five days less that of the first five of the last 28; 10 days at least."""
-    d = marks.withColumn("d", F.to_date("ts")).groupBy("trade_id", "d").agg(F.max_by("value", F.struct("ts", "event_id")).alias("score"))
-    back = F.row_number().over(Window.partitionBy("trade_id").orderBy(F.desc("d")))
-    d = d.withColumn("back", back).where("back <= 28").withColumn("fore", F.row_number().over(Window.partitionBy("trade_id").orderBy("d")))
-    a = d.groupBy("trade_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("back") <= 5, F.col("score"))).alias("late"), F.avg(F.when(F.col("fore") <= 5, F.col("score"))).alias("early")).where("n >= 10")
+    days = days.withColumn("seen", F.sum("trades").over(w)).withColumn("k", F.row_number().over(Window.partitionBy("desk").orderBy(F.desc("run_date")))).where(F.col("k") <= newest)
+    return days.groupBy("desk").agg(F.count_if(F.col("seen") == 0).alias("streak"), F.count("*").alias("days"))
+
+
+def sentiment_drift(marks: DataFrame, days: int = 28, keep: int = 60) -> DataFrame:
+    """Last score of each day, of the last `keep` days with one; of these those of the last `days` days before the newest mark of
+    all, or the last ten if they are fewer. drift: mean of the last few less that of the first few of them, five or half of all.
+    With under ten days in all there isn't enough data."""
+    last = marks.agg(F.to_date(F.max("ts")).alias("today"))
+    d = daily_last(marks).crossJoin(F.broadcast(last))  # one row
+    by = Window.partitionBy("trade_id")
+    d = d.withColumn("back", F.row_number().over(by.orderBy(F.desc("d")))).where(F.col("back") <= keep)
+    d = d.withColumn("all", F.count("*").over(by)).withColumn("recent", F.count_if(F.col("d") >= F.date_sub("today", days)).over(by))
+    d = d.withColumn("n", F.when(F.col("recent") >= 10, F.col("recent")).otherwise(F.least(F.lit(10), F.col("all")))).where("back <= n")
+    k = F.least(F.lit(5), F.floor(F.col("n") / 2))
+    a = d.groupBy("trade_id", "all", "n").agg(F.avg(F.when(F.col("back") <= k, F.col("score"))).alias("late"), F.avg(F.when(F.col("back") > F.col("n") - k, F.col("score"))).alias("early"), F.avg("score").alias("mean"))
     drift = F.round(F.col("late") - F.col("early"), 4)
-    return a.select("trade_id", "n", drift.alias("drift"), F.when(drift > 0.1, "improving").when(drift < -0.1, "deteriorating").otherwise("stable").alias("trend"))
+    enough = F.col("all") >= 10
+    trend = F.when(~enough, "insufficient_data").when(drift > 0.1, "rising").when(drift < -0.1, "falling").otherwise("flat")
+    return a.select("trade_id", "n", F.when(enough, drift).otherwise(0.0).alias("drift"), F.when(enough, F.round("mean", 4)).otherwise(0.0).alias("mean_score"), trend.alias("trend"), (enough & (drift >= 0.15) & (F.col("n") >= 20)).alias("accumulation"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from tidemark.functions.sheets import as_sql
 from tidemark.operators.ledger import CURRENT, SWEEP, TUNABLE
+from tidemark.operators.lifecycle import rules
 from tidemark.operators.text import BEARISH, BULLISH
 from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
-from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS
+from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS, TERMS
 
 TRADES = """trades AS (SELECT o_orderkey AS trade_id, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS entry_date,
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'LONG_CALL' WHEN '2' THEN 'BULL_CALL_SPREAD' WHEN '3' THEN 'LONG_PUT' WHEN '4' THEN 'BEAR_PUT_SPREAD' WHEN '5' THEN 'LONG_CALL' END AS strategy,
@@ -41,8 +42,14 @@ def _pick(least: int, most: int, low: float, high: float) -> str:
  pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, run_month ORDER BY oi DESC, strike, row) AS k FROM (SELECT *, bool_or(meant) OVER (PARTITION BY ticker, run_month) AS has FROM meant) WHERE meant OR NOT has) WHERE k = 1)"""
 
 
-OUT = """o AS (SELECT *, max(outcome) OVER (PARTITION BY trade_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM
+OUT = """o AS (SELECT *, max(outcome) OVER (PARTITION BY trade_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak, date_diff('day', CAST(entry AS DATE), CAST(ts AS DATE)) AS age FROM
  (SELECT user_id AS trade_id, ts, event_id, value, value / first(value) OVER w - 1 AS outcome, first(ts) OVER w AS entry FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))"""
+#: Rules of a position held for 14 days at most, as the given marks span 30 days.
+FIRED = f"{OUT}, f AS (SELECT * FROM {as_sql('o', TERMS, *rules(14))}), x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM f WHERE reason IS NOT NULL) WHERE k = 1)"
+TRAILED = """tp AS (SELECT trade_id, ts AS tts, event_id AS tid, outcome AS tpo, peak AS seed FROM x WHERE reason = 'take_profit'),
+ l AS (SELECT f.*, tpo, greatest(seed, max(outcome) OVER (PARTITION BY f.trade_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS top FROM f JOIN tp ON f.trade_id = tp.trade_id AND (ts > tts OR ts = tts AND event_id > tid)),
+ h AS (SELECT trade_id, outcome AS h, CASE WHEN age >= term_days THEN 'expiry' ELSE 'trail_stop' END AS close_reason FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM l WHERE outcome <= top * 0.65::DOUBLE OR age >= term_days) WHERE k = 1),
+ trailed AS (SELECT tp.trade_id, round(tpo, 6) AS tp_outcome, round(h, 6) AS trailing_outcome, close_reason FROM tp LEFT JOIN h USING (trade_id))"""
 STATS = "count(outcome) AS n, round(avg(CAST(outcome > 0 AS INT)), 6) AS win_rate, round(avg(outcome), 6) AS mean, round(median(outcome), 6) AS median, count(*) FILTER (outcome <= -0.99) AS total_losses"
 
 
@@ -134,19 +141,23 @@ SQL: dict[str, str] = {
  b AS (SELECT t.trade_id, c.row, c.type AS quoted_type, c.bid, c.ask, row_number() OVER (PARTITION BY t.trade_id ORDER BY (c.type <> t.type)::INT, round(abs(c.strike - t.strike), 6), c.row) AS k FROM t JOIN chain c ON c.ticker = t.ticker AND c.expiry = t.expiry AND round(abs(c.strike - t.strike), 6) <= 0.01)
  SELECT t.trade_id, b.row, b.quoted_type, round(CASE WHEN b.bid > 0 AND b.ask > 0 THEN (b.bid + b.ask) / 2 WHEN b.ask > 0 THEN b.ask ELSE 0 END, 7) AS mid FROM t LEFT JOIN b ON b.trade_id = t.trade_id AND k = 1""",
     "running_peak": f"WITH {OUT} SELECT trade_id, event_id, round(outcome, 6) AS outcome, round(peak, 6) AS peak FROM o",
-    "exit_first_fire": f"""WITH {OUT}, f AS (SELECT *, CASE WHEN outcome <= -0.45 THEN 'stop_loss' WHEN outcome >= 0.50 THEN 'take_profit' WHEN date_diff('day', CAST(entry AS DATE), CAST(ts AS DATE)) >= 14 THEN 'max_holding_period' END AS reason FROM o)
- SELECT trade_id, event_id, reason, round(outcome, 6) AS outcome, round(peak, 6) AS peak FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM f WHERE reason IS NOT NULL) WHERE k = 1""",
-    "trailing_stop": f"""WITH {OUT}, tp AS (SELECT trade_id, ts AS tts, event_id AS tid, outcome AS tpo FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM o WHERE outcome >= 0.5) WHERE k = 1),
- l AS (SELECT o.*, greatest(tpo, max(outcome) OVER (PARTITION BY o.trade_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS top FROM o JOIN tp ON o.trade_id = tp.trade_id AND (ts > tts OR ts = tts AND event_id > tid)),
- h AS (SELECT trade_id, outcome AS h FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM l WHERE outcome <= top * 0.65) WHERE k = 1)
- SELECT tp.trade_id, round(tpo, 6) AS tp_outcome, round(h, 6) AS trailing_outcome FROM tp LEFT JOIN h USING (trade_id)""",
+    "exit_first_fire": f"WITH {FIRED} SELECT trade_id, event_id, reason, round(outcome, 6) AS outcome, round(peak, 6) AS peak, age FROM x",
+    "exit_alerts": f"WITH {FIRED} SELECT CAST(ts AS DATE) AS day, reason, count(*) AS trades, round(avg(outcome), 6) AS mean_outcome, round(avg(age), 6) AS mean_age FROM x GROUP BY 1, 2",
+    "trailing_stop": f"WITH {FIRED}, {TRAILED} SELECT * FROM trailed",
+    "trailing_vs_tp": f"""WITH {FIRED}, {TRAILED}, c AS (SELECT * FROM trailed WHERE trailing_outcome IS NOT NULL) SELECT (SELECT count(*) FROM trailed WHERE trailing_outcome IS NULL) AS open, count(*) AS closed, round(avg(tp_outcome), 6) AS mean_tp, round(avg(trailing_outcome), 6) AS mean_trailing, round(median(tp_outcome), 6) AS median_tp, round(median(trailing_outcome), 6) AS median_trailing,
+ round(avg(trailing_outcome - tp_outcome), 6) AS mean_delta, round(avg(CAST(trailing_outcome > tp_outcome AS INT)), 6) AS share_better, count(*) >= 5 AS ready, count(*) >= 5 AND coalesce(avg(trailing_outcome - tp_outcome), 0) >= 0.05 AS recommended FROM c""",
+    "shadow_outcome": f"WITH {OUT} SELECT trade_id, event_id, round(outcome, 4) AS outcome, age FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM o WHERE age >= 14 AND outcome IS NOT NULL) WHERE k = 1",
+    "quote_as_of": "SELECT q.trade_id, q.asof_ AS asof, e.event_id, e.value FROM (SELECT o_custkey % 150 AS trade_id, CAST(TIMESTAMP '2026-01-01' + to_days(CAST(o_orderkey % 40 AS INT)) AS TIMESTAMP) AS asof_ FROM orders GROUP BY ALL) q LEFT JOIN events e ON e.user_id = q.trade_id AND e.ts <= q.asof_ QUALIFY row_number() OVER (PARTITION BY q.trade_id, q.asof_ ORDER BY e.ts DESC NULLS LAST, e.event_id DESC) = 1".replace("asof_ AS asof,", 'asof_ AS "asof",'),
+    "daily_first": "SELECT trade_id, d, value FROM (SELECT user_id AS trade_id, CAST(ts AS DATE) AS d, first(value ORDER BY ts, event_id) AS value, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) DESC) AS k FROM events GROUP BY user_id, CAST(ts AS DATE)) WHERE k <= 120",
     "killer_gate": f"""WITH {_FUNNEL}, w AS (SELECT desk, run_date, coalesce(sum(n) FILTER (stage = 'view'), 0) AS a, coalesce(sum(n) FILTER (stage = 'click'), 0) AS b, coalesce(sum(n) FILTER (stage = 'signup'), 0) AS c, coalesce(sum(n) FILTER (stage = 'purchase'), 0) AS d FROM funnel GROUP BY 1, 2)
  SELECT CASE WHEN c > 0 THEN 'purchase' WHEN b > 0 THEN 'signup' WHEN a > 0 THEN 'click' ELSE 'view' END AS gate, count(*) AS days, count(DISTINCT desk) AS desks FROM w WHERE d = 0 GROUP BY 1""",
     "drought_streak": f"""WITH {_FUNNEL}, d AS (SELECT desk, run_date, sum(CASE WHEN stage = 'purchase' THEN n ELSE 0 END) AS t FROM funnel GROUP BY 1, 2)
- SELECT desk, count(*) FILTER (seen = 0) AS streak, count(*) AS days FROM (SELECT *, sum(t) OVER (PARTITION BY desk ORDER BY run_date DESC ROWS UNBOUNDED PRECEDING) AS seen FROM d) GROUP BY 1""",
-    "sentiment_drift": """WITH d AS (SELECT user_id AS trade_id, CAST(ts AS DATE) AS d, last(value ORDER BY ts, event_id) AS score FROM events GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY d DESC) AS back FROM d), f AS (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY d) AS fore FROM b WHERE back <= 28),
- a AS (SELECT trade_id, count(*) AS n, round(avg(score) FILTER (back <= 5) - avg(score) FILTER (fore <= 5), 4) AS drift FROM f GROUP BY 1 HAVING count(*) >= 10)
- SELECT trade_id, n, drift, CASE WHEN drift > 0.1 THEN 'improving' WHEN drift < -0.1 THEN 'deteriorating' ELSE 'stable' END AS trend FROM a""",
+ SELECT desk, count(*) FILTER (seen = 0) AS streak, count(*) AS days FROM (SELECT *, sum(t) OVER (PARTITION BY desk ORDER BY run_date DESC ROWS UNBOUNDED PRECEDING) AS seen, row_number() OVER (PARTITION BY desk ORDER BY run_date DESC) AS k FROM d) WHERE k <= 10 GROUP BY 1""",
+    "sentiment_drift": """WITH d AS (SELECT user_id AS trade_id, CAST(ts AS DATE) AS d, last(value ORDER BY ts, event_id) AS score FROM events GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY d DESC) AS back FROM d),
+ c AS (SELECT *, count(*) OVER (PARTITION BY trade_id) AS size, count(*) FILTER (d >= (SELECT CAST(max(ts) AS DATE) FROM events) - 28) OVER (PARTITION BY trade_id) AS recent FROM b WHERE back <= 60),
+ e AS (SELECT *, CASE WHEN recent >= 10 THEN recent ELSE least(10, size) END AS n FROM c), f AS (SELECT *, least(5, n // 2) AS k FROM e WHERE back <= n),
+ a AS (SELECT trade_id, n, size >= 10 AS enough, avg(score) AS mean, round(avg(score) FILTER (back <= k) - avg(score) FILTER (back > n - k), 4) AS drift FROM f GROUP BY 1, 2, 3)
+ SELECT trade_id, n, CASE WHEN enough THEN drift ELSE 0 END AS drift, CASE WHEN enough THEN round(mean, 4) ELSE 0 END AS mean_score, CASE WHEN NOT enough THEN 'insufficient_data' WHEN drift > 0.1 THEN 'rising' WHEN drift < -0.1 THEN 'falling' ELSE 'flat' END AS trend, enough AND drift >= 0.15 AND n >= 20 AS accumulation FROM a""",
     "post_credibility": f"WITH {_POSTS} SELECT * FROM cred",
     "weighted_sentiment": f"""WITH {_POSTS}, w AS (SELECT source, CAST(round(credibility * 1000) AS BIGINT) AS w, (bull - bear) / (bull + bear + 1) AS t FROM cred) SELECT source, count(*) AS mentions, round(greatest(-1.0, least(1.0, coalesce(sum(w * t) / nullif(sum(w), 0), 0.0))), 6) AS sentiment FROM w GROUP BY 1""",
     "top_posts": f"WITH {_POSTS} SELECT source, rank, id, credibility FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY credibility DESC, id) AS rank FROM cred) WHERE rank <= 5",

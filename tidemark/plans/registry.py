@@ -71,8 +71,12 @@ def queries() -> dict[str, Query]:
         },
         adapters.marks: {
             "running_peak": lifecycle.running_peak,
-            "exit_first_fire": lifecycle.first_exit,
-            "trailing_stop": lifecycle.trailing_stop,
+            "exit_first_fire": lambda m: lifecycle.first_exit(m, 14),
+            "exit_alerts": lambda m: lifecycle.exit_alerts(m, 14),
+            "trailing_stop": lambda m: lifecycle.trailing_stop(m, 14),
+            "trailing_vs_tp": lambda m: lifecycle.trailing_verdict(lifecycle.trailing_stop(m, 14)),
+            "shadow_outcome": lambda m: lifecycle.shadow_outcome(m, 14),
+            "daily_first": lifecycle.daily_first,
             "sentiment_drift": lifecycle.sentiment_drift,
         },
         adapters.funnel: {"killer_gate": lifecycle.killer_gate, "drought_streak": lifecycle.drought_streak},
@@ -80,6 +84,7 @@ def queries() -> dict[str, Query]:
     }
     out: dict[str, Query] = {name: _over(source, op) for source, ops in by.items() for name, op in ops.items()}
     out["option_quotes"] = lambda spark, sf_dir: options.quotes(adapters.chain(spark, sf_dir), adapters.line_trades(spark, sf_dir))
+    out["quote_as_of"] = lambda spark, sf_dir: lifecycle.as_of(adapters.marks(spark, sf_dir), adapters.quote_times(spark, sf_dir))
     out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
     out["stream_news_window"] = news_window
     return out

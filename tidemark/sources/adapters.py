@@ -189,3 +189,8 @@ TERMS: Sheet = {
     "entry_debit": "cast(1 + trade_id % 3 as double)",
     "term_days": "20 + trade_id % 40",
 }
+
+
+def quote_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trade_id, asof: times for which a trade's last mark is asked."""
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey % 150 as trade_id", "cast(date_add(date'2026-01-01', cast(o_orderkey % 40 as int)) as timestamp) as asof").distinct()
