@@ -6,6 +6,7 @@ from tidemark.functions.sheets import as_sql
 from tidemark.operators.ledger import CURRENT, SWEEP, TUNABLE
 from tidemark.operators.lifecycle import rules
 from tidemark.operators.text import BEARISH, BULLISH
+from tidemark.plans.oracle_market import SQL as MARKET_SQL
 from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
 from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS, TERMS
 
@@ -147,7 +148,7 @@ SQL: dict[str, str] = {
     "trailing_vs_tp": f"""WITH {FIRED}, {TRAILED}, c AS (SELECT * FROM trailed WHERE trailing_outcome IS NOT NULL) SELECT (SELECT count(*) FROM trailed WHERE trailing_outcome IS NULL) AS open, count(*) AS closed, round(avg(tp_outcome), 6) AS mean_tp, round(avg(trailing_outcome), 6) AS mean_trailing, round(median(tp_outcome), 6) AS median_tp, round(median(trailing_outcome), 6) AS median_trailing,
  round(avg(trailing_outcome - tp_outcome), 6) AS mean_delta, round(avg(CAST(trailing_outcome > tp_outcome AS INT)), 6) AS share_better, count(*) >= 5 AS ready, count(*) >= 5 AND coalesce(avg(trailing_outcome - tp_outcome), 0) >= 0.05 AS recommended FROM c""",
     "shadow_outcome": f"WITH {OUT} SELECT trade_id, event_id, round(outcome, 4) AS outcome, age FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM o WHERE age >= 14 AND outcome IS NOT NULL) WHERE k = 1",
-    "quote_as_of": "SELECT q.trade_id, q.asof_ AS asof, e.event_id, e.value FROM (SELECT o_custkey % 150 AS trade_id, CAST(TIMESTAMP '2026-01-01' + to_days(CAST(o_orderkey % 40 AS INT)) AS TIMESTAMP) AS asof_ FROM orders GROUP BY ALL) q LEFT JOIN events e ON e.user_id = q.trade_id AND e.ts <= q.asof_ QUALIFY row_number() OVER (PARTITION BY q.trade_id, q.asof_ ORDER BY e.ts DESC NULLS LAST, e.event_id DESC) = 1".replace("asof_ AS asof,", 'asof_ AS "asof",'),
+    "quote_as_of": "SELECT q.trade_id, q.asof_ AS asof, e.event_id, e.value FROM (SELECT o_custkey % 150 AS trade_id, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 40 AS INT)) AS TIMESTAMP) AS asof_ FROM orders GROUP BY ALL) q LEFT JOIN events e ON e.user_id = q.trade_id AND e.ts <= q.asof_ QUALIFY row_number() OVER (PARTITION BY q.trade_id, q.asof_ ORDER BY e.ts DESC NULLS LAST, e.event_id DESC) = 1".replace("asof_ AS asof,", 'asof_ AS "asof",'),
     "daily_first": "SELECT trade_id, d, value FROM (SELECT user_id AS trade_id, CAST(ts AS DATE) AS d, first(value ORDER BY ts, event_id) AS value, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) DESC) AS k FROM events GROUP BY user_id, CAST(ts AS DATE)) WHERE k <= 120",
     "killer_gate": f"""WITH {_FUNNEL}, w AS (SELECT desk, run_date, coalesce(sum(n) FILTER (stage = 'view'), 0) AS a, coalesce(sum(n) FILTER (stage = 'click'), 0) AS b, coalesce(sum(n) FILTER (stage = 'signup'), 0) AS c, coalesce(sum(n) FILTER (stage = 'purchase'), 0) AS d FROM funnel GROUP BY 1, 2)
  SELECT CASE WHEN c > 0 THEN 'purchase' WHEN b > 0 THEN 'signup' WHEN a > 0 THEN 'click' ELSE 'view' END AS gate, count(*) AS days, count(DISTINCT desk) AS desks FROM w WHERE d = 0 GROUP BY 1""",
@@ -162,4 +163,4 @@ SQL: dict[str, str] = {
     "weighted_sentiment": f"""WITH {_POSTS}, w AS (SELECT source, CAST(round(credibility * 1000) AS BIGINT) AS w, (bull - bear) / (bull + bear + 1) AS t FROM cred) SELECT source, count(*) AS mentions, round(greatest(-1.0, least(1.0, coalesce(sum(w * t) / nullif(sum(w), 0), 0.0))), 6) AS sentiment FROM w GROUP BY 1""",
     "top_posts": f"WITH {_POSTS} SELECT source, rank, id, credibility FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY credibility DESC, id) AS rank FROM cred) WHERE rank <= 5",
 }
-SQL |= PROPOSAL_SQL
+SQL |= PROPOSAL_SQL | MARKET_SQL

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, lifecycle, options, prices, proposals, text
+from tidemark.operators import ledger, lifecycle, market, options, prices, proposals, text
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters
 from tidemark.streaming.news import news_window
@@ -79,16 +79,37 @@ def queries() -> dict[str, Query]:
             "daily_first": lifecycle.daily_first,
             "sentiment_drift": lifecycle.sentiment_drift,
         },
-        adapters.funnel: {"killer_gate": lifecycle.killer_gate, "drought_streak": lifecycle.drought_streak},
-        adapters.posts: {"post_credibility": text.credibility, "weighted_sentiment": text.weighted_sentiment, "top_posts": text.top_posts},
+        adapters.funnel: {
+            "killer_gate": lifecycle.killer_gate,
+            "drought_streak": lifecycle.drought_streak,
+            "desk_health": lambda f: market.health(f, lifecycle.STAGES),
+            "month_summary": lambda f: market.month_summary(f, lifecycle.STAGES),
+        },
+        adapters.listed: {"universe_clean": market.universe},
+        adapters.snapshots: {"hard_filter": market.hard_filter, "hard_filter_stats": market.filter_stats, "short_interest": market.short_interest},
+        adapters.filings: {"trailing_eps": market.trailing_eps},
+        adapters.macro_series: {"macro_regime": market.macro_regime},
+        adapters.articles: {"news_priority": market.news_by_priority},
+        adapters.insiders: {"insider_clusters": market.insider_clusters},
+        adapters.answers: {"json_repair": market.parsed_answers},
+        adapters.posts: {"post_credibility": text.credibility, "weighted_sentiment": text.weighted_sentiment, "top_posts": text.top_posts, "headline_sentiment": lambda p: market.headline_sentiment(p, text.BULLISH, text.BEARISH)},
     }
     out: dict[str, Query] = {name: _over(source, op) for source, ops in by.items() for name, op in ops.items()}
     out["option_quotes"] = lambda spark, sf_dir: options.quotes(adapters.chain(spark, sf_dir), adapters.line_trades(spark, sf_dir))
+    out["eps_check"] = lambda spark, sf_dir: market.eps_check(adapters.filings(spark, sf_dir), adapters.eps_quotes(spark, sf_dir))
+    out["headline_ticker_join"] = lambda spark, sf_dir: market.headline_tickers(adapters.articles(spark, sf_dir), adapters.tickers(spark, sf_dir))
+    out["shadow_inserts"] = shadow_inserts
     out["quote_as_of"] = lambda spark, sf_dir: lifecycle.as_of(adapters.marks(spark, sf_dir), adapters.quote_times(spark, sf_dir))
     out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
     out["stream_news_window"] = news_window
     return out
 
 
+def shadow_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New shadows beside a book that already holds the survivors up to the middle of June 1995."""
+    rows = market.registrations(proposals.judged(adapters.proposals(spark, sf_dir)))
+    return market.shadow_inserts(rows, rows.where("reason = 'final_mc_survivor' and entry_date < date'1995-06-17'"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -193,4 +193,115 @@ TERMS: Sheet = {
 
 def quote_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trade_id, asof: times for which a trade's last mark is asked."""
-    return table(spark, sf_dir, "orders").selectExpr("o_custkey % 150 as trade_id", "cast(date_add(date'2026-01-01', cast(o_orderkey % 40 as int)) as timestamp) as asof").distinct()
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey % 150 as trade_id", "cast(date_add(date'2024-01-01', cast(o_orderkey % 40 as int)) as timestamp) as asof").distinct()
+
+
+#: A listed symbol from each customer: spelt in several ways, some of them no symbol.
+LISTED: Sheet = {
+    "raw": "case c_custkey % 6 when 0 then concat('  ', lower(substr(c_mktsegment, 1, cast(1 + c_custkey % 8 as int))), ' ') when 1 then substr(md5(cast(c_custkey as string)), 1, 4) when 2 then concat(substr(c_mktsegment, 1, 2), '.b') when 3 then 'HES' when 4 then '' "
+    "else substr(translate(md5(cast(c_custkey as string)), '0123456789', 'ghijklmnop'), 1, 5) end",
+    "position": "c_custkey",
+}
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(table(spark, sf_dir, "customer"), LISTED).select("raw", "position")
+
+
+#: Snapshots from sums of a customer's orders (o_custkey, n, cents); text fields as a feed gives them.
+SNAPSHOTS: Sheet = {
+    "ticker": "o_custkey",
+    "market_cap": "case when o_custkey % 37 = 0 then null when o_custkey % 19 = 0 then cents * 20000 else cents * 20 end",
+    "average_volume": "case when o_custkey % 11 = 0 then 0 else n * 150000 end",
+    "average_volume_10d": "n * 120000",
+    "current_price": "case when o_custkey % 7 = 0 then 0 else cast(cents % 30000 as double) / 100 end",
+    "market_price": "case when o_custkey % 14 = 0 then null else cast(cents % 20000 as double) / 100 end",
+    "previous_close": "12.5e0",
+    "volume": "case when o_custkey % 13 = 0 then 0 else cents % 3000000 end",
+    "market_volume": "n * 1000",
+    "n_news": "o_custkey % 6",
+    "vix": "case when o_custkey % 10 = 0 then null else cast(10 + o_custkey % 30 as double) end",
+    "short_percent": "case o_custkey % 6 when 0 then null when 1 then 'n/a' when 2 then concat('0.', cast(10 + o_custkey % 20 as string)) when 3 then '' else cast(o_custkey % 40 as string) end",
+    "short_ratio": "case when o_custkey % 5 = 0 then 'unknown' else cast(o_custkey % 9 as string) end",
+    "shares_short": "case when o_custkey % 8 = 0 then null else cast(1000 + o_custkey % 70 as string) end",
+    "shares_short_prior": "case when o_custkey % 9 = 0 then '0' else cast(1000 + o_custkey % 50 as string) end",
+}
+SNAPSHOT_SUMS = "SELECT o_custkey, count(*) AS n, sum(cast(round(o_totalprice * 100) as bigint)) AS cents FROM {orders} GROUP BY o_custkey"
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = spark.sql(SNAPSHOT_SUMS, orders=table(spark, sf_dir, "orders"))
+    return add(sums, SNAPSHOTS).select(*SNAPSHOTS)
+
+
+#: Filings from orders, and quotes from customers.
+FILINGS: Sheet = {
+    "ticker": "o_custkey",
+    "tag": "case when o_custkey % 4 = 0 or o_orderkey % 3 = 0 then 'diluted' else 'basic' end",
+    "form": "case when o_orderkey % 5 = 0 then '8-K' when o_orderkey % 5 = 1 then '10-K' else '10-Q' end",
+    "value": "case when o_orderkey % 17 = 0 then null else cast(o_orderkey % 300 - 40 as double) / 100 end",
+    "end_date": "cast(o_orderdate as date)",
+    "filing_id": "o_orderkey",
+}
+EPS_QUOTES: Sheet = {
+    "ticker": "c_custkey",
+    "quoted": "case when c_custkey % 12 = 0 then 0 when c_custkey % 25 = 0 then null else cast(c_custkey % 500 as double) / 100 end",
+    "second": "case when c_custkey % 3 = 0 then cast(c_custkey % 500 as double) * 106 / 10000 end",
+}
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(table(spark, sf_dir, "orders"), FILINGS).select(*FILINGS)
+
+
+def eps_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(table(spark, sf_dir, "customer"), EPS_QUOTES).select(*EPS_QUOTES)
+
+
+#: Series of text values by day, with gaps, from orders.
+SERIES: list[Sheet] = [
+    {
+        "name": "case o_custkey % 4 when 0 then 'y10' when 1 then 'y2' when 2 then 'v9' else 'v90' end",
+        "d": "cast(o_orderdate as date)",
+    }
+]
+SERIES_VALUES = "SELECT name, d, case when count(*) % 5 = 0 then '.' when count(*) % 7 = 0 then '' else cast(cast(case when name like 'y%' then sum(o_orderkey) % 500 else 1000 + sum(o_orderkey) % 900 end as bigint) as string) end AS value FROM {rows} GROUP BY name, d"
+
+
+def macro_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SERIES_VALUES, rows=add(table(spark, sf_dir, "orders"), *SERIES))
+
+
+#: Articles from documents: three feeds, of which a ticker may lack the first.
+ARTICLES: Sheet = {"id": "doc_id", "ticker": "doc_id % 97", "source_rank": "case when doc_id % 97 % 4 = 0 then 2 else doc_id % 3 end", "ts": "doc_id * 7 % 1000", "title": "substr(coalesce(text, ''), 1, 240)"}
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(table(spark, sf_dir, "documents").select("doc_id", "text"), ARTICLES).select(*ARTICLES)
+
+
+#: Tickers as the first words of benchmark items.
+TICKERS: Sheet = {"ticker": "upper(regexp_replace(substr(text, 1, 5), '[^A-Za-z]', ''))"}
+
+
+def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(table(spark, sf_dir, "benchmark"), TICKERS).select("ticker")
+
+
+INSIDERS: Sheet = {"ticker": "event_id % 211", "insider": "case when event_id % 10 = 0 then null else concat('person ', cast(user_id % 40 as string)) end", "month": "cast(date_trunc('month', ts) as date)"}
+
+
+def insiders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(table(spark, sf_dir, "events").where("event_type = 'purchase'"), INSIDERS).select(*INSIDERS)
+
+
+#: Stored answers from event properties: plain, fenced, after prose, cut off early or late, and none.
+ANSWERS: Sheet = {
+    "id": "event_id",
+    "raw": "case event_id % 6 when 0 then props when 1 then concat('```json', chr(10), props, chr(10), '```') when 2 then concat('Here it is: ', props) when 3 then concat(substr(props, 1, length(props) - 1), ', \"note\": \"cut') "
+    "when 4 then concat(substr(props, 1, length(props) - 1), ', \"reason\": \"', repeat('long text ', 12), '\", \"tail\": \"lost') else 'no answer' end",
+}
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(table(spark, sf_dir, "events"), ANSWERS).select("id", "raw")
