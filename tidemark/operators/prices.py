@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def by_day():
     return Window.partitionBy("ticker").orderBy("d")
 
@@ -13,6 +14,11 @@ def returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(by_day())) - 1)
 
 
+def look_back(bars: DataFrame, days: int) -> DataFrame:
+    """The bars of each ticker's last `days` days, counted from its last bar."""
+    return bars.withColumn("last", F.max("d").over(Window.partitionBy("ticker"))).where(F.col("d") > F.date_sub("last", days)).drop("last")
+
+
 def mismatch(bars: DataFrame, impact: int = 8) -> DataFrame:
     """At each ticker's last day: move over two days up to the day before, population sigma of 35 days, z and mismatch.
     Fewer than 5 rows: no move; fewer than 10: sigma 0, and the row goes."""
@@ -30,9 +36,10 @@ def mismatch(bars: DataFrame, impact: int = 8) -> DataFrame:
     return out.where("mismatch > 0").select("ticker", *[F.round(c, 6).alias(c) for c in ("sigma", "move", "z", "mismatch")])
 
 
-def sigma(bars: DataFrame, least: int = 30) -> DataFrame:
-    """Mean and both standard deviations of the daily returns, 0 and .02 where there are too few or they are out of range."""
-    a = returns(bars).groupBy("ticker").agg(F.count("ret").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.stddev_pop("ret").alias("p"))
+def sigma(bars: DataFrame, least: int = 30, days: int = 182) -> DataFrame:
+    """Of the last six months: mean and both standard deviations of the daily returns; 0 and .02 with fewer than `least` bars, and
+    each where it is out of range."""
+    a = returns(look_back(bars, days)).groupBy("ticker").agg(F.count("*").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.stddev_pop("ret").alias("p"))
     few = F.col("n") < least
     return a.select(
         "ticker",
@@ -51,7 +58,7 @@ def relative_strength(bars: DataFrame, days: int = 35) -> DataFrame:
     sector = recent.groupBy("sector", "d").agg(F.expr("sum(cast(round(close * 1000000) as bigint)) / count(*) / 1000000").alias("close"))
     own = change(recent, "ticker").join(recent.select("ticker", "sector").distinct(), "ticker").join(change(sector, "sector"), "sector")
     strength = F.round(F.col("ticker_ret") - F.col("sector_ret"), 4)
-    return own.select("ticker", "sector", strength.alias("strength"), ((F.col("ticker_rows") < 5) | (strength >= -0.15)).alias("ok"))
+    return own.select("ticker", "sector", strength.alias("strength"), ((F.col("ticker_rows") < 5) | (strength >= -0.15)).alias("ok"), ((F.col("ticker_rows") < 5) | (strength <= 0.15)).alias("ok_bearish"))
 
 
 def pair_correlation(bars: DataFrame, least: int = 20) -> DataFrame:
@@ -63,12 +70,62 @@ def pair_correlation(bars: DataFrame, least: int = 20) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.coalesce(corr, F.lit(0.0)), 6).alias("corr")).where(F.col("n") >= least)
 
 
-def barrier_hits(bars: DataFrame, ahead: int = 20, target: float = 0.08) -> DataFrame:
-    """Share of days whose highest close in the next `ahead` rows reaches close * (1 + target)."""
+def whole_days(bars: DataFrame) -> DataFrame:
+    """Returns of the days on which every ticker has one."""
+    r = returns(bars).where("ret is not null").select("d", "ticker", "ret")
+    size = r.agg(F.countDistinct("ticker").alias("tickers"))
+    days = r.groupBy("d").agg(F.count("*").alias("n")).crossJoin(F.broadcast(size)).where("n = tickers").select("d")  # one row
+    return r.join(days, "d")
+
+
+def correlation_matrix(bars: DataFrame) -> DataFrame:
+    """Pearson r of each two tickers on the days that all tickers have; 0 where one is constant."""
+    r = whole_days(bars)
+    a, b = r.select("d", F.col("ticker").alias("a"), F.col("ret").alias("x")), r.select("d", F.col("ticker").alias("b"), F.col("ret").alias("y"))
+    corr = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return a.join(b, "d").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.coalesce(corr, F.lit(0.0)), 6).alias("corr"))
+
+
+def prune_correlated(ranked: DataFrame, corr: DataFrame, limit: float = 0.75) -> DataFrame:
+    """ranked(run, ticker, rank, score): from the front, each ticker still in removes those behind it that are correlated above the
+    limit, or is itself removed by one with a higher score and then removes no more. Only the correlated pairs of a run are gathered
+    into one row, in order, for the fold."""
+    high = corr.where(F.col("corr") > limit).select("a", "b")
+    high = high.unionByName(high.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = ranked.select("run", F.col("ticker").alias("a"), F.col("rank").alias("i"), F.col("score").alias("s"))
+    right = ranked.select("run", F.col("ticker").alias("b"), F.col("rank").alias("j"), F.col("score").alias("t"))
+    pairs = left.join(high, "a").join(right, ["run", "b"]).where("i < j")
+    by_run = pairs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("i", "j", "a", "b", (F.col("s") >= F.col("t")).alias("first")))).alias("pairs"))
+    start = F.array().cast("array<string>")
+    step = lambda gone, p: F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), gone).otherwise(F.array_append(gone, F.when(p["first"], p["b"]).otherwise(p["a"])))
+    removed = by_run.select("run", F.explode(F.aggregate("pairs", start, step)).alias("ticker"))
+    return ranked.join(removed, ["run", "ticker"], "left_anti").select("run", "ticker", "rank", "score")
+
+
+def month_returns(bars: DataFrame) -> DataFrame:
+    """Last close of a month over its first, less 1; unknown with fewer than two bars."""
+    a = bars.groupBy("ticker", F.trunc("d", "month").alias("month")).agg(F.max_by("close", "d").alias("last"), F.min_by("close", "d").alias("first"), F.count("*").alias("n"))
+    return a.select("ticker", "month", F.round(F.when(F.col("n") >= 2, F.try_divide("last", "first") - 1), 6).alias("index_return"))
+
+
+def against_index(trades: DataFrame, bars: DataFrame, index: str) -> DataFrame:
+    """Per month the trades' mean outcome beside the index' return."""
+    mean = trades.where("outcome is not null").groupBy(F.trunc("entry_date", "month").alias("month")).agg(F.count("*").alias("n"), F.round(F.avg("outcome"), 6).alias("mean"))
+    own = month_returns(bars).where(F.col("ticker") == index).drop("ticker")
+    return mean.join(own, "month", "left").select("month", "n", "mean", "index_return", F.round(F.col("mean") - F.col("index_return"), 6).alias("edge"))
+
+
+def barrier_hits(bars: DataFrame, ahead: int = 20) -> DataFrame:
+    """Share of days whose highest close in the next `ahead` bars reaches close * (1 + target), capped at 75 %, and its standard
+    error. The target is 8 % or half of what the ticker's daily standard deviation makes of the time, whichever is more."""
     high = F.max("close").over(by_day().rowsBetween(1, ahead))
     left = F.count("close").over(by_day().rowsBetween(1, ahead))
-    rows = bars.withColumn("high", high).withColumn("left", left).where(F.col("left") == ahead)
-    return rows.groupBy("ticker").agg(F.count("*").alias("n"), F.round(F.avg((F.col("high") >= F.col("close") * (1 + target)).cast("double")), 6).alias("hit_rate"))
+    spread = F.stddev_pop("ret").over(Window.partitionBy("ticker"))
+    target = F.greatest(F.lit(0.08), F.round(0.5 * F.coalesce(spread, F.lit(0.0)) * F.sqrt(F.lit(float(ahead))), 6))
+    rows = returns(bars).withColumn("target", target).withColumn("high", high).withColumn("left", left).where(F.col("left") == ahead)
+    a = rows.groupBy("ticker", "target").agg(F.count("*").alias("n"), F.avg((F.col("high") >= F.col("close") * (1 + F.col("target"))).cast("double")).alias("p"))
+    p = F.least(F.col("p"), F.lit(0.75))
+    return a.select("ticker", "target", "n", F.round(p, 6).alias("hit_rate"), F.round(F.sqrt(p * (1 - p) / F.col("n")), 6).alias("stderr"))
 
 
 def rv_rank(bars: DataFrame, width: int = 21, least: int = 60) -> DataFrame:
@@ -80,3 +137,9 @@ def rv_rank(bars: DataFrame, width: int = 21, least: int = 60) -> DataFrame:
     a = year.groupBy("ticker").agg(F.count("*").alias("n"), F.max_by("rv", "d").alias("rv"), F.percentile("rv", 0.05).alias("lo"), F.percentile("rv", 0.95).alias("hi"))
     rank = F.least(F.greatest(F.try_divide(F.col("rv") - F.col("lo"), F.col("hi") - F.col("lo")) * 100, F.lit(0.0)), F.lit(100.0))
     return a.where(F.col("n") >= least).select("ticker", "n", F.round("rv", 6).alias("rv"), F.round(F.coalesce(rank, F.lit(50.0)), 1).alias("rv_rank"))
+
+
+def iv_rank(bars: DataFrame, term: DataFrame) -> DataFrame:
+    """0.8 of the volatility's rank and 0.2 of the term structure's score, which is 20 where unknown."""
+    rows = rv_rank(bars).join(term, "ticker", "left")
+    return rows.select("ticker", "rv_rank", F.round(F.col("rv_rank") * 0.80 + F.coalesce("term_score", F.lit(20.0)) * 0.20 + 1e-9, 1).alias("iv_rank"))

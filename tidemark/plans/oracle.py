@@ -22,6 +22,11 @@ BARS = """bars AS (SELECT n_name AS ticker, n_regionkey AS sector, CAST(l_shipda
  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100 / CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS close, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
 rets AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS ret FROM bars)"""
+REGION_BARS = """rbars AS (SELECT r_name AS ticker, CAST(l_shipdate AS DATE) AS d, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100 / CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS close
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+rrets AS (SELECT * FROM (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS ret FROM rbars) WHERE ret IS NOT NULL)"""
+SUPPLIER_BARS = """sbars AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS d, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100 / CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS close FROM lineitem GROUP BY ALL),
+srets AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS ret FROM sbars)"""
 CHAIN = f"""chain AS (SELECT *, round(strike * (0.05 + l_discount), 4) AS ask, round(strike * (0.05 + l_discount) * (1 - l_tax), 6) AS bid FROM (SELECT l_suppkey AS ticker, {EXPIRY} AS expiry,
  CASE WHEN l_returnflag = 'R' THEN 'put' ELSE 'call' END AS type, (CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) / 100 AS strike, l_discount, l_tax, CAST(l_quantity AS BIGINT) * 25 AS oi, round(0.2 + l_tax, 2) AS iv,
  CASE WHEN l_partkey % 4 <> 0 THEN (40 + l_partkey % 45) / 100 END AS delta, {LINE_ID} AS row FROM lineitem)),
@@ -110,15 +115,26 @@ SQL: dict[str, str] = {
  a AS (SELECT ticker, count(*) AS n, stddev_pop(ret) AS s, max(close) FILTER (k = 2) AS c2, max(close) FILTER (k = 4) AS c4 FROM r GROUP BY 1),
  b AS (SELECT ticker, CASE WHEN n >= 10 THEN s ELSE 0 END AS sigma, CASE WHEN n >= 5 THEN c2 / c4 - 1 ELSE 0 END AS move FROM a)
  SELECT ticker, round(sigma, 6) AS sigma, round(move, 6) AS move, round(abs(move) / sigma, 6) AS z, round(8 - 5 * (abs(move) / sigma), 6) AS mismatch FROM b WHERE sigma > 0 AND 8 - 5 * (abs(move) / sigma) > 0""",
-    "sigma_pop_samp": f"""WITH {BARS}, a AS (SELECT ticker, count(ret) AS n, avg(ret) AS m, stddev_samp(ret) AS s, stddev_pop(ret) AS p FROM rets GROUP BY 1)
+    "sigma_pop_samp": f"""WITH {BARS}, w AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 AS r FROM (SELECT *, max(d) OVER (PARTITION BY ticker) AS last FROM bars) WHERE d > last - 182),
+ a AS (SELECT ticker, count(*) AS n, avg(r) AS m, stddev_samp(r) AS s, stddev_pop(r) AS p FROM w GROUP BY 1)
  SELECT ticker, n, round(CASE WHEN n < 30 OR abs(m) > 0.005 THEN 0.0 ELSE m END, 6) AS mu, round(CASE WHEN n < 30 OR NOT s BETWEEN 0.005 AND 0.15 THEN 0.02 ELSE s END, 6) AS sigma_samp, round(p, 6) AS sigma_pop FROM a""",
+    "correlation_matrix": f"""WITH {REGION_BARS}, k AS (SELECT d FROM rrets GROUP BY d HAVING count(*) = (SELECT count(DISTINCT ticker) FROM rrets)), r AS (SELECT * FROM rrets JOIN k USING (d))
+ SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, round(coalesce(covar_pop(x.ret, y.ret) / nullif(stddev_pop(x.ret) * stddev_pop(y.ret), 0), 0), 6) AS corr FROM r x JOIN r y ON x.d = y.d AND x.ticker < y.ticker GROUP BY 1, 2""",
+    "month_benchmark": f"""WITH {TRADES}, {REGION_BARS}, i AS (SELECT date_trunc('month', d)::DATE AS month, round(CASE WHEN count(*) >= 2 THEN arg_max(close, d) / arg_min(close, d) - 1 END, 6) AS index_return FROM rbars WHERE ticker = 'AMERICA' GROUP BY 1),
+ t AS (SELECT date_trunc('month', entry_date)::DATE AS month, count(*) AS n, round(avg(outcome), 6) AS mean FROM trades WHERE outcome IS NOT NULL GROUP BY 1) SELECT month, n, mean, index_return, round(mean - index_return, 6) AS edge FROM t LEFT JOIN i USING (month)""",
+    "iv_rank": f"""WITH {SUPPLIER_BARS}, {CHAIN}, {TERM}, t AS (SELECT ticker, run_month, arg_min(iv, dte) AS short, arg_max(iv, dte) AS long, count(*) AS points FROM term GROUP BY 1, 2),
+ ts AS (SELECT ticker, arg_max(round(CASE WHEN points >= 2 AND long > 0 THEN least(greatest((short / long - 1 + 0.05) * 100, 0.0), 80.0) ELSE 20.0 END, 4), run_month) AS term_score FROM t GROUP BY 1),
+ v AS (SELECT ticker, d, CASE WHEN count(ret) OVER w = 21 THEN stddev_samp(ret) OVER w * sqrt(252.0) END AS rv FROM srets WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+ y AS (SELECT * FROM (SELECT *, max(d) OVER (PARTITION BY ticker) AS last FROM v WHERE rv IS NOT NULL) WHERE d > last - 365), a AS (SELECT ticker, count(*) AS n, arg_max(rv, d) AS rv, quantile_cont(rv, 0.05) AS lo, quantile_cont(rv, 0.95) AS hi FROM y GROUP BY 1),
+ k AS (SELECT ticker, round(coalesce(least(greatest((rv - lo) / nullif(hi - lo, 0) * 100, 0.0), 100.0), 50.0), 1) AS rv_rank FROM a WHERE n >= 60)
+ SELECT ticker, rv_rank, round(rv_rank * 0.80 + coalesce(term_score, 20) * 0.20 + 1e-9::DOUBLE, 1) AS iv_rank FROM k LEFT JOIN ts USING (ticker)""",
     "relative_strength": f"""WITH {BARS}, r AS (SELECT * FROM bars WHERE d > (SELECT max(d) FROM bars) - 35), sec AS (SELECT sector, d, CAST(sum(CAST(round(close * 1000000) AS BIGINT)) AS BIGINT) / count(*) / 1000000 AS close FROM r GROUP BY ALL),
  t AS (SELECT ticker, sector, max_by(close, d) / min_by(close, d) - 1 AS ret, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT sector, max_by(close, d) / min_by(close, d) - 1 AS ret FROM sec GROUP BY 1)
- SELECT ticker, sector, round(t.ret - s.ret, 4) AS strength, n < 5 OR round(t.ret - s.ret, 4) >= -0.15 AS ok FROM t JOIN s USING (sector)""",
+ SELECT ticker, sector, round(t.ret - s.ret, 4) AS strength, n < 5 OR round(t.ret - s.ret, 4) >= -0.15 AS ok, n < 5 OR round(t.ret - s.ret, 4) <= 0.15 AS ok_bearish FROM t JOIN s USING (sector)""",
     "pair_corr": f"""WITH {BARS}, r AS (SELECT * FROM rets WHERE ret IS NOT NULL) SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, round(coalesce(covar_pop(x.ret, y.ret) / nullif(stddev_pop(x.ret) * stddev_pop(y.ret), 0), 0), 6) AS corr
  FROM r x JOIN r y ON x.sector = y.sector AND x.d = y.d AND x.ticker < y.ticker GROUP BY 1, 2 HAVING count(*) >= 20""",
-    "barrier_hit_rate": f"""WITH {BARS}, h AS (SELECT ticker, close, max(close) OVER w AS high, count(close) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING))
- SELECT ticker, count(*) AS n, round(avg(CAST(high >= close * (1 + 0.08::DOUBLE) AS INT)), 6) AS hit_rate FROM h WHERE n = 20 GROUP BY 1""",
+    "barrier_hit_rate": f"""WITH {BARS}, g AS (SELECT ticker, greatest(0.08::DOUBLE, round(0.5 * coalesce(stddev_pop(ret), 0) * sqrt(20.0), 6)) AS target FROM rets GROUP BY 1), h AS (SELECT ticker, close, max(close) OVER w AS high, count(close) OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+ a AS (SELECT ticker, target, count(*) AS n, least(avg(CAST(high >= close * (1 + target) AS INT)), 0.75::DOUBLE) AS p FROM h JOIN g USING (ticker) WHERE n = 20 GROUP BY 1, 2) SELECT ticker, target, n, round(p, 6) AS hit_rate, round(sqrt(p * (1 - p) / n), 6) AS stderr FROM a""",
     "rolling_rv_rank": f"""WITH {BARS}, v AS (SELECT ticker, d, CASE WHEN count(ret) OVER w = 21 THEN stddev_samp(ret) OVER w * sqrt(252.0) END AS rv FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
  y AS (SELECT * FROM (SELECT *, max(d) OVER (PARTITION BY ticker) AS last FROM v WHERE rv IS NOT NULL) WHERE d > last - 365),
  a AS (SELECT ticker, count(*) AS n, max_by(rv, d) AS rv, quantile_cont(rv, 0.05) AS lo, quantile_cont(rv, 0.95) AS hi FROM y GROUP BY 1)

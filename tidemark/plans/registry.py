@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger, lifecycle, market, options, prices, proposals, text
@@ -45,6 +45,7 @@ def queries() -> dict[str, Query]:
             "barrier_hit_rate": prices.barrier_hits,
             "rolling_rv_rank": prices.rv_rank,
         },
+        adapters.region_bars: {"correlation_matrix": prices.correlation_matrix},
         adapters.chain: {
             "first_expiry": options.first_expiry,
             "atm_nearest": options.atm_nearest,
@@ -96,6 +97,9 @@ def queries() -> dict[str, Query]:
     }
     out: dict[str, Query] = {name: _over(source, op) for source, ops in by.items() for name, op in ops.items()}
     out["option_quotes"] = lambda spark, sf_dir: options.quotes(adapters.chain(spark, sf_dir), adapters.line_trades(spark, sf_dir))
+    out["month_benchmark"] = lambda spark, sf_dir: prices.against_index(adapters.trades(spark, sf_dir), adapters.region_bars(spark, sf_dir), "AMERICA")
+    out["iv_rank"] = iv_rank
+    out["corr_prune"] = corr_prune
     out["eps_check"] = lambda spark, sf_dir: market.eps_check(adapters.filings(spark, sf_dir), adapters.eps_quotes(spark, sf_dir))
     out["headline_ticker_join"] = lambda spark, sf_dir: market.headline_tickers(adapters.articles(spark, sf_dir), adapters.tickers(spark, sf_dir))
     out["shadow_inserts"] = shadow_inserts
@@ -105,6 +109,21 @@ def queries() -> dict[str, Query]:
     return out
 
 
+def iv_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the score of each ticker's last run."""
+    term = options.term_score(adapters.chain(spark, sf_dir)).groupBy("ticker").agg(F.max_by("term_score", "run_month").alias("term_score"))
+    return prices.iv_rank(adapters.supplier_bars(spark, sf_dir), term)
+
+
+def corr_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations ranked in each month by their last close, pruned at a correlation of 0.1 (the given prices hardly move together)."""
+    bars = adapters.bars(spark, sf_dir)
+    score = bars.groupBy(F.trunc("d", "month").alias("run"), "ticker").agg(F.round(F.max_by("close", "d"), 2).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("score"), "ticker"))
+    corr = prices.pair_correlation(bars).select("a", "b", "corr")
+    return prices.prune_correlated(score.withColumn("rank", rank), corr, 0.1)
+
+
 def shadow_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New shadows beside a book that already holds the survivors up to the middle of June 1995."""
     rows = market.registrations(proposals.judged(adapters.proposals(spark, sf_dir)))

@@ -58,6 +58,20 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("ticker", "sector", "d", (F.col("cents") / 100 / F.col("volume")).alias("close"), "volume")
 
 
+def region_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bars, one row for each region and ship date."""
+    line, s, n, r = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
+    rows = line.select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity").join(s, line.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    sums = rows.groupBy(F.col("r_name").alias("ticker"), F.to_date("l_shipdate").alias("d")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("volume"))
+    return sums.select("ticker", "d", (F.col("cents") / 100 / F.col("volume")).alias("close"), "volume")
+
+
+def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bars, one row for each supplier and ship date."""
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("d")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("volume"))
+    return sums.select("ticker", "d", (F.col("cents") / 100 / F.col("volume")).alias("close"), "volume")
+
+
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, expiry, type, strike, bid, ask, oi (25 contracts a unit), iv, delta (unknown for some), row."""
     line = table(spark, sf_dir, "lineitem")
