@@ -211,7 +211,10 @@ def rounded(names: tuple[str, ...], digits: int) -> list[Column]:
 
 
 def judged(p: DataFrame) -> DataFrame:
-    return add(p, *FULL)
+    """All sheets. The reason passes a generator of one row: a filter on it is then not pushed into the sheets, where it would repeat
+    every formula that it rests on until the code is too large to compile."""
+    rows = add(p, *FULL)
+    return rows.select(*[c for c in rows.columns if c != "reject_reason"], F.explode(F.array("reject_reason")).alias("reject_reason"))
 
 
 def option_roi(p: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from tidemark.operators.ledger import CURRENT, SWEEP, TUNABLE
 from tidemark.operators.lifecycle import rules
 from tidemark.operators.text import BEARISH, BULLISH
 from tidemark.plans.oracle_market import SQL as MARKET_SQL
+from tidemark.plans.oracle_proposals import JUDGED
 from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
 from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS, TERMS
 
@@ -179,4 +180,7 @@ SQL: dict[str, str] = {
     "weighted_sentiment": f"""WITH {_POSTS}, w AS (SELECT source, CAST(round(credibility * 1000) AS BIGINT) AS w, (bull - bear) / (bull + bear + 1) AS t FROM cred) SELECT source, count(*) AS mentions, round(greatest(-1.0, least(1.0, coalesce(sum(w * t) / nullif(sum(w), 0), 0.0))), 6) AS sentiment FROM w GROUP BY 1""",
     "top_posts": f"WITH {_POSTS} SELECT source, rank, id, credibility FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY credibility DESC, id) AS rank FROM cred) WHERE rank <= 5",
 }
+SQL["stream_exits"] = f"WITH {FIRED} SELECT trade_id, event_id, reason, round(outcome, 6) AS outcome, age FROM x"
+SQL["stream_news_window"] = """SELECT event_type, CAST(start AS TIMESTAMP) AS start, CAST(start + INTERVAL 2 DAY AS TIMESTAMP) AS "end", count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) GROUP BY ALL"""
+SQL["stream_report_counts"] = f"WITH {JUDGED} SELECT date_trunc('month', run_date)::DATE AS month, reject_reason AS reason, count(*) AS count FROM judged WHERE reject_reason IS NOT NULL GROUP BY 1, 2"
 SQL |= PROPOSAL_SQL | MARKET_SQL

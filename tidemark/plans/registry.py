@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ledger, lifecycle, market, options, prices, proposals, text
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters
+from tidemark.streaming import monitors
 from tidemark.streaming.news import news_window
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +107,8 @@ def queries() -> dict[str, Query]:
     out["quote_as_of"] = lambda spark, sf_dir: lifecycle.as_of(adapters.marks(spark, sf_dir), adapters.quote_times(spark, sf_dir))
     out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
     out["stream_news_window"] = news_window
+    out["stream_exits"] = monitors.exit_monitor
+    out["stream_report_counts"] = monitors.report_stream
     return out
 
 

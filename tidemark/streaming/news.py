@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.streaming.shared import file_stream, run_to_end
+
 
 def windowed_counts(stream: DataFrame, key: str, ts: str = "ts", width: str = "48 hours", slide: str = "1 day") -> DataFrame:
     return stream.withWatermark(ts, width).groupBy(F.window(ts, width, slide).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def news_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream, run to its end. Each batch stores the counts of all windows so far (complete mode:
-    those still open and late rows are in it), so that the last one leaves what a batch aggregate gives. The state
-    is one row a window and key, as the result."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    out, state = (f"{root.rstrip('/')}/{x}-{uuid.uuid4().hex}" for x in ("news", "news-state"))
-    table = f"{sf_dir}/events.parquet"
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    # a stream's plain path has to be a folder; a pattern may match one file
-    stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table if folder else f"{sf_dir}/events.parque[t]")
-    counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_type")
-    spark.createDataFrame([], counts.schema).write.parquet(out)
-
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    counts.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out)
+    """The events table as a stream, run to its end. The state is one row a window and key, as the result."""
+    stream = file_stream(spark, f"{sf_dir}/events.parquet")
+    return run_to_end(windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_type"), "news")
