@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Added before rounding, so that exact halves don't depend on their binary form.
+TIE = 1e-9
+
+
 def clamp(col: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col))
 
@@ -38,8 +42,8 @@ def trade_stats(outcome: str = "outcome", times: str = "times") -> list[Column]:
     n = F.sum(c)
     return [
         n.alias("n"),
-        F.round(F.sum(F.when(o > 0, c).otherwise(0)) / n, 6).alias("win_rate"),
-        F.round(F.sum(o * c) / n, 6).alias("mean"),
-        F.round(F.percentile(o, 0.5, c), 6).alias("median"),
+        F.round(F.sum(F.when(o > 0, c).otherwise(0)) / n + TIE, 6).alias("win_rate"),
+        F.round(F.sum(o * c) / n + TIE, 6).alias("mean"),
+        F.round(F.percentile(o, 0.5, c) + TIE, 6).alias("median"),
         F.sum(F.when(o <= -0.99, c).otherwise(0)).alias("total_losses"),
     ]

@@ -66,7 +66,7 @@ def short_interest(snapshots: DataFrame) -> DataFrame:
 EPS: list[Sheet] = [
     {"deviation": "case when official is not null and quoted <> 0 then abs(official - quoted) / abs(quoted) end"},
     {
-        "deviation_pct": "round(deviation, 4)",
+        "deviation_pct": "round(deviation + 0.000000001, 4)",
         "consistent": "official is null or coalesce(deviation <= 0.10, false)",
         "data_anomaly": "case when official is null then false when deviation is null then true else deviation > 0.20 end",
         "confidence": "case when official is null then 'medium' when deviation is null then 'low' when deviation < 0.02 then 'high' when deviation <= 0.10 then 'medium' else 'low' end",
@@ -122,14 +122,15 @@ def news_by_priority(articles: DataFrame, newest: int = 5) -> DataFrame:
 
 
 def words(text: str):
-    return F.array_distinct(F.split(F.upper(text), r"[^A-Z0-9_]+"))
+    return F.array_distinct(F.split(F.lower(text), r"[^a-z0-9_]+"))
 
 
 def headline_tickers(articles: DataFrame, tickers: DataFrame) -> DataFrame:
     """articles(id, title) that name a ticker as a word, whatever its case: an equi-join on words, no nested loop. Tickers under three
     letters name nothing."""
-    tokens = articles.select("id", F.explode(words("title")).alias("ticker"))
-    return tokens.join(tickers.where(F.length("ticker") >= SHORTEST_TICKER).select(F.upper("ticker").alias("ticker")).distinct(), "ticker")
+    tokens = articles.select("id", F.explode(words("title")).alias("word"))
+    names = tickers.where(F.length("ticker") >= SHORTEST_TICKER).select(F.lower("ticker").alias("word")).distinct()
+    return tokens.join(names, "word").select(F.upper("word").alias("ticker"), "id")
 
 
 def headline_sentiment(posts: DataFrame, bullish: tuple[str, ...], bearish: tuple[str, ...], most: int = 8) -> DataFrame:

@@ -57,7 +57,7 @@ TRAILED = """tp AS (SELECT trade_id, ts AS tts, event_id AS tid, outcome AS tpo,
  l AS (SELECT f.*, tpo, greatest(seed, max(outcome) OVER (PARTITION BY f.trade_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS top FROM f JOIN tp ON f.trade_id = tp.trade_id AND (ts > tts OR ts = tts AND event_id > tid)),
  h AS (SELECT trade_id, outcome AS h, CASE WHEN age >= term_days THEN 'expiry' ELSE 'trail_stop' END AS close_reason FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY ts, event_id) AS k FROM l WHERE outcome <= top * 0.65::DOUBLE OR age >= term_days) WHERE k = 1),
  trailed AS (SELECT tp.trade_id, round(tpo, 6) AS tp_outcome, round(h, 6) AS trailing_outcome, close_reason FROM tp LEFT JOIN h USING (trade_id))"""
-STATS = "count(outcome) AS n, round(avg(CAST(outcome > 0 AS INT)), 6) AS win_rate, round(avg(outcome), 6) AS mean, round(median(outcome), 6) AS median, count(*) FILTER (outcome <= -0.99) AS total_losses"
+STATS = "count(outcome) AS n, round(avg(CAST(outcome > 0 AS INT)) + 1e-9::DOUBLE, 6) AS win_rate, round(avg(outcome) + 1e-9::DOUBLE, 6) AS mean, round(median(outcome) + 1e-9::DOUBLE, 6) AS median, count(*) FILTER (outcome <= -0.99) AS total_losses"
 
 
 
