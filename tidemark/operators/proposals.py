@@ -148,6 +148,7 @@ SCORE: list[Sheet] = [
         "macro_pts": f"half_even((case when macro_regime = 'expansive' then 10 when macro_regime in ('neutral', 'unknown') then 5 else 0 end) * ({choose('sector', SENSITIVITY, 0.50)}), 1)",
         "sector_pts": steps("coalesce(sector_strength, 0)", [(">= 0.03", 10), (">= 0", 5)], 0),
         "accord_pts": "case when conflict then -5 else 5 end",
+        "fund": choose("sector", SECTOR_FUND, "SPY"),
     },
     {
         "options_pts": "least(greatest(half_even(half_even(roi_scored / 0.40 * 15, 1) + liquidity_pts + oi_pts + roi_penalty + edge_pts, 1), 0), 30)",
@@ -250,7 +251,7 @@ def funnel(p: DataFrame) -> DataFrame:
 
 def scored(p: DataFrame) -> DataFrame:
     names = ("signal_pts", "options_pts", "risk_pts", "context_pts")
-    return judged(p).select("proposal_id", "ticker", *rounded(names, 3), "total", "grade", "route", "mailed", "reject_reason")
+    return judged(p).select("proposal_id", "ticker", *rounded(names, 3), "total", "grade", "route", "mailed", "fund", "reject_reason")
 
 
 def ranked(p: DataFrame, top: int = 5) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 BULLISH = ("bull", "bullish", "moon", "rocket", "buy", "long", "call", "calls", "squeeze", "breakout", "beat", "upside", "strong", "outperform")
 BEARISH = ("bear", "bearish", "short", "put", "puts", "crash", "dump", "sell", "downside", "miss", "weak", "underperform", "resistance")
 
+# Fixed value: what shows that a post is about options.
+OPTIONS = r"\b(call|calls|put|puts|strike|expiry|dte|leaps?|\d+[cp]\s*\$?\d+|\$\d+c|\$\d+p)\b"
+
 
 def _count(words: tuple[str, ...]):
     return F.regexp_count(F.lower("text"), F.lit(r"\b(" + "|".join(sorted(words, reverse=True)) + r")\b"))
@@ -16,7 +19,7 @@ def _count(words: tuple[str, ...]):
 
 def credibility(posts: DataFrame) -> DataFrame:
     weight = F.log1p(F.greatest(F.col("score"), F.lit(0))) * (1 + F.least(F.col("comments") / (F.col("score") + 1), F.lit(2.0)))
-    return posts.select("id", "source", F.round(weight, 3).alias("credibility"), _count(BULLISH).alias("bull"), _count(BEARISH).alias("bear"))
+    return posts.select("id", "source", F.round(weight, 3).alias("credibility"), _count(BULLISH).alias("bull"), _count(BEARISH).alias("bear"), F.coalesce(F.lower("text").rlike(OPTIONS), F.lit(False)).alias("has_options"))
 
 
 def weighted_sentiment(posts: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def weighted_sentiment(posts: DataFrame) -> DataFrame:
     w = F.round(F.col("credibility") * 1000).cast("long")
     tone = (F.col("bull") - F.col("bear")) / (F.col("bull") + F.col("bear") + 1)
     s = F.coalesce(F.try_divide(F.sum(w * tone), F.sum(w)), F.lit(0.0))
-    return c.groupBy("source").agg(F.count("*").alias("mentions"), F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s)), 6).alias("sentiment"))
+    return c.groupBy("source").agg(F.count("*").alias("mentions"), F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s)), 6).alias("sentiment"), F.round(F.avg(F.col("has_options").cast("double")), 6).alias("options_intent"))
 
 
 def top_posts(posts: DataFrame, n: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.functions.sheets import as_sql
 from tidemark.operators.ledger import CURRENT, SWEEP, TUNABLE
 from tidemark.operators.lifecycle import rules
-from tidemark.operators.text import BEARISH, BULLISH
+from tidemark.operators.text import BEARISH, BULLISH, OPTIONS
 from tidemark.plans.oracle_market import SQL as MARKET_SQL
 from tidemark.plans.oracle_proposals import JUDGED
 from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
@@ -73,7 +73,7 @@ _BINS = """bins AS (SELECT outcome, 'impact' AS feature, CASE WHEN impact <= 4 T
  UNION ALL SELECT outcome, 'mismatch', CASE WHEN mismatch < 3 THEN 'weak' WHEN mismatch <= 6 THEN 'good' ELSE 'strong' END FROM c
  UNION ALL SELECT outcome, 'surprise', CASE WHEN surprise <= 4 THEN 'low' WHEN surprise <= 7 THEN 'mid' ELSE 'high' END FROM c)"""
 _POSTS = rf"""cred AS (SELECT doc_id AS id, source, round(ln(1 + greatest(n_chars, 0)) * (1 + least((doc_id % 50) / (n_chars + 1), 2.0)), 3) AS credibility,
- len(regexp_extract_all(lower(text), '\b({"|".join(sorted(BULLISH, reverse=True))})\b')) AS bull, len(regexp_extract_all(lower(text), '\b({"|".join(sorted(BEARISH, reverse=True))})\b')) AS bear FROM documents)"""
+ len(regexp_extract_all(lower(text), '\b({"|".join(sorted(BULLISH, reverse=True))})\b')) AS bull, len(regexp_extract_all(lower(text), '\b({"|".join(sorted(BEARISH, reverse=True))})\b')) AS bear, coalesce(regexp_matches(lower(text), '{OPTIONS}'), false) AS has_options FROM documents)"""
 TERM = """firsts AS (SELECT * FROM (SELECT ticker, run_month, dte, row_number() OVER (PARTITION BY ticker, run_month ORDER BY dte) AS k FROM (SELECT DISTINCT ticker, run_month, dte FROM chain JOIN runs USING (expiry) WHERE dte <= 120)) WHERE k <= 3 AND dte >= 7),
  term AS (SELECT ticker, run_month, dte, round(median(iv), 6) AS iv, count(*) AS n FROM priced JOIN runs USING (expiry) JOIN firsts USING (ticker, run_month, dte) WHERE type = 'call' AND strike BETWEEN s * 0.93 AND s * 1.07 AND iv > 0.05 GROUP BY 1, 2, 3)"""
 _ATM = f"WITH {CHAIN}, atm AS (SELECT *, row_number() OVER (PARTITION BY ticker, expiry, type ORDER BY round(abs(strike - s), 6), strike, row) AS k FROM priced)"
@@ -177,7 +177,7 @@ SQL: dict[str, str] = {
  a AS (SELECT trade_id, n, size >= 10 AS enough, avg(score) AS mean, round(avg(score) FILTER (back <= k) - avg(score) FILTER (back > n - k), 4) AS drift FROM f GROUP BY 1, 2, 3)
  SELECT trade_id, n, CASE WHEN enough THEN drift ELSE 0 END AS drift, CASE WHEN enough THEN round(mean, 4) ELSE 0 END AS mean_score, CASE WHEN NOT enough THEN 'insufficient_data' WHEN drift > 0.1 THEN 'rising' WHEN drift < -0.1 THEN 'falling' ELSE 'flat' END AS trend, enough AND drift >= 0.15 AND n >= 20 AS accumulation FROM a""",
     "post_credibility": f"WITH {_POSTS} SELECT * FROM cred",
-    "weighted_sentiment": f"""WITH {_POSTS}, w AS (SELECT source, CAST(round(credibility * 1000) AS BIGINT) AS w, (bull - bear) / (bull + bear + 1) AS t FROM cred) SELECT source, count(*) AS mentions, round(greatest(-1.0, least(1.0, coalesce(sum(w * t) / nullif(sum(w), 0), 0.0))), 6) AS sentiment FROM w GROUP BY 1""",
+    "weighted_sentiment": f"""WITH {_POSTS}, w AS (SELECT source, CAST(round(credibility * 1000) AS BIGINT) AS w, (bull - bear) / (bull + bear + 1) AS t, has_options FROM cred) SELECT source, count(*) AS mentions, round(greatest(-1.0, least(1.0, coalesce(sum(w * t) / nullif(sum(w), 0), 0.0))), 6) AS sentiment, round(avg(CAST(has_options AS INT)), 6) AS options_intent FROM w GROUP BY 1""",
     "top_posts": f"WITH {_POSTS} SELECT source, rank, id, credibility FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY credibility DESC, id) AS rank FROM cred) WHERE rank <= 5",
 }
 SQL["stream_exits"] = f"WITH {FIRED} SELECT trade_id, event_id, reason, round(outcome, 6) AS outcome, age FROM x"

@@ -26,7 +26,7 @@ _known = " ".join(f"LEFT JOIN (SELECT bin AS bin_{f}, avg_return AS known_{f} FR
 
 SQL: dict[str, str] = {
     "option_roi": f"SELECT proposal_id, catalyst_type, tier, {_rounded(('roi_gross', 'roi_net', 'spread_pct', 'vega_loss', 'theta_pct', 'delta_used', 'commission_pct', 'min_roi', 'annual_roi', 'break_even', 'edge'), 5)}, passes_roi, skip_tier, has_edge FROM {as_sql(BASE, *p.JUDGEMENT, *p.MISMATCH, *p.ROI)}",
-    "trade_score": f"WITH {JUDGED} SELECT proposal_id, ticker, {_rounded(('signal_pts', 'options_pts', 'risk_pts', 'context_pts'), 3)}, total, grade, route, mailed, reject_reason FROM judged",
+    "trade_score": f"WITH {JUDGED} SELECT proposal_id, ticker, {_rounded(('signal_pts', 'options_pts', 'risk_pts', 'context_pts'), 3)}, total, grade, route, mailed, fund, reject_reason FROM judged",
     "proposal_rank": f"WITH {JUDGED} SELECT run_date, ticker, proposal_id, total, grade, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY total DESC, ticker, proposal_id) AS rank FROM judged) WHERE rank <= 5",
     "reject_tally": f"""WITH {JUDGED}, r AS (SELECT date_trunc('month', run_date)::DATE AS month, reject_reason, ticker, count(*) AS n FROM judged WHERE reject_reason IS NOT NULL GROUP BY ALL),
  k AS (SELECT *, row_number() OVER (PARTITION BY month, reject_reason ORDER BY ticker) AS k FROM r)
