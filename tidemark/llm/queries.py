@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.ann import op4_nearest_neighbours
+from tidemark.llm.filter_audit import OP11_SQL, op11_filter_audit
 from tidemark.llm.license_scan import op2_license_scan
 from tidemark.llm.minhash import op1_minhash_near_dedup
 from tidemark.llm.packing import op6_packing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLE_SQL = {"op10_sharding": OP10_SQL}
+ORACLE_SQL = {"op10_sharding": OP10_SQL, "op11_filter_audit": OP11_SQL}
