@@ -10,8 +10,7 @@ path that passes every filter gives the steps: what hangs at its fail branches i
 Edge cases: a null text is empty; a null part is the empty string; a document without a doc_id has no smaller id, so it is no
 duplicate, and makes none; rows that repeat doc_id and text are documents of their own, neither before the other; a doc_id
 that labels hold several times is good or toxic if any of its rows says so, null flags being no; labels without a doc_id label
-nothing; other columns are ignored;
-an empty table gives an empty result. Texts are compared by their SHA-256."""
+nothing; other columns are ignored; an empty table gives an empty result. Texts are compared by their SHA-256."""
 
 from __future__ import annotations
 
@@ -198,7 +197,7 @@ _PREFIX = lambda upto: " + ".join(f"(CASE WHEN {upto} >= {k} THEN b{k} ELSE 0 EN
 #: Counted order by order from the masks, without diagrams.
 OP11_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
 l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
 f AS (SELECT part, (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
       + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)

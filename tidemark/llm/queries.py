@@ -16,6 +16,7 @@ from tidemark.llm.quality import op5_quality_rules
 from tidemark.llm.sharding import OP10_SQL, op10_sharding
 from tidemark.llm.token_count import op3_token_counts
 from tidemark.llm.token_files import op7_token_files
+from tidemark.llm.top_products import OP12_SQL, op12_top_products
 from tidemark.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
     "op11_filter_audit": op11_filter_audit,
+    "op12_top_products": op12_top_products,
 }
 
-ORACLE_SQL = {"op10_sharding": OP10_SQL, "op11_filter_audit": OP11_SQL}
+ORACLE_SQL = {"op10_sharding": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_top_products": OP12_SQL}
