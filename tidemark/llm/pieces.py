@@ -135,6 +135,13 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def piece_bytes(path: str) -> list[bytes]:
+    """The bytes of each id: U+2581 stands for a blank, byte pieces for their byte; control pieces have none."""
+    sp = sentencepiece_model(path)
+    plain = lambda i: b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(BLANK, " ").encode()
+    return [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else plain(i) for i in range(sp.get_piece_size())]
+
+
 def _encoded(texts: list[str | None], model: str) -> Iterator[tuple[bytes, str]]:
     enc = piece_encoder(model)
     begin, end = np.array([enc.sp.bos_id()], "<u4").tobytes(), np.array([enc.sp.eos_id()], "<u4").tobytes()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.alignment import op13_token_alignment
 from tidemark.llm.ann import op4_nearest_neighbours
 from tidemark.llm.filter_audit import OP11_SQL, op11_filter_audit
 from tidemark.llm.license_scan import op2_license_scan
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_filter_audit": op11_filter_audit,
     "op12_top_products": op12_top_products,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {"op10_sharding": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_top_products": OP12_SQL}

@@ -29,10 +29,13 @@ def sentencepiece_model(path: str):
 
 
 @lru_cache(4)
-def json_tokenizer(path: str):
+def json_tokenizer(path: str, special: bool = True):
+    """special: whether special strings in a text are special tokens."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = not special
+    return tok
 
 
 def public_path(name: str) -> str:
@@ -46,21 +49,21 @@ def added_tokens(path: str) -> dict[str, int]:
 
 
 @lru_cache(4)
-def byte_level_encoder(path: str, ranks_path: str) -> Callable[[str], np.ndarray]:
+def byte_level_encoder(path: str, ranks_path: str, special: bool = True) -> Callable[[str], np.ndarray]:
     """Ids as the tokenizers library gives them for `path`, without added tokens; special strings in a text are
-    special tokens, as is its default."""
+    special tokens, as is its default, or plain text."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    enc = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+    enc = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path) if special else {})
 
     def encode(text: str) -> np.ndarray:
         try:
             return enc.encode_to_numpy(text, allowed_special="all")
         except ValueError:  # the pattern overflows its stack on some 10**6 white-space characters in a row
-            return np.array(json_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(json_tokenizer(path, special).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -72,6 +75,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def byte_level_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; special tokens have none."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    byte = {c: b for b, c in _byte_letters().items()}
+    out = [b""] * (max([*vocab.values(), *added_tokens(path).values()]) + 1)
+    for shown, i in vocab.items():
+        out[i] = bytes(map(byte.__getitem__, shown))
+    return out
+
+
 class WordEncoder:
     """BPE with word ends, lower case, white space dropped: no token spans a blank, so chunks between blanks are
     encoded apart. Pieces of a chunk come from the tokenizer file's own pattern, their ids from its own model."""
