@@ -87,7 +87,7 @@ ROI: list[Sheet] = [
     {
         "cost": "case when is_spread then coalesce(net_debit, ask) else ask end",
         "tier_roi": choose("tier", {t: v[2] for t, v in TIERS.items()}),
-        "roi_factor": steps("vix", ROI_BY_VIX, 1.20),
+        "roi_factor": steps(present("vix", 20), ROI_BY_VIX, 1.20),
         "crush_base": "case when dte <= 60 then {} when dte <= 149 then {} else {} end".format(*(choose("catalyst_type", {k: v[i] for k, v in CRUSH.items()}, CRUSH["OTHER"][i]) for i in range(3))),
         "crush_scale": steps("vix_structure", [("= 'backwardation'", 1.20), ("= 'contango'", 0.85)], 1.0),
     },

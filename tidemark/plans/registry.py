@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, lifecycle, market, options, prices, proposals, text
+from tidemark.functions.sheets import add
+from tidemark.operators import ledger, lifecycle, market, options, prices, proposals, text, tiers
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters
 from tidemark.streaming import monitors
@@ -106,12 +107,21 @@ def queries() -> dict[str, Query]:
     out["shadow_inserts"] = shadow_inserts
     out["quote_as_of"] = lambda spark, sf_dir: lifecycle.as_of(adapters.marks(spark, sf_dir), adapters.quote_times(spark, sf_dir))
     out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
+    out["tier_search"] = lambda spark, sf_dir: tiers.tier_search(candidates(spark, sf_dir), adapters.chain(spark, sf_dir))
+    out["tier_search_legs"] = lambda spark, sf_dir: tiers.tier_search(candidates(spark, sf_dir), adapters.chain(spark, sf_dir), leg_required=True)
+    out["roi_precheck"] = lambda spark, sf_dir: tiers.precheck(candidates(spark, sf_dir), adapters.chain(spark, sf_dir))
     out["stream_news_window"] = news_window
     out["stream_exits"] = monitors.exit_monitor
     out["stream_report_counts"] = monitors.report_stream
     return out
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with their judgement, price, target and dealers' gamma."""
+    judged = add(adapters.candidates(spark, sf_dir), {c: proposals.JUDGEMENT[0][c] for c in ("catalyst_type", "dte_floor")})
+    return tiers.with_features(judged, adapters.supplier_bars(spark, sf_dir), options.dealer_gamma(adapters.chain(spark, sf_dir)))
+
+
 def iv_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the score of each ticker's last run."""
     term = options.term_score(adapters.chain(spark, sf_dir)).groupBy("ticker").agg(F.max_by("term_score", "run_month").alias("term_score"))

@@ -171,6 +171,15 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add(table(spark, sf_dir, "lineitem"), *PROPOSALS)
 
 
+#: What a candidate brings to the search for a contract; its price comes from bars, its target from that price.
+CANDIDATES = ("ticker", "run_date", "direction", "horizon", "hit_rate", "iv_rank", "vix", "vix_structure", "fda", "eps_drift", "catalyst_text", "insider_cluster")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidate_id, what CANDIDATES names, target_move."""
+    return proposals(spark, sf_dir).select(F.col("proposal_id").alias("candidate_id"), *CANDIDATES, ((5 + F.col("l_orderkey") % 30) / 100).alias("target_move"))
+
+
 def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trade_id, ticker, expiry, strike, type: positions whose strikes are off the chain's by up to two cents, or of the other type."""
     return add(table(spark, sf_dir, "lineitem"), *POSITIONS).select("trade_id", "ticker", "expiry", "strike", "type")
