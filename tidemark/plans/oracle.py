@@ -10,6 +10,7 @@ from tidemark.plans.oracle_market import SQL as MARKET_SQL
 from tidemark.plans.oracle_proposals import JUDGED
 from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
 from tidemark.plans.oracle_tiers import precheck_sql, tier_sql
+from tidemark.plans.oracle_valuation import valuation_sql
 from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS, TERMS
 
 TRADES = """trades AS (SELECT o_orderkey AS trade_id, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS entry_date,
@@ -186,3 +187,4 @@ SQL["stream_news_window"] = """SELECT event_type, CAST(start AS TIMESTAMP) AS st
 SQL["stream_report_counts"] = f"WITH {JUDGED} SELECT date_trunc('month', run_date)::DATE AS month, reject_reason AS reason, count(*) AS count FROM judged WHERE reject_reason IS NOT NULL GROUP BY 1, 2"
 SQL |= PROPOSAL_SQL | MARKET_SQL
 SQL |= {name: tier_sql(CHAIN, SUPPLIER_BARS, SQL["oi_gamma"], strict) for name, strict in (("tier_search", False), ("tier_search_legs", True))} | {"roi_precheck": precheck_sql(CHAIN, SUPPLIER_BARS)}
+SQL |= valuation_sql(CHAIN, SUPPLIER_BARS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sheets import add
-from tidemark.operators import ledger, lifecycle, market, options, prices, proposals, text, tiers
+from tidemark.operators import ledger, lifecycle, market, options, prices, proposals, text, tiers, valuation
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters
 from tidemark.streaming import monitors
@@ -110,6 +110,8 @@ def queries() -> dict[str, Query]:
     out["tier_search"] = lambda spark, sf_dir: tiers.tier_search(candidates(spark, sf_dir), adapters.chain(spark, sf_dir))
     out["tier_search_legs"] = lambda spark, sf_dir: tiers.tier_search(candidates(spark, sf_dir), adapters.chain(spark, sf_dir), leg_required=True)
     out["roi_precheck"] = lambda spark, sf_dir: tiers.precheck(candidates(spark, sf_dir), adapters.chain(spark, sf_dir))
+    for name, f in (("position_value", valuation.position_value), ("trade_outcome", valuation.trade_outcome)):
+        out[name] = lambda spark, sf_dir, f=f: f(adapters.book(spark, sf_dir), adapters.chain(spark, sf_dir), adapters.stock_quotes(spark, sf_dir), adapters.supplier_bars(spark, sf_dir))
     out["stream_news_window"] = news_window
     out["stream_exits"] = monitors.exit_monitor
     out["stream_report_counts"] = monitors.report_stream

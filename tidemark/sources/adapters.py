@@ -194,6 +194,39 @@ POSITIONS: list[Sheet] = [
         "type": "case when (l_returnflag = 'R') = (l_partkey % 3 > 0) then 'put' else 'call' end",
     }
 ]
+#: A book of positions, one from each line of an order; the short strike is that of the next contract of the same expiry and type.
+BOOK_ROWS = f"""SELECT *, lead(listed) OVER (PARTITION BY ticker, expiry, type ORDER BY listed, trade_id) AS next_strike FROM
+  (SELECT {LINE_ID} AS trade_id, l_suppkey AS ticker, {EXPIRY} AS expiry, case when l_returnflag = 'R' then 'put' else 'call' end AS type,
+   cast(floor(round(l_extendedprice * 100) / l_quantity) as double) / 100 AS listed, l_linenumber, l_partkey, l_orderkey, l_discount FROM {{lines}}) x"""
+BOOK: list[Sheet] = [
+    {
+        "strategy": "case when l_partkey % 50 = 0 then null when type = 'call' then case when l_linenumber % 2 = 0 then 'BULL_CALL_SPREAD' else 'LONG_CALL' end when l_linenumber % 2 = 0 then 'BEAR_PUT_SPREAD' else 'LONG_PUT' end",
+        "strike": "round(listed + cast(l_partkey % 5 - 2 as double) / 100, 2)",
+        "value_day": "expiry + cast(l_partkey % 60 - 30 as int)",
+        "entry_debit": "case when l_orderkey % 6 = 0 then 0 else round(listed * (0.04 + l_discount) + 0.000000001, 2) end",
+        "net_debit": "case when l_orderkey % 12 = 0 then null else round(listed * 3 / 100 + 0.000000001, 2) end",
+        "entry_ask": "case when l_orderkey % 24 = 0 then 0 else round(listed * (0.05 + l_discount) + 0.000000001, 4) end",
+        "entry_short_bid": "case when l_orderkey % 36 = 0 then null else round(listed * 2 / 100 + 0.000000001, 4) end",
+        "entry_last": "case when l_orderkey % 48 = 0 then null else round(listed * 4 / 100 + 0.000000001, 4) end",
+        "entry_stock": "case when l_orderkey % 7 = 0 then 0 else round(listed * (96 + l_partkey % 9) / 100 + 0.000000001, 4) end",
+    },
+    {"short_strike": "case when strategy like '%SPREAD%' and l_partkey % 29 > 0 then round(next_strike + cast(l_partkey % 3 as double) / 100, 2) end"},
+]
+#: Stock quotes from bars: some without a last price, some without a bid either.
+STOCK_QUOTES: Sheet = {"last": "case when volume % 5 = 0 then 0 else round(close + 0.000000001, 4) end", "bid": "case when volume % 35 = 0 then null else round(close * 999 / 1000 + 0.000000001, 4) end", "ask": "round(close * 1001 / 1000 + 0.000000001, 4)"}
+
+
+def book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trade_id, ticker, expiry, strategy, strike, short_strike, value_day and the figures at entry."""
+    rows = add(spark.sql(BOOK_ROWS, lines=table(spark, sf_dir, "lineitem")), *BOOK)
+    return rows.select("trade_id", "ticker", "expiry", *BOOK[0], *BOOK[1])
+
+
+def stock_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, d, last, bid, ask."""
+    return add(supplier_bars(spark, sf_dir), STOCK_QUOTES).select("ticker", "d", *STOCK_QUOTES)
+
+
 #: Outcomes by feature and bin, from lines of orders.
 LINE_BINS = """SELECT 'impact' AS feature, CASE WHEN l_linenumber <= 4 THEN 'low' WHEN l_linenumber <= 6 THEN 'mid' ELSE 'high' END AS bin, (l_partkey % 21 - 10) / 100 AS outcome FROM {lines}
   UNION ALL SELECT 'mismatch', CASE WHEN l_quantity < 15 THEN 'weak' WHEN l_quantity <= 30 THEN 'good' ELSE 'strong' END, (l_partkey % 21 - 10) / 100 FROM {lines}"""
