@@ -103,10 +103,19 @@ def shadow_outcome(marks: DataFrame, hold: int = HOLD) -> DataFrame:
 
 
 def as_of(marks: DataFrame, asked: DataFrame) -> DataFrame:
-    """For asked(trade_id, asof) the last value at or before that time; unknown if there is none. An equi-join and an aggregate,
-    no range join: a trade's marks up to the time shrink to one on the map side."""
-    both = asked.join(marks, "trade_id", "left").groupBy("trade_id", "asof").agg(F.max(F.when(F.col("ts") <= F.col("asof"), F.struct("ts", "event_id", "value"))).alias("x"))
-    return both.select("trade_id", "asof", "x.event_id", "x.value")
+    """For asked(trade_id, asof) the last value at or before that time; unknown if there is none. Marks shrink to the last of each day,
+    and a sorted window over a trade's days and asked times finds the last day before; only the asked day's own marks are compared
+    with the time. So no mark meets another day's times, however many marks a trade has."""
+    mark = F.struct("ts", "event_id", "value")
+    kind = marks.select(mark.alias("m")).schema["m"].dataType
+    days = marks.groupBy("trade_id", F.to_date("ts").alias("day")).agg(F.max(mark).alias("m"))
+    times = asked.select("trade_id", "asof").distinct().withColumn("day", F.to_date("asof"))
+    both = days.withColumn("asof", F.lit(None).cast(asked.schema["asof"].dataType)).unionByName(times.withColumn("m", F.lit(None).cast(kind)))
+    earlier = Window.partitionBy("trade_id").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    before = both.withColumn("before", F.last("m", True).over(earlier)).where("asof is not null").select("trade_id", "asof", "day", "before")
+    own = marks.select("trade_id", F.to_date("ts").alias("day"), mark.alias("m")).join(times, ["trade_id", "day"]).where(F.col("m.ts") <= F.col("asof")).groupBy("trade_id", "asof").agg(F.max("m").alias("same"))
+    out = before.join(own, ["trade_id", "asof"], "left").withColumn("x", F.coalesce("same", "before"))
+    return out.select("trade_id", "asof", "x.event_id", "x.value")
 
 
 def daily_last(marks: DataFrame) -> DataFrame:

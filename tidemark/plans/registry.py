@@ -12,6 +12,7 @@ from tidemark.operators import ledger, lifecycle, market, options, prices, propo
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters
 from tidemark.streaming import monitors
+from tidemark.streaming.exit_states import stream_exit_states
 from tidemark.streaming.news import news_window
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,7 @@ def queries() -> dict[str, Query]:
     for name, f in (("position_value", valuation.position_value), ("trade_outcome", valuation.trade_outcome)):
         out[name] = lambda spark, sf_dir, f=f: f(adapters.book(spark, sf_dir), adapters.chain(spark, sf_dir), adapters.stock_quotes(spark, sf_dir), adapters.supplier_bars(spark, sf_dir))
     out["stream_news_window"] = news_window
+    out["stream_exit_states"] = stream_exit_states
     out["stream_exits"] = monitors.exit_monitor
     out["stream_report_counts"] = monitors.report_stream
     return out
