@@ -38,7 +38,7 @@ def test_exit_rules(spark):
 def test_size_and_commission(spark):
     df = frame(spark, [dict(k=0, strategy="LONG_CALL", hit_rate=0.70, roi_net=0.80, ask=2.0), dict(k=1, strategy="LONG_CALL", hit_rate=0.45, roi_net=0.05, ask=2.0), dict(k=2, strategy="BULL_CALL_SPREAD", hit_rate=0.75, roi_net=0.9, ask=9.0, net_debit=1.5), dict(k=3, strategy="LONG_CALL", roi_net=2.0, ask=40.0)], k="int", strategy="string", hit_rate="double", roi_net="double", ask="double", net_debit="double")
     a, b, c, d = add(df, *proposals.SIZE).orderBy("k").collect()
-    assert math.isclose(a["kelly"], 0.7 - 0.3 / (0.8 / 0.45)) and a["position_pct"] == 0.1 and (a["position_usd"], a["contracts"]) == (500.0, 2)
+    assert math.isclose(a["kelly"], 0.7 - 0.3 / (0.8 / 0.80)) and math.isclose(a["position_pct"], 0.1) and (a["position_usd"], a["contracts"]) == (500.0, 2)
     assert b["kelly"] < 0 and (b["contracts"], b["note"]) == (0, "no edge") and c["unit_cost"] == 150.0 and c["contracts"] == 3
     assert d["p_win"] == 0.5 and (d["contracts"], d["note"]) == (0, "too dear")
     base = dict(price=100.0, target=110.0, strike=100.0, bid=1.4, ask=1.5, iv=0.3, dte=150, iv_rank=50.0, hit_rate=0.65, catalyst_type="FDA", vix=20.0)
@@ -84,7 +84,9 @@ def test_short_interest(spark):
 
 
 def test_slots(spark):
-    t = spark.createDataFrame([("XLK", 0.8)] * 15 + [("XLE", -0.3)] * 5 + [("XLV", -0.2)] * 3 + [(None, 0.5)], "sector string, outcome double")
+    rows = [("XLK", 0.8, "closed", None)] * 15 + [("XLE", -0.3, "closed", None)] * 5 + [("XLV", -0.2, "shadow", "final_mc_survivor")] * 3 + [(None, 0.5, "closed", None)]
+    rows += [("XLU", 0.9, "shadow", "score_44")] * 9 + [("XLU", 0.9, "open", None)] * 9  # neither closed nor a survivor
+    t = spark.createDataFrame(rows, "sector string, outcome double, source string, reject_reason string")
     r = ledger.sector_verdict(t).first()
     assert (r["n"], r["ready"], r["best"], r["worst"], r["dominant"], r["recommended"]) == (23, True, "XLK", "XLE", "XLK", "XLK")
     assert not ledger.sector_verdict(t.limit(12)).first()["ready"]
@@ -156,8 +158,8 @@ def test_feeds(spark, tmp_path):
     assert got == [(0.4, 0.0, 0.0, 0), (0.3, 0.0, 0.0, 0), (0.3, 0.6, 0.0, 0)]
     (tmp_path / "s.csv").write_text("date,value\n2026-01-01,1.5\n2026-01-02,.\n2026-01-03,\n")
     assert [tuple(r) for r in reports.series_feed(spark, str(tmp_path / "s.csv")).collect()] == [(datetime.date(2026, 1, 1), 1.5)]
-    (tmp_path / "k.json").write_text(json.dumps({"ticker": "aapl", "cik_str": 320193, "title": "x"}))
-    assert tuple(reports.cik_feed(spark, str(tmp_path / "k.json")).first())[:2] == ("AAPL", "0000320193")
+    (tmp_path / "k.json").write_text(json.dumps({"0": {"cik_str": 320193, "ticker": "aapl", "title": "x"}, "1": {"cik_str": 7, "ticker": "B", "title": None}, "2": {"cik_str": 8, "ticker": "b", "title": "later"}, "3": {"ticker": "C"}, "4": {"cik_str": 9}}))
+    assert sorted(map(tuple, reports.cik_feed(spark, str(tmp_path / "k.json")).collect())) == [("AAPL", "0000320193", "x"), ("B", "0000000007", None)]
     (tmp_path / "i.csv").write_text("symbol\n BRK.B \n")
     (tmp_path / "e.csv").write_text("symbol\n")
     spare = spark.createDataFrame([("Z",)], "symbol string")
@@ -204,3 +206,68 @@ def test_universe_and_news(spark):
 @pytest.mark.parametrize("s, want", [(310.0, (0.9516, 1.0484)), (900.0, (0.97, 1.03)), (210.0, (0.9286, 1.0714))])
 def test_strike_window(spark, s, want):
     assert tuple(spark.createDataFrame([(s,)], "s double").select(*options.strike_window(14, 60)).first()) == want
+
+
+def test_missing_data_fails_the_gates_that_need_it(spark):
+    good = dict(vix=20.0, symbol="A", days_to_earnings=30, shortlisted=True, roi_net=0.5, dte=150, hit_rate=0.6, veto=False, direction="BULLISH", impact_capped=8, surprise=8, mismatch=5.5, intraday_move=0.0, severity=4, sector_strength=0.0,
+                dte_floor=120, skip_tier=False, passes_roi=True, has_edge=True, quick_days=30, final_hit_rate=0.6)
+    kinds = dict(vix="double", symbol="string", days_to_earnings="int", shortlisted="boolean", roi_net="double", dte="int", hit_rate="double", veto="boolean", direction="string", impact_capped="int", surprise="int", mismatch="double", intraday_move="double",
+                 severity="int", sector_strength="double", dte_floor="int", skip_tier="boolean", passes_roi="boolean", has_edge="boolean", quick_days="int", final_hit_rate="double")
+    nan = float("nan")
+    cases = [
+        ({}, None), ({"symbol": None}, "invalid_ticker"), ({"shortlisted": False}, "not_shortlisted"), ({"surprise": None}, "impact_x_surprise_below_floor"), ({"impact_capped": None}, "impact_x_surprise_below_floor"), ({"dte": None}, "dte_floor"),
+        ({"mismatch": None}, "no_mismatch"), ({"mismatch": nan}, "invalid_mismatch"), ({"hit_rate": None}, "mc_invalid_hit_rate"), ({"hit_rate": 1.2}, "mc_invalid_hit_rate"), ({"hit_rate": 0.47, "vix": 15.0}, "mc_below_threshold"), ({"hit_rate": 0.47}, None),
+        ({"hit_rate": 0.44, "vix": 31.0}, None), ({"hit_rate": 0.44, "vix": -1.0}, "mc_below_threshold"), ({"hit_rate": 0.46, "vix": nan}, None), ({"vix": 35.0}, "vix_gate"), ({"vix": None}, None), ({"severity": None}, None), ({"passes_roi": None}, "roi_gate"),
+        ({"final_hit_rate": None}, "final_mc_invalid"), ({"final_hit_rate": 0.005}, "final_mc_zero_prob"), ({"final_hit_rate": 0.47}, None), ({"final_hit_rate": 0.47, "quick_days": 60}, "final_mc_below_threshold"), ({"final_hit_rate": 0.44}, "final_mc_below_threshold"),
+    ]
+    df = frame(spark, [dict(k=k) | good | c for k, (c, _) in enumerate(cases)], k="int", **kinds)
+    assert [r["reject_reason"] for r in add(df, *proposals.GATES).orderBy("k").collect()] == [want for _, want in cases]
+    raw = frame(spark, [dict(k=0, decision=None), dict(k=1, category=None), dict(k=2, category="routine_news"), dict(k=3, n_expiries=None), dict(k=4)], k="int", decision="string", category="string", n_expiries="int")
+    raw = raw.selectExpr("k", "if(k = 0, null, '[YES]') as decision", "if(k = 1, null, coalesce(category, 'catalyst')) as category", "if(k = 3, null, 4) as n_expiries")
+    assert [r[0] for r in add(raw, {"shortlisted": proposals.JUDGEMENT[0]["shortlisted"]}).orderBy("k").select("shortlisted").collect()] == [False, True, False, False, True]
+
+
+def test_size_takes_the_assumed_loss(spark):
+    row = [dict(k=0, strategy="LONG_CALL", hit_rate=0.60, roi_net=0.50, ask=1.0)]
+    df = frame(spark, row, k="int", strategy="string", hit_rate="double", roi_net="double", ask="double", net_debit="double")
+    r = add(df, *proposals.SIZE).first()  # 0.6 - 0.4 * 0.8 / 0.5 < 0: no position; at a loss of .45 there was one
+    assert math.isclose(r["kelly"], -0.04) and (r["contracts"], r["max_risk"], r["note"]) == (0, 0.0, "no edge")
+    r = add(df, *proposals.size(loss=0.45)).first()
+    assert math.isclose(r["kelly"], 0.24) and (r["position_usd"], r["contracts"]) == (300.0, 3) and math.isclose(r["max_risk"], 135.0)
+
+
+def test_bins_of_missing_features(spark):
+    t = frame(spark, [dict(outcome=0.1), dict(outcome=0.2, impact=9, mismatch=7.0, eps_drift=-0.2), dict(outcome=0.3, impact=4, mismatch=2.9, eps_drift=0.06), dict(outcome=0.5, impact=7, mismatch=6.0, eps_drift=0.05)], outcome="double", impact="int", mismatch="double", eps_drift="double").withColumn("source", F.lit("closed"))
+    got = {(r["feature"], r["bin"]): (r["count"], r["avg_return"]) for r in ledger.bin_stats(t).collect()}
+    assert got == {("impact", "mid"): (2, 0.3), ("impact", "high"): (1, 0.2), ("impact", "low"): (1, 0.3), ("mismatch", "good"): (2, 0.3), ("mismatch", "strong"): (1, 0.2), ("mismatch", "weak"): (1, 0.3), ("eps", "noise"): (2, 0.3), ("eps", "massive"): (1, 0.2), ("eps", "relevant"): (1, 0.3)}
+    few = ledger.pearson_weights(t).first()
+    assert (few["n"], few["impact"], few["mismatch"], few["eps"]) == (4, 0.35, 0.45, 0.2)
+    rising = frame(spark, [dict(outcome=o, impact=i, mismatch=1.0) for o, i in ((-0.5, 1), (-0.4, 2), (0.0, None), (0.1, 6), (0.5, 9), (0.6, 10))], outcome="double", impact="int", mismatch="double", eps_drift="double").withColumn("source", F.lit("closed"))
+    assert tuple(ledger.pearson_weights(rising).first()) == (6, round(0.35 + 0.05 * 0.65, 4), round(0.45 - 0.05 * 0.45, 4), 0.19)
+
+
+def test_posts_below_zero(spark):
+    from tidemark.operators import text
+
+    df = spark.createDataFrame([(1, "s", "buy calls", -1, 5), (2, "s", "sell", -7, -3), (3, "s", "x", None, None), (4, "s", "buy", 99, 300), (5, "s", None, 1, 1)], "id long, source string, text string, score long, comments long")
+    got = {r["id"]: r["credibility"] for r in text.credibility(df).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 0.0, 4: round(math.log(100) * 3, 3), 5: round(math.log(2) * 1.5, 3)}
+    r = text.weighted_sentiment(df).first()
+    assert r["mentions"] == 5 and -1 <= r["sentiment"] <= 1
+
+
+def test_stored_answers(spark):
+    long = "x" * 120
+    rows = [
+        '{"k": 7, "catalyst_confidence": 9}', 'Sure: {"k": 2}', '```json\n{"k": 4, "a": "b, c"}\n```\nmore', f'{{"k": 6, "reason": "{long}, and", "tail": "cut off, in pro', f'{{"k": 6, "reason": "{long}, and then it en', '{"k": 6, "note": "short", "tail',
+        f'{{"k": 6, broken "reason": "{long}", "tail": "x', "no answer", None, "{\"k\": \"many\"}",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, raw string")
+    got = [tuple(r)[1:] for r in market.parsed_answers(df).orderBy("id").collect()]
+    assert got == [("direct", 7, 9), ("direct", 2, 5), ("direct", 4, 5), ("repaired", 6, 5), ("lost", None, None), ("lost", None, None), ("neutral", 3, 5), ("lost", None, None), ("lost", None, None), ("direct", None, 5)]
+
+
+def test_macro_without_a_curve(spark):
+    df = spark.createDataFrame([("v9", datetime.date(2026, 1, 2), "20"), ("v90", datetime.date(2026, 1, 2), "22"), ("y10", datetime.date(2026, 2, 2), "4.1"), ("y2", datetime.date(2026, 2, 2), "4.2"), ("y10", datetime.date(2026, 2, 3), ".")], "name string, d date, value string")
+    got = [(r["curve"], r["regime"], r["structure"]) for r in market.macro_regime(df).orderBy("month").collect()]
+    assert got == [(None, "recessionary", "contango"), (-0.1, "neutral", "unknown")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import clamp, safe_corr, steps, trade_stats
+from tidemark.functions.columns import safe_corr, trade_stats
 
 # Thresholds of the sweep, by field; mismatch is an upper limit, the others are lower ones.
 SWEEP = {"dte": (30, 45, 60, 90, 120), "mismatch": (5, 6, 7, 8), "impact": (4, 5, 6, 7), "surprise": (3, 4, 5, 6), "hit_rate": (0.45, 0.50, 0.55, 0.60), "score": (40, 50, 55, 60, 70)}
@@ -85,10 +85,11 @@ def sector_stats(trades: DataFrame) -> DataFrame:
 
 
 def sector_verdict(trades: DataFrame, total: int = 20) -> DataFrame:
-    """One row: how many trades there are, known or not; whether that is enough; the best and the worst sector; the one that has
+    """Of closed trades and shadows that survived to the end, one row: how many there are, known or not; whether that is enough; the best and the worst sector; the one that has
     most wins, if any; and the only sector with a positive mean, if all others have none."""
-    s = sector_stats(trades)
-    n = trades.agg(F.count("sector").alias("n"))
+    own = trades.where("source = 'closed' or reject_reason = 'final_mc_survivor'")
+    s = sector_stats(own)
+    n = own.agg(F.count("sector").alias("n"))
     edge = lambda f: f(F.struct("sector", "mean"), F.struct("mean", "sector"))["sector"]
     out = s.agg(F.count("*").alias("sectors"), edge(F.max_by).alias("best"), edge(F.min_by).alias("worst"), F.max(F.when(F.col("dominant"), F.col("sector"))).alias("dominant"), F.count_if(F.col("mean") > 0).alias("_up"), F.max(F.when(F.col("mean") > 0, F.col("sector"))).alias("_only"))
     out = n.crossJoin(out)  # one row each
@@ -97,11 +98,14 @@ def sector_verdict(trades: DataFrame, total: int = 20) -> DataFrame:
 
 
 def bins():
-    """The three features as bins, unpivoted: feature, bin."""
-    impact = steps(F.col("impact"), [(4, "low"), (7, "mid")], "high")
-    mismatch = F.when(F.col("mismatch") < 3, "weak").when(F.col("mismatch") <= 6, "good").otherwise("strong")
-    surprise = steps(F.col("surprise"), [(4, "low"), (7, "mid")], "high")
-    return F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("bin")) for n, c in (("impact", impact), ("mismatch", mismatch), ("surprise", surprise))])
+    """The three features as bins, unpivoted: feature, bin, place (0, 0.5 or 1). A missing feature is in the middle bin; missing drift is noise."""
+    c = F.col
+    impact = F.when(c("impact") <= 4, 0).when(c("impact") > 7, 2).otherwise(1)
+    mismatch = F.when(c("mismatch") < 3, 0).when(c("mismatch") > 6, 2).otherwise(1)
+    drift = F.when(F.abs("eps_drift") > 0.10, 2).when(F.abs("eps_drift") > 0.05, 1).otherwise(0)
+    named = lambda k, labels: F.get(F.array(*map(F.lit, labels)), k)
+    rows = (("impact", impact, ("low", "mid", "high")), ("mismatch", mismatch, ("weak", "good", "strong")), ("eps", drift, ("noise", "relevant", "massive")))
+    return F.array(*[F.struct(F.lit(n).alias("feature"), named(k, labels).alias("bin"), (k / 2).alias("place")) for n, k, labels in rows])
 
 
 def bin_stats(trades: DataFrame) -> DataFrame:
@@ -111,11 +115,10 @@ def bin_stats(trades: DataFrame) -> DataFrame:
 
 def pearson_weights(trades: DataFrame, rate: float = 0.05) -> DataFrame:
     """Weights .35/.45/.20 moved towards the positive correlations of the bins with the outcome."""
-    num = lambda c, lo, hi: F.when(c <= lo, 0.0).when(c <= hi, 0.5).otherwise(1.0)
-    x = scored(trades).where("source = 'closed'").select("outcome", num(F.col("impact"), 4, 7).alias("x_impact"), F.when(F.col("mismatch") < 3, 0.0).when(F.col("mismatch") <= 6, 0.5).otherwise(1.0).alias("x_mismatch"), num(F.col("surprise"), 4, 7).alias("x_surprise"))
-    r = x.agg(F.count("*").alias("n"), *[F.greatest(safe_corr(f"x_{f}", "outcome"), F.lit(0.0)).alias(f) for f in ("impact", "mismatch", "surprise")])
-    total = F.col("impact") + F.col("mismatch") + F.col("surprise")
-    old = {"impact": 0.35, "mismatch": 0.45, "surprise": 0.20}
+    old = {"impact": 0.35, "mismatch": 0.45, "eps": 0.20}
+    x = scored(trades).where("source = 'closed'").select("outcome", *[bins()[k]["place"].alias(f"x_{f}") for k, f in enumerate(old)])
+    r = x.agg(F.count("*").alias("n"), *[F.greatest(safe_corr(f"x_{f}", "outcome"), F.lit(0.0)).alias(f) for f in old])
+    total = sum((F.col(f) for f in old), F.lit(0.0))
     new = {f: F.when((F.col("n") < 5) | (total == 0), F.lit(w)).otherwise(w + rate * (F.try_divide(F.col(f), total) - w)) for f, w in old.items()}
     return r.select("n", *[F.round(c, 4).alias(f) for f, c in new.items()])
 
@@ -137,13 +140,13 @@ def cooldown_entered(trades: DataFrame, days: int = 30) -> DataFrame:
 
 
 def shadow_maturity(trades: DataFrame, hold: int = 45, soon: int = 14) -> DataFrame:
-    """By catalyst: shadows, those evaluated, those ready within `soon` days of the last entry, and the next date."""
-    shadows = trades.where("source <> 'closed'")
+    """By reject reason: shadows, those evaluated, those ready within `soon` days of the last entry, and the next date."""
+    shadows = trades.where("source = 'shadow' or reject_reason is not null")
     asof = shadows.agg(F.max("entry_date").alias("asof"))
     due = F.date_add("entry_date", hold)
     open_ = F.col("outcome").isNull()
     rows = shadows.crossJoin(F.broadcast(asof))  # one row
-    return rows.groupBy(F.coalesce("catalyst", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("total"), F.count_if(~open_).alias("evaluated"), F.count_if(open_ & (due <= F.date_add("asof", soon))).alias("ready"), F.min(F.when(open_, due)).alias("next_date"))
+    return rows.groupBy(F.coalesce("reject_reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("total"), F.count_if(~open_).alias("evaluated"), F.count_if(open_ & (due <= F.date_add("asof", soon))).alias("ready"), F.min(F.when(open_, due)).alias("next_date"))
 
 
 def rank_trades(trades: DataFrame, top: int = 5) -> DataFrame:

@@ -105,7 +105,7 @@ def macro_regime(series: DataFrame) -> DataFrame:
 MACRO: list[Sheet] = [
     {"curve": "round(y10 - y2, 4)", "slope": "round((v90 - v9) / nullif(v9, 0), 4)"},
     {
-        "regime": "case when curve > 0.5 then 'expansive' when curve > -0.25 then 'neutral' when curve is null then 'unknown' else 'recessionary' end",
+        "regime": "case when curve > 0.5 then 'expansive' when curve > -0.25 then 'neutral' else 'recessionary' end",
         "structure": "case when slope is null then 'unknown' when slope > 0.05 then 'contango' when slope < -0.05 then 'backwardation' else 'flat' end",
     },
     {"multiplier": "case regime when 'expansive' then cast(1.1 as double) when 'recessionary' then cast(0.8 as double) else cast(1.0 as double) end"},
@@ -154,19 +154,26 @@ def insider_clusters(filings: DataFrame, least: int = 2) -> DataFrame:
 
 
 # ---- stored answers of a model: fences, leading prose and cut-off text
-def parsed_answers(answers: DataFrame) -> DataFrame:
-    """answers(id, raw): text with code fences, prose before the first brace, or cut off. A cut-off one is closed after its last
-    complete field if over `100` characters are left, else it is lost; what still doesn't parse gets the neutral value 3."""
-    body = F.regexp_replace("raw", r"```(json)?", "")
-    rows = answers.withColumn("body", F.trim(body))
-    rows = rows.withColumn("start", F.instr("body", "{")).withColumn("body", F.when(F.col("start") > 0, F.expr("substring(body, start)")).otherwise(""))
-    k = lambda c: F.get_json_object(c, "$.k").cast("long")
-    cut = F.length("body") - F.instr(F.reverse("body"), ",")
-    rows = rows.withColumn("direct", k("body")).withColumn("cut", F.when(F.instr("body", ",") > 0, cut).otherwise(0))
-    rows = rows.withColumn("repaired", F.when(F.col("direct").isNull() & (F.col("cut") > 100), k(F.concat(F.expr("substring(body, 1, cut)"), F.lit("}")))))
-    lost = F.col("direct").isNull() & (F.col("cut") <= 100)
-    state = F.when(F.col("direct").isNotNull(), "direct").when(lost, "lost").when(F.col("repaired").isNotNull(), "repaired").otherwise("neutral")
-    return rows.select("id", state.alias("state"), F.when(~lost, F.coalesce("direct", "repaired", F.lit(3).cast("long"))).alias("k"))
+#: Fields of a stored answer: kind, value of a neutral answer, value where a sound answer lacks the field.
+ANSWER_FIELDS = {"k": ("bigint", 3, None), "catalyst_confidence": ("bigint", 5, 5)}
+
+
+def parsed_answers(answers: DataFrame, fields: dict[str, tuple[str, object, object]] = ANSWER_FIELDS, least: int = 100) -> DataFrame:
+    """answers(id, raw): text with code fences, prose before the first brace, or cut off. A text that isn't sound JSON is cut at its last
+    complete text field (a quotation mark and a comma), if over `least` characters are left, and closed; else it is lost. What still
+    isn't sound gets the neutral values."""
+    fenced = F.regexp_replace(F.get(F.split("raw", "```"), F.lit(1)), "^[json]+", "")
+    body = F.trim(F.when(F.contains("raw", F.lit("```")), F.coalesce(fenced, F.lit(""))).otherwise(F.coalesce("raw", F.lit(""))))
+    rows = answers.select("id", body.alias("body"))
+    rows = rows.withColumn("body", F.when(F.startswith("body", F.lit("{")) | (F.instr("body", "{") == 0), F.col("body")).otherwise(F.expr("substring(body, instr(body, '{'))")))
+    cut = F.length("body") - F.instr(F.reverse("body"), ',"') - 1
+    rows = rows.withColumn("cut", F.when(F.contains("body", F.lit('",')), cut).otherwise(0)).withColumn("direct", F.try_parse_json("body"))
+    fixed = F.try_parse_json(F.concat(F.expr("substring(body, 1, cut)"), F.lit('"}')))
+    rows = rows.withColumn("repaired", F.when(F.col("direct").isNull() & (F.col("cut") > least), fixed))
+    state = F.when(F.col("direct").isNotNull(), "direct").when(F.col("cut") <= least, "lost").when(F.col("repaired").isNotNull(), "repaired").otherwise("neutral")
+    rows = rows.withColumn("state", state).withColumn("sound", F.coalesce("direct", "repaired"))
+    own = lambda name, kind, neutral, missing: F.when(F.col("state") == "neutral", F.lit(neutral).cast(kind)).when(F.col("state") != "lost", F.coalesce(F.try_variant_get("sound", f"$.{name}", kind), F.lit(missing).cast(kind))).alias(name)
+    return rows.select("id", "state", *[own(n, *f) for n, f in fields.items()])
 
 
 # ---- shadow book: registrations from several origins, each once

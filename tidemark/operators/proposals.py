@@ -53,7 +53,7 @@ JUDGEMENT: list[Sheet] = [
         "veto": f"coalesce(verdict = 'VETO', false) or matches(lower(coalesce(argument, '')), '{VETO}')",
         "conflict": f"(direction = 'BEARISH' and matches(lower(reason_text), '{UPBEAT}')) or (direction = 'BULLISH' and (matches(lower(reason_text), '{DOWNBEAT}') or category = 'bearish_reversal'))",
         "dte_floor": "case when lower(coalesce(horizon, '')) like '%6 monat%' then 140 else 120 end",
-        "shortlisted": "decision = '[YES]' and category not in ('routine_news', 'analyst_opinion') and n_expiries >= 2",
+        "shortlisted": "coalesce(decision, '') = '[YES]' and coalesce(category, '') not in ('routine_news', 'analyst_opinion') and coalesce(n_expiries, 0) >= 2",
     },
     {"impact_capped": "case when impact > 6 and (concern = 'high' or conflict) then 6 else impact end"},
 ]
@@ -116,20 +116,23 @@ ROI: list[Sheet] = [
     {"has_edge": "coalesce(edge > 0.005, true)"},
 ]
 
-# ---- gates, in the order of the funnel
+# ---- gates, in the order of the funnel. Missing numbers fail the gate that needs them, but for those whose absence says nothing:
+# volatility (then 20), earnings date, intraday move, sector strength, bear-case severity. A volatility that is no number, or none
+# above 0, tells no calm market from a wild one and takes the middle limit.
 GATES: list[Sheet] = [
     {
-        "mc_limit": steps("coalesce(vix, 20)", [("< 20", 0.48), ("> 30", 0.42)], 0.45),
+        "mc_limit": "case when vix is null or isnan(cast(vix as double)) or vix <= 0 then cast(0.45 as double) when vix < 20 then cast(0.48 as double) when vix > 30 then cast(0.42 as double) else cast(0.45 as double) end",
+        "final_limit": "case when coalesce(quick_days, 30) <= 30 then cast(0.45 as double) else cast(0.50 as double) end",
         "intraday_limit": steps("mismatch", [(">= 7", 0.12), (">= 5", 0.09)], 0.07),
     },
     {
-        "reject_reason": "case when coalesce(vix, 20) >= 35 then 'vix_gate' when trim(coalesce(symbol, '')) = '' then 'invalid_ticker' when days_to_earnings between 0 and 7 then 'earnings' "
+        "reject_reason": "case when coalesce(vix, 20) >= 35 and not isnan(cast(coalesce(vix, 20) as double)) then 'vix_gate' when trim(coalesce(symbol, '')) = '' then 'invalid_ticker' when days_to_earnings between 0 and 7 then 'earnings' "
         "when not shortlisted then 'not_shortlisted' when roi_net < -0.30 and dte between 21 and 45 then 'roi_precheck' when hit_rate < 0.40 then 'pre_mc' when veto then 'red_team_veto' "
-        "when direction = 'BEARISH' then 'bearish_disabled' when impact_capped < 4 or surprise < 3 then 'impact_x_surprise_below_floor' when mismatch is null or mismatch <= 0 then 'no_mismatch' "
-        "when mismatch > 7 then 'mismatch_overreaction' when abs(mismatch) > 10 then 'invalid_mismatch' when hit_rate is null or hit_rate < 0 or hit_rate > 1 then 'mc_invalid_hit_rate' "
-        "when hit_rate < mc_limit then 'mc_below_threshold' when abs(coalesce(intraday_move, 0)) > intraday_limit then 'intraday_too_late' when hit_rate < 0.45 then 'final_mc_below_threshold' "
+        "when direction = 'BEARISH' then 'bearish_disabled' when coalesce(impact_capped, 0) < 4 or coalesce(surprise, 0) < 3 then 'impact_x_surprise_below_floor' when isnan(cast(mismatch as double)) then 'invalid_mismatch' when mismatch is null or mismatch <= 0 then 'no_mismatch' "
+        "when mismatch > 7 then 'mismatch_overreaction' when hit_rate is null or isnan(cast(hit_rate as double)) or hit_rate < 0 or hit_rate > 1 then 'mc_invalid_hit_rate' "
+        "when hit_rate < mc_limit then 'mc_below_threshold' when abs(coalesce(intraday_move, 0)) > intraday_limit then 'intraday_too_late' when final_hit_rate is null or isnan(cast(final_hit_rate as double)) or final_hit_rate < 0 or final_hit_rate > 1 then 'final_mc_invalid' when final_hit_rate < 0.01 then 'final_mc_zero_prob' when final_hit_rate < final_limit then 'final_mc_below_threshold' "
         "when severity >= 8 then 'bear_case' when coalesce(case when direction = 'BULLISH' then sector_strength < -0.15 else sector_strength > 0.15 end, false) then 'sector_weak' "
-        "when dte < dte_floor then 'dte_floor' when skip_tier then 'decay' when not passes_roi then 'roi_gate' when not has_edge then 'no_edge' end",
+        "when coalesce(dte, 0) < dte_floor then 'dte_floor' when skip_tier then 'decay' when not coalesce(passes_roi, false) then 'roi_gate' when not has_edge then 'no_edge' end",
     },
 ]
 
@@ -163,15 +166,23 @@ SCORE: list[Sheet] = [
     },
 ]
 
+# Share of the debit that a stopped trade is assumed to lose, of Kelly's share that is taken, of the book at most; the book.
+LOSS, KELLY, LARGEST, BOOK_USD = 0.80, 0.25, 0.10, 5000
+
+
 # ---- size of a position: a quarter of Kelly's share, at most a tenth
-SIZE: list[Sheet] = [
-    {"entry": f"case when {SPREAD} and {present('net_debit', 'NULL')} is not null then net_debit else coalesce(ask, 0) end", "p_win": f"greatest(0.05, least({present('hit_rate', 0.5)}, 0.75))", "payoff": "greatest(coalesce(roi_net, 0), 0.01) / 0.45"},
-    {"unit_cost": "round(entry * 100 + 0.000000001, 2)", "kelly": "p_win - (1 - p_win) / payoff"},
-    {"position_pct": "least(greatest(kelly, 0) * 0.25, 0.10)"},
-    {"position_usd": "round(5000 * position_pct + 0.000000001, 2)"},
-    {"contracts": "case when unit_cost > 0 then cast(floor(position_usd / unit_cost) as bigint) else 0 end"},
-    {"max_risk": "contracts * unit_cost * 0.45", "note": "case when kelly <= 0 then 'no edge' when contracts = 0 and unit_cost > 0 then 'too dear' else '' end"},
-]
+def size(loss: float = LOSS, kelly: float = KELLY, largest: float = LARGEST, book: float = BOOK_USD) -> list[Sheet]:
+    return [
+        {"entry": f"case when {SPREAD} and {present('net_debit', 'NULL')} is not null then net_debit else coalesce(ask, 0) end", "p_win": f"greatest(0.05, least({present('hit_rate', 0.5)}, 0.75))", "payoff": f"greatest(coalesce(roi_net, 0), 0.01) / {loss}"},
+        {"unit_cost": "round(entry * 100 + 0.000000001, 2)", "kelly": "p_win - (1 - p_win) / payoff"},
+        {"position_pct": f"least(greatest(kelly, 0) * {kelly}, {largest})"},
+        {"position_usd": f"round({book} * position_pct + 0.000000001, 2)"},
+        {"contracts": "case when unit_cost > 0 then cast(floor(position_usd / unit_cost) as bigint) else 0 end"},
+        {"max_risk": f"contracts * unit_cost * {loss}", "note": "case when kelly <= 0 then 'no edge' when contracts = 0 and unit_cost > 0 then 'too dear' else '' end"},
+    ]
+
+
+SIZE = size()
 
 # ---- exit sheet and ticket of an order
 EXITS: list[Sheet] = [
@@ -202,7 +213,7 @@ FULL = [*JUDGEMENT, *MISMATCH, *STRATEGY, *ROI, *GATES, *SCORE, *SIZE, *EXITS, *
 FUNNEL = {
     "universe": (), "prescreened": ("vix_gate", "invalid_ticker", "earnings", "not_shortlisted"), "pre_mc": ("roi_precheck", "pre_mc"), "analyzed": ("red_team_veto", "bearish_disabled"),
     "after_floor": ("impact_x_surprise_below_floor",), "mismatch_ok": ("no_mismatch", "mismatch_overreaction", "invalid_mismatch"), "quick_mc": ("mc_invalid_hit_rate", "mc_below_threshold"), "intraday_ok": ("intraday_too_late",),
-    "final_mc": ("final_mc_below_threshold",), "roi_ok": ("bear_case", "sector_weak", "dte_floor", "decay", "roi_gate", "no_edge"),
+    "final_mc": ("final_mc_invalid", "final_mc_zero_prob", "final_mc_below_threshold"), "roi_ok": ("bear_case", "sector_weak", "dte_floor", "decay", "roi_gate", "no_edge"),
 }
 
 

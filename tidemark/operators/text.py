@@ -18,7 +18,9 @@ def _count(words: tuple[str, ...]):
 
 
 def credibility(posts: DataFrame) -> DataFrame:
-    weight = F.log1p(F.greatest(F.col("score"), F.lit(0))) * (1 + F.least(F.col("comments") / (F.col("score") + 1), F.lit(2.0)))
+    """Scores and comments under 0, or missing, count as 0."""
+    score, comments = (F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in ("score", "comments"))
+    weight = F.log1p(score) * (1 + F.least(comments / (score + 1), F.lit(2.0)))
     return posts.select("id", "source", F.round(weight, 3).alias("credibility"), _count(BULLISH).alias("bull"), _count(BEARISH).alias("bear"), F.coalesce(F.lower("text").rlike(OPTIONS), F.lit(False)).alias("has_options"))
 
 

@@ -17,7 +17,7 @@ from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS, TERMS
 TRADES = """trades AS (SELECT o_orderkey AS trade_id, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS entry_date,
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'LONG_CALL' WHEN '2' THEN 'BULL_CALL_SPREAD' WHEN '3' THEN 'LONG_PUT' WHEN '4' THEN 'BEAR_PUT_SPREAD' WHEN '5' THEN 'LONG_CALL' END AS strategy,
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'EARNINGS' WHEN '2' THEN 'FDA' WHEN '3' THEN 'MA' WHEN '4' THEN 'INSIDER' END AS catalyst,
- r_name AS sector, o_custkey % 365 AS dte, (o_orderkey % 100) / 10 AS mismatch, o_orderkey % 10 + 1 AS impact, o_custkey % 10 + 1 AS surprise, o_orderkey % 101 AS score,
+ r_name AS sector, o_custkey % 365 AS dte, (o_orderkey % 100) / 10 AS mismatch, o_orderkey % 10 + 1 AS impact, o_custkey % 10 + 1 AS surprise, o_orderkey % 101 AS score, CASE WHEN o_orderkey % 9 <> 0 THEN (o_custkey % 25 - 12) / 100 END AS eps_drift, CASE WHEN o_orderstatus = 'P' THEN ['final_mc_survivor', 'roi_gate', 'score_48', 'correlation'][o_orderkey % 4 + 1] END AS reject_reason,
  CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'shadow' ELSE 'open' END AS source,
  (o_orderkey * 7 + o_custkey) % 40 / 100 + 0.35::DOUBLE AS hit_rate,
  CASE WHEN o_orderstatus IN ('F', 'P') THEN round((CAST(round(o_totalprice * 100) AS BIGINT) % 200000) / 100000 - 1 - CASE WHEN o_orderkey % 100 > 60 THEN 0.5::DOUBLE ELSE 0 END, 5) END AS outcome
@@ -74,8 +74,8 @@ _SECTORS = f"""s AS (SELECT sector, {STATS}, count(*) FILTER (outcome > 0) AS wi
  sectors AS (SELECT * FROM (SELECT sector, n, mean, win_rate, wins, round(wins / sum(wins) OVER (), 6) AS share, round(wins / sum(wins) OVER (), 6) > 0.5 AS dominant FROM s) WHERE n >= 3)"""
 _BINS = """bins AS (SELECT outcome, 'impact' AS feature, CASE WHEN impact <= 4 THEN 'low' WHEN impact <= 7 THEN 'mid' ELSE 'high' END AS bin FROM c
  UNION ALL SELECT outcome, 'mismatch', CASE WHEN mismatch < 3 THEN 'weak' WHEN mismatch <= 6 THEN 'good' ELSE 'strong' END FROM c
- UNION ALL SELECT outcome, 'surprise', CASE WHEN surprise <= 4 THEN 'low' WHEN surprise <= 7 THEN 'mid' ELSE 'high' END FROM c)"""
-_POSTS = rf"""cred AS (SELECT doc_id AS id, source, round(ln(1 + greatest(n_chars, 0)) * (1 + least((doc_id % 50) / (n_chars + 1), 2.0)), 3) AS credibility,
+ UNION ALL SELECT outcome, 'eps', CASE WHEN abs(eps_drift) > 0.10 THEN 'massive' WHEN abs(eps_drift) > 0.05 THEN 'relevant' ELSE 'noise' END FROM c)"""
+_POSTS = rf"""cred AS (SELECT doc_id AS id, source, round(ln(1 + greatest(n_chars, 0)) * (1 + least(greatest(doc_id % 50, 0) / (greatest(n_chars, 0) + 1), 2.0)), 3) AS credibility,
  len(regexp_extract_all(lower(text), '\b({"|".join(sorted(BULLISH, reverse=True))})\b')) AS bull, len(regexp_extract_all(lower(text), '\b({"|".join(sorted(BEARISH, reverse=True))})\b')) AS bear, coalesce(regexp_matches(lower(text), '{OPTIONS}'), false) AS has_options FROM documents)"""
 TERM = """firsts AS (SELECT * FROM (SELECT ticker, run_month, dte, row_number() OVER (PARTITION BY ticker, run_month ORDER BY dte) AS k FROM (SELECT DISTINCT ticker, run_month, dte FROM chain JOIN runs USING (expiry) WHERE dte <= 120)) WHERE k <= 3 AND dte >= 7),
  term AS (SELECT ticker, run_month, dte, round(median(iv), 6) AS iv, count(*) AS n FROM priced JOIN runs USING (expiry) JOIN firsts USING (ticker, run_month, dte) WHERE type = 'call' AND strike BETWEEN s * 0.93 AND s * 1.07 AND iv > 0.05 GROUP BY 1, 2, 3)"""
@@ -100,18 +100,18 @@ SQL: dict[str, str] = {
  p AS (SELECT max(n) FILTER (kind = 'spread') AS spread_n, max(mean) FILTER (kind = 'spread') AS spread_mean, max(win_rate) FILTER (kind = 'spread') AS spread_win_rate, max(n) FILTER (kind = 'long') AS long_n, max(mean) FILTER (kind = 'long') AS long_mean, max(win_rate) FILTER (kind = 'long') AS long_win_rate FROM s)
  SELECT *, round(long_mean - spread_mean, 6) AS gap, spread_n >= 10 AND long_n >= 10 AS ready, CASE WHEN spread_n >= 10 AND long_n >= 10 AND long_mean - spread_mean >= 0.10 THEN 'long' WHEN spread_n >= 10 AND long_n >= 10 AND long_mean - spread_mean <= -0.10 THEN 'spread' ELSE 'none' END AS recommend FROM p""",
     "sector_concentration": f"WITH {TRADES}, {_SECTORS} SELECT * FROM sectors",
-    "sector_verdict": f"""WITH {TRADES}, {_SECTORS} SELECT n, n >= 20 AS ready, sectors, best, worst, dominant, CASE WHEN n >= 20 AND up = 1 AND sectors > 1 THEN lone END AS recommended FROM (SELECT (SELECT count(sector) FROM trades) AS n, count(*) AS sectors,
+    "sector_verdict": f"""WITH {TRADES.replace('trades AS', 'book AS', 1)}, trades AS (SELECT * FROM book WHERE source = 'closed' OR reject_reason = 'final_mc_survivor'), {_SECTORS} SELECT n, n >= 20 AS ready, sectors, best, worst, dominant, CASE WHEN n >= 20 AND up = 1 AND sectors > 1 THEN lone END AS recommended FROM (SELECT (SELECT count(sector) FROM trades) AS n, count(*) AS sectors,
  (SELECT sector FROM sectors ORDER BY mean DESC, sector DESC LIMIT 1) AS best, (SELECT sector FROM sectors ORDER BY mean, sector LIMIT 1) AS worst, max(sector) FILTER (dominant) AS dominant, count(*) FILTER (mean > 0) AS up, max(sector) FILTER (mean > 0) AS lone FROM sectors)""",
     "bin_stats": f"WITH {TRADES}, c AS (SELECT * FROM trades WHERE outcome IS NOT NULL AND source = 'closed'), {_BINS} SELECT feature, bin, count(*) AS count, round(avg(outcome), 6) AS avg_return FROM bins GROUP BY 1, 2",
-    "pearson_weights": f"""WITH {TRADES}, x AS (SELECT outcome, CASE WHEN impact <= 4 THEN 0.0 WHEN impact <= 7 THEN 0.5 ELSE 1.0 END::DOUBLE AS a, CASE WHEN mismatch < 3 THEN 0.0 WHEN mismatch <= 6 THEN 0.5 ELSE 1.0 END::DOUBLE AS b, CASE WHEN surprise <= 4 THEN 0.0 WHEN surprise <= 7 THEN 0.5 ELSE 1.0 END::DOUBLE AS c FROM trades WHERE outcome IS NOT NULL AND source = 'closed'),
+    "pearson_weights": f"""WITH {TRADES}, x AS (SELECT outcome, CASE WHEN impact <= 4 THEN 0.0 WHEN impact <= 7 THEN 0.5 ELSE 1.0 END::DOUBLE AS a, CASE WHEN mismatch < 3 THEN 0.0 WHEN mismatch <= 6 THEN 0.5 ELSE 1.0 END::DOUBLE AS b, CASE WHEN abs(eps_drift) > 0.10 THEN 1.0 WHEN abs(eps_drift) > 0.05 THEN 0.5 ELSE 0.0 END::DOUBLE AS c FROM trades WHERE outcome IS NOT NULL AND source = 'closed'),
  r AS (SELECT count(*) AS n, greatest(coalesce(covar_pop(a, outcome) / nullif(stddev_pop(a) * stddev_pop(outcome), 0), 0), 0) AS a, greatest(coalesce(covar_pop(b, outcome) / nullif(stddev_pop(b) * stddev_pop(outcome), 0), 0), 0) AS b, greatest(coalesce(covar_pop(c, outcome) / nullif(stddev_pop(c) * stddev_pop(outcome), 0), 0), 0) AS c FROM x)
- SELECT n, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.35 ELSE 0.35 + 0.05 * (a / (a + b + c) - 0.35) END, 4)::DOUBLE AS impact, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.45 ELSE 0.45 + 0.05 * (b / (a + b + c) - 0.45) END, 4)::DOUBLE AS mismatch, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.20 ELSE 0.20 + 0.05 * (c / (a + b + c) - 0.20) END, 4)::DOUBLE AS surprise FROM r""",
+ SELECT n, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.35 ELSE 0.35 + 0.05 * (a / (a + b + c) - 0.35) END, 4)::DOUBLE AS impact, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.45 ELSE 0.45 + 0.05 * (b / (a + b + c) - 0.45) END, 4)::DOUBLE AS mismatch, round(CASE WHEN n < 5 OR a + b + c = 0 THEN 0.20 ELSE 0.20 + 0.05 * (c / (a + b + c) - 0.20) END, 4)::DOUBLE AS eps FROM r""",
     "cooldown_antijoin": f"""WITH RECURSIVE {TRADES}, d AS (SELECT ticker, entry_date, min(trade_id) AS trade_id FROM trades GROUP BY 1, 2),
  following AS (SELECT a.ticker, a.entry_date, min(b.entry_date) AS later FROM d a JOIN d b ON a.ticker = b.ticker AND b.entry_date > a.entry_date + 30 GROUP BY 1, 2),
  e AS (SELECT ticker, min(entry_date) AS entry_date FROM d GROUP BY 1 UNION ALL SELECT e.ticker, f.later FROM e JOIN following f ON f.ticker = e.ticker AND f.entry_date = e.entry_date)
  SELECT trade_id, ticker, entry_date FROM e JOIN d USING (ticker, entry_date)""",
-    "shadow_maturity": f"""WITH {TRADES}, s AS (SELECT *, max(entry_date) OVER () AS latest FROM trades WHERE source <> 'closed')
- SELECT coalesce(catalyst, 'unknown') AS reason, count(*) AS total, count(*) FILTER (outcome IS NOT NULL) AS evaluated, count(*) FILTER (outcome IS NULL AND entry_date + 45 <= latest + 14) AS ready, min(entry_date + 45) FILTER (outcome IS NULL) AS next_date FROM s GROUP BY 1""",
+    "shadow_maturity": f"""WITH {TRADES}, s AS (SELECT *, max(entry_date) OVER () AS latest FROM trades WHERE source = 'shadow' OR reject_reason IS NOT NULL)
+ SELECT coalesce(reject_reason, 'unknown') AS reason, count(*) AS total, count(*) FILTER (outcome IS NOT NULL) AS evaluated, count(*) FILTER (outcome IS NULL AND entry_date + 45 <= latest + 14) AS ready, min(entry_date + 45) FILTER (outcome IS NULL) AS next_date FROM s GROUP BY 1""",
     "trade_score_rank": f"""WITH {TRADES} SELECT entry_date, rank, trade_id, score, CASE WHEN score >= 75 THEN 'STRONG BUY' WHEN score >= 60 THEN 'BUY' WHEN score >= 45 THEN 'WATCH' ELSE 'AVOID' END AS grade
  FROM (SELECT *, row_number() OVER (PARTITION BY entry_date ORDER BY score DESC, ticker, trade_id) AS rank FROM trades) WHERE rank <= 5""",
     "reject_counts": f"""WITH {TRADES} SELECT CASE WHEN dte < 14 THEN 'dte_too_short' WHEN impact < 4 THEN 'impact_too_low' WHEN surprise < 3 THEN 'surprise_too_low' WHEN mismatch > 7 THEN 'mismatch_too_high' WHEN score < 40 THEN 'score_too_low' ELSE 'passed' END AS reason, count(*) AS count, count(DISTINCT ticker) AS tickers FROM trades GROUP BY 1""",

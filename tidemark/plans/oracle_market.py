@@ -36,10 +36,12 @@ SQL: dict[str, str] = {
  g AS (SELECT id, count(*) FILTER (some_) AS n, avg(up / (up + down + 1)) AS pos, avg(down / (up + down + 1)) AS neg, avg(1 / (up + down + 1)) AS neu FROM c GROUP BY 1)
  SELECT id, n, CASE WHEN n = 0 THEN 0 ELSE round(pos - neg, 4) END AS sentiment, CASE WHEN n = 0 THEN 'neutral' WHEN pos > neg AND pos > neu THEN 'positive' WHEN neg > pos AND neg > neu THEN 'negative' ELSE 'neutral' END AS label, CASE WHEN n = 0 THEN 0 ELSE round(greatest(pos, neg, neu), 4) END AS confidence FROM g""",
     "insider_clusters": f"SELECT ticker, month, count(DISTINCT coalesce(insider, 'Unknown')) AS insiders, count(*) AS filings, count(DISTINCT coalesce(insider, 'Unknown')) >= 2 AS cluster FROM {as_sql('''(SELECT * FROM events WHERE event_type = 'purchase')''', a.INSIDERS)} GROUP BY 1, 2",
-    "json_repair": f"""WITH r AS (SELECT id, trim(regexp_replace(raw, '```(json)?', '', 'g')) AS body FROM {as_sql('events', a.ANSWERS)}), b AS (SELECT id, CASE WHEN instr(body, '{{') > 0 THEN substr(body, instr(body, '{{')) ELSE '' END AS body FROM r),
- c AS (SELECT *, CASE WHEN instr(body, ',') > 0 THEN length(body) - instr(reverse(body), ',') ELSE 0 END AS cut, CASE WHEN json_valid(body) THEN CAST(json_extract_string(body, '$.k') AS BIGINT) END AS direct FROM b),
- d AS (SELECT *, CASE WHEN direct IS NULL AND cut > 100 AND json_valid(substr(body, 1, cut) || '}}') THEN CAST(json_extract_string(substr(body, 1, cut) || '}}', '$.k') AS BIGINT) END AS repaired FROM c)
- SELECT id, CASE WHEN direct IS NOT NULL THEN 'direct' WHEN cut <= 100 THEN 'lost' WHEN repaired IS NOT NULL THEN 'repaired' ELSE 'neutral' END AS state, CASE WHEN direct IS NOT NULL OR cut > 100 THEN coalesce(direct, repaired, 3) END AS k FROM d""",
+    "json_repair": f"""WITH r AS (SELECT id, trim(CASE WHEN contains(raw, '```') THEN regexp_replace(string_split(raw, '```')[2], '^[json]+', '') ELSE raw END) AS body FROM {as_sql('events', a.ANSWERS)}),
+ b AS (SELECT id, CASE WHEN instr(body, '{{') > 1 THEN substr(body, instr(body, '{{')) ELSE body END AS body FROM r),
+ c AS (SELECT *, CASE WHEN contains(body, '",') THEN length(body) - length(regexp_extract(body, '(?s)^.*(",.*)$', 1)) ELSE 0 END AS cut, json_valid(body) AS ok FROM b),
+ d AS (SELECT *, CASE WHEN NOT ok AND cut > 100 AND json_valid(substr(body, 1, cut) || '"}}') THEN substr(body, 1, cut) || '"}}' WHEN ok THEN body END AS sound FROM c)
+ SELECT id, CASE WHEN ok THEN 'direct' WHEN cut <= 100 THEN 'lost' WHEN sound IS NOT NULL THEN 'repaired' ELSE 'neutral' END AS state,
+  CASE WHEN sound IS NOT NULL THEN CAST(json_extract_string(sound, '$.k') AS BIGINT) WHEN cut > 100 THEN 3 END AS k, CASE WHEN sound IS NOT NULL THEN coalesce(CAST(json_extract_string(sound, '$.catalyst_confidence') AS BIGINT), 5) WHEN cut > 100 THEN 5 END AS catalyst_confidence FROM d""",
     "shadow_inserts": f"""WITH {JUDGED}, o AS (SELECT ticker, run_date AS entry_date, 'roi_gate' AS reason, proposal_id FROM judged WHERE reject_reason = 'roi_gate' UNION ALL SELECT ticker, run_date, 'score_' || total, proposal_id FROM judged WHERE reject_reason IS NULL AND route = 'shadow' UNION ALL SELECT ticker, run_date, 'final_mc_survivor', proposal_id FROM judged WHERE reject_reason IS NULL),
  g AS (SELECT ticker, entry_date, reason, min(proposal_id) AS proposal_id, count(*) AS origins FROM o GROUP BY 1, 2, 3) SELECT * FROM g WHERE NOT (entry_date < DATE '1995-06-17' AND reason = 'final_mc_survivor')""",
     "desk_health": f"""WITH {_FUNNEL}, {_WIDE}, k AS (SELECT *, row_number() OVER (PARTITION BY desk ORDER BY run_date DESC) AS k, sum(purchase) OVER (PARTITION BY desk ORDER BY run_date DESC ROWS UNBOUNDED PRECEDING) AS seen FROM killed),

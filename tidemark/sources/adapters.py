@@ -14,6 +14,8 @@ EXPIRY = "cast(date_trunc('month', l_shipdate) as date) + 14"
 # What an order's priority stands for.
 STRATEGY = {"1": "LONG_CALL", "2": "BULL_CALL_SPREAD", "3": "LONG_PUT", "4": "BEAR_PUT_SPREAD", "5": "LONG_CALL"}
 CATALYST = {"1": "EARNINGS", "2": "FDA", "3": "MA", "4": "INSIDER"}
+# Why a shadow was rejected.
+SHADOWS = {"0": "final_mc_survivor", "1": "roi_gate", "2": "score_48", "3": "correlation"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 10 + 1).alias("impact"),
         (F.col("o_custkey") % 10 + 1).alias("surprise"),
         (F.col("o_orderkey") % 101).alias("score"),
+        F.when(F.col("o_orderkey") % 9 != 0, (F.col("o_custkey") % 25 - 12) / 100).alias("eps_drift"),
+        F.when(F.col("o_orderstatus") == "P", _lookup(SHADOWS, (F.col("o_orderkey") % 4).cast("string"))).alias("reject_reason"),
         F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "P", "shadow").otherwise("open").alias("source"),
         ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 40 / 100 + 0.35).alias("hit_rate"),
         # late entries (a mismatch of over 6) do worse, so that a lower limit pays
@@ -161,6 +165,8 @@ PROPOSALS: list[Sheet] = [
     },
     {
         "target": "round(price * (105 + l_orderkey % 30) / 100, 6)",
+        "quick_days": "case when l_partkey % 3 = 0 then 60 else 30 end",
+        "final_hit_rate": "case when l_orderkey % 101 = 0 then 0.005 when l_orderkey % 103 = 0 then null else hit_rate + cast(l_partkey % 5 - 2 as double) / 100 end",
         "bid": "round(ask * (1 - l_tax), 6)",
         "net_debit": "case when strategy like '%SPREAD%' then round(ask * 60 / 100, 6) end",
     },
@@ -329,7 +335,7 @@ def macro_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Articles from documents: three feeds, of which a ticker may lack the first.
-ARTICLES: Sheet = {"id": "doc_id", "ticker": "doc_id % 97", "source_rank": "case when doc_id % 97 % 4 = 0 then 2 else doc_id % 3 end", "ts": "doc_id * 7 % 1000", "title": "substr(coalesce(text, ''), 1, 240)"}
+ARTICLES: Sheet = {"id": "doc_id", "ticker": "doc_id % 97", "source_rank": "case when doc_id % 97 % 4 = 0 then 2 else doc_id % 3 end", "ts": "doc_id * 7 % 1000", "title": "coalesce(text, '')"}
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,9 +130,13 @@ def series_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cik_feed(spark: SparkSession, path: str) -> DataFrame:
-    """ticker (upper case) and its registration number, ten digits wide."""
-    rows = spark.read.schema("ticker string, cik_str bigint, title string").json(path)
-    return rows.select(F.upper("ticker").alias("ticker"), F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik"), "title")
+    """ticker (upper case) and its registration number, ten digits wide, from the published map: one object whose keys number its
+    records. A ticker that is there twice keeps its first record."""
+    raw = spark.read.text(path, wholetext=True)
+    rows = raw.select(F.explode(F.from_json("value", "map<string, struct<cik_str:bigint, ticker:string, title:string>>")).alias("key", "x"))
+    rows = rows.select(F.upper(F.trim("x.ticker")).alias("ticker"), F.lpad(F.col("x.cik_str").cast("string"), 10, "0").alias("cik"), F.col("x.title").alias("title"), F.expr("try_cast(key as bigint)").alias("key"))
+    best = rows.where("ticker <> '' and cik is not null").groupBy("ticker").agg(F.min_by(F.struct("cik", "title"), F.struct(F.coalesce("key", F.lit(2**62)), "cik")).alias("x"))
+    return best.select("ticker", "x.cik", "x.title")
 
 
 def constituents(spark: SparkSession, path: str, fallback: DataFrame) -> DataFrame:
