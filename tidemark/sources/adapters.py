@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few, large splits dealt out over the session's cores, for formulas that cost more than a shuffle; many splits stay as they
+    are, so nothing is shuffled where a table has a split for each core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def _lookup(values: dict[str, str], col):
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), col)
 
@@ -174,7 +181,7 @@ PROPOSALS: list[Sheet] = [
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add(table(spark, sf_dir, "lineitem"), *PROPOSALS)
+    return add(spread(table(spark, sf_dir, "lineitem")), *PROPOSALS)
 
 
 #: What a candidate brings to the search for a contract; its price comes from bars, its target from that price.
