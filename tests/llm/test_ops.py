@@ -581,3 +581,21 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, where).collect()
     sequences(packed)
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept} and 0 < len(kept) < len(rows)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """sf0.1: rows that the model has never seen."""
+    where = "/root/testdata/sf0.1"
+    got = toxicity.op9_toxicity(spark, where).where("held_out").join(spark.read.parquet(f"{where}/labels.parquet").where("toxic is not null"), "doc_id").select("predicted", "toxic").collect()
+    right = sum(r["predicted"] == r["toxic"] for r in got) / len(got)
+    bad, good = ([r["predicted"] for r in got if r["toxic"] == k] for k in (1, 0))
+    print(f"held out: {len(got)} rows, accuracy {right:.4f}, recall {sum(bad) / len(bad):.4f}, false positives {sum(good) / len(good):.4f}")
+    assert right >= 0.96 and sum(bad) / len(bad) >= 0.75 and sum(good) / len(good) <= 0.01
+
+
+def test_toxicity_learns_from_every_word_of_a_long_text(spark):
+    """A word after very many others tells the labels apart."""
+    rows = [(i, " ".join(f"q{i}x{k}" for k in range(6000)) + (" vile" if i % 2 else " kind"), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights, _ = toxicity.learn(df, df.select("doc_id", "toxic"))
+    assert weights[toxicity.Buckets()[b"vile"]] > 0.5 > -0.5 > weights[toxicity.Buckets()[b"kind"]]

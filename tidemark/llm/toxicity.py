@@ -7,8 +7,8 @@ not raise the score. Swaps are made sentence by sentence: each sentence with an
 the same kind.
 
 Learning looks at no more than SAMPLE labelled rows (the bound is a parameter), those with the smallest hashes of their
-doc_id, and at no more than MOST distinct words of each; rows whose crc32(doc_id as text) mod 5 is 0 are held out of learning. Every document is scored on its whole text,
-from the text alone.
+doc_id, and at the whole text of each; rows whose crc32(doc_id as text) mod 5 is 0 are held out of learning. Words are counted and
+chosen in Spark, and only chosen ones are gathered. Every document is scored on its whole text, from the text alone.
 
 Edge cases: null and empty texts get the score of a text without words; with no labelled rows, or labels of one class
 only, the score is the (smoothed) share of that class; a sampled doc_id that several texts share is learned from one of them; repeated rows get equal scores; a null doc_id is never learned
@@ -29,8 +29,6 @@ from tidemark.llm.common import per_text, stored, table, without
 
 BITS = 18
 SAMPLE = 12_000
-#: Most distinct buckets of one learned row; scores look at all.
-MOST = 4_096
 #: Longest word (bytes) that a task keeps.
 LONG = 64
 PENALTY, RIDGE, STEPS, RATE = 0.5, 1e-4, 300, 0.1
@@ -89,9 +87,9 @@ def swapped(text: str | None) -> list[bytes]:
     return [SWAPS.get(w, w) for sentence in _SENTENCE.split(text or "") for w in words_of(sentence)]
 
 
-def features(words: list[bytes], memo: Buckets, most: int | None = None) -> np.ndarray:
-    """The distinct buckets of the words; with `most`, the smallest of them, which hashing has dealt at random."""
-    return np.unique(np.fromiter(map(memo.__getitem__, set(words)), np.int64))[:most]
+def features(words: list[bytes], memo: Buckets) -> np.ndarray:
+    """The distinct buckets of the words."""
+    return np.unique(np.fromiter(map(memo.__getitem__, set(words)), np.int64))
 
 
 def fit(y: np.ndarray, plain: list[np.ndarray], other: list[np.ndarray], size: int, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
@@ -141,8 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
 
     def make() -> Callable[[list[str | None]], dict[str, object]]:
         memo = Buckets()
-        few = lambda words: features(words, memo, MOST)
-        return lambda texts: {"a": [few(words_of(t)) for t in texts], "b": [few(swapped(t)) for t in texts]}
+        return lambda texts: {"a": [features(words_of(t), memo) for t in texts], "b": [features(swapped(t), memo) for t in texts]}
 
     rows = stored(per_text(rows.select((F.col("toxic") == 1).cast("int").alias("y"), "text"), make, "a array<int>, b array<int>", drop_text=True), "learned")
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
