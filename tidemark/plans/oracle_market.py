@@ -52,3 +52,13 @@ SQL: dict[str, str] = {
  k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY stop IS NULL, n DESC, stop) AS k FROM b)
  SELECT month, CAST(sum(n) AS BIGINT) AS days, CAST(coalesce(sum(n) FILTER (stop IS NOT NULL), 0) AS BIGINT) AS zero_days, coalesce(string_agg(stop || ':' || n, ',' ORDER BY k) FILTER (stop IS NOT NULL AND k <= 3), '') AS top_stops FROM k GROUP BY 1""",
 }
+_FACTS = f"f AS (SELECT *, CASE WHEN ticker % 23 = 0 THEN 'cut' WHEN ticker % 29 = 0 THEN 'other' ELSE 'sound' END AS state FROM (SELECT {', '.join(a.FILINGS)} FROM {as_sql('orders', a.FILINGS)}))"
+SQL |= {
+    "facts_eps": f"""WITH {_FACTS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker, tag ORDER BY end_date DESC, value, form, filing_id) AS k FROM f WHERE state = 'sound' AND form IN ('10-Q', '10-K') AND value IS NOT NULL),
+ s AS (SELECT ticker, tag, round(sum(value), 4) AS eps, count(*) AS filings FROM k WHERE k <= 4 AND ticker IN (SELECT c_custkey FROM customer) GROUP BY 1, 2) SELECT * FROM s WHERE tag = 'basic' OR ticker NOT IN (SELECT ticker FROM s WHERE tag = 'basic')""",
+    "facts_unsound": f"WITH {_FACTS} SELECT count(DISTINCT ticker) AS documents, count(DISTINCT ticker) FILTER (state = 'cut') AS broken, 0::BIGINT AS without_facts FROM f",
+    "sponsor_match": r"""WITH d AS (SELECT doc_id AS id, lower(string_split(text, chr(10))[1]) AS sponsor FROM documents), c AS (SELECT item_id AS company, lower(regexp_split_to_array(trim(text), '\s+')[1]) AS w FROM benchmark)
+ SELECT DISTINCT id, company, upper(w) AS word FROM d JOIN c ON length(w) >= 3 AND contains(sponsor, w)""",
+    "ticker_mentions": """WITH d AS (SELECT doc_id AS id, lower(string_split(text, chr(10))[1]) AS title, lower(substr(text, 1, 200)) AS start FROM documents), t AS (SELECT DISTINCT lower(regexp_replace(substr(text, 1, 5), '[^A-Za-z]', '', 'g')) AS w FROM benchmark)
+ SELECT id, upper(w) AS ticker, bool_or(contains(title, w)) AS in_title FROM d JOIN t ON w <> '' AND (contains(title, w) OR contains(start, w)) GROUP BY 1, 2""",
+}

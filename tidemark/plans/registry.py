@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sheets import add
-from tidemark.operators import ledger, lifecycle, market, options, prices, proposals, text, tiers, valuation
+from tidemark.operators import ledger, lifecycle, market, mentions, options, prices, proposals, text, tiers, valuation
 from tidemark.plans.oracle import SQL
-from tidemark.sources import adapters
+from tidemark.sources import adapters, facts
 from tidemark.streaming import monitors
 from tidemark.streaming.exit_states import stream_exit_states
 from tidemark.streaming.news import news_window
@@ -108,6 +108,10 @@ def queries() -> dict[str, Query]:
     out["shadow_inserts"] = shadow_inserts
     out["quote_as_of"] = lambda spark, sf_dir: lifecycle.as_of(adapters.marks(spark, sf_dir), adapters.quote_times(spark, sf_dir))
     out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
+    out["facts_eps"] = lambda spark, sf_dir: market.trailing_eps(facts.eps_filings(adapters.fact_documents(spark, sf_dir), adapters.registered(spark, sf_dir)))
+    out["facts_unsound"] = lambda spark, sf_dir: facts.unsound(adapters.fact_documents(spark, sf_dir))
+    out["sponsor_match"] = lambda spark, sf_dir: mentions.sponsor_matches(adapters.approvals(spark, sf_dir), adapters.companies(spark, sf_dir))
+    out["ticker_mentions"] = lambda spark, sf_dir: mentions.ticker_mentions(adapters.threads(spark, sf_dir), adapters.tickers(spark, sf_dir))
     out["tier_search"] = lambda spark, sf_dir: tiers.tier_search(candidates(spark, sf_dir), adapters.chain(spark, sf_dir))
     out["tier_search_legs"] = lambda spark, sf_dir: tiers.tier_search(candidates(spark, sf_dir), adapters.chain(spark, sf_dir), leg_required=True)
     out["roi_precheck"] = lambda spark, sf_dir: tiers.precheck(candidates(spark, sf_dir), adapters.chain(spark, sf_dir))

@@ -323,6 +323,42 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add(table(spark, sf_dir, "orders"), FILINGS).select(*FILINGS)
 
 
+#: Company facts as documents: a customer's filings below their tag and unit, each in its place; some cut off, some of another taxonomy.
+FACT_ROWS = "SELECT *, case when ticker % 23 = 0 then 'cut' when ticker % 29 = 0 then 'other' else 'sound' end AS state FROM {filings}"
+
+
+def fact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, body."""
+    rows = spark.sql(FACT_ROWS, filings=filings(spark, sf_dir)).withColumn("name", F.when(F.col("tag") == "basic", "EarningsPerShareBasic").otherwise("EarningsPerShareDiluted"))
+    figure = F.struct(F.date_format("end_date", "yyyy-MM-dd").alias("end"), F.col("value").alias("val"), "form", F.col("filing_id").alias("accn"))
+    tags = rows.groupBy("ticker", "state", "name").agg(F.sort_array(F.collect_list(figure)).alias("figures"))
+    unit = F.create_map(F.lit("USD/shares"), F.col("figures"), F.lit("EUR"), F.slice("figures", 1, 1))
+    company = tags.groupBy("ticker", "state").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(unit.alias("units"))))).alias("tags"))
+    taxonomy = F.when(F.col("state") == "other", "ifrs-full").otherwise("us-gaap")
+    body = F.to_json(F.struct(F.col("ticker").alias("cik"), F.concat(F.lit("company "), F.col("ticker").cast("string")).alias("entityName"), F.create_map(taxonomy, F.col("tags")).alias("facts")))
+    return company.withColumn("whole", body).select("ticker", F.when(F.col("state") == "cut", F.expr("substring(whole, 1, length(whole) - 3)")).otherwise(F.col("whole")).alias("body"))
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, cik: one number a customer, ten digits wide."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"))
+
+
+def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, sponsor: the first line of each document."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("sponsor"))
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """company, name, from benchmark items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("company"), F.col("text").alias("name"))
+
+
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, title (the first line), body."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("body"))
+
+
 def eps_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add(table(spark, sf_dir, "customer"), EPS_QUOTES).select(*EPS_QUOTES)
 
