@@ -271,3 +271,14 @@ def test_macro_without_a_curve(spark):
     df = spark.createDataFrame([("v9", datetime.date(2026, 1, 2), "20"), ("v90", datetime.date(2026, 1, 2), "22"), ("y10", datetime.date(2026, 2, 2), "4.1"), ("y2", datetime.date(2026, 2, 2), "4.2"), ("y10", datetime.date(2026, 2, 3), ".")], "name string, d date, value string")
     got = [(r["curve"], r["regime"], r["structure"]) for r in market.macro_regime(df).orderBy("month").collect()]
     assert got == [(None, "recessionary", "contango"), (-0.1, "neutral", "unknown")]
+
+
+def test_exit_table_and_its_sink(spark, tmp_path):
+    at = lambda d, h=0: datetime.datetime(2026, 1, 1 + d, 9 + h)
+    marks = spark.createDataFrame([(1, at(0), 1, 10.0), (1, at(2), 2, 16.0), (1, at(3), 3, 1.0), (3, at(0), 4, 10.0), (3, at(2, 1), 5, 5.0), (5, at(1), 6, 10.0)], "trade_id long, ts timestamp, event_id long, value double")
+    rows = lifecycle.exit_table(marks, 14)
+    got = {r["trade_id"]: (str(r["day"]), r["strategy"], r["reason"], r["outcome"], r["age"], r["pnl_per_contract"]) for r in rows.collect()}
+    assert got == {1: ("2026-01-03", "LONG_CALL", "take_profit", 0.6, 2, 120.0), 3: ("2026-01-03", "LONG_CALL", "stop_loss", -0.5, 2, -50.0)}
+    for _ in range(2):  # a day that is written again is replaced
+        reports.write_snapshot(rows, str(tmp_path / "alerts"), "day")
+    assert spark.read.parquet(str(tmp_path / "alerts")).count() == 2

@@ -71,6 +71,13 @@ def exit_alerts(marks: DataFrame, hold: int = HOLD) -> DataFrame:
     return x.groupBy(F.to_date("x.ts").alias("day"), F.col("x.reason").alias("reason")).agg(F.count("*").alias("trades"), F.round(F.avg("x.outcome"), 6).alias("mean_outcome"), F.round(F.avg("x.age"), 6).alias("mean_age"))
 
 
+def exit_table(marks: DataFrame, hold: int = HOLD) -> DataFrame:
+    """One row an exit: what the alert about it says."""
+    x = fired(marks, hold).groupBy("trade_id").agg(F.min(F.struct("ts", "event_id", "reason", "strategy", "entry", "outcome", "age", "entry_debit")).alias("x"))
+    gain = F.round(F.col("x.outcome") * F.col("x.entry_debit") * 100 + 1e-9, 2)
+    return x.select("trade_id", F.to_date("x.ts").alias("day"), F.to_date("x.entry").alias("entry_date"), "x.strategy", "x.reason", F.round("x.outcome", 6).alias("outcome"), "x.age", gain.alias("pnl_per_contract"))
+
+
 def trailing_stop(marks: DataFrame, hold: int = HOLD) -> DataFrame:
     """A trade that takes its profit is followed on: it ends at the first mark at or under 65 % of its peak so far, or at the expiry,
     which is the reason if both hold; open if neither comes."""

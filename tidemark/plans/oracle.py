@@ -9,7 +9,7 @@ from tidemark.operators.text import BEARISH, BULLISH, OPTIONS
 from tidemark.plans.oracle_market import SQL as MARKET_SQL
 from tidemark.plans.oracle_proposals import JUDGED
 from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
-from tidemark.plans.oracle_streams import EXIT_STATES
+from tidemark.plans.oracle_streams import EXIT_STATES, EXIT_TABLE, LEDGER
 from tidemark.plans.oracle_tiers import precheck_sql, tier_sql
 from tidemark.plans.oracle_valuation import valuation_sql
 from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS, TERMS
@@ -189,4 +189,4 @@ SQL["stream_report_counts"] = f"WITH {JUDGED} SELECT date_trunc('month', run_dat
 SQL |= PROPOSAL_SQL | MARKET_SQL
 SQL |= {name: tier_sql(CHAIN, SUPPLIER_BARS, SQL["oi_gamma"], strict) for name, strict in (("tier_search", False), ("tier_search_legs", True))} | {"roi_precheck": precheck_sql(CHAIN, SUPPLIER_BARS)}
 SQL |= valuation_sql(CHAIN, SUPPLIER_BARS)
-SQL["stream_exit_states"] = EXIT_STATES
+SQL |= {"stream_exit_states": EXIT_STATES, "exit_table": EXIT_TABLE, "ledger_upsert": f"WITH {TRADES} {LEDGER}"}

@@ -11,9 +11,11 @@ from tidemark.functions.sheets import add
 from tidemark.operators import ledger, lifecycle, market, mentions, options, prices, proposals, text, tiers, valuation
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters, facts
+from tidemark.sources.ledger_store import LedgerStore
 from tidemark.streaming import monitors
 from tidemark.streaming.exit_states import stream_exit_states
 from tidemark.streaming.news import news_window
+from tidemark.streaming.shared import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +78,7 @@ def queries() -> dict[str, Query]:
         adapters.marks: {
             "running_peak": lifecycle.running_peak,
             "exit_first_fire": lambda m: lifecycle.first_exit(m, 14),
+            "exit_table": lambda m: lifecycle.exit_table(m, 14),
             "exit_alerts": lambda m: lifecycle.exit_alerts(m, 14),
             "trailing_stop": lambda m: lifecycle.trailing_stop(m, 14),
             "trailing_vs_tp": lambda m: lifecycle.trailing_verdict(lifecycle.trailing_stop(m, 14)),
@@ -108,6 +111,7 @@ def queries() -> dict[str, Query]:
     out["shadow_inserts"] = shadow_inserts
     out["quote_as_of"] = lambda spark, sf_dir: lifecycle.as_of(adapters.marks(spark, sf_dir), adapters.quote_times(spark, sf_dir))
     out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
+    out["ledger_upsert"] = ledger_upsert
     out["facts_eps"] = lambda spark, sf_dir: market.trailing_eps(facts.eps_filings(adapters.fact_documents(spark, sf_dir), adapters.registered(spark, sf_dir)))
     out["facts_unsound"] = lambda spark, sf_dir: facts.unsound(adapters.fact_documents(spark, sf_dir))
     out["sponsor_match"] = lambda spark, sf_dir: mentions.sponsor_matches(adapters.approvals(spark, sf_dir), adapters.companies(spark, sf_dir))
@@ -151,5 +155,14 @@ def shadow_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.shadow_inserts(rows, rows.where("reason = 'final_mc_survivor' and entry_date < date'1995-06-17'"))
 
 
+def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book after three merges: trades entered before the middle of June 1995, all of them with their outcomes, and these again."""
+    rows = adapters.trades(spark, sf_dir).select("trade_id", "ticker", "entry_date", "strategy", "reject_reason", "outcome")
+    store = LedgerStore(spark, folder(spark, "ledger"), "trade_id long, ticker long, entry_date date, strategy string, reject_reason string, outcome double", ["trade_id"])
+    store.merge(rows.where("entry_date < date'1995-06-17'").withColumn("outcome", F.lit(None).cast("double")))
+    store.merge(rows)
+    return store.rows(store.merge(rows).version).withColumn("version", F.lit(store.version()))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
