@@ -4,6 +4,7 @@ import datetime
 import itertools
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,18 +175,47 @@ def test_snapshot_sink(spark, tmp_path):
 
 
 def test_correlated_proposals_are_pruned(spark):
+    """Also where the first of a pair is the weaker: it goes, but ends its turn."""
     names = "ABCDEFGH"
-    high = {("A", "C"), ("B", "D"), ("C", "D"), ("E", "F"), ("E", "G"), ("F", "H")}
-    corr = spark.createDataFrame([(a, b, 0.9 if (a, b) in high else 0.2) for a, b in itertools.combinations(names, 2)], "a string, b string, corr double")
-    runs = {1: dict(zip(names, [80, 70, 75, 60, 50, 55, 40, 30], strict=True)), 2: dict(zip(names, [9, 8, 7, 6, 5, 4, 3, 2], strict=True)), 3: {"A": 1}}
-    got = prices.prune_correlated(spark.createDataFrame([(r, t, k, s) for r, own in runs.items() for k, (t, s) in enumerate(own.items())], "run int, ticker string, rank int, score int"), corr).collect()
+    high = {("A", "C"), ("B", "D"), ("C", "D"), ("E", "F"), ("E", "G"), ("E", "H"), ("F", "H")}
+    runs = {1: dict(zip(names, [80, 70, 75, 60, 50, 55, 40, 30], strict=True)), 2: dict(zip(names, [9, 8, 7, 6, 5, 4, 3, 2], strict=True)), 3: {"A": 1}, 4: dict(zip(names, [1, 2, 3, 4, 5, 6, 7, 8], strict=True))}
+    pairs = [(r, i, j, a, b, 0.9 if (a, b) in high else 0.2) for r, own in runs.items() for (i, a), (j, b) in itertools.combinations(enumerate(own), 2)]
+    corr = spark.createDataFrame(pairs, "run int, i int, j int, a string, b string, corr double")
+    got = prices.prune_correlated(spark.createDataFrame([(r, t, k, s) for r, own in runs.items() for k, (t, s) in enumerate(own.items())], "run int, ticker string, rank int, score int"), corr)
+    want = {}
     for run, own in runs.items():
         order, gone = list(own), set()
         for i, a in enumerate(order):
+            if a in gone:
+                continue
             for b in order[i + 1 :]:
-                if a not in gone and b not in gone and (a, b) in high:
+                if b not in gone and (a, b) in high:
                     gone.add(b if own[a] >= own[b] else a)
-        assert {r["ticker"] for r in got if r["run"] == run} == set(order) - gone
+        want |= {(run, t): t not in gone for t in order}
+    assert {(r["run"], r["ticker"]): r["kept"] for r in got.collect()} == want and not want[1, "E"] and not want[1, "G"]
+    assert {(r["entry_date"], r["ticker"], r["reason"]) for r in prices.correlation_losers(got).collect()} == {(*k, "correlation") for k, kept in want.items() if not kept}
+
+
+def test_correlation_in_a_runs_frame(spark):
+    """35 days, list-wise: a day counts if all tickers of the run have a return there."""
+    rng, day = random.Random(3), lambda n: datetime.date(2026, 1, 1) + datetime.timedelta(n)
+    bars = [(t, day(n), round(100 * rng.uniform(0.9, 1.1), 3)) for t in "ABC" for n in range(0, 120) if not (t == "C" and n % 7 == 0)] + [("D", day(n), 5.0) for n in range(120)]
+    ranked = [(day(50), "B", 1, 9.0), (day(50), "A", 2, 8.0), (day(50), "D", 3, 7.0), (day(100), "A", 1, 9.0), (day(100), "C", 2, 8.0), (day(110), "A", 1, 1.0), (day(110), "Z", 2, 1.0)]
+    got = prices.run_correlations(spark.createDataFrame(ranked, "run date, ticker string, rank int, score double"), spark.createDataFrame(bars, "ticker string, d date, close double")).collect()
+    close = {(t, d): c for t, d, c in bars}
+    want = {}
+    for run, tickers in ((day(50), "BAD"), (day(100), "AC")):
+        rets = {}
+        for t in tickers:
+            own = [d for d in sorted(d for u, d in close if u == t) if run - datetime.timedelta(35) < d <= run]
+            rets[t] = {b: close[t, b] / close[t, a] - 1 for a, b in zip(own, own[1:], strict=False)}
+        days = set.intersection(*(set(r) for r in rets.values()))
+        for a, b in itertools.combinations(tickers, 2):
+            x, y = ([rets[t][d] for d in sorted(days)] for t in (a, b))
+            mx, my = sum(x) / len(x), sum(y) / len(y)
+            top, low = sum((u - mx) * (v - my) for u, v in zip(x, y, strict=True)), math.sqrt(sum((u - mx) ** 2 for u in x) * sum((v - my) ** 2 for v in y))
+            want[run, a, b] = (len(days), round(top / low if low else 0.0, 6))
+    assert {(r["run"], r["a"], r["b"]): (r["n"], round(r["corr"], 6)) for r in got} == want and want[day(100), "A", "C"][0] < 34
 
 
 def test_streamed_exits_equal_batch(spark):

@@ -86,20 +86,53 @@ def correlation_matrix(bars: DataFrame) -> DataFrame:
     return a.join(b, "d").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.coalesce(corr, F.lit(0.0)), 6).alias("corr"))
 
 
+def frame_returns(ranked: DataFrame, bars: DataFrame, days: int = 35) -> DataFrame:
+    """For ranked(run, ticker, rank): run, ticker, rank, d, ret of each run's last `days` days, on the days on which all tickers of the run
+    have a return; the first bar in the frame has none. A frame meets bars by ticker and month, not by a range."""
+    months = F.sequence(F.trunc(F.date_sub("run", days), "month"), F.trunc("run", "month"), F.expr("interval 1 month"))
+    want = ranked.select("run", "ticker", "rank", F.explode(months).alias("month"))
+    have = bars.select("ticker", "d", "close", F.trunc("d", "month").alias("month"))
+    rows = want.join(have, ["ticker", "month"]).where((F.col("d") > F.date_sub("run", days)) & (F.col("d") <= F.col("run")))
+    before = F.lag("close").over(Window.partitionBy("run", "ticker").orderBy("d"))
+    rows = rows.withColumn("ret", F.try_divide(F.col("close"), before) - 1).where("ret is not null").select("run", "ticker", "rank", "d", "ret")
+    size = ranked.groupBy("run").agg(F.count("*").alias("size"))
+    whole = rows.groupBy("run", "d").agg(F.count("*").alias("n")).join(size, "run").where("n = size").select("run", "d")
+    return rows.join(whole, ["run", "d"])
+
+
+def run_correlations(ranked: DataFrame, bars: DataFrame, days: int = 35) -> DataFrame:
+    """run, i, j, a, b, n, corr of each two tickers of a run, the better ranked one first: Pearson r over its frame, 0 where one is
+    constant. A run's tickers are its proposals, which are few; its pairs are what is asked for."""
+    r = frame_returns(ranked, bars, days)
+    a = r.select("run", "d", F.col("rank").alias("i"), F.col("ticker").alias("a"), F.col("ret").alias("x"))
+    b = r.select("run", "d", F.col("rank").alias("j"), F.col("ticker").alias("b"), F.col("ret").alias("y"))
+    sums = a.join(b, ["run", "d"]).where("i < j").groupBy("run", "i", "j", "a", "b")
+    corr = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return sums.agg(F.count("*").alias("n"), F.round(F.coalesce(corr, F.lit(0.0)), 9).alias("corr"))
+
+
 def prune_correlated(ranked: DataFrame, corr: DataFrame, limit: float = 0.75) -> DataFrame:
-    """ranked(run, ticker, rank, score): from the front, each ticker still in removes those behind it that are correlated above the
-    limit, or is itself removed by one with a higher score and then removes no more. Only the correlated pairs of a run are gathered
-    into one row, in order, for the fold."""
-    high = corr.where(F.col("corr") > limit).select("a", "b")
-    high = high.unionByName(high.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = ranked.select("run", F.col("ticker").alias("a"), F.col("rank").alias("i"), F.col("score").alias("s"))
-    right = ranked.select("run", F.col("ticker").alias("b"), F.col("rank").alias("j"), F.col("score").alias("t"))
-    pairs = left.join(high, "a").join(right, ["run", "b"]).where("i < j")
+    """ranked(run, ticker, rank, score) with `kept`. From the front, each ticker that is still in goes through those behind it that are
+    still in: of two correlated above the limit, the one with the lower score goes, the one behind if they are equal. One that goes
+    in its own turn still ends its turn. Only a run's correlated pairs are gathered into one row, in order, for the fold."""
+    score = ranked.select("run", F.col("ticker").alias("a"), F.col("score").alias("s")), ranked.select("run", F.col("ticker").alias("b"), F.col("score").alias("t"))
+    pairs = corr.where(F.col("corr") > limit).select("run", "i", "j", "a", "b").join(score[0], ["run", "a"]).join(score[1], ["run", "b"])
     by_run = pairs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("i", "j", "a", "b", (F.col("s") >= F.col("t")).alias("first")))).alias("pairs"))
-    start = F.array().cast("array<string>")
-    step = lambda gone, p: F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), gone).otherwise(F.array_append(gone, F.when(p["first"], p["b"]).otherwise(p["a"])))
-    removed = by_run.select("run", F.explode(F.aggregate("pairs", start, step)).alias("ticker"))
-    return ranked.join(removed, ["run", "ticker"], "left_anti").select("run", "ticker", "rank", "score")
+    kind = ranked.schema["ticker"].dataType
+    start = F.struct(F.array().cast(f"array<{kind.simpleString()}>").alias("gone"), F.lit(-1).cast(ranked.schema["rank"].dataType).alias("i"), F.lit(False).alias("out"))
+
+    def step(acc, p):
+        out = F.when(acc["i"] == p["i"], acc["out"]).otherwise(F.array_contains(acc["gone"], p["a"]))
+        gone = F.when(out | F.array_contains(acc["gone"], p["b"]), acc["gone"]).otherwise(F.array_union(acc["gone"], F.array(F.when(p["first"], p["b"]).otherwise(p["a"]))))
+        return F.struct(gone.alias("gone"), p["i"].alias("i"), out.alias("out"))
+
+    removed = by_run.select("run", F.explode(F.aggregate("pairs", start, step, lambda acc: acc["gone"])).alias("ticker"), F.lit(False).alias("in"))
+    return ranked.join(removed, ["run", "ticker"], "left").select("run", "ticker", "rank", "score", F.coalesce("in", F.lit(True)).alias("kept"))
+
+
+def correlation_losers(pruned: DataFrame) -> DataFrame:
+    """What pruning has taken out, as registrations for the shadow book: ticker, entry_date, reason."""
+    return pruned.where("not kept").select("ticker", F.col("run").alias("entry_date"), F.lit("correlation").alias("reason"))
 
 
 def month_returns(bars: DataFrame) -> DataFrame:

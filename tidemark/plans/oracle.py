@@ -190,3 +190,14 @@ SQL |= PROPOSAL_SQL | MARKET_SQL
 SQL |= {name: tier_sql(CHAIN, SUPPLIER_BARS, SQL["oi_gamma"], strict) for name, strict in (("tier_search", False), ("tier_search_legs", True))} | {"roi_precheck": precheck_sql(CHAIN, SUPPLIER_BARS)}
 SQL |= valuation_sql(CHAIN, SUPPLIER_BARS)
 SQL |= {"stream_exit_states": EXIT_STATES, "exit_table": EXIT_TABLE, "ledger_upsert": f"WITH {TRADES} {LEDGER}"}
+#: Greedy pruning as a recursion over each run's correlated pairs.
+_PRUNED = f"""WITH RECURSIVE {REGION_BARS}, m AS (SELECT date_trunc('month', d)::DATE AS month, ticker, round(arg_max(close, d), 2) AS score, max(d) AS d FROM rbars GROUP BY 1, 2),
+ ranked AS (SELECT max(d) OVER (PARTITION BY month) AS run, ticker, score, row_number() OVER (PARTITION BY month ORDER BY score DESC, ticker) AS rank FROM m),
+ fr AS (SELECT * FROM (SELECT run, k.ticker, rank, b.d, close / lag(close) OVER (PARTITION BY run, k.ticker ORDER BY b.d) - 1 AS ret FROM ranked k JOIN rbars b ON b.ticker = k.ticker AND b.d > run - 35 AND b.d <= run) WHERE ret IS NOT NULL),
+ ok AS (SELECT run, d FROM fr GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM ranked k WHERE k.run = fr.run)),
+ c AS (SELECT a.run, a.rank AS i, b.rank AS j, a.ticker AS a, b.ticker AS b, round(coalesce(covar_pop(a.ret, b.ret) / nullif(stddev_pop(a.ret) * stddev_pop(b.ret), 0), 0), 9) AS corr FROM fr a JOIN fr b ON a.run = b.run AND a.d = b.d AND a.rank < b.rank SEMI JOIN ok ON ok.run = a.run AND ok.d = a.d GROUP BY 1, 2, 3, 4, 5),
+ p AS (SELECT c.*, s.score >= t.score AS first, row_number() OVER (PARTITION BY c.run ORDER BY i, j) AS n FROM c JOIN ranked s ON s.run = c.run AND s.ticker = c.a JOIN ranked t ON t.run = c.run AND t.ticker = c.b WHERE corr > 0.1),
+ f AS (SELECT DISTINCT run, 0::BIGINT AS n, []::VARCHAR[] AS gone, -1::BIGINT AS i, false AS out FROM ranked
+   UNION ALL SELECT f.run, p.n, CASE WHEN (CASE WHEN p.i = f.i THEN f.out ELSE list_contains(f.gone, p.a) END) OR list_contains(f.gone, p.b) THEN f.gone ELSE list_append(f.gone, CASE WHEN p.first THEN p.b ELSE p.a END) END, p.i, CASE WHEN p.i = f.i THEN f.out ELSE list_contains(f.gone, p.a) END FROM f JOIN p ON p.run = f.run AND p.n = f.n + 1),
+ g AS (SELECT run, arg_max(gone, n) AS gone FROM f GROUP BY 1), pruned AS (SELECT run, ticker, rank, score, NOT list_contains(gone, ticker) AS kept FROM ranked JOIN g USING (run))"""
+SQL |= {"corr_prune": f"{_PRUNED} SELECT * FROM pruned", "corr_losers": f"{_PRUNED} SELECT ticker, run AS entry_date, 'correlation' AS reason FROM pruned WHERE NOT kept"}

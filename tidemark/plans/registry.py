@@ -105,7 +105,7 @@ def queries() -> dict[str, Query]:
     out["option_quotes"] = lambda spark, sf_dir: options.quotes(adapters.chain(spark, sf_dir), adapters.line_trades(spark, sf_dir))
     out["month_benchmark"] = lambda spark, sf_dir: prices.against_index(adapters.trades(spark, sf_dir), adapters.region_bars(spark, sf_dir), "AMERICA")
     out["iv_rank"] = iv_rank
-    out["corr_prune"] = corr_prune
+    out["corr_prune"], out["corr_losers"] = corr_prune, corr_losers
     out["eps_check"] = lambda spark, sf_dir: market.eps_check(adapters.filings(spark, sf_dir), adapters.eps_quotes(spark, sf_dir))
     out["headline_ticker_join"] = lambda spark, sf_dir: market.headline_tickers(adapters.articles(spark, sf_dir), adapters.tickers(spark, sf_dir))
     out["shadow_inserts"] = shadow_inserts
@@ -140,13 +140,22 @@ def iv_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.iv_rank(adapters.supplier_bars(spark, sf_dir), term)
 
 
+def month_ranks(bars: DataFrame) -> DataFrame:
+    """run (a month's last day with a bar), ticker, rank, score: the tickers of each month by their last close."""
+    score = bars.groupBy(F.trunc("d", "month").alias("month"), "ticker").agg(F.round(F.max_by("close", "d"), 2).alias("score"), F.max("d").alias("d"))
+    score = score.withColumn("run", F.max("d").over(Window.partitionBy("month")))
+    return score.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("score"), "ticker"))).select("run", "ticker", "rank", "score")
+
+
 def corr_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations ranked in each month by their last close, pruned at a correlation of 0.1 (the given prices hardly move together)."""
-    bars = adapters.bars(spark, sf_dir)
-    score = bars.groupBy(F.trunc("d", "month").alias("run"), "ticker").agg(F.round(F.max_by("close", "d"), 2).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("score"), "ticker"))
-    corr = prices.pair_correlation(bars).select("a", "b", "corr")
-    return prices.prune_correlated(score.withColumn("rank", rank), corr, 0.1)
+    """Regions ranked in each month, pruned at a correlation of 0.1 over 35 days (the given prices hardly move together)."""
+    bars = adapters.region_bars(spark, sf_dir)
+    ranked = month_ranks(bars)
+    return prices.prune_correlated(ranked, prices.run_correlations(ranked, bars), 0.1)
+
+
+def corr_losers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.correlation_losers(corr_prune(spark, sf_dir))
 
 
 def shadow_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
