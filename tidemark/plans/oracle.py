@@ -12,7 +12,7 @@ from tidemark.plans.oracle_proposals import SQL as PROPOSAL_SQL
 from tidemark.plans.oracle_streams import EXIT_STATES, EXIT_TABLE, LEDGER
 from tidemark.plans.oracle_tiers import precheck_sql, tier_sql
 from tidemark.plans.oracle_valuation import valuation_sql
-from tidemark.sources.adapters import EXPIRY, LINE_ID, POSITIONS, TERMS
+from tidemark.sources.adapters import DAY_REPORTS, EXPIRY, LINE_ID, POSITIONS, TERMS
 
 TRADES = """trades AS (SELECT o_orderkey AS trade_id, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS entry_date,
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'LONG_CALL' WHEN '2' THEN 'BULL_CALL_SPREAD' WHEN '3' THEN 'LONG_PUT' WHEN '4' THEN 'BEAR_PUT_SPREAD' WHEN '5' THEN 'LONG_CALL' END AS strategy,
@@ -201,3 +201,18 @@ _PRUNED = f"""WITH RECURSIVE {REGION_BARS}, m AS (SELECT date_trunc('month', d):
    UNION ALL SELECT f.run, p.n, CASE WHEN (CASE WHEN p.i = f.i THEN f.out ELSE list_contains(f.gone, p.a) END) OR list_contains(f.gone, p.b) THEN f.gone ELSE list_append(f.gone, CASE WHEN p.first THEN p.b ELSE p.a END) END, p.i, CASE WHEN p.i = f.i THEN f.out ELSE list_contains(f.gone, p.a) END FROM f JOIN p ON p.run = f.run AND p.n = f.n + 1),
  g AS (SELECT run, arg_max(gone, n) AS gone FROM f GROUP BY 1), pruned AS (SELECT run, ticker, rank, score, NOT list_contains(gone, ticker) AS kept FROM ranked JOIN g USING (run))"""
 SQL |= {"corr_prune": f"{_PRUNED} SELECT * FROM pruned", "corr_losers": f"{_PRUNED} SELECT ticker, run AS entry_date, 'correlation' AS reason FROM pruned WHERE NOT kept"}
+_bp = lambda x: f"coalesce(CAST(CAST(round(({x}) * 10000 + 1e-6::DOUBLE) AS BIGINT) AS VARCHAR), 'none')"
+SQL["slot_summary"] = f"""WITH {FIRED}, {TRAILED}, {TRADES},
+ t AS (SELECT count(trailing_outcome) AS n, avg(tp_outcome) FILTER (trailing_outcome IS NOT NULL) AS a, avg(trailing_outcome) AS b FROM trailed),
+ c AS (SELECT count(*) FILTER (strategy LIKE '%SPREAD%') AS s, count(*) FILTER (strategy LIKE 'LONG%') AS l, avg(outcome) FILTER (strategy LIKE '%SPREAD%') AS ms, avg(outcome) FILTER (strategy LIKE 'LONG%') AS ml FROM trades WHERE source = 'closed' AND outcome IS NOT NULL),
+ b AS (SELECT sector, count(*) AS rows_, count(outcome) AS n, avg(outcome) AS mean FROM trades WHERE sector <> '' AND (source = 'closed' OR reject_reason = 'final_mc_survivor') GROUP BY 1),
+ g AS (SELECT CAST(sum(rows_) AS BIGINT) AS n, count(*) FILTER (n >= 3) AS k, count(*) FILTER (n >= 3 AND mean > 0) AS up, max(sector) FILTER (n >= 3 AND mean > 0) AS lone, arg_max(sector, mean) FILTER (n >= 3) AS best, arg_min(sector, mean) FILTER (n >= 3) AS worst FROM b)
+SELECT 'trailing_stop' AS name, n, 'take profit ' || {_bp('a')} || ', trailing ' || {_bp('b')} || ', delta ' || {_bp('b - a')} AS finding, CASE WHEN n < 5 THEN 'collect more data' WHEN round(b - a, 9) >= 0.05 THEN 'trail profits' END AS recommendation, n >= 5 AS ready FROM t
+UNION ALL SELECT 'spreads_vs_single', s + l, CASE WHEN s > 0 AND l > 0 THEN 'spreads ' || s || ' at ' || {_bp('ms')} || ', single ' || l || ' at ' || {_bp('ml')} ELSE 'spreads ' || s || ', single ' || l END, CASE WHEN s < 10 OR l < 10 THEN 'collect more data' WHEN round(ml - ms, 9) >= 0.10 THEN 'raise the gate of spreads' END, s >= 10 AND l >= 10 FROM c
+UNION ALL SELECT 'sectors', n, CASE WHEN n < 20 THEN 'too few with a sector' WHEN k = 0 THEN 'no sector has enough' ELSE k || ' sectors, best ' || best || ', worst ' || worst END, CASE WHEN n < 20 THEN 'collect more data' WHEN up = 1 AND k > 1 THEN 'only ' || lone END, n >= 20 FROM g"""
+SQL["book_health"] = f"""WITH {TRADES}, d AS (SELECT max(entry_date) AS today FROM trades), r AS ({DAY_REPORTS.format(orders='orders')}),
+ o AS (SELECT ticker, today - entry_date AS age FROM trades, d WHERE source = 'open' AND today - entry_date > 75), p AS (SELECT string_agg(CAST(ticker AS VARCHAR) || ' ' || age, ', ' ORDER BY age DESC, CAST(ticker AS VARCHAR)) AS names FROM (SELECT * FROM o ORDER BY age DESC, CAST(ticker AS VARCHAR) LIMIT 5)),
+ l AS (SELECT max(run_date) AS last, arg_max(universe, run_date) AS universe, arg_max(coalesce(vix, -1), run_date) AS vix, any_value(today) AS today FROM r, d),
+ c AS (SELECT 'weights' AS "check", NULL AS message UNION ALL SELECT 'overdue', CASE WHEN (SELECT count(*) FROM o) > 0 THEN (SELECT count(*) FROM o) || ' overdue: ' || names END FROM p
+  UNION ALL SELECT 'reports', CASE WHEN today - last > 5 AND vix < 0 THEN 'last report ' || (today - last) || ' days old, no volatility' WHEN today - last > 5 THEN 'last report ' || (today - last) || ' days old' WHEN vix < 0 THEN 'no volatility' END FROM l)
+SELECT "check", message IS NOT NULL AS warned, message FROM c UNION ALL SELECT 'status', bool_or(message IS NOT NULL), CASE WHEN bool_or(message IS NOT NULL) THEN 'WARN' ELSE 'OK' END FROM c"""

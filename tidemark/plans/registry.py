@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sheets import add
-from tidemark.operators import ledger, lifecycle, market, mentions, options, prices, proposals, text, tiers, valuation
+from tidemark.operators import book_health, ledger, lifecycle, market, mentions, options, prices, proposals, text, tiers, valuation
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters, facts
 from tidemark.sources.ledger_store import LedgerStore
@@ -112,6 +112,7 @@ def queries() -> dict[str, Query]:
     out["quote_as_of"] = lambda spark, sf_dir: lifecycle.as_of(adapters.marks(spark, sf_dir), adapters.quote_times(spark, sf_dir))
     out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
     out["ledger_upsert"] = ledger_upsert
+    out["slot_summary"], out["book_health"] = slot_summary, health_of_book
     out["facts_eps"] = lambda spark, sf_dir: market.trailing_eps(facts.eps_filings(adapters.fact_documents(spark, sf_dir), adapters.registered(spark, sf_dir)))
     out["facts_unsound"] = lambda spark, sf_dir: facts.unsound(adapters.fact_documents(spark, sf_dir))
     out["sponsor_match"] = lambda spark, sf_dir: mentions.sponsor_matches(adapters.approvals(spark, sf_dir), adapters.companies(spark, sf_dir))
@@ -164,6 +165,20 @@ def shadow_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.shadow_inserts(rows, rows.where("reason = 'final_mc_survivor' and entry_date < date'1995-06-17'"))
 
 
+def slot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trades = lambda: adapters.trades(spark, sf_dir)
+    return book_health.slot_summary(spark, lambda: lifecycle.trailing_stop(adapters.marks(spark, sf_dir), 14), lambda: trades().where("source = 'closed'"), trades)
+
+
+def health_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the day of the last entry."""
+    trades = adapters.trades(spark, sf_dir)
+    today = str(trades.agg(F.max("entry_date")).first()[0])
+    weights = lambda: ledger.pearson_weights(trades).unpivot(["n"], ["impact", "mismatch", "eps"], "feature", "weight")
+    checks = {"weights": lambda: book_health.weights_check(weights()), "overdue": lambda: book_health.overdue_check(trades.where("source = 'open'"), today), "reports": lambda: book_health.reports_check(adapters.day_reports(spark, sf_dir), today)}
+    return book_health.book_health(spark, checks)
+
+
 def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The book after three merges: trades entered before the middle of June 1995, all of them with their outcomes, and these again."""
     rows = adapters.trades(spark, sf_dir).select("trade_id", "ticker", "entry_date", "strategy", "reject_reason", "outcome")

@@ -59,6 +59,14 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Reports by day, some without a volatility.
+DAY_REPORTS = "SELECT cast(o_orderdate as date) AS run_date, count(*) AS universe, case when count(*) % 3 = 0 then null else 15 + count(*) % 9 end AS vix FROM {orders} GROUP BY cast(o_orderdate as date)"
+
+
+def day_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(DAY_REPORTS, orders=table(spark, sf_dir, "orders"))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, d, close, volume, one row for each nation and ship date. Sums are of whole cents, so they don't depend on order."""
     line, s, n = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
