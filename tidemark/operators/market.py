@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,16 +137,52 @@ def headline_tickers(articles: DataFrame, tickers: DataFrame) -> DataFrame:
     return tokens.join(names, "word").select(F.upper("word").alias("ticker"), "id")
 
 
-def headline_sentiment(posts: DataFrame, bullish: tuple[str, ...], bearish: tuple[str, ...], most: int = 8) -> DataFrame:
+Model = Callable[[pd.Series], pd.DataFrame]
+
+
+def headline_probs(make: Callable[[], Model]):
+    """A user's classifier as a column function: make() loads it once a task and returns the function from a batch of headlines to their
+    probabilities pos, neg and neu."""
+
+    @F.pandas_udf("pos double, neg double, neu double")
+    def probs(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for headlines in batches:
+            yield model(headlines)[["pos", "neg", "neu"]]
+
+    return probs
+
+
+def lexicon_model(bullish: tuple[str, ...], bearish: tuple[str, ...]) -> Callable[[], Model]:
+    """Smoothed shares of words that are bullish and bearish, as a model: the built-in columns' figures through the hook."""
+
+    def make() -> Model:
+        up, down = (re.compile(r"\b(" + "|".join(sorted(w, reverse=True)) + r")\b", re.ASCII) for w in (bullish, bearish))
+
+        def model(headlines: pd.Series) -> pd.DataFrame:
+            counts = [(len(up.findall(t or "")), len(down.findall(t or ""))) for t in headlines]
+            return pd.DataFrame([(u / (u + d + 1), d / (u + d + 1), 1 / (u + d + 1)) for u, d in counts], columns=["pos", "neg", "neu"], dtype=float)
+
+        return model
+
+    return make
+
+
+def headline_sentiment(posts: DataFrame, bullish: tuple[str, ...] = (), bearish: tuple[str, ...] = (), most: int = 8, probs=None) -> DataFrame:
     """Of each text's first eight lines: mean of positive less negative probability, the likeliest class of the mean probabilities,
-    and that probability. Probabilities come from word counts, smoothed; an empty text is neutral."""
+    and that probability; an empty text is neutral. probs: a column function such as `headline_probs` makes; without one,
+    probabilities are smoothed shares of bullish and bearish words, in built-in functions."""
     pattern = lambda w: F.lit(r"\b(" + "|".join(sorted(w, reverse=True)) + r")\b")
     lines = F.slice(F.filter(F.split(F.lower("text"), "\n"), lambda x: F.length(F.trim(x)) > 0), 1, most)
     rows = posts.select("id", F.explode_outer(lines).alias("line"))
-    up, down = (F.coalesce(F.regexp_count("line", pattern(w)), F.lit(0)) for w in (bullish, bearish))
-    rows = rows.select("id", F.col("line").isNotNull().cast("int").alias("some"), up.alias("up"), down.alias("down"))
-    total = F.col("up") + F.col("down") + 1
-    a = rows.groupBy("id").agg(F.sum("some").alias("n"), F.avg(F.col("up") / total).alias("pos"), F.avg(F.col("down") / total).alias("neg"), F.avg(1 / total).alias("neu"))
+    some = F.col("line").isNotNull().cast("int").alias("some")
+    if probs is None:
+        up, down = (F.coalesce(F.regexp_count("line", pattern(w)), F.lit(0)) for w in (bullish, bearish))
+        total = F.col("up") + F.col("down") + 1
+        rows = rows.select("id", some, up.alias("up"), down.alias("down")).select("id", "some", (F.col("up") / total).alias("pos"), (F.col("down") / total).alias("neg"), (1 / total).alias("neu"))
+    else:
+        rows = rows.withColumn("p", probs(F.coalesce("line", F.lit("")))).select("id", some, "p.*")
+    a = rows.groupBy("id").agg(F.sum("some").alias("n"), *[F.avg(c).alias(c) for c in ("pos", "neg", "neu")])
     label = F.when(F.col("n") == 0, "neutral").when((F.col("pos") > F.col("neg")) & (F.col("pos") > F.col("neu")), "positive").when((F.col("neg") > F.col("pos")) & (F.col("neg") > F.col("neu")), "negative").otherwise("neutral")
     return a.select("id", "n", F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.col("pos") - F.col("neg"), 4)).alias("sentiment"), label.alias("label"), F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.greatest("pos", "neg", "neu"), 4)).alias("confidence"))
 

@@ -62,3 +62,15 @@ SQL |= {
     "ticker_mentions": """WITH d AS (SELECT doc_id AS id, lower(string_split(text, chr(10))[1]) AS title, lower(substr(text, 1, 200)) AS start FROM documents), t AS (SELECT DISTINCT lower(regexp_replace(substr(text, 1, 5), '[^A-Za-z]', '', 'g')) AS w FROM benchmark)
  SELECT id, upper(w) AS ticker, bool_or(contains(title, w)) AS in_title FROM d JOIN t ON w <> '' AND (contains(title, w) OR contains(start, w)) GROUP BY 1, 2""",
 }
+_SESSIONS = f"""t AS (SELECT * FROM {as_sql('(SELECT user_id, event_id, value, ts FROM events)', a.TICKS)} WHERE price IS NOT NULL),
+ b AS (SELECT ticker, time_bucket(INTERVAL 5 MINUTE, ts) AS bar, arg_min(price, (ts, seq)) AS open, arg_max(price, (ts, seq)) AS close FROM t GROUP BY 1, 2),
+ i AS (SELECT *, sum(CASE WHEN before IS NULL OR bar - before > INTERVAL 119 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY bar) AS s FROM (SELECT *, lag(bar) OVER (PARTITION BY ticker ORDER BY bar) AS before FROM b)),
+ m AS (SELECT ticker, min(bar) AS start, max(bar) AS last, count(*) AS bars, arg_min(open, bar) AS open, arg_max(close, bar) AS close FROM i GROUP BY ticker, s),
+ moves AS (SELECT *, CASE WHEN bars >= 2 AND open > 0 THEN round(close / open - 1 + 1e-9::DOUBLE, 4) ELSE 0 END AS move, bars >= 2 AND open > 0 AS available FROM m)"""
+SQL |= {
+    "session_moves": f"WITH {_SESSIONS} SELECT * FROM moves",
+    "late_signals": f"""WITH {_SESSIONS}, d AS (SELECT ticker, CAST(start AS DATE) AS day, arg_max(move, start) AS move FROM moves GROUP BY 1, 2), s AS (SELECT {', '.join(a.SIGNALS)} FROM {as_sql("(SELECT * FROM events WHERE event_type = 'signup')", a.SIGNALS)}),
+ x AS (SELECT s.*, coalesce(d.move, 0) AS move, CASE WHEN mismatch >= 7 THEN 0.12 WHEN mismatch >= 5 THEN 0.09 ELSE 0.07 END::DOUBLE AS limit_ FROM s LEFT JOIN d ON d.ticker = s.ticker AND d.day = s.day)
+ SELECT id, ticker, day, move, limit_ AS "limit", abs(move) > limit_ AS too_late, CASE WHEN direction = 'BEARISH' THEN move < -0.07 ELSE move > 0.07 END AS moved_already FROM x""",
+    "headline_model": SQL["headline_sentiment"],
+}

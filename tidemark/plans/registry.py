@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sheets import add
-from tidemark.operators import book_health, ledger, lifecycle, market, mentions, options, prices, proposals, text, tiers, valuation
+from tidemark.operators import book_health, intraday, ledger, lifecycle, market, mentions, options, prices, proposals, text, tiers, valuation
 from tidemark.plans.oracle import SQL
 from tidemark.sources import adapters, facts
 from tidemark.sources.ledger_store import LedgerStore
@@ -112,6 +112,9 @@ def queries() -> dict[str, Query]:
     out["quote_as_of"] = lambda spark, sf_dir: lifecycle.as_of(adapters.marks(spark, sf_dir), adapters.quote_times(spark, sf_dir))
     out["bin_score"] = lambda spark, sf_dir: proposals.bin_score(adapters.proposals(spark, sf_dir), adapters.line_bins(spark, sf_dir).groupBy("feature", "bin").agg(F.count("*").alias("count"), F.round(F.avg("outcome"), 6).alias("avg_return")))
     out["ledger_upsert"] = ledger_upsert
+    out["session_moves"] = lambda spark, sf_dir: intraday.session_moves(intraday.minute_bars(adapters.ticks(spark, sf_dir)))
+    out["late_signals"] = lambda spark, sf_dir: intraday.late_signals(adapters.signals(spark, sf_dir), intraday.session_moves(intraday.minute_bars(adapters.ticks(spark, sf_dir))))
+    out["headline_model"] = lambda spark, sf_dir: market.headline_sentiment(adapters.posts(spark, sf_dir), probs=market.headline_probs(market.lexicon_model(text.BULLISH, text.BEARISH)))
     out["slot_summary"], out["book_health"] = slot_summary, health_of_book
     out["facts_eps"] = lambda spark, sf_dir: market.trailing_eps(facts.eps_filings(adapters.fact_documents(spark, sf_dir), adapters.registered(spark, sf_dir)))
     out["facts_unsound"] = lambda spark, sf_dir: facts.unsound(adapters.fact_documents(spark, sf_dir))

@@ -59,6 +59,21 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Ticks and signals from events: a dozen tickers.
+TICKS: Sheet = {"ticker": "user_id % 12", "seq": "event_id", "price": "case when event_id % 40 = 0 then null else 100 + value / 100 end"}
+SIGNALS: Sheet = {"id": "event_id", "ticker": "user_id % 12", "day": "cast(ts as date)", "direction": "case when event_id % 3 = 0 then 'BEARISH' else 'BULLISH' end", "mismatch": "case when event_id % 17 = 0 then null else cast(event_id % 9 as double) end"}
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, ts, seq, price."""
+    return add(table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.col("ts").cast("timestamp").alias("ts")), TICKS).select("ticker", "ts", "seq", "price")
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ticker, day, direction, mismatch."""
+    return add(table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), SIGNALS).select(*SIGNALS)
+
+
 #: Reports by day, some without a volatility.
 DAY_REPORTS = "SELECT cast(o_orderdate as date) AS run_date, count(*) AS universe, case when count(*) % 3 = 0 then null else 15 + count(*) % 9 end AS vix FROM {orders} GROUP BY cast(o_orderdate as date)"
 
