@@ -32,7 +32,8 @@ K, SAMPLE, SALTS = 10, 20_000, 64
 #: Vectors without cluster structure need most lists, clustered ones few. In the sample neighbours lie farther away than
 #: among all vectors, so the share errs on the safe side.
 RECALL, TRIED = 0.97, 256
-CODES, QUERIES = 16_384, 128
+#: Codes of a group, and most queries that meet a block of codes in one task: a block is copied once for each so many queries.
+CODES, QUERIES = 16_384, 16_384
 #: Vectors whose distances to the centroids are taken at once.
 STEP = 1_024
 #: Bounds are widened by this share of the vectors' lengths, far more than doubles are rounded by.
@@ -198,7 +199,10 @@ def nearest(df: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", embed
             if len(pdf):
                 out = []
                 for key, v, at in zip(pdf["key"], pdf["v"], model.value.probed(_matrix(pdf["v"]), sizes, k + 1), strict=True):
-                    out += [(g, key, v, own) for g in range(groups) if len(own := at[at % groups == g])]
+                    by = np.argsort(at % groups, kind="stable")
+                    g = (at % groups)[by]
+                    edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+                    out += [(int(g[a]), key, v, at[by[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
                 yield pd.DataFrame(out, columns=["g", "query", "v", "lists"])
 
     asked = rows.where(F.col("id") % every == 0).select("id", F.xxhash64("v").alias("same")).distinct()

@@ -75,13 +75,17 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(count(batch.column("text").to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known.select("digest").hint("merge"), "digest", "left_anti")
+    # the cache is joined once, to the batch's distinct digests; all that follows has the batch's size
+    asked = keyed.select("digest").distinct().join(known.hint("merge"), "digest", "left").groupBy("digest").agg(F.first("n_tokens", True).alias("n_tokens"))
+    asked = stored(asked, "asked")
+    texts = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = texts.join(asked.where("n_tokens is null").select("digest").hint("merge"), "digest", "left_semi")
     misses.select("digest", "text").mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(own)
 
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(home).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    counts = asked.where("n_tokens is not null").unionByName(spark.read.schema(CACHE_SCHEMA).parquet(own))
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    # stored, so that the join has an exchange on both sides and AQE can split a hot digest
-    return rows.join(stored(counts, "counts").hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # two scans with an exchange of their own on either side of the join, so that AQE can split a hot digest
+    return rows.join(counts.hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
