@@ -80,10 +80,10 @@ def test_posts_positions_and_ages(spark, tmp_path):
 
 
 def test_rss(spark, tmp_path):
-    (tmp_path / "a.xml").write_text("<rss><channel><title>feed</title><item><title> GME soars </title><link>u</link></item><item><link>no title</link></item><item><title>ON the way &amp; back</title></item></channel></rss>")
+    (tmp_path / "a.xml").write_text("<rss><channel><title>feed</title><item><title> GME soars </title><link>u</link></item><item><link>no title</link></item><item><title>ON the way &amp; back</title></item><item><title>they are here</title></item></channel></rss>")
     (tmp_path / "b.xml").write_text("<rss><channel><item><title>Cut off")
     (tmp_path / "c.xml").write_text("")
     got = feeds.rss(spark, str(tmp_path))
-    assert rows(got) == [("GME soars", "u"), ("ON the way & back", "")]
-    found = market.headline_tickers(got.select(F.col("link").alias("id"), "title"), spark.createDataFrame([("GME",), ("ON",), ("WAY",)], "ticker string"))
-    assert rows(found) == [("GME", "u"), ("WAY", "")]
+    assert rows(got) == [("GME soars", "u"), ("ON the way & back", ""), ("they are here", "")]
+    found = market.headline_tickers(got.select(F.col("link").alias("id"), "title"), spark.createDataFrame([("GME",), ("ON",), ("WAY",), ("THE",), ("ARE",)], "ticker string"))
+    assert rows(found) == [("GME", "u"), ("THE", ""), ("WAY", "")]

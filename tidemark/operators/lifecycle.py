@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import salted_join
 from tidemark.functions.sheets import Sheet, add
 from tidemark.sources.adapters import TERMS
 
@@ -37,7 +38,7 @@ def outcomes(marks: DataFrame) -> DataFrame:
     """entry (time of the first mark), age in days, outcome: value over the trade's first value less 1, unknown if that is 0."""
     mark = F.struct("ts", "event_id")
     first = marks.groupBy("trade_id").agg(F.min_by("value", mark).alias("first"), F.min("ts").alias("entry"))
-    rows = marks.join(first, "trade_id")
+    rows = salted_join(marks, first, ["trade_id"])
     return rows.withColumn("outcome", F.try_divide("value", "first") - 1).withColumn("age", F.datediff("ts", "entry")).withColumn("day", F.to_date("ts"))
 
 
@@ -46,7 +47,8 @@ def running_max(rows: DataFrame, value: str, name: str) -> DataFrame:
     days = rows.groupBy("trade_id", "day").agg(F.max(value).alias("most"))
     before = days.withColumn("earlier", F.max("most").over(Window.partitionBy("trade_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).drop("most")
     within = Window.partitionBy("trade_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(before, ["trade_id", "day"]).withColumn(name, F.greatest("earlier", F.max(value).over(within))).drop("earlier")
+    joined = salted_join(rows, before, ["trade_id", "day"])
+    return joined.withColumn(name, F.greatest("earlier", F.max(value).over(within))).drop("earlier")
 
 
 def running_peak(marks: DataFrame) -> DataFrame:
@@ -94,10 +96,14 @@ def trailing_stop(marks: DataFrame, hold: int = HOLD) -> DataFrame:
 
 def trailing_verdict(trailing: DataFrame, least: int = 5) -> DataFrame:
     """One row: open and closed trailing trades, means and medians of both exits, how often trailing is better, and whether it pays."""
+    by = trailing.groupBy("tp_outcome", "trailing_outcome").agg(F.count("*").alias("times"))  # medians of counts, not of all rows
     closed = F.col("trailing_outcome").isNotNull()
+    n = F.when(closed, F.col("times"))
     own = lambda c: F.when(closed, F.col(c))
     delta = own("trailing_outcome") - own("tp_outcome")
-    a = trailing.agg(F.count_if(~closed).alias("open"), F.count_if(closed).alias("closed"), F.avg(own("tp_outcome")).alias("tp"), F.avg(own("trailing_outcome")).alias("trail"), F.percentile(own("tp_outcome"), 0.5).alias("tp_mid"), F.percentile(own("trailing_outcome"), 0.5).alias("trail_mid"), F.avg(delta).alias("delta"), F.avg((delta > 0).cast("double")).alias("better"))
+    mean = lambda c: F.try_divide(F.sum(c * F.col("times")), F.sum(F.when(c.isNotNull(), F.col("times"))))
+    middle = lambda c: F.percentile(own(c), 0.5, F.when(closed, F.col("times")).otherwise(0))
+    a = by.agg(F.coalesce(F.sum(F.when(~closed, F.col("times"))), F.lit(0)).alias("open"), F.coalesce(F.sum(n), F.lit(0)).alias("closed"), mean(own("tp_outcome")).alias("tp"), mean(own("trailing_outcome")).alias("trail"), middle("tp_outcome").alias("tp_mid"), middle("trailing_outcome").alias("trail_mid"), mean(delta).alias("delta"), mean((delta > 0).cast("double")).alias("better"))
     ready = F.col("closed") >= least
     names = {"tp": "mean_tp", "trail": "mean_trailing", "tp_mid": "median_tp", "trail_mid": "median_trailing", "delta": "mean_delta", "better": "share_better"}
     return a.select("open", "closed", *[F.round(c, 6).alias(n) for c, n in names.items()], ready.alias("ready"), (ready & (F.coalesce("delta", F.lit(0.0)) >= 0.05)).alias("recommended"))

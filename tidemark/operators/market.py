@@ -15,6 +15,8 @@ from tidemark.functions.sheets import Sheet, add, present, steps
 DELISTED = ("ANSS", "CMA", "DAY", "FI", "HES", "IPG", "K", "WBA", "CZR", "ENPH", "MKTX")
 #: Letters that a ticker needs for a headline's word to name it.
 SHORTEST_TICKER = 3
+# Tickers that are words, and name nothing in a headline.
+UNSAFE = ("ON", "IT", "OR", "ARE", "BE", "TO", "DO", "GO", "SO", "RE", "AI", "GE", "AM", "PM", "IS", "AS", "AT", "BY", "IN", "OF", "A", "V", "C", "F", "K", "D", "L", "O")
 
 
 def universe(listed: DataFrame) -> DataFrame:
@@ -131,9 +133,9 @@ def words(text: str):
 
 def headline_tickers(articles: DataFrame, tickers: DataFrame) -> DataFrame:
     """articles(id, title) that name a ticker as a word, whatever its case: an equi-join on words, no nested loop. Tickers under three
-    letters name nothing."""
+    letters, and those that are words, name nothing."""
     tokens = articles.select("id", F.explode(words("title")).alias("word"))
-    names = tickers.where(F.length("ticker") >= SHORTEST_TICKER).select(F.lower("ticker").alias("word")).distinct()
+    names = tickers.where((F.length("ticker") >= SHORTEST_TICKER) & ~F.upper("ticker").isin(*UNSAFE)).select(F.lower("ticker").alias("word")).distinct()
     return tokens.join(names, "word").select(F.upper("word").alias("ticker"), "id")
 
 

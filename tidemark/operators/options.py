@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import salted_join
 from tidemark.functions.sheets import steps
 
 
@@ -17,7 +18,7 @@ def spot(chain: DataFrame) -> DataFrame:
 
 
 def priced(chain: DataFrame) -> DataFrame:
-    return chain.join(spot(chain), "ticker")
+    return salted_join(chain, spot(chain), ["ticker"])
 
 
 def runs(chain: DataFrame, least: int, most: int) -> DataFrame:
@@ -106,10 +107,11 @@ def term_structure(chain: DataFrame) -> DataFrame:
     """Per ticker and run, of the first three expiries from the run's day on those at least 7 days away: the median implied volatility
     of the calls within 7 % of the price. The window's rank runs over expiries, not contracts."""
     calls = runs(priced(chain).where("type = 'call'"), 0, 120)
-    expiries = runs(chain, 0, 120).groupBy("ticker", "run_month", "dte").agg(F.count("*").alias("contracts"))
+    expiries = runs(chain.select("ticker", "expiry").distinct(), 0, 120)
     first = expiries.withColumn("k", F.row_number().over(Window.partitionBy("ticker", "run_month").orderBy("dte"))).where("k <= 3 and dte >= 7")
     near = calls.where("strike between s * 0.93 and s * 1.07 and iv > 0.05").join(first.select("ticker", "run_month", "dte"), ["ticker", "run_month", "dte"])
-    return near.groupBy("ticker", "run_month", "dte").agg(F.round(F.median("iv"), 6).alias("iv"), F.count("*").alias("n"))
+    counts = near.groupBy("ticker", "run_month", "dte", "iv").agg(F.count("*").alias("times"))  # an exact median of counts: no group is gathered row by row
+    return counts.groupBy("ticker", "run_month", "dte").agg(F.round(F.percentile("iv", 0.5, F.col("times")), 6).alias("iv"), F.sum("times").alias("n"))
 
 
 def term_score(chain: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def skew(chain: DataFrame, least: int = 20, most: int = 50) -> DataFrame:
 
 def liquidity(chain: DataFrame, least: int = 2) -> DataFrame:
     """Tickers and runs with the number of expiries within a year; liquid with `least` of them."""
-    a = runs(chain, 0, 365).groupBy("ticker", "run_month").agg(F.countDistinct("expiry").alias("expiries"))
+    a = runs(chain.select("ticker", "expiry").distinct(), 0, 365).groupBy("ticker", "run_month").agg(F.count("*").alias("expiries"))
     return a.withColumn("liquid", F.col("expiries") >= least)
 
 

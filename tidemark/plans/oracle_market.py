@@ -30,7 +30,7 @@ SQL: dict[str, str] = {
  l AS (SELECT date_trunc('month', d)::DATE AS month, name, arg_max(v, d) AS v FROM k GROUP BY 1, 2), w AS (SELECT month, {', '.join(f"max(v) FILTER (name = '{n}') AS {n}" for n in ('y10', 'y2', 'v9', 'v90'))} FROM l GROUP BY 1) SELECT * FROM {as_sql('w', *m.MACRO)}""",
     "news_priority": f"""WITH {_ARTICLES}, b AS (SELECT ticker, min(source_rank) AS source_rank FROM articles GROUP BY 1) SELECT ticker, rank, source_rank, id, substr(title, 1, 200) AS title FROM
  (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) AS rank FROM articles JOIN b USING (ticker, source_rank)) WHERE rank <= 5""",
-    "headline_ticker_join": f"WITH {_ARTICLES}, t AS (SELECT DISTINCT ticker FROM (SELECT upper(regexp_replace(substr(text, 1, 5), '[^A-Za-z]', '', 'g')) AS ticker FROM benchmark) WHERE length(ticker) >= 3) SELECT DISTINCT id, upper(w) AS ticker FROM (SELECT id, unnest(regexp_split_to_array(lower(title), '[^a-z0-9_]+')) AS w FROM articles) JOIN t ON lower(t.ticker) = w",
+    "headline_ticker_join": f"WITH {_ARTICLES}, t AS (SELECT DISTINCT ticker FROM (SELECT upper(regexp_replace(substr(text, 1, 5), '[^A-Za-z]', '', 'g')) AS ticker FROM benchmark) WHERE length(ticker) >= 3 AND ticker <> 'ARE') SELECT DISTINCT id, upper(w) AS ticker FROM (SELECT id, unnest(regexp_split_to_array(lower(title), '[^a-z0-9_]+')) AS w FROM articles) JOIN t ON lower(t.ticker) = w",
     "headline_sentiment": rf"""WITH l AS (SELECT doc_id AS id, lower(text) AS text FROM documents), s AS (SELECT id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)[1:8] AS lines FROM l),
  r AS (SELECT id, unnest(CASE WHEN len(coalesce(lines, [])) = 0 THEN [NULL] ELSE lines END) AS line FROM s), c AS (SELECT id, line IS NOT NULL AS some_, coalesce({_count(BULLISH)}, 0) AS up, coalesce({_count(BEARISH)}, 0) AS down FROM r),
  g AS (SELECT id, count(*) FILTER (some_) AS n, avg(up / (up + down + 1)) AS pos, avg(down / (up + down + 1)) AS neg, avg(1 / (up + down + 1)) AS neu FROM c GROUP BY 1)
