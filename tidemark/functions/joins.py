@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
-def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Inner or left join of many rows with `few` rows a key (an aggregate of them, say). Each key is dealt out over `salts` partitions by the hash
-    of its rows, and `few` is there once for each: an aggregate is partitioned by its keys already, so without the salt the join
+    of the column `by`, which tells its rows apart, and `few` is there once for each: an aggregate is partitioned by its keys already, so without the salt the join
     would shuffle only one side, and neither AQE nor anything else could split a hot key. The number of `few` grows by `salts`."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys] or [F.lit(0)]), F.lit(salts)).cast("int"))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

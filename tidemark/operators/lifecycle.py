@@ -38,7 +38,7 @@ def outcomes(marks: DataFrame) -> DataFrame:
     """entry (time of the first mark), age in days, outcome: value over the trade's first value less 1, unknown if that is 0."""
     mark = F.struct("ts", "event_id")
     first = marks.groupBy("trade_id").agg(F.min_by("value", mark).alias("first"), F.min("ts").alias("entry"))
-    rows = salted_join(marks, first, ["trade_id"])
+    rows = salted_join(marks, first, ["trade_id"], "event_id")
     return rows.withColumn("outcome", F.try_divide("value", "first") - 1).withColumn("age", F.datediff("ts", "entry")).withColumn("day", F.to_date("ts"))
 
 
@@ -47,7 +47,7 @@ def running_max(rows: DataFrame, value: str, name: str) -> DataFrame:
     days = rows.groupBy("trade_id", "day").agg(F.max(value).alias("most"))
     before = days.withColumn("earlier", F.max("most").over(Window.partitionBy("trade_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).drop("most")
     within = Window.partitionBy("trade_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    joined = salted_join(rows, before, ["trade_id", "day"])
+    joined = salted_join(rows, before, ["trade_id", "day"], "event_id")
     return joined.withColumn(name, F.greatest("earlier", F.max(value).over(within))).drop("earlier")
 
 

@@ -18,7 +18,7 @@ def spot(chain: DataFrame) -> DataFrame:
 
 
 def priced(chain: DataFrame) -> DataFrame:
-    return salted_join(chain, spot(chain), ["ticker"])
+    return salted_join(chain, spot(chain), ["ticker"], "row")
 
 
 def runs(chain: DataFrame, least: int, most: int) -> DataFrame:

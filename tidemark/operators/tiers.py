@@ -62,7 +62,7 @@ def contracts(needs: DataFrame, chain: DataFrame, ranges: dict[int, tuple[str, i
     by_strike = fit.groupBy("ticker", "expiry", "type", "strike").agg(F.min(order).alias("c"))
     low, high = _window(ranges)
     asked = first_expiries(needs.where("price > 0"), chain, ranges).withColumn("low", F.col("price") * low).withColumn("high", F.col("price") * high)
-    met = salted_join(by_strike, asked, ["ticker", "expiry"]).where("strike >= low and strike <= high")
+    met = salted_join(by_strike, asked, ["ticker", "expiry"], "strike").where("strike >= low and strike <= high")
     best = met.groupBy("ticker", "run_date", "price", "type", "tier_no", "expiry", "dte").agg(F.min("c").alias("c")).withColumn("strike", F.col("c.strike"))
     legs = chain.groupBy("ticker", "expiry", "type", F.col("strike").alias("k2")).agg(F.min(F.struct("row", "bid")).alias("leg"))
     longs = best.select("ticker", "expiry", "type", "strike").distinct()
@@ -97,7 +97,7 @@ def tier_search(candidates: DataFrame, chain: DataFrame, pnl: DataFrame | None =
     own = F.struct(*[c for c in found.columns if c not in ("ticker", "run_date", "price", "type")])
     by_day = found.groupBy("ticker", "run_date", "price", "type").agg(F.collect_list(own).alias("found"))  # at most one a tier
     tiers = F.array(*[F.struct(F.lit(i).alias("tier_no"), F.lit(name).alias("tier_name"), F.lit(a).alias("tier_least")) for i, (name, a, _) in ranges.items()])
-    rows = salted_join(rows, by_day, ["ticker", "run_date", "price", "type"], "left").withColumn("t", F.explode(tiers))
+    rows = salted_join(rows, by_day, ["ticker", "run_date", "price", "type"], "candidate_id", "left").withColumn("t", F.explode(tiers))
     contract = F.filter("found", lambda c: c["tier_no"] == F.col("t.tier_no"))
     rows = rows.withColumn("c", F.get(contract, F.lit(0))).drop("found").select(*[c for c in rows.columns if c not in ("found", "t")], "t.*", *[F.col(f"c.{n}").alias(n) for n in ("expiry", "dte", "strike", "bid", "ask", "iv", "delta", "k2", "bid2")])
     spread = F.col("chosen").contains("SPREAD")
@@ -137,7 +137,7 @@ def precheck(candidates: DataFrame, chain: DataFrame, least: int = 21, most: int
 def with_features(candidates: DataFrame, bars: DataFrame, gammas: DataFrame) -> DataFrame:
     """Candidates with their price as of the run day, the target from it, and the dealers' gamma of the run's month (neutral where
     unknown)."""
-    rows = salted_join(candidates, last_close(candidates, bars), ["ticker", "run_date"], "left")
+    rows = salted_join(candidates, last_close(candidates, bars), ["ticker", "run_date"], "candidate_id", "left")
     known = gammas.select("ticker", F.col("run_month"), F.col("gamma"))
-    rows = salted_join(rows.withColumn("run_month", F.trunc("run_date", "month")), known, ["ticker", "run_month"], "left").drop("run_month")
+    rows = salted_join(rows.withColumn("run_month", F.trunc("run_date", "month")), known, ["ticker", "run_month"], "candidate_id", "left").drop("run_month")
     return rows.withColumn("gamma", F.coalesce("gamma", F.lit("neutral"))).withColumn("target", F.col("price") * (1 + F.col("target_move")))

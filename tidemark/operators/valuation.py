@@ -94,9 +94,9 @@ def valued(positions: DataFrame, chain: DataFrame, quotes: DataFrame, bars: Data
     live = rows.where("expiry >= value_day").select("trade_id", "ticker", "expiry", "type", F.explode(F.array(leg("long", "strike"), leg("short", "short_strike"))).alias("l")).select("trade_id", "ticker", "expiry", "type", "l.leg", "l.strike").where("strike > 0")
     mids = contract_mids(live.select("ticker", "expiry", "type", "strike").distinct(), chain)
     of = lambda name: F.max(F.when(F.col("leg") == name, F.col("mid"))).alias(f"{name}_mid")
-    legs = salted_join(live, mids, ["ticker", "expiry", "type", "strike"]).groupBy("trade_id").agg(of("long"), of("short"))
-    rows = salted_join(rows.join(legs, "trade_id", "left"), stock_as_of(positions, quotes), ["ticker", "value_day"], "left")
-    rows = salted_join(rows, close_after(positions.where("expiry < value_day"), bars), ["ticker", "expiry"], "left")
+    legs = salted_join(live, mids, ["ticker", "expiry", "type", "strike"], "trade_id").groupBy("trade_id").agg(of("long"), of("short"))
+    rows = salted_join(rows.join(legs, "trade_id", "left"), stock_as_of(positions, quotes), ["ticker", "value_day"], "trade_id", "left")
+    rows = salted_join(rows, close_after(positions.where("expiry < value_day"), bars), ["ticker", "expiry"], "trade_id", "left")
     rows = rows.withColumn("close_after", F.when(F.col("expiry") < F.col("value_day"), F.col("close_after")))
     return add(rows, *VALUE)
 
