@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import ann, common, license_scan, minhash, packing, pieces, quality, sharding, token_count, token_files, tokens, toxicity
 
@@ -599,3 +600,28 @@ def test_toxicity_learns_from_every_word_of_a_long_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     weights, _ = toxicity.learn(df, df.select("doc_id", "toxic"))
     assert weights[toxicity.Buckets()[b"vile"]] > 0.5 > -0.5 > weights[toxicity.Buckets()[b"kind"]]
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, columns named like those of the stages, and no rows at all."""
+    import corpus_pipeline
+
+    where = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    rows = docs.unionByName(docs.limit(20)).unionByName(docs.limit(9).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(9).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = rows.withColumn("score", F.lit(1)).withColumn("Kept", F.lit("x")).withColumn("root", F.lit(2.0)).withColumn("t1", F.lit(3))
+    for name, df in (("rows", rows), ("none", rows.limit(0))):
+        folder = tmp_path / name
+        df.write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(f"{where}/labels.parquet").write.parquet(str(folder / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert bool(got) == (name == "rows")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, rows, where).columns == rows.columns, name
+
+
+def test_shards_of_one_large_document_and_of_null_texts(spark):
+    df = spark.createDataFrame([(1, "x" * 5000), (2, None), (3, ""), (4, "y" * 10), (5, "z" * 90)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sharding.shards(df, 100).collect()}
+    assert len(got) == 5 and got[1]["n_bytes"] == 5000 and got[1]["shard_docs"] == 1 and got[2]["n_bytes"] == got[3]["n_bytes"] == 0
+    assert all(r["shard_bytes"] <= 100 for i, r in got.items() if i != 1)
