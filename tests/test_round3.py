@@ -33,3 +33,16 @@ def test_a_first_value_of_zero(spark, tmp_path, name):
     rows = [(10 * u + k, AT + datetime.timedelta(days=5 * k), u, "view", v, "{}") for u, vs in values.items() for k, v in enumerate(vs)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert_as_sql(spark, tmp_path, name)
+
+
+#: Letters beside words, capitals that are several letters, spaces of other kinds.
+TEXTS = ["übull bull\néput and put", "BULLİ İput bull_ish naïvecall", " \n buy sell\ncafé$5c x$5c 3p\x0b5 3c 7", "STRASSE Straße GROẞ ΟΔΟΣ ΟΔΟΣ.", "", None, "　\nlong…short", "ﬁne ǆ İstanbul"]
+NAMES = ["straße 7", " große Werke", "ΟΔΟΣ holding", "ﬁne arts", "naïve\x0bx y", "İst x", None, "", "ǆx", "\tput z"]
+
+
+@pytest.mark.parametrize("name", ["post_credibility", "weighted_sentiment"])
+def test_letters_beyond_ascii(spark, tmp_path, name):
+    docs = [(i, t, "en", f"src{i % 2}", 10 * i) for i, t in enumerate(TEXTS)] + [(20 + i, f"the {n} of {n}", "de", "src3", i) for i, n in enumerate(NAMES) if n]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(NAMES)), "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert_as_sql(spark, tmp_path, name)
