@@ -40,7 +40,7 @@ TEXTS = ["übull bull\néput and put", "BULLİ İput bull_ish naïvecall", " \n
 NAMES = ["straße 7", " große Werke", "ΟΔΟΣ holding", "ﬁne arts", "naïve\x0bx y", "İst x", None, "", "ǆx", "\tput z"]
 
 
-@pytest.mark.parametrize("name", ["headline_sentiment", "headline_model", "post_credibility", "weighted_sentiment"])
+@pytest.mark.parametrize("name", ["headline_sentiment", "headline_model", "post_credibility", "weighted_sentiment", "sponsor_match", "ticker_mentions"])
 def test_letters_beyond_ascii(spark, tmp_path, name):
     docs = [(i, t, "en", f"src{i % 2}", 10 * i) for i, t in enumerate(TEXTS)] + [(20 + i, f"the {n} of {n}", "de", "src3", i) for i, n in enumerate(NAMES) if n]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.words import SPACES, lower, upper
+
 GRAM = 3
 
 
@@ -38,21 +40,21 @@ def candidates(texts: DataFrame, needles: DataFrame, gram: int = GRAM) -> DataFr
 def containing(texts: DataFrame, needles: DataFrame, gram: int = GRAM) -> DataFrame:
     """id, needle for each text that contains a needle, whatever their case. Rows that repeat an id are one text each; empty and missing
     texts and needles are in no pair."""
-    low = texts.select("id", F.lower("text").alias("text")).where("text <> ''").distinct()
-    want = needles.select(F.lower("needle").alias("needle")).where("needle <> ''").distinct()
+    low = texts.select("id", lower(F.col("text")).alias("text")).where("text <> ''").distinct()
+    want = needles.select(lower(F.col("needle")).alias("needle")).where("needle <> ''").distinct()
     return candidates(low, want, gram).join(low, "id").where(F.contains("text", F.col("needle"))).select("id", "needle").distinct()
 
 
 def first_word(name: Column) -> Column:
-    return F.get(F.split(F.trim(name), r"\s+"), F.lit(0))
+    return F.get(F.split(F.trim(name, F.lit(SPACES)), r"[\t\n\f\r ]+"), F.lit(0))
 
 
 def sponsor_matches(approvals: DataFrame, companies: DataFrame, least: int = 3) -> DataFrame:
     """id, company, word: approvals(id, sponsor) whose sponsor contains the first word of the name of companies(company, name), if that has
     `least` letters. Words that many companies share are searched once."""
-    words = companies.select("company", F.lower(first_word(F.col("name"))).alias("needle")).where(F.length("needle") >= least)
+    words = companies.select("company", lower(first_word(F.col("name"))).alias("needle")).where(F.length("needle") >= least)
     found = containing(approvals.select("id", F.col("sponsor").alias("text")), words.select("needle"))
-    return found.join(words.distinct(), "needle").select("id", "company", F.upper("needle").alias("word"))
+    return found.join(words.distinct(), "needle").select("id", "company", upper(F.col("needle")).alias("word"))
 
 
 def ticker_mentions(posts: DataFrame, tickers: DataFrame, preview: int = 200) -> DataFrame:
