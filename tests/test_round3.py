@@ -46,3 +46,16 @@ def test_letters_beyond_ascii(spark, tmp_path, name):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(NAMES)), "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert_as_sql(spark, tmp_path, name)
+
+
+def test_joins_of_equal_sides_copy_neither(spark):
+    from tidemark.operators import tiers, valuation
+    from tidemark.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    chain, bars, needs = adapters.chain(spark, sf), adapters.supplier_bars(spark, sf), adapters.candidates(spark, sf)
+    found = tiers.contracts(tiers.last_close(needs, bars), chain)
+    values = valuation.position_value(adapters.book(spark, sf), chain, adapters.stock_quotes(spark, sf), bars)
+    for df in (found, values):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Generate" in line and "_salt" in line]

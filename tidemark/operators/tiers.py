@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import salted_join
+from tidemark.functions.joins import paired_join
 from tidemark.functions.sheets import Sheet, add
 from tidemark.operators.proposals import ROI, STRATEGY, TIERS, rounded
 
@@ -61,14 +61,18 @@ def contracts(needs: DataFrame, chain: DataFrame, ranges: dict[int, tuple[str, i
     order = F.struct(other.alias("other"), F.negate("oi").alias("less"), "strike", "row", "bid", "ask", "oi", "iv", "delta")
     by_strike = fit.groupBy("ticker", "expiry", "type", "strike").agg(F.min(order).alias("c"))
     low, high = _window(ranges)
-    asked = first_expiries(needs.where("price > 0"), chain, ranges).withColumn("low", F.col("price") * low).withColumn("high", F.col("price") * high)
-    met = salted_join(by_strike, asked, ["ticker", "expiry"], "strike").where("strike >= low and strike <= high")
+    asked = first_expiries(needs.where("price > 0"), chain, ranges)
+    met = paired_join(by_strike, asked, ["ticker", "expiry"]).where((F.col("strike") >= F.col("price") * low) & (F.col("strike") <= F.col("price") * high))
     best = met.groupBy("ticker", "run_date", "price", "type", "tier_no", "expiry", "dte").agg(F.min("c").alias("c")).withColumn("strike", F.col("c.strike"))
+    # a contract's legs are found once: its run days, at most a calendar's, wait in a list
+    longs = best.groupBy("ticker", "expiry", "type", "strike").agg(F.collect_list(F.struct("run_date", "price", "tier_no", "dte", "c")).alias("days"))
     legs = chain.groupBy("ticker", "expiry", "type", F.col("strike").alias("k2")).agg(F.min(F.struct("row", "bid")).alias("leg"))
-    longs = best.select("ticker", "expiry", "type", "strike").distinct()
     gap = F.round(F.abs(F.col("k2") - F.col("strike") * 1.10), 6)
-    short = longs.join(legs, ["ticker", "expiry", "type"]).where("k2 >= strike * 1.05 and k2 <= strike * 1.20").groupBy("ticker", "expiry", "type", "strike").agg(F.min(F.struct(gap.alias("gap"), "k2", "leg.row", "leg.bid")).alias("leg"))
-    out = best.join(short, ["ticker", "expiry", "type", "strike"], "left")
+    near = (F.col("k2") >= F.col("strike") * 1.05) & (F.col("k2") <= F.col("strike") * 1.20)
+    key = ["ticker", "expiry", "type"]
+    pairs = longs.alias("l").join(legs.alias("s"), [F.col(f"l.{c}") == F.col(f"s.{c}") for c in key] + [near], "left")
+    out = pairs.groupBy("l.ticker", "l.expiry", "l.type", "strike").agg(F.first("days").alias("days"), F.min(F.when(F.col("k2").isNotNull(), F.struct(gap.alias("gap"), "k2", "leg.row", "leg.bid"))).alias("leg"))
+    out = out.select("ticker", "expiry", "type", "strike", "leg", F.inline("days"))
     return out.select("ticker", "run_date", "price", "type", "tier_no", "expiry", "dte", "strike", "c.bid", "c.ask", "c.oi", "c.iv", "c.delta", "c.row", F.when(F.col("leg.bid") > 0, F.col("leg.k2")).alias("k2"), F.when(F.col("leg.bid") > 0, F.col("leg.bid")).alias("bid2"))
 
 
@@ -97,7 +101,7 @@ def tier_search(candidates: DataFrame, chain: DataFrame, pnl: DataFrame | None =
     own = F.struct(*[c for c in found.columns if c not in ("ticker", "run_date", "price", "type")])
     by_day = found.groupBy("ticker", "run_date", "price", "type").agg(F.collect_list(own).alias("found"))  # at most one a tier
     tiers = F.array(*[F.struct(F.lit(i).alias("tier_no"), F.lit(name).alias("tier_name"), F.lit(a).alias("tier_least")) for i, (name, a, _) in ranges.items()])
-    rows = salted_join(rows, by_day, ["ticker", "run_date", "price", "type"], "candidate_id", "left").withColumn("t", F.explode(tiers))
+    rows = paired_join(rows, by_day, ["ticker", "run_date", "price", "type"], "left").withColumn("t", F.explode(tiers))
     contract = F.filter("found", lambda c: c["tier_no"] == F.col("t.tier_no"))
     rows = rows.withColumn("c", F.get(contract, F.lit(0))).drop("found").select(*[c for c in rows.columns if c not in ("found", "t")], "t.*", *[F.col(f"c.{n}").alias(n) for n in ("expiry", "dte", "strike", "bid", "ask", "iv", "delta", "k2", "bid2")])
     spread = F.col("chosen").contains("SPREAD")
@@ -137,7 +141,7 @@ def precheck(candidates: DataFrame, chain: DataFrame, least: int = 21, most: int
 def with_features(candidates: DataFrame, bars: DataFrame, gammas: DataFrame) -> DataFrame:
     """Candidates with their price as of the run day, the target from it, and the dealers' gamma of the run's month (neutral where
     unknown)."""
-    rows = salted_join(candidates, last_close(candidates, bars), ["ticker", "run_date"], "candidate_id", "left")
+    rows = paired_join(candidates, last_close(candidates, bars), ["ticker", "run_date"], "left")
     known = gammas.select("ticker", F.col("run_month"), F.col("gamma"))
-    rows = salted_join(rows.withColumn("run_month", F.trunc("run_date", "month")), known, ["ticker", "run_month"], "candidate_id", "left").drop("run_month")
+    rows = paired_join(rows.withColumn("run_month", F.trunc("run_date", "month")), known, ["ticker", "run_month"], "left").drop("run_month")
     return rows.withColumn("gamma", F.coalesce("gamma", F.lit("neutral"))).withColumn("target", F.col("price") * (1 + F.col("target_move")))
