@@ -1,8 +1,11 @@
 """Substring joins by an index of grams: which texts contain which needles, without comparing each with each.
 
-A text is indexed by its distinct grams of three characters (of fewer, for needles that are shorter). Each needle is looked up by the one
-of its grams that the fewest texts hold, and only these texts are searched for it. So the rows between are those of the rarest grams,
-and a needle with a gram that no text holds costs nothing."""
+A text is cut into short pieces, each of which reaches as far into the next as the longest needle does, so that a needle lies whole in one
+of them and reading a place in a text costs the same wherever it is. A piece is indexed by its grams of up to three characters. Each needle
+is looked up by the one of its grams that is rarest in the texts, and only the pieces that hold it are searched for it. So the rows between
+are those of the rarest grams, and a needle with a gram that no text holds costs nothing.
+
+Needles and their grams are stored, so that Spark knows their size: few ones are broadcast, and then no text is shuffled."""
 
 from __future__ import annotations
 
@@ -10,8 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.words import SPACES, lower, upper
+from tidemark.streaming.shared import folder
 
 GRAM = 3
+#: Characters of a piece, and of the stretches that pieces are cut from: finding a piece takes time in proportion to what is before it.
+PIECE, STRETCH = 64, 16_384
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    where = folder(rows.sparkSession, label)
+    rows.write.parquet(where)
+    return rows.sparkSession.read.schema(rows.schema).parquet(where)
 
 
 def grams(text: str, size: int) -> Column:
@@ -20,29 +32,38 @@ def grams(text: str, size: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def _indexed(rows: DataFrame, key: str, text: str, sizes: range) -> DataFrame:
-    return rows.select(key, F.explode(F.flatten(F.array(*[grams(text, s) for s in sizes]))).alias("gram"))
+def pieces(texts: DataFrame, width: int, overlap: int) -> DataFrame:
+    """id, text: a piece from every `width` characters of texts(id, text), with the next `overlap` ones."""
+    at = F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {width} as int))"))
+    return texts.select("id", "text", at.alias("at")).select("id", F.substring("text", F.col("at") * width + 1, F.lit(width + overlap)).alias("text"))
+
+
+def _indexed(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """id, text, gram: for each place of a text the grams of these sizes that begin there, cut off at its end."""
+    n = most - least + 1
+    at = F.explode(F.expr(f"sequence(0, length(text) * {n} - 1)"))
+    return rows.select("id", "text", at.alias("at")).select("id", "text", F.expr(f"substring(text, at div {n} + 1, at % {n} + {least})").alias("gram"))
 
 
 def candidates(texts: DataFrame, needles: DataFrame, gram: int = GRAM) -> DataFrame:
-    """id, needle: the pairs to search, from texts(id, text) and needles(needle), distinct and not empty."""
-    index = _indexed(texts, "id", "text", range(1, gram + 1))
-    own = needles.withColumn("size", F.least(F.length("needle"), F.lit(gram)))
-    keys = None
-    for size in range(1, gram + 1):
-        part = own.where(F.col("size") == size).select("needle", F.explode(grams("needle", size)).alias("gram"))
-        keys = part if keys is None else keys.unionByName(part)
-    held = index.join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
-    rarest = keys.join(held, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("x")).where("x.texts > 0").select("needle", F.col("x.gram").alias("gram"))
-    return index.join(rarest, "gram").select("id", "needle").distinct()
+    """id, text, needle: pieces and the needles to search in them, from texts(id, text) and needles(needle), not empty. Rows may repeat.
+    Needles of no more than a gram's size are grams themselves, so only those of longer ones are counted."""
+    needles = stored(needles, "needles")
+    keys = stored(needles.where(F.length("needle") > gram).select("needle", F.explode(grams("needle", gram)).alias("gram")), "needle-grams")
+    overlap = (needles.agg(F.max(F.length("needle"))).first()[0] or 1) - 1
+    cut = pieces(pieces(texts, max(STRETCH, overlap), overlap), max(PIECE, overlap), overlap)
+    held = _indexed(cut, gram, gram).join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("places"))
+    rarest = keys.join(held, "gram").groupBy("needle", F.size(grams("needle", gram)).alias("n")).agg(F.count("*").alias("found"), F.min(F.struct("places", "gram")).alias("x"))
+    rarest = rarest.where("found = n").select("needle", F.col("x.gram").alias("gram")).unionByName(needles.where(F.length("needle") <= gram).select("needle", F.col("needle").alias("gram")))
+    return _indexed(cut, 1, gram).join(stored(rarest, "rarest-grams"), "gram").select("id", "text", "needle")
 
 
 def containing(texts: DataFrame, needles: DataFrame, gram: int = GRAM) -> DataFrame:
     """id, needle for each text that contains a needle, whatever their case. Rows that repeat an id are one text each; empty and missing
     texts and needles are in no pair."""
-    low = texts.select("id", lower(F.col("text")).alias("text")).where("text <> ''").distinct()
+    low = texts.select("id", lower(F.col("text")).alias("text")).where("text <> ''")
     want = needles.select(lower(F.col("needle")).alias("needle")).where("needle <> ''").distinct()
-    return candidates(low, want, gram).join(low, "id").where(F.contains("text", F.col("needle"))).select("id", "needle").distinct()
+    return candidates(low, want, gram).where(F.contains("text", F.col("needle"))).select("id", "needle").distinct()
 
 
 def first_word(name: Column) -> Column:
@@ -61,6 +82,7 @@ def ticker_mentions(posts: DataFrame, tickers: DataFrame, preview: int = 200) ->
     """id, ticker, in_title: posts(id, title, body) whose title, or the first `preview` characters of whose body, contain a ticker as a
     substring (not as a word)."""
     shown = posts.select("id", "title", F.substring("body", 1, preview).alias("start"))
-    both = shown.select("id", F.col("title").alias("text"), F.lit(True).alias("in_title")).unionByName(shown.select("id", F.col("start").alias("text"), F.lit(False).alias("in_title")))
+    other = shown.where(~F.coalesce(F.startswith("title", "start"), F.lit(False)))  # else the title holds whatever the start holds
+    both = shown.select("id", F.col("title").alias("text"), F.lit(True).alias("in_title")).unionByName(other.select("id", F.col("start").alias("text"), F.lit(False).alias("in_title")))
     found = containing(both.select(F.struct("id", "in_title").alias("id"), "text"), tickers.select(F.col("ticker").alias("needle")))
     return found.groupBy(F.col("id.id").alias("id"), F.upper("needle").alias("ticker")).agg(F.bool_or("id.in_title").alias("in_title"))
