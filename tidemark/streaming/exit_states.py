@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions.columns import rounded_double
 from tidemark.functions.sheets import add
 from tidemark.operators.lifecycle import HOLD, RULES
 from tidemark.sources import adapters
@@ -149,4 +150,4 @@ def stream_exit_states(spark: SparkSession, sf_dir: str, hold: int = 14) -> Data
     out = folder(spark, "exit-states")
     run_appending(exit_states(marks, hold), out, folder(spark, "exit-states-state"))
     rows = spark.read.schema(OUT).parquet(out)
-    return rows.select("trade_id", "kind", "event_id", "reason", F.round("outcome", 6).alias("outcome"), F.round("peak", 6).alias("peak"), "age")
+    return rows.select("trade_id", "kind", "event_id", "reason", rounded_double("outcome", 6).alias("outcome"), rounded_double("peak", 6).alias("peak"), "age")
