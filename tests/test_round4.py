@@ -5,6 +5,9 @@ import datetime
 import pytest
 
 from tests.test_round3 import AT, assert_as_sql
+from tidemark.plans import registry
+
+DIR = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("name", ["running_peak", "exit_first_fire", "exit_table", "trailing_stop", "shadow_outcome", "stream_exits"])
@@ -14,3 +17,44 @@ def test_outcomes_at_exact_halves(spark, tmp_path, name):
     rows = [(10 * u + k, AT + datetime.timedelta(days=9 * k), u, "view", v, "{}") for u, vs in values.items() for k, v in enumerate(vs)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert_as_sql(spark, tmp_path, name)
+
+
+def exchanges(spark, name):
+    """How often the plan of a query shuffles, if no table is small enough to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+        return sum("Exchange " in line for line in plan.split("\n"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tier_search_shuffles_each_table_once(spark):
+    assert exchanges(spark, "tier_search") <= 13  # 35 before
+
+
+def test_a_tier_under_the_floor_needs_no_contract(spark):
+    """An unknown floor is no floor; a day's lowest floor says which tiers are looked for."""
+    from tests.test_tiers import ROWS, candidate, search
+
+    got = search(spark, [candidate(1, dte_floor=None), candidate(2, dte_floor=150), candidate(3, dte_floor=61), candidate(4, "B", dte_floor=400)], ROWS)
+    assert [(got[k]["tier"], got[k]["tried"]) for k in (1, 2, 3, 4)] == [("Mid-Term", "theta,pass"), ("Long-Term", "below_floor,below_floor,pass"), ("Mid-Term", "below_floor,pass"), ("no tier", "below_floor,below_floor,below_floor")]
+
+
+def test_prices_and_gammas_of_the_run_day(spark):
+    """With bars and gammas a candidate's price, target and gamma are those that it would bring itself."""
+    from pyspark.sql import functions as F
+
+    from tests.test_tiers import DAY, KINDS, ROWS, candidate, chain, later
+    from tidemark.operators import tiers
+
+    base = [candidate(k, t, iv_rank=50.0, dte_floor=150, direction=d) for k, (t, d) in enumerate([("A", "BULLISH"), ("A", "BEARISH"), ("none", "BULLISH"), ("A", None)])]
+    whole = spark.createDataFrame([tuple((c | dict(gamma="positive")).values()) for c in base], KINDS)
+    bare = whole.drop("price", "target", "gamma").withColumn("target_move", F.lit(0.2))
+    bars = spark.createDataFrame([("A", later(-3), 100.0), ("A", later(1), 500.0), ("none", DAY, 7.0)], "ticker string, d date, close double")
+    gammas = spark.createDataFrame([("A", DAY.replace(day=1), "positive"), ("none", DAY.replace(day=1), "negative")], "ticker string, run_month date, gamma string")
+    want = sorted(map(tuple, tiers.tier_search(whole, chain(spark, ROWS)).collect()))
+    assert sorted(map(tuple, tiers.tier_search(bare, chain(spark, ROWS), bars=bars, gammas=gammas).collect())) == want
+    assert want[0][1:4] == ("Long-Term", "below_floor,below_floor,pass", "BULL_CALL_SPREAD")
+    old = gammas.withColumn("run_month", F.date_sub("run_month", 31))  # another month's gamma isn't this one's
+    assert [r["strategy"] for r in tiers.tier_search(bare, chain(spark, ROWS), bars=bars, gammas=old).where("candidate_id = 0").collect()] == ["LONG_CALL"]

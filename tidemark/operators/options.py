@@ -96,9 +96,11 @@ GAMMA = steps("ratio", [("> 1.5", "positive"), ("< 0.70", "negative")], "neutral
 def dealer_gamma(chain: DataFrame, least: int = 14, most: int = 45) -> DataFrame:
     """Open interest of calls and puts within 5 % of the price at the first expiry in the range, and what their ratio says of the
     dealers' gamma. No puts: ratio 2; under 100 in all: unavailable."""
-    rows = at_first_expiry(priced(chain), least, most).where("abs(strike - s) <= 0.05 * s")
-    oi = lambda t: F.coalesce(F.sum(F.when(F.col("type") == t, F.col("oi"))), F.lit(0))
-    a = rows.groupBy("ticker", "run_month", "expiry").agg(oi("call").alias("calls"), oi("put").alias("puts"))
+    near = F.abs(F.col("strike") - F.col("s")) <= 0.05 * F.col("s")
+    oi = lambda t: F.coalesce(F.sum(F.when(near & (F.col("type") == t), F.col("oi"))), F.lit(0))
+    # sums of an expiry come before the runs that it belongs to; dealt by expiry, they are small before they are shuffled
+    sums = salted_join(chain, spot(chain), ["ticker"], "expiry").groupBy("ticker", "expiry").agg(oi("call").alias("calls"), oi("put").alias("puts"), F.count_if(near).alias("near"))
+    a = at_first_expiry(sums, least, most).where("near > 0")
     a = a.withColumn("ratio", F.when(F.col("puts") == 0, 2.0).otherwise(F.try_divide("calls", "puts")))
     return a.select("ticker", "run_month", "expiry", "calls", "puts", F.round("ratio", 6).alias("ratio"), F.when(F.col("calls") + F.col("puts") < 100, "unavailable").otherwise(F.expr(GAMMA)).alias("gamma"))
 

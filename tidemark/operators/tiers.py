@@ -1,17 +1,16 @@
 """Search for a contract over tiers of expiry: candidates meet bars and option chains, all alternatives are evaluated at once, and the
 first that passes every gate is taken.
 
-What a contract depends on is shared: expiry and contract are found once for each ticker, run day, price, tier and type, however many
-candidates ask. Prices and first expiries come from sorted windows over both sides' distinct days, no range join; contracts that no
-run could take go before the join, and of one strike only the best is kept, so that a ticker with very many contracts meets its run
-days with at most one row a strike. A candidate then has three rows in its own task, which shrink to one before they are shuffled."""
+What a contract depends on is shared: expiry and contract are found once for each ticker, run day, tier and type, however many
+candidates ask. Prices, gammas and first expiries come from sorted windows over the distinct days of all sides, no range join; of one
+strike only the best contract is kept, so that a ticker with very many contracts meets its run days with at most one row a strike. A
+candidate then has three rows in its own task, which shrink to one there."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import paired_join
 from tidemark.functions.sheets import Sheet, add
 from tidemark.operators.proposals import ROI, STRATEGY, TIERS, rounded
 
@@ -27,15 +26,28 @@ def last_close(needs: DataFrame, bars: DataFrame) -> DataFrame:
     return days.withColumn("price", F.last("close", True).over(upto)).where("asks = 1").select("ticker", F.col("day").alias("run_date"), "price")
 
 
-def first_expiries(needs: DataFrame, chain: DataFrame, ranges: dict[int, tuple[str, int, int]]) -> DataFrame:
+def first_expiries(needs: DataFrame, chain: DataFrame, ranges: dict[int, tuple[str, int, int]], bars: DataFrame | None = None, gammas: DataFrame | None = None) -> DataFrame:
     """needs(ticker, run_date, ...) for each tier whose range of days holds an expiry: tier_no, the first one, dte. Days run backwards,
-    so that the frame only grows."""
-    tiers = F.explode(F.array(*[F.struct(F.lit(i).alias("tier_no"), F.lit(a).alias("least"), F.lit(b).alias("most")) for i, (_, a, b) in ranges.items()]))
-    asked = needs.withColumn("t", tiers).select(*needs.columns, "t.*").withColumn("day", F.date_add("run_date", F.col("least")))
-    have = chain.select("ticker", F.col("expiry").alias("day"), "expiry").distinct()
-    both = asked.withColumn("expiry", F.lit(None).cast("date")).unionByName(have, allowMissingColumns=True)
+    so that the frame only grows. With needs(..., floor) tiers that start under it aren't looked for. With bars also `price`, the last close
+    on or before the run day; with gammas `gamma`, that of the run's month, neutral where unknown. All meet in one exchange by ticker."""
+    both = needs.withColumn("day", F.col("run_date")).unionByName(chain.select("ticker", F.col("expiry").alias("day"), "expiry").distinct(), allowMissingColumns=True)
+    upto = Window.partitionBy("ticker").orderBy("day", F.col("run_date").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    if bars is not None:
+        both = both.unionByName(bars.select("ticker", F.col("d").alias("day"), "close"), allowMissingColumns=True)
+    if gammas is not None:
+        both = both.unionByName(gammas.select("ticker", F.col("run_month").alias("day"), F.struct("run_month", "gamma").alias("known")), allowMissingColumns=True)
+        own = F.when(F.col("known.run_month") == F.trunc("run_date", "month"), F.col("known.gamma"))
+        both = both.withColumn("known", F.last("known", True).over(upto)).withColumn("gamma", F.coalesce(own, F.lit("neutral"))).drop("known")
+    if bars is not None:
+        both = both.withColumn("price", F.last("close", True).over(upto)).drop("close")
+    tiers = F.array(*[F.struct(F.lit(i).alias("tier_no"), F.lit(a).alias("least"), F.lit(b).alias("most")) for i, (_, a, b) in ranges.items()])
+    if "floor" in needs.columns:
+        tiers = F.filter(tiers, lambda t: F.col("expiry").isNotNull() | (t["least"] >= F.col("floor")))
+    tiers = F.when(F.col("expiry").isNull(), tiers).otherwise(F.slice(tiers, 1, 1))  # an expiry is one row, whose tier means nothing
+    rows = both.where("run_date is not null or expiry is not null").withColumn("t", F.explode(tiers)).select(*[c for c in both.columns if c != "floor"], "t.*")
+    rows = rows.withColumn("day", F.coalesce("expiry", F.date_add("run_date", F.col("least"))))
     later = Window.partitionBy("ticker").orderBy(F.desc("day"), F.col("run_date").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("expiry", F.last("expiry", True).over(later)).where("run_date is not null").withColumn("dte", F.datediff("expiry", "run_date"))
+    found = rows.withColumn("expiry", F.last("expiry", True).over(later)).where("run_date is not null").withColumn("dte", F.datediff("expiry", "run_date"))
     return found.where(F.col("dte") <= F.col("most")).drop("least", "most", "day")
 
 
@@ -51,29 +63,31 @@ def _window(ranges: dict[int, tuple[str, int, int]], room: float = 15.0) -> tupl
     return low, high
 
 
-def contracts(needs: DataFrame, chain: DataFrame, ranges: dict[int, tuple[str, int, int]] = RANGES, min_oi: int = 100, max_spread: float = 0.10, delta: tuple[float, float] = (0.55, 0.75)) -> DataFrame:
-    """For needs(ticker, run_date, price) and each tier and type: the contract with the highest open interest at the first expiry that
-    passes strikes, open interest and bid-ask ratio (of those with a delta in the range, where there are any; ties: lower strike, then
-    row), and the short leg of a spread: strike in [1.05 K, 1.20 K] nearest to 1.10 K."""
+def contracts(needs: DataFrame, chain: DataFrame, ranges: dict[int, tuple[str, int, int]] = RANGES, min_oi: int = 100, max_spread: float = 0.10, delta: tuple[float, float] = (0.55, 0.75), bars: DataFrame | None = None, gammas: DataFrame | None = None) -> DataFrame:
+    """For needs(ticker, run_date, price) and each tier and type (that of needs(..., type), if there): the contract with the highest open
+    interest at the first expiry that passes strikes, open interest and bid-ask ratio (of those with a delta in the range, where there are
+    any; ties: lower strike, then row), and the short leg of a spread: strike in [1.05 K, 1.20 K] nearest to 1.10 K. floor, bars and gammas
+    as in first_expiries.
+
+    The chain is shuffled once, by (ticker, expiry, type), and all that follows stays there: one row a strike, both as a contract and as a leg."""
+    key = ["ticker", "expiry", "type"]
     ratio = (F.col("ask") - F.col("bid")) / F.greatest(F.col("ask"), F.lit(0.01))
-    fit = chain.where((F.col("oi") >= max(min_oi, 50)) & (ratio <= max_spread))
+    fit = (F.col("oi") >= max(min_oi, 50)) & (ratio <= max_spread)
     other = F.when(F.coalesce(F.abs("delta").between(*delta), F.lit(False)), 0).otherwise(1)
     order = F.struct(other.alias("other"), F.negate("oi").alias("less"), "strike", "row", "bid", "ask", "oi", "iv", "delta")
-    by_strike = fit.groupBy("ticker", "expiry", "type", "strike").agg(F.min(order).alias("c"))
-    low, high = _window(ranges)
-    asked = first_expiries(needs.where("price > 0"), chain, ranges)
-    met = paired_join(by_strike, asked, ["ticker", "expiry"]).where((F.col("strike") >= F.col("price") * low) & (F.col("strike") <= F.col("price") * high))
-    best = met.groupBy("ticker", "run_date", "price", "type", "tier_no", "expiry", "dte").agg(F.min("c").alias("c")).withColumn("strike", F.col("c.strike"))
-    # a contract's legs are found once: its run days, at most a calendar's, wait in a list
-    longs = best.groupBy("ticker", "expiry", "type", "strike").agg(F.collect_list(F.struct("run_date", "price", "tier_no", "dte", "c")).alias("days"))
-    legs = chain.groupBy("ticker", "expiry", "type", F.col("strike").alias("k2")).agg(F.min(F.struct("row", "bid")).alias("leg"))
-    gap = F.round(F.abs(F.col("k2") - F.col("strike") * 1.10), 6)
-    near = (F.col("k2") >= F.col("strike") * 1.05) & (F.col("k2") <= F.col("strike") * 1.20)
-    key = ["ticker", "expiry", "type"]
-    pairs = longs.alias("l").join(legs.alias("s"), [F.col(f"l.{c}") == F.col(f"s.{c}") for c in key] + [near], "left")
-    out = pairs.groupBy("l.ticker", "l.expiry", "l.type", "strike").agg(F.first("days").alias("days"), F.min(F.when(F.col("k2").isNotNull(), F.struct(gap.alias("gap"), "k2", "leg.row", "leg.bid"))).alias("leg"))
-    out = out.select("ticker", "expiry", "type", "strike", "leg", F.inline("days"))
-    return out.select("ticker", "run_date", "price", "type", "tier_no", "expiry", "dte", "strike", "c.bid", "c.ask", "c.oi", "c.iv", "c.delta", "c.row", F.when(F.col("leg.bid") > 0, F.col("leg.k2")).alias("k2"), F.when(F.col("leg.bid") > 0, F.col("leg.bid")).alias("bid2"))
+    lines = chain.select(*key, "strike", "row", "bid", "ask", "oi", "iv", "delta").repartition(*key)
+    strikes = lines.groupBy(*key, F.col("strike").alias("k2")).agg(F.min(F.when(fit, order)).alias("c"), F.min(F.struct("row", "bid")).alias("leg"))
+    asked = first_expiries(needs, chain, ranges, bars, gammas).where("price > 0")
+    if "type" not in needs.columns:
+        asked = asked.withColumn("type", F.explode(F.array(F.lit("call"), F.lit("put"))))
+    low, high = (F.col("price") * c for c in _window(ranges))
+    met = strikes.join(asked, key).where((F.col("k2") >= low) & (F.col("k2") <= high * 1.20))  # contracts, and all that may be their legs
+    ask = [*key, *[c for c in asked.columns if c not in key]]
+    met = met.withColumn("c", F.min(F.when(F.col("k2") <= high, F.col("c"))).over(Window.partitionBy(*ask))).where("c is not null")
+    gap = F.round(F.abs(F.col("k2") - F.col("c.strike") * 1.10), 6)
+    near = (F.col("k2") >= F.col("c.strike") * 1.05) & (F.col("k2") <= F.col("c.strike") * 1.20)
+    out = met.groupBy(*ask).agg(F.first("c").alias("c"), F.min(F.when(near, F.struct(gap.alias("gap"), "k2", "leg.row", "leg.bid"))).alias("leg"))
+    return out.select(*ask, "c.strike", "c.bid", "c.ask", "c.oi", "c.iv", "c.delta", "c.row", F.when(F.col("leg.bid") > 0, F.col("leg.k2")).alias("k2"), F.when(F.col("leg.bid") > 0, F.col("leg.bid")).alias("bid2"))
 
 
 #: What a tier does with a candidate, in the order of its gates; pnl_*: expected profit of the contract where it is known, net of costs.
@@ -86,24 +100,32 @@ STATUS: list[Sheet] = [
 ]
 
 
-def tier_search(candidates: DataFrame, chain: DataFrame, pnl: DataFrame | None = None, leg_required: bool = False, ranges: dict[int, tuple[str, int, int]] = RANGES) -> DataFrame:
+def tier_search(candidates: DataFrame, chain: DataFrame, pnl: DataFrame | None = None, leg_required: bool = False, ranges: dict[int, tuple[str, int, int]] = RANGES, bars: DataFrame | None = None, gammas: DataFrame | None = None) -> DataFrame:
     """candidates(candidate_id, ticker, run_date, price, target, direction, dte_floor, catalyst_type, hit_rate, iv_rank, gamma, vix,
     vix_structure), one row each: the first tier that passes, its contract and figures; what every tier up to it said; without one,
-    the tier with the best net ROI, and how far that falls short.
+    the tier with the best net ROI, and how far that falls short. With bars and gammas candidates bring a target_move instead of price,
+    target and gamma: the price is that of the run day, the dealers' gamma that of its month.
 
     A spread without a short leg that has a bid is kept at the price of its long leg; with `leg_required` it isn't a spread, and the
     single contract of the same tier takes its place. pnl(candidate_id, tier_no, pnl_mean, pnl_median): where given, the mean has to
-    reach the tier's ROI and the median 0, net of costs; candidates without a row there pass."""
-    kind = F.when(F.col("chosen").contains("CALL") | F.col("chosen").contains("BULL"), "call").otherwise("put")
-    rows = add(candidates, *STRATEGY).withColumn("type", kind)
-    needs = rows.select("ticker", "run_date", "price").distinct()
-    found = contracts(needs, chain, ranges)
-    own = F.struct(*[c for c in found.columns if c not in ("ticker", "run_date", "price", "type")])
-    by_day = found.groupBy("ticker", "run_date", "price", "type").agg(F.collect_list(own).alias("found"))  # at most one a tier
+    reach the tier's ROI and the median 0, net of costs; candidates without a row there pass.
+
+    A candidate is shuffled once, to the contracts of its day, and its tiers end where they began."""
+    rows = candidates.withColumn("type", F.when(F.col("direction") == "BULLISH", "call").otherwise("put"))
+    key = ["ticker", "run_date", "type"] if bars is not None else ["ticker", "run_date", "price", "type"]
+    # a tier under the floor of all candidates of its day says so whatever its contract is, which needn't be found
+    needs = rows.groupBy(*key).agg(F.min(F.coalesce("dte_floor", F.lit(-1))).alias("floor"))
+    found = contracts(needs, chain, ranges, bars=bars, gammas=gammas)
+    own = F.struct(*[c for c in found.columns if c not in (*key, "price", "gamma")])
+    # at most one row a tier; a candidate without a contract needs no price either
+    by_day = found.repartition(*key).groupBy(*key).agg(F.collect_list(own).alias("found"), *[F.first(c).alias(c) for c in ("price", "gamma") if c in found.columns and c not in key])
     tiers = F.array(*[F.struct(F.lit(i).alias("tier_no"), F.lit(name).alias("tier_name"), F.lit(a).alias("tier_least")) for i, (name, a, _) in ranges.items()])
-    rows = paired_join(rows, by_day, ["ticker", "run_date", "price", "type"], "left").withColumn("t", F.explode(tiers))
+    rows = rows.join(by_day, key, "left")
+    if bars is not None:
+        rows = rows.withColumn("target", F.col("price") * (1 + F.col("target_move")))
+    rows = add(rows, *STRATEGY).withColumn("t", F.explode(tiers))
     contract = F.filter("found", lambda c: c["tier_no"] == F.col("t.tier_no"))
-    rows = rows.withColumn("c", F.get(contract, F.lit(0))).drop("found").select(*[c for c in rows.columns if c not in ("found", "t")], "t.*", *[F.col(f"c.{n}").alias(n) for n in ("expiry", "dte", "strike", "bid", "ask", "iv", "delta", "k2", "bid2")])
+    rows = rows.withColumn("c", F.get(contract, F.lit(0))).select(*[c for c in rows.columns if c not in ("found", "t")], "t.*", *[F.col(f"c.{n}").alias(n) for n in ("expiry", "dte", "strike", "bid", "ask", "iv", "delta", "k2", "bid2")])
     spread = F.col("chosen").contains("SPREAD")
     fallback = spread & F.lit(leg_required) & F.col("bid2").isNull() & F.col("strike").isNotNull()
     rows = rows.withColumn("strategy", F.when(fallback, F.when(F.col("type") == "call", "LONG_CALL").otherwise("LONG_PUT")).otherwise(F.col("chosen")))
@@ -117,7 +139,7 @@ def tier_search(candidates: DataFrame, chain: DataFrame, pnl: DataFrame | None =
     figures = F.struct("tier_no", F.col("tier_name").alias("tier"), "strategy", "expiry", "dte", "strike", "ask", "k2", "net_debit", "roi_net", "min_roi", "annual_roi", "edge")
     said = F.array_sort(F.collect_list(F.struct("tier_no", "status")))
     best = F.max(F.when(F.col("strike").isNotNull() & (F.col("status") != "below_floor"), F.struct(F.round("roi_net", 6).alias("r"), F.negate("tier_no").alias("first"), "tier_name", "roi_gap")))
-    out = rows.groupBy("candidate_id").agg(F.min(F.when(F.col("status") == "pass", figures)).alias("x"), best.alias("best"), said.alias("said"))
+    out = rows.groupBy(*key, "candidate_id").agg(F.min(F.when(F.col("status") == "pass", figures)).alias("x"), best.alias("best"), said.alias("said"))
     upto = F.filter("said", lambda s: F.col("x").isNull() | (s["tier_no"] <= F.col("x.tier_no")))
     tried = F.concat_ws(",", F.transform(upto, lambda s: s["status"]))
     none = F.col("x").isNull()
@@ -126,22 +148,16 @@ def tier_search(candidates: DataFrame, chain: DataFrame, pnl: DataFrame | None =
     return out.select(*[c for c in out.columns if c not in names], *rounded(names, 5))
 
 
-def precheck(candidates: DataFrame, chain: DataFrame, least: int = 21, most: int = 45, rise: float = 1.08, floor: float = -0.30) -> DataFrame:
+def precheck(candidates: DataFrame, chain: DataFrame, least: int = 21, most: int = 45, rise: float = 1.08, floor: float = -0.30, bars: DataFrame | None = None) -> DataFrame:
     """Before any costly stage: the net ROI that a call of `least` to `most` days would have at a target of `rise` times the price, as
     a single leg, whatever the direction, class and hit rate will turn out to be. Candidates under the floor go; without a contract they
-    stay."""
-    found = contracts(candidates.select("ticker", "run_date", "price").distinct(), chain, {1: ("Short-Term", least, most)}).where("type = 'call'")
-    rows = candidates.select("candidate_id", "ticker", "run_date", "price", "iv_rank", "vix", "vix_structure").join(found.select("ticker", "run_date", "price", "dte", "strike", "bid", "ask", "iv", "delta"), ["ticker", "run_date", "price"], "left")
+    stay. With bars the price is that of the run day."""
+    key = ["ticker", "run_date"] if bars is not None else ["ticker", "run_date", "price"]
+    needs = candidates.select(*key, F.lit("call").alias("type")).distinct()
+    found = contracts(needs, chain.where("type = 'call'"), {1: ("Short-Term", least, most)}, bars=bars)
+    names = [c for c in ("price", "dte", "strike", "bid", "ask", "iv", "delta") if c not in key]
+    rows = candidates.select("candidate_id", *key, "iv_rank", "vix", "vix_structure").join(found.select(*key, *names), key, "left")
     rows = add(rows, {"target": f"price * {rise}", "strategy": "'LONG_CALL'", "catalyst_type": "'OTHER'", "hit_rate": "cast(0.65 as double)", "net_debit": "cast(null as double)", "straddle_move": "cast(null as double)"})
     rows = add(rows, *ROI)
     known = F.col("strike").isNotNull()
     return rows.select("candidate_id", "strike", "dte", *rounded(("roi_net",), 5), (~known | (F.col("roi_net") >= floor)).alias("stays"))
-
-
-def with_features(candidates: DataFrame, bars: DataFrame, gammas: DataFrame) -> DataFrame:
-    """Candidates with their price as of the run day, the target from it, and the dealers' gamma of the run's month (neutral where
-    unknown)."""
-    rows = paired_join(candidates, last_close(candidates, bars), ["ticker", "run_date"], "left")
-    known = gammas.select("ticker", F.col("run_month"), F.col("gamma"))
-    rows = paired_join(rows.withColumn("run_month", F.trunc("run_date", "month")), known, ["ticker", "run_month"], "left").drop("run_month")
-    return rows.withColumn("gamma", F.coalesce("gamma", F.lit("neutral"))).withColumn("target", F.col("price") * (1 + F.col("target_move")))
