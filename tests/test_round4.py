@@ -29,8 +29,9 @@ def exchanges(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_tier_search_shuffles_each_table_once(spark):
-    assert exchanges(spark, "tier_search") <= 13  # 35 before
+@pytest.mark.parametrize("name", ["tier_search", "tier_search_legs"])
+def test_tier_search_shuffles_each_table_once(spark, name):
+    assert exchanges(spark, name) <= 13  # 35 before
 
 
 def test_a_tier_under_the_floor_needs_no_contract(spark):
