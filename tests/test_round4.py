@@ -34,6 +34,10 @@ def test_tier_search_shuffles_each_table_once(spark, name):
     assert exchanges(spark, name) <= 13  # 35 before
 
 
+def test_precheck_shuffles_each_table_once(spark):
+    assert exchanges(spark, "roi_precheck") <= 8  # 30 before
+
+
 def test_a_tier_under_the_floor_needs_no_contract(spark):
     """An unknown floor is no floor; a day's lowest floor says which tiers are looked for."""
     from tests.test_tiers import ROWS, candidate, search
