@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.sheets import Sheet, add
+from tidemark.functions.sheets import Sheet, add, in_small_methods
 from tidemark.operators.proposals import ROI, STRATEGY, TIERS, rounded
 
 #: tier_no, tier, least and most days to expiry.
@@ -135,7 +135,7 @@ def tier_search(candidates: DataFrame, chain: DataFrame, pnl: DataFrame | None =
         rows = rows.withColumn("pnl_mean", F.lit(None).cast("double")).withColumn("pnl_median", F.lit(None).cast("double"))
     else:
         rows = rows.join(pnl.select("candidate_id", "tier_no", "pnl_mean", "pnl_median"), ["candidate_id", "tier_no"], "left")
-    rows = add(rows.withColumn("straddle_move", F.lit(None).cast("double")), *ROI, *STATUS)
+    rows = add(in_small_methods(rows).withColumn("straddle_move", F.lit(None).cast("double")), *ROI, *STATUS)
     figures = F.struct("tier_no", F.col("tier_name").alias("tier"), "strategy", "expiry", "dte", "strike", "ask", "k2", "net_debit", "roi_net", "min_roi", "annual_roi", "edge")
     said = F.array_sort(F.collect_list(F.struct("tier_no", "status")))
     best = F.max(F.when(F.col("strike").isNotNull() & (F.col("status") != "below_floor"), F.struct(F.round("roi_net", 6).alias("r"), F.negate("tier_no").alias("first"), "tier_name", "roi_gap")))
